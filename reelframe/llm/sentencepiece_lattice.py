@@ -271,8 +271,9 @@ def _assemble(path: str):
         for squeezed in docs["squeezed"]:
             text = unpack.decompress(squeezed).decode("utf-8", "replace")
             units = pieces.split(text)
-            for u in set(units) - known.keys():  # single characters and very long units
-                known[u] = np.array(pieces.encode(u), "<i4").tobytes()
+            for u in set(units):
+                if u not in known:  # single characters and very long units
+                    known[u] = np.array(pieces.encode(u), "<i4").tobytes()
             ids = np.frombuffer(b"".join(map(known.__getitem__, units)), "<i4")
             rows.append((ids, len(text.encode()), hashlib.md5(text.encode()).hexdigest()))
         return pd.DataFrame({"doc_id": docs["doc_id"], "ids": [r[0] for r in rows], "n_bytes": [r[1] for r in rows], "text_md5": [r[2] for r in rows]})

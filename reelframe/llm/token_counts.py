@@ -62,13 +62,12 @@ class WordCounter:
         self.tokenizer.no_truncation()
 
     def count(self, words: list[bytes]) -> int:
-        new = set(words) - self.known.keys()
+        new = [w for w in set(words) if w not in self.known]
         if len(self.known) + len(new) > _KNOWN:
             self.known.clear()
-            new = set(words)
-        todo = list(new)
-        for i in range(0, len(todo), 4096):
-            part = todo[i : i + 4096]
+            new = list(set(words))
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                 self.known[w] = len(e.ids)
         return sum(map(self.known.__getitem__, words))

@@ -43,10 +43,10 @@ class Featurizer:
         self.shift, self.known = np.uint64(64 - bits), {}
 
     def _hashes(self, words: list[str]) -> np.ndarray:
-        new = set(words) - self.known.keys()
+        new = [w for w in set(words) if w not in self.known]
         if len(self.known) + len(new) > _CACHE:
             self.known.clear()
-            new = set(words)
+            new = list(set(words))
         for w in new:
             self.known[w] = xxhash.xxh64_intdigest(w)
         return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
