@@ -5,12 +5,12 @@ that skip one word, each hashed to 2^22 buckets, present or absent. Training tak
 `max_rows` labelled rows (half from either label, the smallest hashes of doc_id first), only from
 rows whose crc32(doc_id as text) mod 5 is not 0, as one sequential pass per epoch with
 per-coordinate rates; the L1 term leaves most weights at exactly 0, so what is sent to the
-executors is a few thousand (bucket, weight) pairs. Scoring is a narrow pass over whole texts.
+executors is a few hundred (bucket, weight) pairs. Scoring is a narrow pass over whole texts.
 
 Defined cases: a null or empty text gets the bias's score; rows of a null doc_id are scored and not
 held out; labels that are null are skipped, and a document with several labels counts as toxic if one
-says so; without any labelled row every score is 0.5 minus nothing, i.e. the prior's 0.5 and
-predicted is 0 (no document is called toxic by a model that has seen none); repeated rows are scored
+says so; without any labelled row every score is 0.5 and predicted is 0 (a model that has seen no
+label calls nothing toxic); repeated rows are scored
 each; columns beside doc_id and text are never read.
 """
 
@@ -64,7 +64,7 @@ class Featurizer:
 class Ftrl:
     """McMahan et al. 2013: per-coordinate FTRL-proximal."""
 
-    def __init__(self, size: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, size: int, alpha: float = 5.0, beta: float = 1.0, l1: float = 12.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)  # the last is the bias, without L1
 
@@ -114,7 +114,7 @@ def _trainer(bits: int, epochs: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = 4) -> dict[int, float]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = 8) -> dict[int, float]:
     """Non-zero weights by bucket; bucket 2**bits is the bias. Empty without labelled rows."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("label"))
     known = known.filter(~held_out(F.col("label_id")))
