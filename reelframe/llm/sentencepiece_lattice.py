@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 LONGEST = 62
 _FLUSH = 400_000
+_PACK = 1 << 20
 
 
 class Pieces:
@@ -130,20 +131,31 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, piece_id int, rank int, score double")
 
 
-def lattice(units: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(unit, carried) -> unit, carried, edges: array<struct<s, e, rank, id, inner, ends, score>> by s, e."""
-    keyed = units.withColumn("uid", F.xxhash64("unit")).repartition("uid")
-    starts = keyed.select("*", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+#: An edge as one long that sorts by start and end: 6 bits each, then rank and id with 20 bits each.
+EDGE = "((cast(s as bigint) * 64 + e) * 1048576 + rank) * 1048576 + piece_id"
+#: An edge with its score, for Viterbi.
+SCORED_EDGE = "struct(e, s, score, piece_id as id)"
+
+
+def lattice(units: DataFrame, table: DataFrame, longest: int, edge: str = EDGE) -> DataFrame:
+    """(uid, unit, ...) -> the same with edges: the sorted array of what `edge` makes of each piece in the unit.
+
+    uid is unique. Units are dealt once, by uid, to many partitions, so that the edges of one, which are sorted
+    to be grouped, stay in memory; exploding, joining and grouping then need no other exchange.
+    """
+    parts = 16 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = units.repartition(parts, "uid")
+    starts = keyed.select("uid", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
     spans = starts.select("*", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.length("unit")))).alias("e"))
-    spans = spans.withColumn("part", F.expr("substring(unit, s + 1, e - s)"))
-    found = spans.join(F.broadcast(table), F.col("part") == F.col("piece"))
-    edge = F.expr(
-        "struct(s, e, rank, piece_id as id, (shiftleft(1L, e) - 1) ^ (shiftleft(1L, s + 1) - 1) as inner, shiftleft(1L, s) | shiftleft(1L, e) as ends, score)"
-    )
-    return found.groupBy("uid", "unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"), F.first("carried").alias("carried")).drop("uid")
+    spans = spans.select("uid", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("part"))
+    found = spans.join(F.broadcast(table), F.col("part") == F.col("piece")).select("uid", F.expr(edge).alias("edge"))
+    return keyed.join(found.groupBy("uid").agg(F.array_sort(F.collect_list("edge")).alias("edges")), "uid")
 
 
-#: Borders left after all merges, as a bit mask, then the pieces between them.
+_SPAN = "named_struct('ends', shiftleft(1L, {s}) | shiftleft(1L, {e}), 'inner', (shiftleft(1L, {e}) - 1) ^ (shiftleft(1L, {s} + 1) - 1), {more})"
+_S, _E = "cast(shiftright(x, 46) as int)", "cast(shiftright(x, 40) & 63 as int)"
+_SPANS = f"transform(edges, x -> {_SPAN.format(s=_S, e=_E, more="'id', cast(x & 1048575 as int), 'rank', shiftright(x, 20) & 1048575, 's', " + _S)})"
+#: Borders left after all merges, as a bit mask.
 _MERGES = """
 aggregate(
   sequence(1, greatest(1, size(ranked))),
@@ -153,21 +165,23 @@ aggregate(
 
 
 def merge_path(edges: DataFrame) -> DataFrame:
-    """(unit, carried, edges) -> unit, carried, ids by BPE merges. Units of at most LONGEST characters."""
-    ranked = edges.withColumn("ranked", F.expr("array_sort(transform(filter(edges, x -> x.e - x.s > 1), x -> struct(x.rank, x.s, x.inner, x.ends)))"))
+    """(..., unit, edges) -> edges' place taken by ids, by BPE merges. Units of at most LONGEST characters."""
+    spans = edges.withColumn("spans", F.expr(_SPANS))
+    ranked = spans.withColumn("ranked", F.expr("array_sort(transform(filter(spans, x -> x.inner <> 0), x -> struct(x.rank, x.s, x.inner, x.ends)))"))
     cut = ranked.withColumn("borders", F.expr(_MERGES))
-    return cut.select("unit", "carried", F.expr("transform(filter(edges, x -> (borders & x.ends) = x.ends and (borders & x.inner) = 0), x -> x.id)").alias("ids"))
+    ids = F.expr("transform(filter(spans, x -> (borders & x.ends) = x.ends and (borders & x.inner) = 0), x -> x.id)")
+    return cut.withColumn("ids", ids).drop("edges", "spans", "ranked", "borders")
 
 
 def viterbi_path(edges: DataFrame) -> DataFrame:
-    """(unit, carried, edges) -> unit, carried, ids along the path of greatest summed score.
+    """(..., unit, edges by SCORED_EDGE) -> edges' place taken by ids, along the path of greatest summed score.
 
     Ties go to the path found first, by rising end and start of its last edge. ids is null where no path exists.
     """
     state = "array<struct<score:double,ids:array<int>>>"
     fold = f"""
     aggregate(
-      array_sort(transform(edges, x -> struct(x.e, x.s, x.score, x.id))),
+      edges,
       cast(transform(sequence(0, length(unit)), i -> if(i = 0, named_struct('score', 0D, 'ids', cast(array() as array<int>)), null)) as {state}),
       (best, x) -> if(
         element_at(best, x.s + 1) is not null
@@ -176,7 +190,7 @@ def viterbi_path(edges: DataFrame) -> DataFrame:
         best),
       best -> element_at(best, -1).ids)
     """
-    return edges.select("unit", "carried", F.expr(fold).alias("ids"))
+    return edges.withColumn("ids", F.expr(fold)).drop("edges")
 
 
 def _text(x: pa.Scalar) -> str:
@@ -212,7 +226,9 @@ def _distinct(frame: pd.DataFrame) -> pd.DataFrame:
     for block, blob in zip(frame["block"], frame["units"], strict=True):
         for unit in unpack.decompress(blob).decode().split("\n"):
             where[unit].append(block)
-    return pd.DataFrame({"unit": list(where), "carried": [np.unique(np.array(v, "<i4")).tobytes() for v in where.values()]})
+    units = sorted(where)
+    uid = (int(frame["shard"].iloc[0]) << 32) + np.arange(len(units))  # the same again if the task runs again
+    return pd.DataFrame({"uid": uid, "unit": units, "carried": [np.unique(np.array(where[u], "<i4")).tobytes() for u in units]})
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,10 +265,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3)
+    """Documents in packs of about _PACK bytes: ids, sizes, and the texts compressed together."""
+    pack, names = zstandard.ZstdCompressor(level=6), ["block", "ids", "sizes", "squeezed"]
     for b in batches:
-        texts = [pack.compress(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b["text"]]
-        yield pa.RecordBatch.from_arrays([b["block"], b["doc_id"], pa.array(texts, pa.binary())], ["block", "doc_id", "squeezed"])
+        texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b["text"]]
+        begin, held = 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= _PACK or i == len(texts) - 1:
+                part = texts[begin : i + 1]
+                row = [b["block"][i : i + 1], pa.array([b["doc_id"][begin : i + 1].to_pylist()], pa.list_(pa.int64())), pa.array([[len(t) for t in part]], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(part))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names)
+                begin, held = i + 1, 0
 
 
 def _assemble(path: str):
@@ -267,16 +291,21 @@ def _assemble(path: str):
             for unit, end in zip(units, ends.tolist(), strict=True):
                 known[unit] = raw[begin:end]
                 begin = end
-        rows = []
-        for squeezed in docs["squeezed"]:
-            text = unpack.decompress(squeezed).decode("utf-8", "replace")
-            units = pieces.split(text)
-            for u in set(units):
-                if u not in known:  # single characters and very long units
-                    known[u] = np.array(pieces.encode(u), "<i4").tobytes()
-            ids = np.frombuffer(b"".join(map(known.__getitem__, units)), "<i4")
-            rows.append((ids, len(text.encode()), hashlib.md5(text.encode()).hexdigest()))
-        return pd.DataFrame({"doc_id": docs["doc_id"], "ids": [r[0] for r in rows], "n_bytes": [r[1] for r in rows], "text_md5": [r[2] for r in rows]})
+        names, coded, sizes, digests = [], [], [], []
+        for ids, lengths, squeezed in zip(docs["ids"], docs["sizes"], docs["squeezed"], strict=True):
+            raw, begin = unpack.decompress(squeezed), 0
+            names += list(ids)
+            for n in lengths:
+                own = raw[begin : begin + n]
+                begin += n
+                units = pieces.split(own.decode("utf-8", "replace"))
+                for u in set(units):
+                    if u not in known:  # single characters and very long units
+                        known[u] = np.array(pieces.encode(u), "<i4").tobytes()
+                coded.append(np.frombuffer(b"".join(map(known.__getitem__, units)), "<i4"))
+                sizes.append(n)
+                digests.append(hashlib.md5(own).hexdigest())
+        return pd.DataFrame({"doc_id": pd.array(names, dtype="Int64"), "ids": coded, "n_bytes": sizes, "text_md5": digests})
 
     return run
 
@@ -287,10 +316,10 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     blocks = docs.select("doc_id", "text").withColumn("block", F.spark_partition_id())
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     gathered = blocks.select("text", "block").mapInArrow(_gather(model_path, shards), "shard int, block int, units binary")
-    units = gathered.groupBy("shard").applyInPandas(_distinct, "unit string, carried binary")
+    units = gathered.groupBy("shard").applyInPandas(_distinct, "uid long, unit string, carried binary")
     coded = merge_path(lattice(units, piece_table(spark, pieces), pieces.longest))
     back = coded.select("unit", "carried", "ids").mapInArrow(_pack, "block int, encoded binary")
-    texts = blocks.mapInArrow(_squeeze, "block int, doc_id long, squeezed binary")
+    texts = blocks.mapInArrow(_squeeze, "block int, ids array<long>, sizes array<long>, squeezed binary")
     return texts.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_assemble(model_path), "doc_id long, ids array<int>, n_bytes long, text_md5 string")
 
 

@@ -57,11 +57,12 @@ def test_viterbi_takes_the_best_path(spark):
     names = sorted(scores)
     table = spark.createDataFrame([(p, i, i, scores[p]) for i, p in enumerate(names)], "piece string, piece_id int, rank int, score double")
     units = ["".join(rng.choices("abc", k=rng.randrange(1, 11))) for _ in range(60)]
-    df = spark.createDataFrame([(u, None) for u in set(units)], "unit string, carried binary")
-    for r in sp.viterbi_path(sp.lattice(df, table, 4)).collect():
-        assert [names[i] for i in r["ids"]] == best_paths(r["unit"], scores)[1]
-    df = spark.createDataFrame([("abzab", None)], "unit string, carried binary")
-    assert sp.viterbi_path(sp.lattice(df, table, 4)).first()["ids"] is None
+    df = spark.createDataFrame(list(enumerate(sorted(set(units)))), "uid long, unit string")
+    for r in sp.viterbi_path(sp.lattice(df, table, 4, sp.SCORED_EDGE)).collect():
+        path = [names[i] for i in r["ids"]]
+        assert "".join(path) == r["unit"] and sum(scores[p] for p in path) == pytest.approx(best_paths(r["unit"], scores)[0])
+    df = spark.createDataFrame([(0, "abzab")], "uid long, unit string")
+    assert sp.viterbi_path(sp.lattice(df, table, 4, sp.SCORED_EDGE)).first()["ids"] is None
 
 
 @pytest.mark.parametrize("text", [t for t in TEXTS if t])
