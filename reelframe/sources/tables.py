@@ -35,13 +35,20 @@ def write_kv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _underscored(spark: SparkSession, root: str) -> list[str]:
+    """Folders right below root whose names begin with _, which Spark takes for hidden unless they are named."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_*")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().toString() for f in found if f.isDirectory() and f.getPath().getName() != "__pycache__"]
+
+
 def read_qa(spark: SparkSession, root: str) -> DataFrame:
     """Every **/*.json below root: path, base, file, pos, question, answer, keypoints struct<video, text>.
 
     A file holds a list of items or one item; items without a question are left out. Keypoints may be a list or
     an object of lists.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text([root, *_underscored(spark, root)], wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     item = "struct<question:string,answer:string,keypoints:string>"
     listed = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", f"array<{item}>")).otherwise(F.array(F.from_json("value", item)))
     rows = files.select("path", F.posexplode(listed).alias("pos", "q"))
