@@ -258,7 +258,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names[block].append(raw)
                 codes[block].append(code)
                 held += 1
-        if held > 4 * _FLUSH:
+        if held > _FLUSH:
             yield flush()
             held = 0
     yield flush()
@@ -302,14 +302,25 @@ def _assemble(path: str):
                 for u in set(units):
                     if u not in known:  # single characters and very long units
                         known[u] = np.array(pieces.encode(u), "<i4").tobytes()
-                coded.append(np.frombuffer(b"".join(map(known.__getitem__, units)), "<i4"))
+                coded.append(b"".join(map(known.__getitem__, units)))
                 sizes.append(n)
                 digests.append(hashlib.md5(own).hexdigest())
-        return pd.DataFrame({"doc_id": pd.array(names, dtype="Int64"), "ids": coded, "n_bytes": sizes, "text_md5": digests})
+        return pd.DataFrame({"doc_id": pd.array(names, dtype="Int64"), "packed": coded, "n_bytes": sizes, "text_md5": digests})
 
     return run
 
 
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """packed ids to arrays, a few thousand rows at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, 1000):
+            part = b.slice(i, 1000)
+            packed = part["packed"].to_pylist()
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], ids, part["n_bytes"], part["text_md5"]], ["doc_id", "ids", "n_bytes", "text_md5"])
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text) -> doc_id, ids, n_bytes, text_md5 (of the text that was encoded)."""
     spark, pieces = docs.sparkSession, pieces_of(model_path)
@@ -320,14 +331,17 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     coded = merge_path(lattice(units, piece_table(spark, pieces), pieces.longest))
     back = coded.select("unit", "carried", "ids").mapInArrow(_pack, "block int, encoded binary")
     texts = blocks.mapInArrow(_squeeze, "block int, ids array<long>, sizes array<long>, squeezed binary")
-    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_assemble(model_path), "doc_id long, ids array<int>, n_bytes long, text_md5 string")
+    both = texts.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_assemble(model_path), "doc_id long, packed binary, n_bytes long, text_md5 string")
+    return both.mapInArrow(_unpack, "doc_id long, ids array<int>, n_bytes long, text_md5 string")
 
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
         for b in batches:
-            yield b.append_column("decoded", pa.array([pieces.decode(x.as_py() or []) for x in b["ids"]], pa.string()))
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                yield part.append_column("decoded", pa.array([pieces.decode(x or []) for x in part["ids"].to_pylist()], pa.string()))
 
     return run
 
