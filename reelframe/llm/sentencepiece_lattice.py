@@ -1,19 +1,19 @@
 """SentencePiece encoding through a relational lattice of the distinct words, and decoding.
 
 Normalisation is the model's own (identity): spaces become U+2581 and a non-empty text gets one in front.
-A text is cut into units where no piece can cross: before a run of U+2581 that follows another character
-and around characters that occur in no piece of several characters.
+A text is cut before every run of U+2581, and words are cut into units between two characters that stand side
+by side in no piece: no piece can cross these cuts.
 
 1. units: each task gathers the distinct units of its documents and deals them, packed, to shards.
 2. lattice: units are exploded into substrings of bounded length, these are equi-joined to the (broadcast,
-   fixed size) piece table, and the edges are grouped by unit.
+   fixed size) table of pieces of two characters or more, and the edges are grouped by unit.
 3. fold: Spark's higher-order `aggregate` folds the edges of a unit. For a unigram model this is Viterbi
    (`viterbi_path`). For a BPE model, whose scores are merge ranks and whose library output is no path of
-   greatest sum, the fold applies the merges instead (`merge_path`): of the edges whose ends are borders and
+   greatest sum, the fold applies the merges instead (`merge_borders`): of the edges whose ends are borders and
    that cover exactly one border, the best ranked and leftmost loses that border, until none is left.
-4. documents: the encodings go back, packed, to the task group that asked for the unit, which puts the ids of
-   its documents together. Characters without a piece become byte pieces. Units of over 62 characters
-   (the border mask is one long) are merged by the same rule in Python.
+4. documents: the units, cut at their borders, go back, packed, to the task group that asked for them, which
+   looks the pieces up and puts the ids of its documents together. Characters without a piece become byte
+   pieces. Units of over 62 characters (the border mask is one long) are merged by the same rule in Python.
 
 Defined cases: null and empty texts have no ids; a literal U+2581 is a space, as in the library; texts
 that aren't valid UTF-8 are read with U+FFFD; null doc_ids and repeated rows are kept; very long texts are
@@ -25,8 +25,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import struct
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -68,20 +68,36 @@ class Pieces:
                 self.spell.append(piece.replace(SPACE, " ").encode())
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("a piece crosses a word's begin; this model needs other units")
-        inner = {c for p in self.ids if len(p) > 1 for c in p}
-        if not inner <= self.ids.keys() | {SPACE}:
+        if not {c for p in self.ids for c in p} <= self.ids.keys():
             raise ValueError("a character of a longer piece is no piece")
         self.longest = max(map(len, self.ids))
-        chars = "".join(re.escape(c) for c in sorted(inner - {SPACE}))
-        self.units = re.compile(f"{SPACE}+[{chars}]*|[{chars}]+|[^{chars}{SPACE}]", re.S)
-
-    def split(self, text: str) -> list[str]:
-        return self.units.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        lengths = np.array([len(x) for x in self.spell], np.int64)
+        self.spelled, self.lengths, self.begins = np.frombuffer(b"".join(self.spell), np.uint8), lengths, np.cumsum(lengths) - lengths
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """The text's words; a word stands for itself with U+2581 before it, or holds U+2581 and stands for itself."""
+        if not text:
+            return []
+        if SPACE in text:
+            text = text.replace(SPACE, " ")
+        words = text.split(" ")
+        if "" in words:
+            runs = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))
+            words = [r[1:] if len(r) > 1 and r[1] != SPACE else r for r in runs]
+        return words
+
+    def units(self, word: str) -> list[str]:
+        whole = word if SPACE in word else SPACE + word
+        cuts = [i for i in range(1, len(whole)) if whole[i - 1 : i + 1] not in self.pairs]
+        return [whole[i:j] for i, j in zip([0, *cuts], [*cuts, len(whole)], strict=True)]
 
     def fallback(self, char: str) -> list[int]:
         return [self.ids[char]] if char in self.ids else [self.bytes[b] for b in char.encode()]
 
-    def in_lattice(self, unit: str) -> bool:
+    @staticmethod
+    def in_lattice(unit: str) -> bool:
         return 1 < len(unit) <= LONGEST
 
     def encode(self, unit: str) -> list[int]:
@@ -114,9 +130,20 @@ class Pieces:
             i = ends[i]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.spell.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+    def ids_of(self, unit: str, split: str | None) -> list[int]:
+        """From a unit cut into pieces by U+0001; by the merges where it wasn't in the lattice."""
+        if split is None:
+            return self.encode(unit)
+        return [i for p in split.split("\x01") for i in ([self.ids[p]] if p in self.ids else self.fallback(p))]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of several id arrays that lie end to end."""
+        n = self.lengths[ids]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        raw = self.spelled[np.repeat(self.begins[ids] - stops[:-1], n) + np.arange(stops[-1])].tobytes()
+        at = stops[ends].tolist()
+        texts = [raw[i:j].decode("utf-8", "replace") for i, j in zip([0, *at], at, strict=False)]
+        return [t[1:] if t[:1] == " " else t for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -125,52 +152,52 @@ def pieces_of(path: str) -> Pieces:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """piece, piece_id, rank (0 is merged first; equal scores share a rank), score."""
+    """piece, piece_id, rank (0 is merged first; equal scores share a rank), score; of two characters or more."""
     rank = {s: i for i, s in enumerate(sorted(set(pieces.scores.values()), reverse=True))}
-    rows = pd.DataFrame([(p, i, rank[pieces.scores[p]], pieces.scores[p]) for p, i in pieces.ids.items()], columns=["piece", "piece_id", "rank", "score"])
+    rows = pd.DataFrame([(p, i, rank[pieces.scores[p]], pieces.scores[p]) for p, i in pieces.ids.items() if len(p) > 1], columns=["piece", "piece_id", "rank", "score"])
     return spark.createDataFrame(rows, "piece string, piece_id int, rank int, score double")
 
 
-#: An edge as one long that sorts by start and end: 6 bits each, then rank and id with 20 bits each.
-EDGE = "((cast(s as bigint) * 64 + e) * 1048576 + rank) * 1048576 + piece_id"
+#: An edge as one long that sorts by rank, then by start: 20 bits of rank, 6 each of start and end.
+EDGE = "(cast(rank as bigint) * 64 + s) * 64 + e"
 #: An edge with its score, for Viterbi.
 SCORED_EDGE = "struct(e, s, score, piece_id as id)"
 
 
-def lattice(units: DataFrame, table: DataFrame, longest: int, edge: str = EDGE) -> DataFrame:
-    """(uid, unit, ...) -> the same with edges: the sorted array of what `edge` makes of each piece in the unit.
+def lattice(units: DataFrame, table: DataFrame, longest: int, edge: str = EDGE, least: int = 2) -> DataFrame:
+    """(uid, unit, ...) -> the same with edges: the sorted array of what `edge` makes of each piece of `least`
+    characters or more in the unit; null where it holds none.
 
-    uid is unique. Units are dealt once, by uid, to many partitions, so that the edges of one, which are sorted
-    to be grouped, stay in memory; exploding, joining and grouping then need no other exchange.
+    uid is unique. Units are dealt once, by uid; exploding, joining and grouping then need no other exchange.
     """
-    parts = 16 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = units.repartition(parts, "uid")
-    starts = keyed.select("uid", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    spans = starts.select("*", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.length("unit")))).alias("e"))
+    starts = keyed.select("uid", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - least)).alias("s"))
+    spans = starts.select("*", F.explode(F.sequence(F.col("s") + least, F.least(F.col("s") + longest, F.length("unit")))).alias("e"))
     spans = spans.select("uid", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("part"))
     found = spans.join(F.broadcast(table), F.col("part") == F.col("piece")).select("uid", F.expr(edge).alias("edge"))
-    return keyed.join(found.groupBy("uid").agg(F.array_sort(F.collect_list("edge")).alias("edges")), "uid")
+    return keyed.join(found.groupBy("uid").agg(F.array_sort(F.collect_list("edge")).alias("edges")), "uid", "left")
 
 
-_SPAN = "named_struct('ends', shiftleft(1L, {s}) | shiftleft(1L, {e}), 'inner', (shiftleft(1L, {e}) - 1) ^ (shiftleft(1L, {s} + 1) - 1), {more})"
-_S, _E = "cast(shiftright(x, 46) as int)", "cast(shiftright(x, 40) & 63 as int)"
-_SPANS = f"transform(edges, x -> {_SPAN.format(s=_S, e=_E, more="'id', cast(x & 1048575 as int), 'rank', shiftright(x, 20) & 1048575, 's', " + _S)})"
-#: Borders left after all merges, as a bit mask.
+_SPANS = """
+transform(edges, x -> named_struct(
+  'ends', shiftleft(1L, cast(shiftright(x, 6) & 63 as int)) | shiftleft(1L, cast(x & 63 as int)),
+  'inner', (shiftleft(1L, cast(x & 63 as int)) - 1) ^ (shiftleft(1L, cast(shiftright(x, 6) & 63 as int) + 1) - 1)))
+"""
 _MERGES = """
 aggregate(
-  sequence(1, greatest(1, size(ranked))),
+  sequence(1, size(spans)),
   shiftleft(1L, length(unit) + 1) - 1,
-  (m, i) -> coalesce(m & ~try_element_at(filter(ranked, x -> (m & x.ends) = x.ends and bit_count(m & x.inner) = 1), 1).inner, m))
+  (m, i) -> coalesce(m & ~try_element_at(filter(spans, x -> (m & x.ends) = x.ends and bit_count(m & x.inner) = 1), 1).inner, m))
 """
 
 
-def merge_path(edges: DataFrame) -> DataFrame:
-    """(..., unit, edges) -> edges' place taken by ids, by BPE merges. Units of at most LONGEST characters."""
+def merge_borders(edges: DataFrame) -> DataFrame:
+    """(..., unit, edges) -> edges' place taken by borders: bit i is set where a piece begins or ends before
+    character i, after all BPE merges. Units of at most LONGEST characters."""
     spans = edges.withColumn("spans", F.expr(_SPANS))
-    ranked = spans.withColumn("ranked", F.expr("array_sort(transform(filter(spans, x -> x.inner <> 0), x -> struct(x.rank, x.s, x.inner, x.ends)))"))
-    cut = ranked.withColumn("borders", F.expr(_MERGES))
-    ids = F.expr("transform(filter(spans, x -> (borders & x.ends) = x.ends and (borders & x.inner) = 0), x -> x.id)")
-    return cut.withColumn("ids", ids).drop("edges", "spans", "ranked", "borders")
+    single = F.expr("shiftleft(1L, length(unit) + 1) - 1")
+    return spans.withColumn("borders", F.when(F.size("edges") > 0, F.expr(_MERGES)).otherwise(single)).drop("edges", "spans")
 
 
 def viterbi_path(edges: DataFrame) -> DataFrame:
@@ -199,22 +226,26 @@ def _text(x: pa.Scalar) -> str:
 
 def _gather(path: str, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, pack, block, seen = pieces_of(path), zstandard.ZstdCompressor(level=3), 0, set()
+        pieces, pack, block, words, seen = pieces_of(path), zstandard.ZstdCompressor(level=6), 0, set(), set()
 
         def flush() -> pa.RecordBatch:
             dealt = defaultdict(list)
-            for unit in sorted(u for u in seen if pieces.in_lattice(u)):
+            for unit in sorted(seen):
                 raw = unit.encode()
                 dealt[zlib.crc32(raw) % shards].append(raw)
             seen.clear()
+            words.clear()
             blobs = [pack.compress(b"\n".join(v)) for v in dealt.values()]
             return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array([block] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["shard", "block", "units"])
 
         for b in batches:
             for x, own in zip(b["text"], b["block"], strict=True):
                 block = own.as_py()
-                seen.update(pieces.split(_text(x)))
-                if len(seen) > _FLUSH:
+                for w in set(pieces.words(_text(x))):
+                    if w not in words:
+                        words.add(w)
+                        seen.update(u for u in pieces.units(w) if pieces.in_lattice(u))
+                if len(words) > _FLUSH:
                     yield flush()
         yield flush()
 
@@ -222,41 +253,31 @@ def _gather(path: str, shards: int):
 
 
 def _distinct(frame: pd.DataFrame) -> pd.DataFrame:
-    unpack, where = zstandard.ZstdDecompressor(), defaultdict(list)
+    unpack, where = zstandard.ZstdDecompressor(), defaultdict(lambda: array("i"))
     for block, blob in zip(frame["block"], frame["units"], strict=True):
-        for unit in unpack.decompress(blob).decode().split("\n"):
+        for unit in unpack.decompress(blob).decode().split("\n") if blob else []:
             where[unit].append(block)
     units = sorted(where)
     uid = (int(frame["shard"].iloc[0]) << 32) + np.arange(len(units))  # the same again if the task runs again
-    return pd.DataFrame({"uid": uid, "unit": units, "carried": [np.unique(np.array(where[u], "<i4")).tobytes() for u in units]})
+    return pd.DataFrame({"uid": uid, "unit": units, "carried": [where[u].tobytes() for u in units]})
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Encodings of units to one blob per asking block: unit texts, counts, ids."""
-    pack = zstandard.ZstdCompressor(level=3)
-    names: dict[int, list[bytes]] = defaultdict(list)
-    codes: dict[int, list[bytes]] = defaultdict(list)
-    held = 0
+    """Units cut at their borders, one blob for each asking block: pieces end with U+0001, units with a line feed."""
+    pack, asked, held = zstandard.ZstdCompressor(level=6), defaultdict(list), 0
 
     def flush() -> pa.RecordBatch:
-        blobs = []
-        for block in names:
-            counts = np.array([len(c) // 4 for c in codes[block]], "<u2")
-            text = b"\n".join(names[block])
-            blobs.append(pack.compress(struct.pack("<II", len(text), len(counts)) + text + counts.tobytes() + b"".join(codes[block])))
-        out = pa.RecordBatch.from_arrays([pa.array(list(names), pa.int32()), pa.array(blobs, pa.binary())], ["block", "encoded"])
-        names.clear()
-        codes.clear()
+        blobs = [pack.compress("\n".join(sorted(v)).encode()) for v in asked.values()]
+        out = pa.RecordBatch.from_arrays([pa.array(list(asked), pa.int32()), pa.array(blobs, pa.binary())], ["block", "encoded"])
+        asked.clear()
         return out
 
     for b in batches:
-        ids = b["ids"]
-        flat, at = np.asarray(ids.values, "<i4"), np.asarray(ids.offsets)
-        for i, (unit, carried) in enumerate(zip(b["unit"], b["carried"], strict=True)):
-            raw, code = unit.as_buffer().to_pybytes(), flat[at[i] : at[i + 1]].tobytes()
-            for block in np.frombuffer(carried.as_buffer(), "<i4").tolist():
-                names[block].append(raw)
-                codes[block].append(code)
+        for unit, carried, borders in zip(b["unit"].to_pylist(), b["carried"].to_pylist(), b["borders"].to_pylist(), strict=True):
+            cuts = [i for i in range(1, len(unit)) if borders >> i & 1]
+            split = "\x01".join(unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True))
+            for block in set(array("i", carried)):
+                asked[block].append(split)
                 held += 1
         if held > _FLUSH:
             yield flush()
@@ -281,16 +302,12 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _assemble(path: str):
     def run(docs: pd.DataFrame, encoded: pd.DataFrame) -> pd.DataFrame:
-        pieces, unpack, known = pieces_of(path), zstandard.ZstdDecompressor(), {}
+        pieces, unpack = pieces_of(path), zstandard.ZstdDecompressor()
+        cut: dict[str, str] = {}
         for blob in encoded["encoded"]:
-            raw = unpack.decompress(blob)
-            size, n = struct.unpack_from("<II", raw)
-            units = raw[8 : 8 + size].decode().split("\n")
-            ends = np.cumsum(np.frombuffer(raw, "<u2", n, 8 + size), dtype=np.int64) * 4 + 8 + size + 2 * n
-            begin = 8 + size + 2 * n
-            for unit, end in zip(units, ends.tolist(), strict=True):
-                known[unit] = raw[begin:end]
-                begin = end
+            for split in unpack.decompress(blob).decode().split("\n") if blob else []:
+                cut[split.replace("\x01", "")] = split
+        known: dict[str, bytes] = {}
         names, coded, sizes, digests = [], [], [], []
         for ids, lengths, squeezed in zip(docs["ids"], docs["sizes"], docs["squeezed"], strict=True):
             raw, begin = unpack.decompress(squeezed), 0
@@ -298,29 +315,18 @@ def _assemble(path: str):
             for n in lengths:
                 own = raw[begin : begin + n]
                 begin += n
-                units = pieces.split(own.decode("utf-8", "replace"))
-                for u in set(units):
-                    if u not in known:  # single characters and very long units
-                        known[u] = np.array(pieces.encode(u), "<i4").tobytes()
-                coded.append(b"".join(map(known.__getitem__, units)))
+                words = pieces.words(own.decode("utf-8", "replace"))
+                for w in set(words):
+                    if w not in known:
+                        known[w] = np.array([i for u in pieces.units(w) for i in pieces.ids_of(u, cut.get(u))], "<i4").tobytes()
+                coded.append(np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4"))
                 sizes.append(n)
                 digests.append(hashlib.md5(own).hexdigest())
-        return pd.DataFrame({"doc_id": pd.array(names, dtype="Int64"), "packed": coded, "n_bytes": sizes, "text_md5": digests})
+        return pd.DataFrame({"doc_id": pd.array(names, dtype="Int64"), "ids": coded, "n_bytes": sizes, "text_md5": digests})
 
     return run
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """packed ids to arrays, a few thousand rows at a time."""
-    for b in batches:
-        for i in range(0, b.num_rows, 1000):
-            part = b.slice(i, 1000)
-            packed = part["packed"].to_pylist()
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-            yield pa.RecordBatch.from_arrays([part["doc_id"], ids, part["n_bytes"], part["text_md5"]], ["doc_id", "ids", "n_bytes", "text_md5"])
-
-
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text) -> doc_id, ids, n_bytes, text_md5 (of the text that was encoded)."""
     spark, pieces = docs.sparkSession, pieces_of(model_path)
@@ -328,20 +334,21 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     gathered = blocks.select("text", "block").mapInArrow(_gather(model_path, shards), "shard int, block int, units binary")
     units = gathered.groupBy("shard").applyInPandas(_distinct, "uid long, unit string, carried binary")
-    coded = merge_path(lattice(units, piece_table(spark, pieces), pieces.longest))
-    back = coded.select("unit", "carried", "ids").mapInArrow(_pack, "block int, encoded binary")
+    coded = merge_borders(lattice(units, piece_table(spark, pieces), pieces.longest))
+    back = coded.select("unit", "carried", "borders").mapInArrow(_pack, "block int, encoded binary")
     texts = blocks.mapInArrow(_squeeze, "block int, ids array<long>, sizes array<long>, squeezed binary")
-    both = texts.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_assemble(model_path), "doc_id long, packed binary, n_bytes long, text_md5 string")
-    return both.mapInArrow(_unpack, "doc_id long, ids array<int>, n_bytes long, text_md5 string")
+    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_assemble(model_path), "doc_id long, ids array<int>, n_bytes long, text_md5 string")
 
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
-                yield part.append_column("decoded", pa.array([pieces.decode(x or []) for x in part["ids"].to_pylist()], pa.string()))
+            for i in range(0, b.num_rows, 100):
+                part = b.slice(i, 100)
+                ids = part["ids"].fill_null([])
+                ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+                yield part.append_column("decoded", pa.array(pieces.decode(ids.flatten().to_numpy(zero_copy_only=False), ends), pa.string()))
 
     return run
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -37,10 +38,10 @@ def test_empty(spark, docs):
 @given(st.text(st.characters(codec="utf-8"), max_size=60))
 def test_merging_by_heap(text):
     pieces = sp.pieces_of(PATH)
-    ids = [i for u in pieces.split(text) for i in pieces.encode(u)]
+    ids = [i for w in pieces.words(text) for u in pieces.units(w) for i in pieces.encode(u)]
     assert ids == expected(text)
     if "▁" not in text:
-        assert pieces.decode(ids) == text
+        assert pieces.decode(np.array(ids, int), np.array([len(ids)])) == [text]
 
 
 def best_paths(unit, scores):
@@ -58,13 +59,14 @@ def test_viterbi_takes_the_best_path(spark):
     table = spark.createDataFrame([(p, i, i, scores[p]) for i, p in enumerate(names)], "piece string, piece_id int, rank int, score double")
     units = ["".join(rng.choices("abc", k=rng.randrange(1, 11))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(sorted(set(units)))), "uid long, unit string")
-    for r in sp.viterbi_path(sp.lattice(df, table, 4, sp.SCORED_EDGE)).collect():
+    for r in sp.viterbi_path(sp.lattice(df, table, 4, sp.SCORED_EDGE, 1)).collect():
         path = [names[i] for i in r["ids"]]
         assert "".join(path) == r["unit"] and sum(scores[p] for p in path) == pytest.approx(best_paths(r["unit"], scores)[0])
     df = spark.createDataFrame([(0, "abzab")], "uid long, unit string")
-    assert sp.viterbi_path(sp.lattice(df, table, 4, sp.SCORED_EDGE)).first()["ids"] is None
+    assert sp.viterbi_path(sp.lattice(df, table, 4, sp.SCORED_EDGE, 1)).first()["ids"] is None
 
 
 @pytest.mark.parametrize("text", [t for t in TEXTS if t])
 def test_units_rejoin(text):
-    assert "".join(sp.pieces_of(PATH).split(text)) == "▁" + text.replace(" ", "▁")
+    pieces = sp.pieces_of(PATH)
+    assert "".join(u for w in pieces.words(text) for u in pieces.units(w)) == "▁" + text.replace(" ", "▁")
