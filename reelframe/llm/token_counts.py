@@ -112,7 +112,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, over: int = O
     texts = docs.select("doc_id", "text").join(heads.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("head")))
     counted = texts.select("digest", "text").mapInArrow(_encoder(tokenizer_path), "digest binary, n_tokens long")
     counted.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = _stored(spark, cache, tokenizer).join(keyed.select("digest"), F.col("known") == F.col("digest"), "left_semi")
+    counts = _stored(spark, cache, tokenizer).join(keyed.select("digest").distinct(), F.col("known") == F.col("digest"), "left_semi")
     counts = written(counts.groupBy("known").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     joined = keyed.join(counts, F.col("digest") == F.col("known"), "left")
     return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
