@@ -27,5 +27,18 @@ select conv_id, count(*)::bigint as n_turns,
 from marked group by conv_id"""
 
 
+_DIGITS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+#: Base32 of a hex SHA-1: five hex digits give four letters.
+_BASE32 = " || ".join(f"substr({_DIGITS}, ((('0x' || substr(h, {5 * i + 1}, 5))::bigint >> {15 - 5 * j}) & 31)::int + 1, 1)" for i in range(8) for j in range(4))
+
+WARC = f"""
+with p as (select page_id, url, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+heads as (select *, min(page_id) over (partition by html) as head from p)
+select page_id, strlen(html)::bigint as payload_bytes, {_BASE32} as payload_digest,
+  case when head is not null and page_id is distinct from head then 'revisit' else 'response' end as record_type,
+  case when head is not null and page_id is distinct from head then head end as refers_to, url
+from heads"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.sql(), "op7_chat": CHAT}
+    return {"op1_warc": WARC, "op3_url_filter": url_filter.sql(), "op7_chat": CHAT}
