@@ -105,7 +105,7 @@ def rotate(df: DataFrame, group: list[str], order: list, value: str) -> DataFram
 
 def shuffled(df: DataFrame, group: list[str], key: str, seed: int = 0) -> DataFrame:
     """A seeded random order of each group, as `place`."""
-    return df.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)))
+    return df.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(F.md5(F.concat_ws("#", F.lit(seed), F.col(key))), key)))
 
 
 def take_first(array: Column, k: int = 5) -> Column:

@@ -45,9 +45,17 @@ def lsh_candidate_buckets(t: Tables) -> DataFrame:
     return dedup.band_candidates(sets(t).filter(F.size("tokens") > 0), "doc_id", "tokens")
 
 
-@query()
+_NEAR = "len(list_filter(f.kept, lambda x: len(list_intersect(x, n.t)) >= 0.85 * (len(x) + len(n.t) - len(list_intersect(x, n.t))))) = 0"
+
+
+@query(
+    f"""with recursive {_SETS}, n as (select source, doc_id, t, row_number() over (partition by source order by doc_id) as r from sets join documents using (doc_id) where len(t) > 0),
+    f as (select source, doc_id, r, [t] as kept, true as keep from n where r = 1
+      union all select n.source, n.doc_id, n.r, case when {_NEAR} then f.kept || [n.t] else f.kept end, {_NEAR} from f join n on n.source = f.source and n.r = f.r + 1)
+    select source, doc_id from f where keep"""
+)
 def greedy_near_dup(t: Tables) -> DataFrame:
-    """Documents kept per source when read in order; an ordered fold, checked against a plain loop in the tests."""
+    """Documents kept per source when read in order; an ordered fold."""
     return dedup.greedy_texts(sets(t), "source", "doc_id", "tokens")
 
 
@@ -70,7 +78,15 @@ def hamming_hash_pairs(t: Tables) -> DataFrame:
     return dedup.hash_pairs(hashes(t), "vec_id", "h", 8)
 
 
-@query()
+_FAR = "list_min(list_transform(f.kept, lambda x: bit_count(xor(x, n.h)))) >= 24"
+
+
+@query(
+    f"""with recursive {_H}, n as (select grp, vec_id, h, row_number() over (partition by grp order by vec_id) as r from h),
+    f as (select grp, vec_id, r, [h] as kept, true as keep from n where r = 1
+      union all select n.grp, n.vec_id, n.r, case when {_FAR} then f.kept || [n.h] else f.kept end, {_FAR} from f join n on n.grp = f.grp and n.r = f.r + 1)
+    select grp, vec_id from f where keep"""
+)
 def frame_dedup(t: Tables) -> DataFrame:
     """Frames kept when hashes nearer than 24 bits to a kept one go; an ordered fold."""
     return dedup.greedy_hashes(hashes(t), "grp", "vec_id", "h", 24)

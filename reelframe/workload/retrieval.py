@@ -96,7 +96,7 @@ def rotate(t: Tables) -> DataFrame:
     return retrieve.rotate(t.conversations.select("conv_id", "turn"), ["conv_id"], ["turn"], "turn")
 
 
-@query()
+@query("select source, doc_id, row_number() over (partition by source order by md5('7#' || doc_id), doc_id)::int as place from documents")
 def seeded_shuffle(t: Tables) -> DataFrame:
     """A repeatable random order of each source's documents."""
     return retrieve.shuffled(t.documents.select("source", "doc_id"), ["source"], "doc_id", 7)
