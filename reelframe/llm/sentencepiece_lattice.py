@@ -30,6 +30,7 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 LONGEST = 62
+#: Groups that the documents of one input partition are put together in; a task holds one group's words.
+BLOCKS = 2
 _FLUSH = 400_000
 _PACK = 1 << 20
 
@@ -71,6 +74,7 @@ class Pieces:
         if not {c for p in self.ids for c in p} <= self.ids.keys():
             raise ValueError("a character of a longer piece is no piece")
         self.longest = max(map(len, self.ids))
+        self.code = "H" if self.size <= 1 << 16 else "i"  # how ids are packed
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         lengths = np.array([len(x) for x in self.spell], np.int64)
         self.spelled, self.lengths, self.begins = np.frombuffer(b"".join(self.spell), np.uint8), lengths, np.cumsum(lengths) - lengths
@@ -89,8 +93,10 @@ class Pieces:
         return words
 
     def units(self, word: str) -> list[str]:
-        whole = word if SPACE in word else SPACE + word
-        cuts = [i for i in range(1, len(whole)) if whole[i - 1 : i + 1] not in self.pairs]
+        whole, pairs = word if SPACE in word else SPACE + word, self.pairs
+        if pairs.issuperset(map(add, whole, whole[1:])):
+            return [whole]
+        cuts = [i for i, pair in enumerate(map(add, whole, whole[1:]), 1) if pair not in pairs]
         return [whole[i:j] for i, j in zip([0, *cuts], [*cuts, len(whole)], strict=True)]
 
     def fallback(self, char: str) -> list[int]:
@@ -176,7 +182,7 @@ def lattice(units: DataFrame, table: DataFrame, longest: int, edge: str = EDGE,
     spans = starts.select("*", F.explode(F.sequence(F.col("s") + least, F.least(F.col("s") + longest, F.length("unit")))).alias("e"))
     spans = spans.select("uid", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("part"))
     found = spans.join(F.broadcast(table), F.col("part") == F.col("piece")).select("uid", F.expr(edge).alias("edge"))
-    return keyed.join(found.groupBy("uid").agg(F.array_sort(F.collect_list("edge")).alias("edges")), "uid", "left")
+    return keyed.join(found.groupBy("uid").agg(F.sort_array(F.collect_list("edge")).alias("edges")), "uid", "left")
 
 
 _SPANS = """
@@ -226,27 +232,27 @@ def _text(x: pa.Scalar) -> str:
 
 def _gather(path: str, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, pack, block, words, seen = pieces_of(path), zstandard.ZstdCompressor(level=6), 0, set(), set()
+        pieces, pack = pieces_of(path), zstandard.ZstdCompressor(level=6)
+        words: dict[int, set[str]] = defaultdict(set)
 
         def flush() -> pa.RecordBatch:
-            dealt = defaultdict(list)
-            for unit in sorted(seen):
-                raw = unit.encode()
-                dealt[zlib.crc32(raw) % shards].append(raw)
-            seen.clear()
+            shard, block, blobs = [], [], []
+            for own, held in words.items():
+                dealt = defaultdict(list)
+                for unit in sorted({u for w in held for u in pieces.units(w) if pieces.in_lattice(u)}):
+                    raw = unit.encode()
+                    dealt[zlib.crc32(raw) % shards].append(raw)
+                shard += dealt
+                block += [own] * len(dealt)
+                blobs += [pack.compress(b"\n".join(v)) for v in dealt.values()]
             words.clear()
-            blobs = [pack.compress(b"\n".join(v)) for v in dealt.values()]
-            return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array([block] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["shard", "block", "units"])
+            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(block, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "block", "units"])
 
         for b in batches:
-            for x, own in zip(b["text"], b["block"], strict=True):
-                block = own.as_py()
-                for w in set(pieces.words(_text(x))):
-                    if w not in words:
-                        words.add(w)
-                        seen.update(u for u in pieces.units(w) if pieces.in_lattice(u))
-                if len(words) > _FLUSH:
-                    yield flush()
+            for x, own in zip(b["text"], b["block"].to_pylist(), strict=True):
+                words[own].update(pieces.words(_text(x)))
+            if sum(map(len, words.values())) > _FLUSH:
+                yield flush()
         yield flush()
 
     return run
@@ -290,14 +296,18 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack, names = zstandard.ZstdCompressor(level=6), ["block", "ids", "sizes", "squeezed"]
     for b in batches:
         texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b["text"]]
-        begin, held = 0, 0
-        for i, text in enumerate(texts):
-            held += len(text)
-            if held >= _PACK or i == len(texts) - 1:
-                part = texts[begin : i + 1]
-                row = [b["block"][i : i + 1], pa.array([b["doc_id"][begin : i + 1].to_pylist()], pa.list_(pa.int64())), pa.array([[len(t) for t in part]], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(part))], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, names)
-                begin, held = i + 1, 0
+        blocks, docs = b["block"].to_pylist(), b["doc_id"].to_pylist()
+        for own in set(blocks):
+            rows, held = [], 0
+            mine = [i for i, x in enumerate(blocks) if x == own]
+            for i in mine:
+                rows.append(i)
+                held += len(texts[i])
+                if held >= _PACK or i == mine[-1]:
+                    values = [[docs[r] for r in rows]], [[len(texts[r]) for r in rows]], [pack.compress(b"".join(texts[r] for r in rows))]
+                    kinds = pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()
+                    yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), *(pa.array(v, t) for v, t in zip(values, kinds, strict=True))], names)
+                    rows, held = [], 0
 
 
 def _assemble(path: str):
@@ -318,8 +328,8 @@ def _assemble(path: str):
                 words = pieces.words(own.decode("utf-8", "replace"))
                 for w in set(words):
                     if w not in known:
-                        known[w] = np.array([i for u in pieces.units(w) for i in pieces.ids_of(u, cut.get(u))], "<i4").tobytes()
-                coded.append(np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4"))
+                        known[w] = array(pieces.code, [i for u in pieces.units(w) for i in pieces.ids_of(u, cut.get(u))]).tobytes()
+                coded.append(np.frombuffer(b"".join(map(known.__getitem__, words)), pieces.code))
                 sizes.append(n)
                 digests.append(hashlib.md5(own).hexdigest())
         return pd.DataFrame({"doc_id": pd.array(names, dtype="Int64"), "ids": coded, "n_bytes": sizes, "text_md5": digests})
@@ -330,7 +340,8 @@ def _assemble(path: str):
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text) -> doc_id, ids, n_bytes, text_md5 (of the text that was encoded)."""
     spark, pieces = docs.sparkSession, pieces_of(model_path)
-    blocks = docs.select("doc_id", "text").withColumn("block", F.spark_partition_id())
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).cast("int")
+    blocks = docs.select("doc_id", "text", (F.spark_partition_id() * BLOCKS + part).alias("block"))
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     gathered = blocks.select("text", "block").mapInArrow(_gather(model_path, shards), "shard int, block int, units binary")
     units = gathered.groupBy("shard").applyInPandas(_distinct, "uid long, unit string, carried binary")
