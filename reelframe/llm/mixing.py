@@ -13,8 +13,8 @@ step that leaves the bracket is halved instead. The driver holds a few numbers p
 copies: within a source, sizes are walked from large to small and the rounding error in words is
 carried on, so the words taken differ from the target by less than the smallest size that has a choice.
 A size's copies are dealt as evenly as possible; who gets one more is decided by rank of the XXH64 of
-the row. Ranks are counted in buckets of about 4,096 rows of one source and size, so that no group, not
-even one of a third of all rows, is sorted in one task. Reruns give the same copies.
+the row. Ranks are counted in buckets of about 256 rows of one source and size, or the square root of
+their number, so that no group, not even one of a third of all rows, is sorted in one task. Reruns give the same copies.
 
 Defined cases: null texts have size 0, get the copies 1 and take 0 words; a null source is a source
 of its own, last in order; sources without words have target 0; repeated rows count each (which of two
@@ -34,7 +34,7 @@ from .common import text_of, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 AMOUNT, MOST = 1.5, 2.0
-BUCKET = 4096
+BUCKET = 256
 #: The dual has one coordinate per source, which the driver holds.
 MAX_SOURCES = 200_000
 STEPS, NEAR = 60, 1e-9
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, amount: float = A
     rated = cells.filter("size > 0").join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
     rated = rated.select("source", "size", "n", _rate(F.col("dual"), F.col("size"), F.col("scale"), most).alias("rate"), F.lit(most).alias("most"))
     counted = rated.groupBy("source").applyInPandas(_rounded, "source string, size long, n long, copies long")
-    counted = written(counted.select(F.col("source").alias("cs"), F.col("size").alias("cz"), (F.col("copies") % F.col("n")).alias("extra"), F.expr("copies div n").alias("base"), F.ceil(F.col("n") / BUCKET).alias("buckets")), "mix-copies")
+    counted = written(counted.select(F.col("source").alias("cs"), F.col("size").alias("cz"), (F.col("copies") % F.col("n")).alias("extra"), F.expr("copies div n").alias("base"), F.ceil(F.col("n") / F.greatest(F.lit(float(BUCKET)), F.sqrt("n"))).alias("buckets")), "mix-copies")
     joined = rows.join(counted, F.col("source").eqNullSafe(F.col("cs")) & (F.col("size") == F.col("cz")), "left")
     joined = written(joined.select("doc_id", "source", "size", "tie", F.coalesce("base", F.lit(1)).alias("base"), F.coalesce("extra", F.lit(0)).alias("extra"), F.when(F.col("extra") > 0, F.shiftrightunsigned("tie", 1) % F.col("buckets")).alias("bucket")), "mix-rows")
     plain, choice = joined.filter("extra = 0"), joined.filter("extra > 0")
