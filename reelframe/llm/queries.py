@@ -38,10 +38,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(PIECE_MODEL)
-    decoded = sentencepiece_lattice.decode(sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), path), path)
-    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    return decoded.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_sha256"), (F.md5("decoded") == F.col("text_md5")).alias("round_trip"))
+    encoded = sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), decoded=True)
+    spelled = F.md5("decoded") == F.col("text_md5")
+    return encoded.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), spelled.alias("round_trip"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

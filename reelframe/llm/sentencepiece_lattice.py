@@ -30,7 +30,6 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import add
 
 import numpy as np
 import pandas as pd
@@ -75,28 +74,23 @@ class Pieces:
             raise ValueError("a character of a longer piece is no piece")
         self.longest = max(map(len, self.ids))
         self.code = "H" if self.size <= 1 << 16 else "i"  # how ids are packed
-        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        chars = {c: i for i, c in enumerate(sorted({c for p in pairs for c in p}), 1)}
+        self.index = np.zeros(0x110000, np.uint16)  # 0: in no piece of several characters
+        self.index[[ord(c) for c in chars]] = list(chars.values())
+        self.beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for p in pairs:
+            self.beside[chars[p[0]], chars[p[1]]] = True
         lengths = np.array([len(x) for x in self.spell], np.int64)
         self.spelled, self.lengths, self.begins = np.frombuffer(b"".join(self.spell), np.uint8), lengths, np.cumsum(lengths) - lengths
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """The text's words; a word stands for itself with U+2581 before it, or holds U+2581 and stands for itself."""
+    def units(self, text: str) -> list[str]:
+        """The normalised text, cut wherever the two characters stand side by side in no piece."""
         if not text:
             return []
-        if SPACE in text:
-            text = text.replace(SPACE, " ")
-        words = text.split(" ")
-        if "" in words:
-            runs = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))
-            words = [r[1:] if len(r) > 1 and r[1] != SPACE else r for r in runs]
-        return words
-
-    def units(self, word: str) -> list[str]:
-        whole, pairs = word if SPACE in word else SPACE + word, self.pairs
-        if pairs.issuperset(map(add, whole, whole[1:])):
-            return [whole]
-        cuts = [i for i, pair in enumerate(map(add, whole, whole[1:]), 1) if pair not in pairs]
+        whole = SPACE + text.replace(" ", SPACE)
+        at = self.index[np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32)]
+        cuts = (np.flatnonzero(~self.beside[at[:-1], at[1:]]) + 1).tolist()
         return [whole[i:j] for i, j in zip([0, *cuts], [*cuts, len(whole)], strict=True)]
 
     def fallback(self, char: str) -> list[int]:
@@ -136,12 +130,6 @@ class Pieces:
             i = ends[i]
         return out
 
-    def ids_of(self, unit: str, split: str | None) -> list[int]:
-        """From a unit cut into pieces by U+0001; by the merges where it wasn't in the lattice."""
-        if split is None:
-            return self.encode(unit)
-        return [i for p in split.split("\x01") for i in ([self.ids[p]] if p in self.ids else self.fallback(p))]
-
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """The texts of several id arrays that lie end to end."""
         n = self.lengths[ids]
@@ -233,25 +221,25 @@ def _text(x: pa.Scalar) -> str:
 def _gather(path: str, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, pack = pieces_of(path), zstandard.ZstdCompressor(level=6)
-        words: dict[int, set[str]] = defaultdict(set)
+        seen: dict[int, set[str]] = defaultdict(set)
 
         def flush() -> pa.RecordBatch:
             shard, block, blobs = [], [], []
-            for own, held in words.items():
+            for own, held in seen.items():
                 dealt = defaultdict(list)
-                for unit in sorted({u for w in held for u in pieces.units(w) if pieces.in_lattice(u)}):
+                for unit in sorted(filter(pieces.in_lattice, held)):
                     raw = unit.encode()
                     dealt[zlib.crc32(raw) % shards].append(raw)
                 shard += dealt
                 block += [own] * len(dealt)
                 blobs += [pack.compress(b"\n".join(v)) for v in dealt.values()]
-            words.clear()
+            seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(block, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "block", "units"])
 
         for b in batches:
             for x, own in zip(b["text"], b["block"].to_pylist(), strict=True):
-                words[own].update(pieces.words(_text(x)))
-            if sum(map(len, words.values())) > _FLUSH:
+                seen[own].update(pieces.units(_text(x)))
+            if sum(map(len, seen.values())) > _FLUSH:
                 yield flush()
         yield flush()
 
@@ -310,35 +298,50 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows, held = [], 0
 
 
-def _assemble(path: str):
+class Encoded(dict):
+    """Units to packed ids: from units cut into pieces, else (single characters, very long units) by the merges."""
+
+    def __init__(self, pieces: Pieces, splits: Iterator[str]):
+        super().__init__()
+        self.pieces = pieces
+        for split in splits:
+            parts = split.split("\x01")
+            ids = [i for p in parts for i in ([pieces.ids[p]] if p in pieces.ids else pieces.fallback(p))]
+            self["".join(parts)] = array(pieces.code, ids).tobytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self[unit] = array(self.pieces.code, self.pieces.encode(unit)).tobytes()
+        return found
+
+
+def _assemble(path: str, decoded: bool):
     def run(docs: pd.DataFrame, encoded: pd.DataFrame) -> pd.DataFrame:
         pieces, unpack = pieces_of(path), zstandard.ZstdDecompressor()
-        cut: dict[str, str] = {}
-        for blob in encoded["encoded"]:
-            for split in unpack.decompress(blob).decode().split("\n") if blob else []:
-                cut[split.replace("\x01", "")] = split
-        known: dict[str, bytes] = {}
-        names, coded, sizes, digests = [], [], [], []
+        known = Encoded(pieces, (x for blob in encoded["encoded"] if blob for x in unpack.decompress(blob).decode().split("\n")))
+        names, coded, sizes, digests, texts = [], [], [], [], []
         for ids, lengths, squeezed in zip(docs["ids"], docs["sizes"], docs["squeezed"], strict=True):
             raw, begin = unpack.decompress(squeezed), 0
             names += list(ids)
             for n in lengths:
                 own = raw[begin : begin + n]
                 begin += n
-                words = pieces.words(own.decode("utf-8", "replace"))
-                for w in set(words):
-                    if w not in known:
-                        known[w] = array(pieces.code, [i for u in pieces.units(w) for i in pieces.ids_of(u, cut.get(u))]).tobytes()
-                coded.append(np.frombuffer(b"".join(map(known.__getitem__, words)), pieces.code))
+                found = np.frombuffer(b"".join(map(known.__getitem__, pieces.units(own.decode("utf-8", "replace")))), pieces.code)
+                coded.append(found)
                 sizes.append(n)
                 digests.append(hashlib.md5(own).hexdigest())
-        return pd.DataFrame({"doc_id": pd.array(names, dtype="Int64"), "ids": coded, "n_bytes": sizes, "text_md5": digests})
+                if decoded:
+                    texts += pieces.decode(found, np.array([len(found)]))
+        out = pd.DataFrame({"doc_id": pd.array(names, dtype="Int64"), "ids": coded, "n_bytes": sizes, "text_md5": digests})
+        return out.assign(decoded=texts) if decoded else out
 
     return run
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, text) -> doc_id, ids, n_bytes, text_md5 (of the text that was encoded)."""
+def encode(docs: DataFrame, model_path: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, text) -> doc_id, ids, n_bytes, text_md5 (of the text that was encoded).
+
+    decoded: with a column of that name, the text that the ids spell, made where they are put together.
+    """
     spark, pieces = docs.sparkSession, pieces_of(model_path)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).cast("int")
     blocks = docs.select("doc_id", "text", (F.spark_partition_id() * BLOCKS + part).alias("block"))
@@ -348,7 +351,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     coded = merge_borders(lattice(units, piece_table(spark, pieces), pieces.longest))
     back = coded.select("unit", "carried", "borders").mapInArrow(_pack, "block int, encoded binary")
     texts = blocks.mapInArrow(_squeeze, "block int, ids array<long>, sizes array<long>, squeezed binary")
-    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_assemble(model_path), "doc_id long, ids array<int>, n_bytes long, text_md5 string")
+    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_assemble(model_path, decoded), "doc_id long, ids array<int>, n_bytes long, text_md5 string" + ", decoded string" * decoded)
 
 
 def _decode(path: str):

@@ -23,7 +23,9 @@ def test_ids_are_the_library_s(spark, docs):
     letters = "abcdeinorst .,-ABé\nß0"
     rows = [(i, t) for i, t in enumerate(TEXTS + ["".join(rng.choices(letters, k=rng.randrange(400))) for _ in range(80)])]
     rows += [(None, "null id"), (3, TEXTS[3])]
-    got = sp.decode(sp.encode(docs(rows, extra=["block", "unit"]).repartition(3), PATH), PATH).collect()
+    df = docs(rows, extra=["block", "unit"]).repartition(3)
+    got = sp.decode(sp.encode(df, PATH), PATH).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, sp.encode(df, PATH, decoded=True).collect()))
     key = lambda x: (str(x[0]), x[1])
     assert sorted(((r["doc_id"], r["ids"]) for r in got), key=key) == sorted(((i, expected(t)) for i, t in rows), key=key)
     for r in got:
@@ -38,7 +40,7 @@ def test_empty(spark, docs):
 @given(st.text(st.characters(codec="utf-8"), max_size=60))
 def test_merging_by_heap(text):
     pieces = sp.pieces_of(PATH)
-    ids = [i for w in pieces.words(text) for u in pieces.units(w) for i in pieces.encode(u)]
+    ids = [i for u in pieces.units(text) for i in pieces.encode(u)]
     assert ids == expected(text)
     if "▁" not in text:
         assert pieces.decode(np.array(ids, int), np.array([len(ids)])) == [text]
@@ -68,5 +70,4 @@ def test_viterbi_takes_the_best_path(spark):
 
 @pytest.mark.parametrize("text", [t for t in TEXTS if t])
 def test_units_rejoin(text):
-    pieces = sp.pieces_of(PATH)
-    assert "".join(u for w in pieces.words(text) for u in pieces.units(w)) == "▁" + text.replace(" ", "▁")
+    assert "".join(sp.pieces_of(PATH).units(text)) == "▁" + text.replace(" ", "▁")
