@@ -16,14 +16,17 @@ SIMILAR, OVERLAP, EMBEDDED, SHORT = 0.5, 0.6, 0.8, 0.2
 FUZZY = 0.75
 
 
-def keypoint_columns(keypoint: Column, answer: Column, similarity: Column | None = None, months: str = "prefix") -> dict[str, Column]:
-    """matched, jaccard, overlap, need, reason of a keypoint against an answer.
+def keypoint_tokens(text: Column, months: str = "prefix") -> Column:
+    return words(normalize_keypoint(text, months))
+
+
+def keypoint_columns(kp: Column, ans: Column, similarity: Column | None = None) -> dict[str, Column]:
+    """matched, jaccard, overlap, need, reason of a keypoint's tokens against an answer's (see keypoint_tokens).
 
     Matched: token sets with Jaccard of at least 0.5, or as many shared tokens as 0.6 of the shorter token list
     (rounded up; 1 if a list is empty), or an embedding similarity of at least 0.8 where one is given. A keypoint
-    without tokens never matches.
+    without tokens never matches. Give columns, not expressions: each side is normalised once, before the join.
     """
-    kp, ans = words(normalize_keypoint(keypoint, months)), words(normalize_keypoint(answer, months))
     n, m = F.size(kp), F.size(ans)
     shared = F.size(F.array_intersect(kp, ans))
     both = F.size(F.array_union(kp, ans))

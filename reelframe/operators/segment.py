@@ -88,8 +88,9 @@ def token_windows(df: DataFrame, text: str, size: int, overlap: int) -> DataFram
     """
     tokens = words(F.coalesce(F.col(text), F.lit("")))
     step = size - overlap
-    split = df.withColumn("_tokens", tokens).filter(F.size("_tokens") > 0)
-    each = split.withColumn("_start", F.explode(F.sequence(F.lit(0), F.size("_tokens") - 1, F.lit(step))))
+    # the outer form: a filter for empty texts would split every text a second time, below the projection
+    starts = F.when(F.size("_tokens") > 0, F.sequence(F.lit(0), F.size("_tokens") - 1, F.lit(step)))
+    each = df.withColumn("_tokens", tokens).withColumn("_start", F.explode_outer(starts)).filter("_start is not null")
     part = F.slice("_tokens", F.col("_start") + 1, F.lit(size))
     out = each.withColumn("chunk_order_index", (F.col("_start") / step).cast("int")).withColumn("tokens", F.size(part)).withColumn("content", F.array_join(part, " "))
     return out.drop("_tokens", "_start")

@@ -168,9 +168,8 @@ def hybrid_retrieve(t: Tables) -> DataFrame:
     hits = vector.top_k(table(t), asked(t), 20, 0.2)
     found = hits.join(windows(t), F.col("id") == F.col("doc_id"))
     kept = retrieve.within_budget(found, ["query_id"], ["rank", "chunk_order_index"], "tokens", 12_000)
-    context = retrieve.assemble(kept, ["query_id"], ["rank", "chunk_order_index"], "content", retrieve.SECTION)
-    sums = kept.groupBy("query_id").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
-    return sums.join(context, "query_id").select("query_id", "chunks", "tokens", F.md5("context").alias("digest"))
+    context = retrieve.assemble(kept, ["query_id"], ["rank", "chunk_order_index"], "content", retrieve.SECTION, chunks=F.count("*"), tokens=F.sum("tokens"))
+    return context.select("query_id", "chunks", "tokens", F.md5("context").alias("digest"))
 
 
 @query("select conv_id, turn, count(*) over (partition by conv_id order by turn rows unbounded preceding)::int as seen from conversations")

@@ -16,10 +16,9 @@ MATCH = f"""kp as (select item_id, {sql_words('x')} as k from (select item_id, {
 
 def matches(t: Tables) -> DataFrame:
     """Every document as an answer to the keypoint whose number is its own modulo 40."""
-    kp = t.benchmark.select("item_id", F.col("text").alias("keypoint"))
-    d = t.documents.select("doc_id", "lang", F.col("text").alias("answer"), (F.col("doc_id") % 40).alias("item_id"))
-    joined = d.join(kp, "item_id")
-    return joined.select("doc_id", "item_id", "lang", *(c.alias(n) for n, c in evaluate.keypoint_columns(F.col("keypoint"), F.col("answer")).items()))
+    kp = t.benchmark.select("item_id", evaluate.keypoint_tokens(F.col("text")).alias("kp"))
+    d = t.documents.select("doc_id", "lang", evaluate.keypoint_tokens(F.col("text")).alias("ans"), (F.col("doc_id") % 40).alias("item_id"))
+    return d.join(kp, "item_id").select("doc_id", "item_id", "lang", *(c.alias(n) for n, c in evaluate.keypoint_columns(F.col("kp"), F.col("ans")).items()))
 
 
 @query(

@@ -226,10 +226,11 @@ def test_scores(spark):
     none = F.lit(None).cast("int")
     assert [at(spark, evaluate.likert(none, [F.lit(a), F.lit(b)])) for a, b in ((2, 3), (3, 4))] == [2, 4]
     assert at(spark, evaluate.likert(F.lit(1), [F.lit(5)])) == 1
-    k = evaluate.keypoint_columns(F.lit("one two three four five"), F.lit("one two three " + "x " * 30))
+    tokens = lambda x: evaluate.keypoint_tokens(F.lit(x))
+    k = evaluate.keypoint_columns(tokens("one two three four five"), tokens("one two three " + "x " * 30))
     assert at(spark, k["matched"]) is True and at(spark, k["need"]) == 3
-    assert at(spark, evaluate.keypoint_columns(F.lit("!!"), F.lit("a"))["reason"]) == "empty_after_normalize"
-    assert at(spark, evaluate.keypoint_columns(F.lit("a b"), F.lit("c d"), F.lit(0.9))["matched"]) is True
+    assert at(spark, evaluate.keypoint_columns(tokens("!!"), tokens("a"))["reason"]) == "empty_after_normalize"
+    assert at(spark, evaluate.keypoint_columns(tokens("a b"), tokens("c d"), F.lit(0.9))["matched"]) is True
     assert at(spark, evaluate.visual_gaps(F.array(F.lit("1. The red car!"), F.lit("abc")), F.lit("A red bus"))) == ["Missing visual detail: the red car"]
 
 
