@@ -76,11 +76,12 @@ class Pieces:
         self.code = "H" if self.size <= 1 << 16 else "i"  # how ids are packed
         pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         chars = {c: i for i, c in enumerate(sorted({c for p in pairs for c in p}), 1)}
-        self.index = np.zeros(0x110000, np.uint16)  # 0: in no piece of several characters
+        self.index = np.zeros(0x110000, np.int32)  # 0: in no piece of several characters
         self.index[[ord(c) for c in chars]] = list(chars.values())
-        self.beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
-        for p in pairs:
-            self.beside[chars[p[0]], chars[p[1]]] = True
+        self.kinds = len(chars) + 1
+        self.apart = np.ones(self.kinds**2, bool)
+        self.apart[[chars[p[0]] * self.kinds + chars[p[1]] for p in pairs]] = False
+        self.packed = {p: array(self.code, [i]).tobytes() for p, i in self.ids.items()}
         lengths = np.array([len(x) for x in self.spell], np.int64)
         self.spelled, self.lengths, self.begins = np.frombuffer(b"".join(self.spell), np.uint8), lengths, np.cumsum(lengths) - lengths
 
@@ -89,8 +90,8 @@ class Pieces:
         if not text:
             return []
         whole = SPACE + text.replace(" ", SPACE)
-        at = self.index[np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32)]
-        cuts = (np.flatnonzero(~self.beside[at[:-1], at[1:]]) + 1).tolist()
+        at = self.index.take(np.frombuffer(whole.encode("utf-32-le", "replace"), np.int32))
+        cuts = (np.flatnonzero(self.apart.take(at[:-1] * self.kinds + at[1:])) + 1).tolist()
         return [whole[i:j] for i, j in zip([0, *cuts], [*cuts, len(whole)], strict=True)]
 
     def fallback(self, char: str) -> list[int]:
@@ -220,7 +221,7 @@ def _text(x: pa.Scalar) -> str:
 
 def _gather(path: str, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, pack = pieces_of(path), zstandard.ZstdCompressor(level=6)
+        pieces, pack = pieces_of(path), zstandard.ZstdCompressor(level=3)
         seen: dict[int, set[str]] = defaultdict(set)
 
         def flush() -> pa.RecordBatch:
@@ -258,7 +259,7 @@ def _distinct(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Units cut at their borders, one blob for each asking block: pieces end with U+0001, units with a line feed."""
-    pack, asked, held = zstandard.ZstdCompressor(level=6), defaultdict(list), 0
+    pack, asked, held = zstandard.ZstdCompressor(level=3), defaultdict(list), 0
 
     def flush() -> pa.RecordBatch:
         blobs = [pack.compress("\n".join(sorted(v)).encode()) for v in asked.values()]
@@ -281,7 +282,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents in packs of about _PACK bytes: ids, sizes, and the texts compressed together."""
-    pack, names = zstandard.ZstdCompressor(level=6), ["block", "ids", "sizes", "squeezed"]
+    pack, names = zstandard.ZstdCompressor(level=3), ["block", "ids", "sizes", "squeezed"]
     for b in batches:
         texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b["text"]]
         blocks, docs = b["block"].to_pylist(), b["doc_id"].to_pylist()
@@ -304,10 +305,9 @@ class Encoded(dict):
     def __init__(self, pieces: Pieces, splits: Iterator[str]):
         super().__init__()
         self.pieces = pieces
+        packed = pieces.packed.__getitem__
         for split in splits:
-            parts = split.split("\x01")
-            ids = [i for p in parts for i in ([pieces.ids[p]] if p in pieces.ids else pieces.fallback(p))]
-            self["".join(parts)] = array(pieces.code, ids).tobytes()
+            self[split.replace("\x01", "")] = b"".join(map(packed, split.split("\x01")))
 
     def __missing__(self, unit: str) -> bytes:
         found = self[unit] = array(self.pieces.code, self.pieces.encode(unit)).tobytes()
@@ -326,7 +326,7 @@ def _assemble(path: str, decoded: bool):
                 own = raw[begin : begin + n]
                 begin += n
                 found = np.frombuffer(b"".join(map(known.__getitem__, pieces.units(own.decode("utf-8", "replace")))), pieces.code)
-                coded.append(found)
+                coded.append(found.astype("<i4"))
                 sizes.append(n)
                 digests.append(hashlib.md5(own).hexdigest())
                 if decoded:
