@@ -96,7 +96,8 @@ def duals(cells: DataFrame, goal: dict[str | None, float], most: float = MOST) -
                 step = (low + high) / 2 if math.isfinite(v["low"]) and math.isfinite(v["high"]) else (low if gap > 0 else high)
             v["x"] = step
     done |= {s: v["x"] for s, v in state.items()}
-    return {s: (x, scale[s]) for s, x in done.items()}
+    # sums of doubles differ in their last digits from run to run; the rounded duals don't
+    return {s: (round(x, 10) if math.isfinite(x) else x, scale[s]) for s, x in done.items()}
 
 
 def _rounded(frame: pd.DataFrame) -> pd.DataFrame:

@@ -191,9 +191,10 @@ def wide_links(nodes: DataFrame) -> DataFrame:
     pairs = few.select("key", F.col("node").alias("a")).join(few.select(F.col("key").alias("k"), F.col("node").alias("b")), (F.col("key") == F.col("k")) & (F.col("a") < F.col("b"))).select("a", "b")
     own = nodes.select(F.col("node").alias("own"), *WIDE)
     many = met.filter(F.col("n") > BUCKET).join(own, F.col("node") == F.col("own"))
-    sorted_ = many.select("key", "node", F.posexplode(F.array(*WIDE)).alias("lane", "w"))
-    near = sorted_.select(F.col("node").alias("a"), F.lead("node").over(W.partitionBy("key", "lane", F.shiftright("w", 60)).orderBy("w", "node")).alias("b"))
-    least = many.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("b"))
+    # ordered by fingerprints, never by node numbers, so that reruns meet the same neighbours
+    sorted_ = many.select("key", "node", *WIDE, F.posexplode(F.array(*WIDE)).alias("lane", "w"))
+    near = sorted_.select(F.col("node").alias("a"), F.lead("node").over(W.partitionBy("key", "lane", F.shiftright("w", 60)).orderBy("w", *WIDE)).alias("b"))
+    least = many.groupBy(F.col("key").alias("k")).agg(F.min_by("node", F.struct(*WIDE)).alias("b"))
     stars = many.select("key", F.col("node").alias("a")).join(least, F.col("key") == F.col("k")).select("a", "b")
     found = pairs.union(near.filter("b is not null")).union(stars).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = nodes.select(F.col("node").alias("ln"), *(F.col(w).alias(f"l{w}") for w in WIDE)), nodes.select(F.col("node").alias("rn"), *(F.col(w).alias(f"r{w}") for w in WIDE))
