@@ -121,6 +121,8 @@ _LANES = tuple(np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 #: Two texts whose sets of shingles have similarity 0.8 differ in 15 % of the bits on average.
 WIDE_WORDS, WIDE_DISTANCE, WIDE_EQUAL = 5, 46, 0.848
 BUCKET = 64
+#: Links that one task thins out to a forest.
+LINKS = 250_000
 
 
 def wide_fingerprint(text: bytes, width: int = WIDE_WORDS) -> np.ndarray:
@@ -172,6 +174,25 @@ def _blocks_of(bits: int, keys: int):
     return run
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task that join two of its groups so far: as connected as all of them, at most one a node."""
+    above: dict[int, int] = {}
+
+    def top(n: int) -> int:
+        while (up := above.setdefault(n, n)) != n:
+            above[n] = n = above[up]
+        return n
+
+    for b in batches:
+        kept = []
+        for i, (x, y) in enumerate(zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)):
+            x, y = top(x), top(y)
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                kept.append(i)
+        yield b.take(pa.array(kept, pa.int64()))
+
+
 def wide_links(nodes: DataFrame) -> DataFrame:
     """(node, w0..w3), fingerprints distinct -> a, b: pairs of nodes within WIDE_DISTANCE bits.
 
@@ -200,7 +221,8 @@ def wide_links(nodes: DataFrame) -> DataFrame:
     left, right = nodes.select(F.col("node").alias("ln"), *(F.col(w).alias(f"l{w}") for w in WIDE)), nodes.select(F.col("node").alias("rn"), *(F.col(w).alias(f"r{w}") for w in WIDE))
     both = found.join(left, F.col("a") == F.col("ln")).join(right, F.col("b") == F.col("rn"))
     differ = sum((F.bit_count(F.col(f"l{w}").bitwiseXOR(F.col(f"r{w}"))) for w in WIDE), F.lit(0))
-    return both.filter(differ <= WIDE_DISTANCE).select("a", "b")
+    close = written(both.filter(differ <= WIDE_DISTANCE).select("a", "b"), "simhash-links")
+    return close.repartition(math.ceil((close.count() + 1) / LINKS)).mapInArrow(_forest, "a long, b long")
 
 
 def wide_classes(prints: DataFrame) -> DataFrame:

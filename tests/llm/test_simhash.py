@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -149,3 +150,13 @@ def test_distance_follows_similarity():
     c = simhash.wide_fingerprint(" ".join(reversed(words)).encode())
     differ = lambda x, y: int(np.unpackbits((x ^ y).view(np.uint8)).sum())
     assert differ(a, b) <= simhash.WIDE_DISTANCE < 90 < differ(a, c)
+
+
+def test_forest_keeps_all_connections():
+    rng = random.Random(11)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(300)]
+    batches = [pa.RecordBatch.from_pydict({"a": [a for a, _ in part], "b": [b for _, b in part]}) for part in (pairs[:100], pairs[100:])]
+    kept = [(a, b) for x in simhash._forest(iter(batches)) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True)]
+    nodes = sorted({n for p in pairs for n in p})
+    linked = lambda links: slow_components(nodes, lambda a, b: (a, b) in links or (b, a) in links)
+    assert linked(set(kept)) == linked(set(pairs)) and len(kept) < len(nodes)
