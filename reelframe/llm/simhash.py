@@ -200,7 +200,8 @@ def wide_links(nodes: DataFrame) -> DataFrame:
     drawn from the 256: about log2(rows) + 3 bits, so that unrelated rows seldom meet, and as many blocks as
     let a pair of similarity 0.8 meet with 95 %. In blocks of over BUCKET rows a row isn't paired with all
     but with its neighbours by each of the four longs and with the smallest; as such a group meets in many
-    blocks, each with other neighbours, it stays connected. All pairs are verified.
+    blocks, each with other neighbours, it stays connected. All pairs are verified; those that connect nothing
+    new within a task of LINKS links are left out, so that the components see a few links per node.
     """
     rows = max(1, nodes.count())
     bits = min(40, max(12, math.ceil(math.log2(rows)) + 3))
