@@ -38,6 +38,14 @@ def minhash(tokens: Column, n: int = PERMUTATIONS) -> Column:
     return F.when(F.size(tokens) > 0, F.array(*parts))
 
 
+def signatures(df: DataFrame, key: str, tokens: str, n: int = PERMUTATIONS) -> DataFrame:
+    """key, signature of every row with tokens (keys unique): n compiled minima over the exploded tokens, combined
+    before the shuffle; for one row's expression see minhash."""
+    numbers = df.select(F.col(key).alias("key"), F.explode(tokens).alias("t")).select("key", token_number(F.col("t")).alias("x"))
+    least = [F.min((F.col("x") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(coefficients(n))]
+    return numbers.groupBy("key").agg(*least).select(F.col("key").alias(key), F.array(*(f"m{i}" for i in range(n))).alias("signature"))
+
+
 def bands(signature: Column, band: int = BAND, n: int = PERMUTATIONS) -> Column:
     return F.array(*(F.md5(F.concat_ws(",", F.lit(str(i // band)), F.slice(signature, i + 1, band).cast("array<string>"))) for i in range(0, n, band)))
 
@@ -64,7 +72,7 @@ def similar_pairs(df: DataFrame, key: str, tokens: str, at_least: float = TEXT_S
 
 def band_candidates(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """key, bucket, bucket_size: the band buckets that two rows or more share."""
-    each = df.select(F.col(key).alias("key"), F.explode(bands(minhash(F.col(tokens)))).alias("bucket"))
+    each = signatures(df, key, tokens).select(F.col(key).alias("key"), F.explode(bands(F.col("signature"))).alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count_distinct("key").alias("bucket_size")).filter("bucket_size > 1")
     return each.join(sizes, "bucket").select("key", "bucket", "bucket_size")
 

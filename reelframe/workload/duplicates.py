@@ -36,8 +36,8 @@ _SIGNED = f"{_SETS}, numbers as (select doc_id, list_transform(t, lambda w: ('0x
 
 @query(f"with {_SIGNED} select doc_id, md5(array_to_string(s, ',')) as signature from signed")
 def minhash_signature(t: Tables) -> DataFrame:
-    out = sets(t).select("doc_id", dedup.minhash(F.col("tokens")).alias("s")).filter("s is not null")
-    return out.select("doc_id", F.md5(F.array_join(F.col("s").cast("array<string>"), ",")).alias("signature"))
+    out = dedup.signatures(sets(t), "doc_id", "tokens")
+    return out.select("doc_id", F.md5(F.array_join(F.col("signature").cast("array<string>"), ",")).alias("signature"))
 
 
 @query(f"with {_SIGNED}, b as (select doc_id as key, unnest([{_BANDS}]) as bucket from signed) select key, bucket, count(*) over (partition by bucket)::bigint as bucket_size from b qualify count(*) over (partition by bucket) > 1")

@@ -195,6 +195,12 @@ def test_near_duplicates(spark):
     assert rows(dedup.greedy_texts(df, "g", "k", "t")) == sorted(kept, key=repr)
 
 
+def test_signatures(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"]), (3, [])], "k long, t array<string>")
+    one = rows(df.select("k", dedup.minhash(F.col("t")).alias("s")).filter("s is not null"))
+    assert rows(dedup.signatures(df, "k", "t")) == one and len(one) == 2
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(1, 0, 0), (1, 1, 3), (1, 2, 1023), (1, 3, 0), (2, 0, 7)], "s int, o long, h long")
     kept = dedup.greedy_hashes(df, "s", "o", "h", 5)
