@@ -125,13 +125,20 @@ BUCKET = 64
 LINKS = 250_000
 
 
-def wide_fingerprint(text: bytes, width: int = WIDE_WORDS) -> np.ndarray:
-    """256 bits as four unsigned longs, over the set of shingles."""
+def shingle_set(text: bytes, width: int = WIDE_WORDS) -> np.ndarray:
+    """The XXH64 hashes of the shingles, each once, in order."""
     words = text.lower().split()
     if not words:
-        return np.zeros(4, np.uint64)
+        return np.zeros(0, np.uint64)
     shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
+
+
+def wide_fingerprint(text: bytes, width: int = WIDE_WORDS) -> np.ndarray:
+    """256 bits as four unsigned longs, over the set of shingles."""
+    hashes = shingle_set(text, width)
+    if not len(hashes):
+        return np.zeros(4, np.uint64)
     out = []
     for lane in _LANES:
         counts = np.zeros(64, np.int64)
@@ -193,15 +200,43 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.take(pa.array(kept, pa.int64()))
 
 
-def wide_links(nodes: DataFrame) -> DataFrame:
-    """(node, w0..w3), fingerprints distinct -> a, b: pairs of nodes within WIDE_DISTANCE bits.
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b["text"]]
+            prints = np.array([wide_fingerprint(t, width) for t in texts], np.uint64).reshape(-1, 4).view(np.int64)
+            sets = pa.array([shingle_set(t, width).view(np.int64) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(prints[:, i]) for i in range(4)), sets], [*WIDE, "shingles"])
+
+    return run
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a similarity of 0.8 or more, exactly.
+
+    Only texts that are in a pair are read again, by the least id of their node.
+    """
+    used = pairs.select(F.col("a").alias("used")).union(pairs.select("b")).distinct()
+    ends = written(nodes.join(used, F.col("node") == F.col("used"), "left_semi").select("node", "least_id", *(F.col(w).alias(f"n{w}") for w in WIDE)), "simhash-ends")
+    texts = docs.select("doc_id", "text").join(ends.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
+    read = texts.mapInArrow(_sets(width), "w0 long, w1 long, w2 long, w3 long, shingles array<long>")
+    sets = written(read.join(ends, [F.col(w) == F.col(f"n{w}") for w in WIDE]).groupBy("node").agg(F.any_value("shingles").alias("shingles")), "simhash-sets")
+    left, right = sets.select(F.col("node").alias("ln"), F.col("shingles").alias("ls")), sets.select(F.col("node").alias("rn"), F.col("shingles").alias("rs"))
+    both = pairs.join(left, F.col("a") == F.col("ln")).join(right, F.col("b") == F.col("rn"))
+    # common / (all - common) >= 4 / 5
+    return both.filter(9 * F.size(F.array_intersect("ls", "rs")) >= 4 * (F.size("ls") + F.size("rs"))).select("a", "b")
+
+
+def wide_links(nodes: DataFrame, docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
+    """(node, least_id, w0..w3), fingerprints distinct -> a, b: pairs of nodes of similarity 0.8 or more.
 
     At this distance no whole-block choice of a short fingerprint is selective, so a block is a set of bits
     drawn from the 256: about log2(rows) + 3 bits, so that unrelated rows seldom meet, and as many blocks as
     let a pair of similarity 0.8 meet with 95 %. In blocks of over BUCKET rows a row isn't paired with all
     but with its neighbours by each of the four longs and with the smallest; as such a group meets in many
-    blocks, each with other neighbours, it stays connected. All pairs are verified; those that connect nothing
-    new within a task of LINKS links are left out, so that the components see a few links per node.
+    blocks, each with other neighbours, it stays connected. Pairs within WIDE_DISTANCE bits are candidates, and
+    their sets of shingles are compared; links that connect nothing new within a task of LINKS links are left
+    out, so that the components see a few links per node.
     """
     rows = max(1, nodes.count())
     bits = min(40, max(12, math.ceil(math.log2(rows)) + 3))
@@ -222,15 +257,16 @@ def wide_links(nodes: DataFrame) -> DataFrame:
     left, right = nodes.select(F.col("node").alias("ln"), *(F.col(w).alias(f"l{w}") for w in WIDE)), nodes.select(F.col("node").alias("rn"), *(F.col(w).alias(f"r{w}") for w in WIDE))
     both = found.join(left, F.col("a") == F.col("ln")).join(right, F.col("b") == F.col("rn"))
     differ = sum((F.bit_count(F.col(f"l{w}").bitwiseXOR(F.col(f"r{w}"))) for w in WIDE), F.lit(0))
-    close = written(both.filter(differ <= WIDE_DISTANCE).select("a", "b"), "simhash-links")
+    close = written(both.filter(differ <= WIDE_DISTANCE).select("a", "b"), "simhash-close")
+    close = written(verified(close, nodes, docs, width), "simhash-links")
     return close.repartition(math.ceil((close.count() + 1) / LINKS)).mapInArrow(_forest, "a long, b long")
 
 
-def wide_classes(prints: DataFrame) -> DataFrame:
-    """(doc_id, w0..w3) -> w0..w3, root, component_id; one row per fingerprint."""
+def wide_classes(prints: DataFrame, docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
+    """(doc_id, w0..w3) and the documents -> w0..w3, root, component_id; one row per fingerprint."""
     distinct = prints.groupBy(*WIDE).agg(F.min("doc_id").alias("least_id"))
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
-    roots = components(wide_links(nodes.drop("least_id"))).withColumnRenamed("node", "linked")
+    roots = components(wide_links(nodes, docs, width)).withColumnRenamed("node", "linked")
     rooted = written(nodes.join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).select(*WIDE, "least_id", "root"), "simhash-roots")
     ids = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component_id"))
     return written(rooted.join(ids, F.col("root") == F.col("r")).select(*(F.col(w).alias(f"c{w}") for w in WIDE), "root", "component_id"), "simhash-classes")
@@ -243,7 +279,7 @@ def keep_one(docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
     XXH64 over all its columns stays; only such rows are fingerprinted twice, to tell them apart.
     """
     prints = written(wide_fingerprints(docs, width), "simhash-prints")
-    found = wide_classes(prints)
+    found = wide_classes(prints, docs, width)
     same = [F.col(w) == F.col(f"c{w}") for w in WIDE]
     uses = prints.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("uses"))
     heads = prints.join(found, same).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")

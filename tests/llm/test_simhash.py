@@ -160,3 +160,13 @@ def test_forest_keeps_all_connections():
     nodes = sorted({n for p in pairs for n in p})
     linked = lambda links: slow_components(nodes, lambda a, b: (a, b) in links or (b, a) in links)
     assert linked(set(kept)) == linked(set(pairs)) and len(kept) < len(nodes)
+
+
+def test_keep_one_keeps_what_is_no_near_copy(spark, docs):
+    """Ten words that differ in the last only: 5 of 7 shingles are common, 0.714."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(10)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:-1], "other"]))]
+    assert simhash.keep_one(docs(rows)).count() == len(rows)
