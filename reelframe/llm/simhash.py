@@ -12,7 +12,7 @@ those that agree in all but 2 of them (at most 4 fingerprints) are linked to the
 is lost and none but close pairs are made in large buckets. Components: see components.py.
 
 keep_one (the pipeline's stage) takes five words and texts of similarity 0.8 or more, which differ in far
-more than 2 of 64 bits; there fingerprints have 256 bits and blocks are sets of bits, see wide_links.
+more than 2 of 64 bits; there the sets of shingles themselves are joined, exactly, see set_links.
 
 Defined cases: a null text is empty; null doc_ids never are a component's id unless it has no other,
 then the id is null; repeated rows link to each other; an empty table gives an empty result.
@@ -115,12 +115,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WIDE = ("w0", "w1", "w2", "w3")
 #: Odd multipliers that make four independent hashes of one.
 _LANES = tuple(np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-#: Two texts whose sets of shingles have similarity 0.8 differ in 15 % of the bits on average.
-WIDE_WORDS, WIDE_DISTANCE, WIDE_EQUAL = 5, 46, 0.848
-BUCKET = 64
+WIDE_WORDS, WIDE_DISTANCE = 5, 46
+#: A set of shingles: its digest and its sketch (the parity of its hashes by their low byte).
+DIGEST, SKETCH = ("d0", "d1"), ("s0", "s1", "s2", "s3")
+BLOCK = ("x0", "x1", "members")
+#: Blocks of more rows with several groups are compared with STARS more of their rows before all groups are.
+BUCKET, STARS = 64, 2
+#: Texts sampled for the order of shingles; those in COMMON of them or more come last, ORDERED of them by number.
+SAMPLE, COMMON, ORDERED = 20_000, 8, 100_000
 #: Links that one task thins out to a forest.
 LINKS = 250_000
 
@@ -135,7 +139,7 @@ def shingle_set(text: bytes, width: int = WIDE_WORDS) -> np.ndarray:
 
 
 def wide_fingerprint(text: bytes, width: int = WIDE_WORDS) -> np.ndarray:
-    """256 bits as four unsigned longs, over the set of shingles."""
+    """256 bits as four unsigned longs, over the set of shingles; keep_one does without (see set_links)."""
     hashes = shingle_set(text, width)
     if not len(hashes):
         return np.zeros(4, np.uint64)
@@ -151,36 +155,78 @@ def wide_fingerprint(text: bytes, width: int = WIDE_WORDS) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _wide(width: int, carried: str):
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    return (x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column)
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
+
+
+def _digests(width: int, carried: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [wide_fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", width) for x in b["text"]]
-            cols = np.array(prints, np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b[carried], *(pa.array(cols[:, i]) for i in range(4))], [carried, *WIDE])
+            cols = np.frombuffer(b"".join(_digest(shingle_set(t, width)) for t in _texts(b["text"])), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b[carried], *(pa.array(cols[:, i]) for i in range(2))], [carried, *DIGEST])
 
     return run
 
 
-def wide_fingerprints(docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
-    """(doc_id, text) -> doc_id, w0 to w3."""
-    return docs.select("doc_id", "text").mapInArrow(_wide(width, "doc_id"), "doc_id long, w0 long, w1 long, w2 long, w3 long")
+def prefix_of(hashes: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 hashes in the order of all sets: by value, those in `common` last by place."""
+    size = len(hashes) - -(-4 * len(hashes) // 5) + 1
+    if not len(hashes):
+        return hashes
+    if not len(common):
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    last = common[at] == hashes
+    first = hashes[~last][:size]
+    return np.concatenate([first, hashes[last][np.argsort(places[at[last]])][: size - len(first)]])
+
+
+def _prefixes(width: int, ordered: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.array(ordered, np.int64).view(np.uint64)
+        places = np.argsort(found)
+        common = found[places]
+        for b in batches:
+            sets = [shingle_set(t, width) for t in _texts(b["text"])]
+            digests = np.frombuffer(b"".join(map(_digest, sets)), np.int64).reshape(-1, 2)
+            odd = [np.packbits((np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)) for h in sets]
+            sketch = np.array(odd, np.uint8).reshape(-1, 32).view(np.int64)
+            prefix = pa.array([prefix_of(h, common, places).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            cols = [*(pa.array(digests[:, i]) for i in range(2)), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(sketch[:, i]) for i in range(4)), prefix]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], ["doc_id", *DIGEST, "size", *SKETCH, "prefix"])
 
+    return run
 
-def _blocks_of(bits: int, keys: int):
-    places = np.stack([np.random.default_rng([SEED, i]).choice(256, bits, replace=False) for i in range(keys)])
 
+def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
-            words = np.stack([np.asarray(b[w], np.int64) for w in WIDE], axis=1)
-            flat = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-            node = np.asarray(b["node"], np.int64)
-            for i, at in enumerate(places):
-                yield pa.RecordBatch.from_arrays([pa.array((flat[:, at] @ values) | (i << 48)), pa.array(node)], ["key", "node"])
+            sets = [shingle_set(t, width) for t in _texts(b["text"])]
+            digests = np.frombuffer(b"".join(map(_digest, sets)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*(pa.array(digests[:, i]) for i in range(2)), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], [*DIGEST, "shingles"])
 
     return run
 
 
+def common_shingles(docs: DataFrame, width: int) -> list[int]:
+    """Hashes of shingles in many of the sampled texts, the most frequent last. They only decide the order."""
+    parts = max(1, math.ceil(docs.count() / SAMPLE))
+    texts = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
+    sets = texts.mapInArrow(_sets(width), "d0 long, d1 long, shingles array<long>").select(F.explode("shingles").alias("h"))
+    often = sets.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(ORDERED)
+    return [r["h"] for r in often.collect()][::-1]
+
+
+def set_prints(docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
+    """(doc_id, text) -> doc_id, digest, size, sketch and prefix of the set of shingles."""
+    kind = ", ".join(f"{c} long" for c in ("doc_id", *DIGEST, "size", *SKETCH))
+    return docs.select("doc_id", "text").mapInArrow(_prefixes(width, common_shingles(docs, width)), f"{kind}, prefix array<long>")
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of a task that join two of its groups so far: as connected as all of them, at most one a node."""
     above: dict[int, int] = {}
@@ -200,87 +246,108 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.take(pa.array(kept, pa.int64()))
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b["text"]]
-            prints = np.array([wide_fingerprint(t, width) for t in texts], np.uint64).reshape(-1, 4).view(np.int64)
-            sets = pa.array([shingle_set(t, width).view(np.int64) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(prints[:, i]) for i in range(4)), sets], [*WIDE, "shingles"])
-
-    return run
-
-
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets of shingles have a similarity of 0.8 or more, exactly.
 
     Only texts that are in a pair are read again, by the least id of their node.
     """
     used = pairs.select(F.col("a").alias("used")).union(pairs.select("b")).distinct()
-    ends = written(nodes.join(used, F.col("node") == F.col("used"), "left_semi").select("node", "least_id", *(F.col(w).alias(f"n{w}") for w in WIDE)), "simhash-ends")
+    ends = written(nodes.join(used, F.col("node") == F.col("used"), "left_semi").select("node", "least_id", *(F.col(d).alias(f"n{d}") for d in DIGEST)), "simhash-ends")
     texts = docs.select("doc_id", "text").join(ends.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
-    read = texts.mapInArrow(_sets(width), "w0 long, w1 long, w2 long, w3 long, shingles array<long>")
-    sets = written(read.join(ends, [F.col(w) == F.col(f"n{w}") for w in WIDE]).groupBy("node").agg(F.any_value("shingles").alias("shingles")), "simhash-sets")
+    read = texts.mapInArrow(_sets(width), "d0 long, d1 long, shingles array<long>")
+    sets = written(read.join(ends, [F.col(d) == F.col(f"n{d}") for d in DIGEST]).groupBy("node").agg(F.any_value("shingles").alias("shingles")), "simhash-sets")
     left, right = sets.select(F.col("node").alias("ln"), F.col("shingles").alias("ls")), sets.select(F.col("node").alias("rn"), F.col("shingles").alias("rs"))
     both = pairs.join(left, F.col("a") == F.col("ln")).join(right, F.col("b") == F.col("rn"))
     # common / (all - common) >= 4 / 5
     return both.filter(9 * F.size(F.array_intersect("ls", "rs")) >= 4 * (F.size("ls") + F.size("rs"))).select("a", "b")
 
 
-def wide_links(nodes: DataFrame, docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
-    """(node, least_id, w0..w3), fingerprints distinct -> a, b: pairs of nodes of similarity 0.8 or more.
+def _may_be_close(x: str, y: str):
+    """True for every pair of similarity 0.8: sketches differ in no more bits than sets in members, a ninth of both sizes."""
+    size, other = F.col(f"{x}size"), F.col(f"{y}size")
+    differ = sum((F.bit_count(F.col(f"{x}{s}").bitwiseXOR(F.col(f"{y}{s}"))) for s in SKETCH), F.lit(0))
+    return (5 * F.least(size, other) >= 4 * F.greatest(size, other)) & (9 * differ <= size + other)
+
+
+def _side(rows: DataFrame, x: str) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"{x}{c}") for c in rows.columns))
+
+
+def _pairs(found: DataFrame, x: str, y: str) -> DataFrame:
+    return found.select(F.least(f"{x}node", f"{y}node").alias("a"), F.greatest(f"{x}node", f"{y}node").alias("b")).distinct()
+
+
+def _stars(rows: DataFrame, turn: int) -> DataFrame:
+    """(BLOCK, node, size, sketch) -> pairs of every row with one row of its block, another one each turn."""
+    chosen = rows.groupBy(*BLOCK).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "size", *SKETCH)).alias("c"))
+    other = chosen.select(*(F.col(b).alias(f"r{b}") for b in BLOCK), *(F.col(f"c.{c}").alias(f"r{c}") for c in ("node", "size", *SKETCH)))
+    same = [F.col(f"l{b}") == F.col(f"r{b}") for b in BLOCK]
+    return _pairs(_side(rows, "l").join(other, same).filter(F.col("lnode") != F.col("rnode")).filter(_may_be_close("l", "r")), "l", "r")
+
+
+def _rest(rows: DataFrame, tops: DataFrame) -> DataFrame:
+    """(BLOCK, node, size, sketch, root) -> all pairs of a block with different roots; one is not of its largest group."""
+    same = [F.col(f"l{b}") == F.col(f"r{b}") for b in BLOCK]
+    left = _side(rows, "l").join(_side(tops, "t"), [F.col(f"l{b}") == F.col(f"t{b}") for b in BLOCK]).filter("lroot <> ttop")
+    found = left.join(_side(rows, "r"), [*same, F.col("lroot") != F.col("rroot"), _may_be_close("l", "r")])
+    return _pairs(found, "l", "r")
+
+
+def set_links(nodes: DataFrame, docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
+    """(node, least_id, digest, size, sketch, prefix) -> a, b: links of similarity 0.8 or more that connect all such pairs.
 
-    At this distance no whole-block choice of a short fingerprint is selective, so a block is a set of bits
-    drawn from the 256: about log2(rows) + 3 bits, so that unrelated rows seldom meet, and as many blocks as
-    let a pair of similarity 0.8 meet with 95 %. In blocks of over BUCKET rows a row isn't paired with all
-    but with its neighbours by each of the four longs and with the smallest; as such a group meets in many
-    blocks, each with other neighbours, it stays connected. Pairs within WIDE_DISTANCE bits are candidates, and
-    their sets of shingles are compared; links that connect nothing new within a task of LINKS links are left
-    out, so that the components see a few links per node.
+    Exact: in any order of the shingles, two sets of similarity 0.8 have one in common among the first
+    n - ceil(0.8 n) + 1 of each. Rows with such a shingle in common are a block; equal blocks are one.
+    The order has shingles that are frequent in a sample last, so that a common line makes a block of those
+    texts only that consist of little else. First every row is compared with one of its block, in blocks of
+    over BUCKET rows with further ones; then rows in different components so far are, all of them. What the
+    sizes or sketches rule out isn't compared, all else is by its sets of shingles.
     """
-    rows = max(1, nodes.count())
-    bits = min(40, max(12, math.ceil(math.log2(rows)) + 3))
-    keys = math.ceil(3 / WIDE_EQUAL**bits)
-    keyed = nodes.mapInArrow(_blocks_of(bits, keys), "key long, node long")
-    met = keyed.withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1")
+    per = W.partitionBy("key")
+    keyed = nodes.select("node", F.explode("prefix").alias("key"))
+    members = F.count("*").over(per).alias("members")
+    met = keyed.select("node", *(F.bit_xor(F.xxhash64("node", F.lit(i))).over(per).alias(f"x{i}") for i in range(2)), members).filter("members > 1").distinct()
     met = written(met, "simhash-blocks")
-    few = met.filter(F.col("n") <= BUCKET)
-    pairs = few.select("key", F.col("node").alias("a")).join(few.select(F.col("key").alias("k"), F.col("node").alias("b")), (F.col("key") == F.col("k")) & (F.col("a") < F.col("b"))).select("a", "b")
-    own = nodes.select(F.col("node").alias("own"), *WIDE)
-    many = met.filter(F.col("n") > BUCKET).join(own, F.col("node") == F.col("own"))
-    # ordered by fingerprints, never by node numbers, so that reruns meet the same neighbours
-    sorted_ = many.select("key", "node", *WIDE, F.posexplode(F.array(*WIDE)).alias("lane", "w"))
-    near = sorted_.select(F.col("node").alias("a"), F.lead("node").over(W.partitionBy("key", "lane", F.shiftright("w", 60)).orderBy("w", *WIDE)).alias("b"))
-    least = many.groupBy(F.col("key").alias("k")).agg(F.min_by("node", F.struct(*WIDE)).alias("b"))
-    stars = many.select("key", F.col("node").alias("a")).join(least, F.col("key") == F.col("k")).select("a", "b")
-    found = pairs.union(near.filter("b is not null")).union(stars).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = nodes.select(F.col("node").alias("ln"), *(F.col(w).alias(f"l{w}") for w in WIDE)), nodes.select(F.col("node").alias("rn"), *(F.col(w).alias(f"r{w}") for w in WIDE))
-    both = found.join(left, F.col("a") == F.col("ln")).join(right, F.col("b") == F.col("rn"))
-    differ = sum((F.bit_count(F.col(f"l{w}").bitwiseXOR(F.col(f"r{w}"))) for w in WIDE), F.lit(0))
-    close = written(both.filter(differ <= WIDE_DISTANCE).select("a", "b"), "simhash-close")
-    close = written(verified(close, nodes, docs, width), "simhash-links")
-    return close.repartition(math.ceil((close.count() + 1) / LINKS)).mapInArrow(_forest, "a long, b long")
-
-
-def wide_classes(prints: DataFrame, docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
-    """(doc_id, w0..w3) and the documents -> w0..w3, root, component_id; one row per fingerprint."""
-    distinct = prints.groupBy(*WIDE).agg(F.min("doc_id").alias("least_id"))
+    rows = written(met.join(nodes.select(F.col("node").alias("own"), "size", *SKETCH), F.col("node") == F.col("own")).drop("own"), "simhash-members")
+    pairs = written(_stars(rows, 0), "simhash-pairs")
+    links = written(verified(pairs, nodes, docs, width), "simhash-links")
+    for turn in range(1, STARS + 2):
+        roots = components(_thinned(links)).withColumnRenamed("node", "linked")
+        rooted = written(rows.filter("members > 2").join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).drop("linked"), "simhash-rooted")
+        groups = rooted.groupBy(*BLOCK, "root").agg(F.count("*").alias("n"))
+        tops = written(groups.groupBy(*BLOCK).agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").drop("roots"), "simhash-tops")
+        large = tops.filter(F.col("members") > BUCKET)
+        if turn <= STARS and not large.isEmpty():
+            found = _stars(rooted.join(large, list(BLOCK), "left_semi").drop("root"), turn)
+            links = links.union(written(verified(written(found, "simhash-pairs"), nodes, docs, width), "simhash-links"))
+            continue
+        found = written(_rest(rooted, tops), "simhash-pairs")
+        return _thinned(links.union(written(verified(found, nodes, docs, width), "simhash-links")))
+
+
+def _thinned(links: DataFrame) -> DataFrame:
+    return links.repartition(math.ceil((links.count() + 1) / LINKS)).mapInArrow(_forest, "a long, b long")
+
+
+def set_classes(prints: DataFrame, docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
+    """(doc_id, digest, size, sketch, prefix) and the documents -> digest, root, component_id; one row per digest."""
+    distinct = prints.groupBy(*DIGEST).agg(F.min("doc_id").alias("least_id"), F.any_value(F.struct("size", *SKETCH, "prefix")).alias("s")).select(*DIGEST, "least_id", "s.*")
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
-    roots = components(wide_links(nodes, docs, width)).withColumnRenamed("node", "linked")
-    rooted = written(nodes.join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).select(*WIDE, "least_id", "root"), "simhash-roots")
+    roots = components(set_links(nodes, docs, width)).withColumnRenamed("node", "linked")
+    rooted = written(nodes.join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).select(*DIGEST, "least_id", "root"), "simhash-roots")
     ids = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component_id"))
-    return written(rooted.join(ids, F.col("root") == F.col("r")).select(*(F.col(w).alias(f"c{w}") for w in WIDE), "root", "component_id"), "simhash-classes")
+    return written(rooted.join(ids, F.col("root") == F.col("r")).select(*(F.col(d).alias(f"c{d}") for d in DIGEST), "root", "component_id"), "simhash-classes")
 
 
 def keep_one(docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
     """The rows of docs, all columns, one per group of near copies: that with the smallest doc_id.
 
     Where several rows carry that id, and in groups without any id, the row with the smallest
-    XXH64 over all its columns stays; only such rows are fingerprinted twice, to tell them apart.
+    XXH64 over all its columns stays; only such rows' shingles are hashed again to tell them apart.
     """
-    prints = written(wide_fingerprints(docs, width), "simhash-prints")
-    found = wide_classes(prints, docs, width)
-    same = [F.col(w) == F.col(f"c{w}") for w in WIDE]
+    prints = written(set_prints(docs, width), "simhash-prints")
+    found = set_classes(prints, docs, width)
+    same = [F.col(d) == F.col(f"c{d}") for d in DIGEST]
     uses = prints.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("uses"))
     heads = prints.join(found, same).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
     single = written(uses.filter("uses = 1 and id is not null").join(heads, F.col("id") == F.col("doc_id"), "left_semi").select(F.col("id").alias("kept_id")), "simhash-single")
@@ -289,7 +356,7 @@ def keep_one(docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
 
     rows = docs.join(unclear, docs["doc_id"].eqNullSafe(unclear["unclear_id"]), "left_semi").select("text", F.struct(*docs.columns).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
-    rows = rows.mapInArrow(_wide(width, "row"), f"row {kind}, w0 long, w1 long, w2 long, w3 long")
+    rows = rows.mapInArrow(_digests(width, "row"), f"row {kind}, d0 long, d1 long")
     rows = rows.join(found, same).filter(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
     first = rows.groupBy("root").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
     return plain.union(first)

@@ -170,3 +170,18 @@ def test_keep_one_keeps_what_is_no_near_copy(spark, docs):
         words = [f"w{rng.randrange(10**6)}" for _ in range(10)]
         rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:-1], "other"]))]
     assert simhash.keep_one(docs(rows)).count() == len(rows)
+
+
+@pytest.mark.parametrize("others", [0, 1500])
+@pytest.mark.parametrize("size", [8, 10, 60])
+def test_isolated_pairs(spark, docs, size, others):
+    """Texts and the same with more words at the end: 4 of 5, 6 of 7 and 56 of 70 shingles; in tables of any size."""
+    rng = random.Random(size)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for _ in range(40):
+        first = text(size)
+        rows += [(len(rows), first), (len(rows) + 1, f"{first} {text(14 if size == 60 else 1)}")]
+    rows += [(len(rows) + i, text(30)) for i in range(others)]
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(docs(rows)).collect())
+    assert kept == [i for i, _ in rows if i >= 80 or i % 2 == 0]
