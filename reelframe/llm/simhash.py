@@ -125,6 +125,8 @@ BLOCK = ("x0", "x1", "members")
 BUCKET, STARS = 64, 2
 #: Texts sampled for the order of shingles; those in COMMON of them or more come last, ORDERED of them by number.
 SAMPLE, COMMON, ORDERED = 20_000, 8, 100_000
+#: Bits of the sketch that candidates' texts get before their sets are compared; texts that a worker holds at once.
+LONG_SKETCH, SLICE = 8192, 256
 #: Links that one task thins out to a forest.
 LINKS = 250_000
 
@@ -155,17 +157,28 @@ def wide_fingerprint(text: bytes, width: int = WIDE_WORDS) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield b.slice(i, SLICE)
+
+
 def _texts(column: pa.Array) -> Iterator[bytes]:
     return (x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column)
 
 
+def _sketch(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The parity of the hashes by their lowest bits, as signed longs."""
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
 
 
 def _digests(width: int, carried: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             cols = np.frombuffer(b"".join(_digest(shingle_set(t, width)) for t in _texts(b["text"])), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b[carried], *(pa.array(cols[:, i]) for i in range(2))], [carried, *DIGEST])
 
@@ -190,11 +203,10 @@ def _prefixes(width: int, ordered: list[int]):
         found = np.array(ordered, np.int64).view(np.uint64)
         places = np.argsort(found)
         common = found[places]
-        for b in batches:
+        for b in _slices(batches):
             sets = [shingle_set(t, width) for t in _texts(b["text"])]
             digests = np.frombuffer(b"".join(map(_digest, sets)), np.int64).reshape(-1, 2)
-            odd = [np.packbits((np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)) for h in sets]
-            sketch = np.array(odd, np.uint8).reshape(-1, 32).view(np.int64)
+            sketch = np.array([_sketch(h, 256) for h in sets], np.int64).reshape(-1, 4)
             prefix = pa.array([prefix_of(h, common, places).view(np.int64) for h in sets], pa.list_(pa.int64()))
             cols = [*(pa.array(digests[:, i]) for i in range(2)), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(sketch[:, i]) for i in range(4)), prefix]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], ["doc_id", *DIGEST, "size", *SKETCH, "prefix"])
@@ -202,12 +214,14 @@ def _prefixes(width: int, ordered: list[int]):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, sketched: bool = False):
+    """Digests and the sets of shingles, or their long sketches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             sets = [shingle_set(t, width) for t in _texts(b["text"])]
             digests = np.frombuffer(b"".join(map(_digest, sets)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(pa.array(digests[:, i]) for i in range(2)), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], [*DIGEST, "shingles"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(digests[:, i]) for i in range(2)), pa.array([_sketch(h, LONG_SKETCH) if sketched else h.view(np.int64) for h in sets], pa.list_(pa.int64()))], [*DIGEST, "shingles"])
 
     return run
 
@@ -246,20 +260,30 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.take(pa.array(kept, pa.int64()))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have a similarity of 0.8 or more, exactly.
+def _with_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, sketched: bool) -> DataFrame:
+    """pairs (a, b) -> a, b, ls, ln, rs, rn: both sets of shingles, or their long sketches, and their sizes.
 
     Only texts that are in a pair are read again, by the least id of their node.
     """
     used = pairs.select(F.col("a").alias("used")).union(pairs.select("b")).distinct()
-    ends = written(nodes.join(used, F.col("node") == F.col("used"), "left_semi").select("node", "least_id", *(F.col(d).alias(f"n{d}") for d in DIGEST)), "simhash-ends")
+    ends = written(nodes.join(used, F.col("node") == F.col("used"), "left_semi").select("node", "size", "least_id", *(F.col(d).alias(f"n{d}") for d in DIGEST)), "simhash-ends")
     texts = docs.select("doc_id", "text").join(ends.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
-    read = texts.mapInArrow(_sets(width), "d0 long, d1 long, shingles array<long>")
-    sets = written(read.join(ends, [F.col(d) == F.col(f"n{d}") for d in DIGEST]).groupBy("node").agg(F.any_value("shingles").alias("shingles")), "simhash-sets")
-    left, right = sets.select(F.col("node").alias("ln"), F.col("shingles").alias("ls")), sets.select(F.col("node").alias("rn"), F.col("shingles").alias("rs"))
-    both = pairs.join(left, F.col("a") == F.col("ln")).join(right, F.col("b") == F.col("rn"))
+    read = texts.mapInArrow(_sets(width, sketched), "d0 long, d1 long, shingles array<long>")
+    sets = read.join(ends, [F.col(d) == F.col(f"n{d}") for d in DIGEST]).groupBy("node").agg(F.any_value("size").alias("n"), F.any_value("shingles").alias("s"))
+    sets = written(sets, "simhash-sets")
+    return pairs.join(_side(sets, "l"), F.col("a") == F.col("lnode")).join(_side(sets, "r"), F.col("b") == F.col("rnode"))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a similarity of 0.8 or more, exactly.
+
+    Long sketches rule out most others first, so that sets, which are as large as texts, travel with few pairs.
+    """
+    differ = F.aggregate(F.zip_with("ls", "rs", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = _with_sets(pairs, nodes, docs, width, True).filter(9 * differ <= F.col("ln") + F.col("rn")).select("a", "b")
+    both = _with_sets(written(near, "simhash-near"), nodes, docs, width, False)
     # common / (all - common) >= 4 / 5
-    return both.filter(9 * F.size(F.array_intersect("ls", "rs")) >= 4 * (F.size("ls") + F.size("rs"))).select("a", "b")
+    return both.filter(9 * F.size(F.array_intersect("ls", "rs")) >= 4 * (F.col("ln") + F.col("rn"))).select("a", "b")
 
 
 def _may_be_close(x: str, y: str):

@@ -172,6 +172,17 @@ def test_keep_one_keeps_what_is_no_near_copy(spark, docs):
     assert simhash.keep_one(docs(rows)).count() == len(rows)
 
 
+def five_words(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def slow_groups(rows):
+    sets = {i: five_words(t) for i, t in rows}
+    found = slow_components([i for i, _ in rows], lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])))
+    return sorted(set(found.values()))
+
+
 @pytest.mark.parametrize("others", [0, 1500])
 @pytest.mark.parametrize("size", [8, 10, 60])
 def test_isolated_pairs(spark, docs, size, others):
@@ -185,3 +196,18 @@ def test_isolated_pairs(spark, docs, size, others):
     rows += [(len(rows) + i, text(30)) for i in range(others)]
     kept = sorted(r["doc_id"] for r in simhash.keep_one(docs(rows)).collect())
     assert kept == [i for i, _ in rows if i >= 80 or i % 2 == 0]
+
+
+@pytest.mark.parametrize("bucket", [2, 64])
+def test_template_group_as_by_all_pairs(spark, docs, monkeypatch, bucket):
+    """Texts of one template with 1 to 3 of 40 words changed: some pairs are close, many aren't."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(4)
+    words = [f"t{i}" for i in range(40)]
+    rows = []
+    for i in range(160):
+        own = list(words)
+        for at in rng.sample(range(40), rng.choice([1, 2, 2, 3, 3, 3])):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs(rows)).collect()) == slow_groups(rows)
