@@ -54,8 +54,8 @@ def hyperplane_bucket(vector, planes: int = 8):
 
 
 def bucket_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, planes: int = 8, probes: int = 3) -> DataFrame:
-    """Approximate: rows in the query's hyperplane bucket and those that differ in up to `probes` - 1 of its bits' neighbours."""
-    flips = F.array(F.lit(0), *(F.lit(1 << j) for j in range(planes)), *((F.lit((1 << i) | (1 << j)) for i in range(planes) for j in range(i)) if probes > 2 else ()))
+    """Approximate: rows in the query's hyperplane bucket and those that differ in up to `probes` - 1 of its bits."""
+    flips = F.array(*(F.lit(m) for m in range(1 << planes) if m.bit_count() < max(2, probes)))
     rows = vectors.select("id", "vector", hyperplane_bucket(F.col("vector"), planes).alias("_b"))
     asked = queries.select("query_id", "query", hyperplane_bucket(F.col("query"), planes).alias("_h"))
     asked = asked.withColumn("_b", F.explode(F.transform(flips, lambda f: F.col("_h").bitwiseXOR(f)))).drop("_h")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelframe.models import EchoModel, complete, embed, stub_embedding
+from reelframe.workload.catalog import QUERIES
 from reelframe.operators import control, dedup, evaluate, graph, retrieve, segment, vector
 from reelframe.plans import hybrid, refine
 from reelframe.workload.registry import ship
@@ -147,6 +148,12 @@ def test_vectors(spark):
     assert rows(vector.upsert(old, new).select("id", "x")) == [(1, "b"), (2, "c")]
 
 
+def test_recall_of_bucket_ann(spark):
+    """The registered query, on its own vectors, against the exact search for the same."""
+    found = {name: {(r["query_id"], r["id"]) for r in QUERIES[name](spark, "/root/testdata/sf0.01").collect()} for name in ("cosine_topk", "bucket_ann")}
+    assert len(found["cosine_topk"] & found["bucket_ann"]) >= 0.9 * len(found["cosine_topk"])
+
+
 def test_more_queries_than_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(vector, "BROADCAST_QUERIES", 3)
     rng = random.Random(2)
