@@ -40,7 +40,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), decoded=True)
     spelled = F.md5("decoded") == F.col("text_md5")
-    return encoded.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), spelled.alias("round_trip"))
+    return encoded.select("doc_id", "n_bytes", "ids", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), spelled.alias("round_trip"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

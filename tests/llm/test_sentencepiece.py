@@ -71,3 +71,12 @@ def test_viterbi_takes_the_best_path(spark):
 @pytest.mark.parametrize("text", [t for t in TEXTS if t])
 def test_units_rejoin(text):
     assert "".join(sp.pieces_of(PATH).units(text)) == "▁" + text.replace(" ", "▁")
+
+
+def test_the_query_returns_the_ids(spark):
+    from reelframe.llm.queries import op6_sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = op6_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts) and all(r["ids"] == library.encode(texts[r["doc_id"]] or "") for r in got)
