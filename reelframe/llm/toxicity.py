@@ -9,9 +9,10 @@ executors is a few hundred (bucket, weight) pairs. Scoring is a narrow pass over
 
 Defined cases: a null or empty text gets the bias's score; rows of a null doc_id are scored and not
 held out; labels that are null are skipped, and a document with several labels counts as toxic if one
-says so; without any labelled row every score is 0.5 and predicted is 0 (a model that has seen no
-label calls nothing toxic); repeated rows are scored
-each; columns beside doc_id and text are never read.
+says so; where rows of different texts share a labelled doc_id, the text of the smallest XXH64 is learnt;
+without any labelled row the score of every text is that of PRIOR, below 0.5; predicted is 1 if and only
+if the score is 0.5 or more; repeated rows are scored each; very long texts are scored whole; an empty
+table gives an empty result; columns beside doc_id and text are never read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ MAX_ROWS = 16_384
 WORD = re.compile(r"\w+")
 #: Odd multipliers that mix the word hashes of a pair.
 _LEFT, _RIGHT, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_CACHE = 400_000
+_CACHE = 150_000
+#: The bias of a model that has seen no label.
+PRIOR = -1.0
 
 
 class Featurizer:
@@ -115,56 +118,52 @@ def _trainer(bits: int, epochs: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = 8) -> dict[int, float]:
-    """Non-zero weights by bucket; bucket 2**bits is the bias. Empty without labelled rows."""
+    """Non-zero weights by bucket; bucket 2**bits is the bias."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("label"))
     known = known.filter(~held_out(F.col("label_id")))
     order = F.xxhash64("label_id")
     sample = known.filter("label = 1").orderBy(order, "label_id").limit(max_rows // 2).union(known.filter("label = 0").orderBy(order, "label_id").limit(max_rows // 2))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    texts = texts.groupBy("label_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     rows = written(texts.select(order.alias("key"), "label", "text").mapInArrow(_features(bits), "key long, label int, at array<long>"), "toxicity-features")
     ordered = rows.coalesce(1).sortWithinPartitions("key", F.size("at"), F.xxhash64("at"))
-    return {r["at"]: r["weight"] for r in ordered.mapInPandas(_trainer(bits, epochs), "at long, weight double").collect()}
+    return {r["at"]: r["weight"] for r in ordered.mapInPandas(_trainer(bits, epochs), "at long, weight double").collect()} or {1 << bits: PRIOR}
 
 
-def _scorer(weights, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, size = Featurizer(bits), 1 << bits
-        table = np.zeros(size, np.float32)
-        pairs = weights.value
-        bias = pairs.get(size, 0.0)
-        for k, w in pairs.items():
+class Scorer:
+    def __init__(self, weights: dict[int, float], bits: int):
+        self.make, size = Featurizer(bits), 1 << bits
+        self.table, self.bias = np.zeros(size, np.float32), weights.get(size, 0.0)
+        for k, w in weights.items():
             if k < size:
-                table[k] = w
-        for b in batches:
-            scores = []
-            for x in b["text"]:
-                at = make.buckets(x.as_py())
-                at = np.unique(at[table[at] != 0])
-                scores.append(sigmoid(bias + float(table[at].astype(np.float64).sum())))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(scores, pa.float64())], ["doc_id", "score"])
+                self.table[k] = w
 
-    return run
+    def __call__(self, text: pa.Scalar) -> float:
+        at = self.make.buckets(text.as_py())
+        at = np.unique(at[self.table[at] != 0])
+        return sigmoid(self.bias + float(self.table[at].astype(np.float64).sum()))
 
 
 def score(docs: DataFrame, weights: dict[int, float], bits: int = BITS) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    scored = docs.select("doc_id", "text").mapInArrow(_scorer(shared, bits), "doc_id long, score double")
-    called = (F.col("score") >= 0.5) & F.lit(bool(weights))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", called.cast("int").alias("predicted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = Scorer(shared.value, bits)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(map(rate, b["text"]), pa.float64())], ["doc_id", "score"])
+
+    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, weights: dict[int, float], bits: int = BITS) -> DataFrame:
     """The rows of docs, all columns, that the model doesn't call toxic; one narrow pass."""
-    if not weights:
-        return docs
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rate = _scorer(shared, bits)
+        rate = Scorer(shared.value, bits)
         for b in batches:
-            rated = next(rate(iter([pa.RecordBatch.from_arrays([b["doc_id"], b["text"]], ["doc_id", "text"])])))
-            yield b.filter(pa.array(rated["score"].to_numpy() < 0.5))
+            yield b.filter(pa.array([rate(x) < 0.5 for x in b["text"]], pa.bool_()))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -1,11 +1,14 @@
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from reelframe.llm import toxicity
+from reelframe.llm.queries import op10_toxicity as toxicity_query
 
 BAD = ["grumble", "snarl", "vile beast"]
 
@@ -61,9 +64,46 @@ def test_held_out_labels_are_never_read(spark, docs):
 def test_no_labels(spark, docs):
     df = docs([(1, "a"), (2, None)])
     weights = toxicity.train(df, spark.createDataFrame([], LABELS))
-    assert weights == {} and toxicity.keep_clean(df, weights).count() == 2
-    assert [(r["score"], r["predicted"]) for r in toxicity.score(df, weights).collect()] == [(0.5, 0)] * 2
+    assert toxicity.keep_clean(df, weights).count() == 2
+    assert all(r["score"] < 0.5 and r["predicted"] == 0 for r in toxicity.score(df, weights).collect())
     assert toxicity.score(docs([]), weights).count() == 0
+    assert toxicity.keep_clean(docs([]), weights).count() == 0
+
+
+def test_repeated_ids_train_once(spark, docs):
+    """One id on many rows, with one text or several, is one labelled row."""
+    rows, labels = corpus(200)
+    learn = next(i for i, _ in rows if i % 4 == 0 and zlib.crc32(str(i).encode()) % 5)
+    other = [(learn, f"{rows[learn][1]} w{k}") for k in range(30)]
+    table = spark.createDataFrame(labels, LABELS)
+    once = toxicity.train(docs(rows), table)
+    assert once == toxicity.train(docs(rows + [rows[learn]] * 50), table)
+    many = docs([r for r in rows if r[0] != learn] + other + other)
+    one = docs([r for r in rows if r[0] != learn] + [min(((learn, t) for _, t in other), key=lambda r: spark.sql(f"select xxhash64('{r[1]}')").first()[0])])
+    assert toxicity.train(many, table) == toxicity.train(one, table)
+
+
+def slow_buckets(text, bits):
+    words = re.findall(r"\w+", (text or "").lower())
+    h = [xxhash.xxh64_intdigest(w) for w in words]
+    left, right, skip = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    low = (1 << 64) - 1
+    mixed = h + [a * left & low ^ ((b + skip) & low) * right & low for a, b in zip(h, h[1:], strict=False)]
+    mixed += [a * skip & low ^ ((b + left) & low) * right & low for a, b in zip(h, h[2:], strict=False)]
+    return [(x * left & low) >> (64 - bits) for x in mixed]
+
+
+@pytest.mark.parametrize("text", [None, "", "one", "Ä b", "a, b. c_d! a b 日本 İx", "the end of the world " * 500])
+@pytest.mark.parametrize("bits", [4, 22])
+def test_features_by_brute_force(text, bits):
+    assert toxicity.Featurizer(bits).buckets(text).tolist() == slow_buckets(text, bits)
+
+
+def test_the_query(spark):
+    got = toxicity_query(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs)
+    assert all(r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
 
 
 def test_ftrl_is_the_published_rule():
