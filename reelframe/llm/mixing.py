@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import scratch, text_of, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 AMOUNT, MOST = 1.5, 2.0
@@ -148,9 +148,10 @@ def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, amount: f
     Equal rows are aggregated to one, which comes as often as all of them together; its copies are
     dealt out in parts of BUCKET, so that no task makes all of them.
     """
-    mixed = mix(docs, weights, amount, most)
-    taken = mixed.groupBy("doc_id", "tie").agg(F.sum("copies").alias("m_copies"), F.count("*").alias("m_rows"))
-    taken = written(taken.select(F.col("doc_id").alias("m_id"), F.col("tie").alias("m_tie"), "m_copies", "m_rows").filter("m_copies > 0"), "mix-taken")
+    with scratch(docs.sparkSession):
+        mixed = mix(docs, weights, amount, most)
+        taken = mixed.groupBy("doc_id", "tie").agg(F.sum("copies").alias("m_copies"), F.count("*").alias("m_rows"))
+        taken = written(taken.select(F.col("doc_id").alias("m_id"), F.col("tie").alias("m_tie"), "m_copies", "m_rows").filter("m_copies > 0"), "mix-taken", keep=True)
     rows = docs.select(F.struct(*docs.columns).alias("m_row"), F.col("doc_id").alias("r_id"), F.xxhash64(*docs.columns).alias("r_tie"))
     found = rows.join(taken, F.col("r_id").eqNullSafe(F.col("m_id")) & (F.col("r_tie") == F.col("m_tie")))
     single = found.filter("m_rows = 1").select("m_row", F.explode(F.sequence(F.lit(1).cast("long"), "m_copies")))

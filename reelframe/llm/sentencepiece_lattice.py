@@ -43,6 +43,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import give_back, lean
+
 SPACE = "▁"
 LONGEST = 62
 #: Text of one block, which one task puts together again; text that is cut, and units that are looked up, at once.
@@ -299,17 +301,17 @@ class Block:
         self.sizes += map(len, raws)
         self.md5s += [hashlib.md5(r).hexdigest() for r in raws]
         self.counts.append(counts)
-        self.parts.append(units)
+        self.parts.append(units.dictionary_encode())
         self.bytes += sum(map(len, raws))
 
     def numbered(self) -> tuple[int, pa.StringArray, np.ndarray]:
         """Digest of the distinct units, these in order of their first use, and the numbers of all units."""
-        coded = pa.chunked_array(self.parts, pa.string()).dictionary_encode()
-        units = max((c.dictionary for c in coded.chunks), key=len)
+        coded = pa.chunked_array(self.parts, pa.dictionary(pa.int32(), pa.string())).unify_dictionaries()
+        units = coded.chunk(0).dictionary
         digest = xxhash.xxh3_64()
         for part in (pc.binary_length(units).to_numpy(), np.frombuffer(units.buffers()[2] or b"", np.uint8)[: pc.sum(pc.binary_length(units)).as_py() or 0]):
             digest.update(np.ascontiguousarray(part))
-        numbers = np.concatenate([c.indices.to_numpy().astype(np.int32) for c in coded.chunks])
+        numbers = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
         return int(np.uint64(digest.intdigest()).view(np.int64)), units, numbers
 
 
@@ -340,6 +342,7 @@ def in_lattice(units: pa.StringArray) -> np.ndarray:
 def _asked(path: str):
     """The distinct units of every block that the lattice serves."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(pieces_of(path), batches):
             key, units, _ = block.numbered()
@@ -358,6 +361,7 @@ PACK = "block long, doc_ids array<long>, sizes array<long>, md5s array<string>,
 def _packed(path: str):
     """Every block as one row: what is known of its documents, its units, and its texts as numbers of units."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for block in _blocks(pieces_of(path), batches):
@@ -412,7 +416,11 @@ def _assemble(path: str, decoded: bool):
         columns = {"doc_id": names, "ids": coded, "n_bytes": sizes, "text_md5": md5s} | ({"decoded": texts} if decoded else {})
         return pa.table({k: pa.chunked_array(v) for k, v in columns.items()})
 
-    return run
+    def lean_run(docs: pa.Table, codes: pa.Table) -> pa.Table:
+        give_back()  # what the block before has left
+        return run(docs, codes)
+
+    return lean_run
 
 
 def encode(docs: DataFrame, model_path: str, decoded: bool = False) -> DataFrame:
@@ -432,6 +440,7 @@ def encode(docs: DataFrame, model_path: str, decoded: bool = False) -> DataFrame
 
 
 def _decode(path: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
         for b in batches:

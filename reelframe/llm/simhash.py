@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, scratch, written
 from .components import components
 
 WIDTH, SEED, DISTANCE, HOT = 3, 42, 2, 256
@@ -60,6 +60,7 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
 
 
 def _fingerprints(width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [_signed(fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", width)) for x in b["text"]]
@@ -99,12 +100,13 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def classes(prints: DataFrame) -> DataFrame:
     """(doc_id, fp) -> fp, root (a fingerprint of the component), component_id; one row per fingerprint."""
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
-    roots = components(links(distinct.select("fp")))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "simhash-roots")
-    ids = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component_id"))
-    return written(rooted.join(ids, F.col("root") == F.col("r")).select("fp", "root", "component_id"), "simhash-classes")
+    with scratch(prints.sparkSession):
+        distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
+        roots = components(links(distinct.select("fp")))
+        rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+        rooted = written(rooted, "simhash-roots")
+        ids = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component_id"))
+        return written(rooted.join(ids, F.col("root") == F.col("r")).select("fp", "root", "component_id"), "simhash-classes", keep=True)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -125,8 +127,8 @@ BLOCK = ("x0", "x1", "members")
 BUCKET, STARS = 64, 2
 #: Texts sampled for the order of shingles; those in COMMON of them or more come last, ORDERED of them by number.
 SAMPLE, COMMON, ORDERED = 20_000, 8, 100_000
-#: Bits of the sketch that candidates' texts get before their sets are compared; texts that a worker holds at once.
-LONG_SKETCH, SLICE = 8192, 256
+#: Texts that a worker holds at once; ids of texts to read again that are broadcast, beyond that both sides are shuffled.
+SLICE, READ_AGAIN = 256, 1_000_000
 #: Links that one task thins out to a forest.
 LINKS = 250_000
 
@@ -172,11 +174,17 @@ def _sketch(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
+def long_sketch(hashes: np.ndarray) -> np.ndarray:
+    """A sketch of about as many bits as hashes: the least power of two from 256 on."""
+    return _sketch(hashes, max(256, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 256)
+
+
 def _digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
 
 
 def _digests(width: int, carried: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             cols = np.frombuffer(b"".join(_digest(shingle_set(t, width)) for t in _texts(b["text"])), np.int64).reshape(-1, 2)
@@ -199,6 +207,7 @@ def prefix_of(hashes: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.
 
 
 def _prefixes(width: int, ordered: list[int]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.array(ordered, np.int64).view(np.uint64)
         places = np.argsort(found)
@@ -208,20 +217,22 @@ def _prefixes(width: int, ordered: list[int]):
             digests = np.frombuffer(b"".join(map(_digest, sets)), np.int64).reshape(-1, 2)
             sketch = np.array([_sketch(h, 256) for h in sets], np.int64).reshape(-1, 4)
             prefix = pa.array([prefix_of(h, common, places).view(np.int64) for h in sets], pa.list_(pa.int64()))
-            cols = [*(pa.array(digests[:, i]) for i in range(2)), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(sketch[:, i]) for i in range(4)), prefix]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], ["doc_id", *DIGEST, "size", *SKETCH, "prefix"])
+            long = pa.array([long_sketch(h) for h in sets], pa.list_(pa.int64()))
+            cols = [*(pa.array(digests[:, i]) for i in range(2)), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(sketch[:, i]) for i in range(4)), long, prefix]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], ["doc_id", *DIGEST, "size", *SKETCH, "long", "prefix"])
 
     return run
 
 
-def _sets(width: int, sketched: bool = False):
-    """Digests and the sets of shingles, or their long sketches."""
+def _sets(width: int):
+    """Digests and the sets of shingles."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             sets = [shingle_set(t, width) for t in _texts(b["text"])]
             digests = np.frombuffer(b"".join(map(_digest, sets)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(pa.array(digests[:, i]) for i in range(2)), pa.array([_sketch(h, LONG_SKETCH) if sketched else h.view(np.int64) for h in sets], pa.list_(pa.int64()))], [*DIGEST, "shingles"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(digests[:, i]) for i in range(2)), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], [*DIGEST, "shingles"])
 
     return run
 
@@ -236,9 +247,11 @@ def common_shingles(docs: DataFrame, width: int) -> list[int]:
 
 
 def set_prints(docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
-    """(doc_id, text) -> doc_id, digest, size, sketch and prefix of the set of shingles."""
+    """(doc_id, text) -> doc_id, row (a number of its own once it is written), digest, size, sketches and prefix of
+    the set of shingles."""
     kind = ", ".join(f"{c} long" for c in ("doc_id", *DIGEST, "size", *SKETCH))
-    return docs.select("doc_id", "text").mapInArrow(_prefixes(width, common_shingles(docs, width)), f"{kind}, prefix array<long>")
+    prints = docs.select("doc_id", "text").mapInArrow(_prefixes(width, common_shingles(docs, width)), f"{kind}, long array<long>, prefix array<long>")
+    return prints.withColumn("row", F.monotonically_increasing_id())
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,30 +273,34 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.take(pa.array(kept, pa.int64()))
 
 
-def _with_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, sketched: bool) -> DataFrame:
-    """pairs (a, b) -> a, b, ls, ln, rs, rn: both sets of shingles, or their long sketches, and their sizes.
+#: A long sketch of n longs out of one of n or 2 n: cells that share their lower bits are one.
+_FOLDED = "if(size({x}) > n, zip_with(slice({x}, 1, n), slice({x}, n + 1, n), (x, y) -> x ^ y), {x})"
+_DIFFER = f"aggregate(zip_with({_FOLDED.format(x='llong')}, {_FOLDED.format(x='rlong')}, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
 
-    Only texts that are in a pair are read again, by the least id of their node.
-    """
-    used = pairs.select(F.col("a").alias("used")).union(pairs.select("b")).distinct()
-    ends = written(nodes.join(used, F.col("node") == F.col("used"), "left_semi").select("node", "size", "least_id", *(F.col(d).alias(f"n{d}") for d in DIGEST)), "simhash-ends")
-    texts = docs.select("doc_id", "text").join(ends.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
-    read = texts.mapInArrow(_sets(width, sketched), "d0 long, d1 long, shingles array<long>")
-    sets = read.join(ends, [F.col(d) == F.col(f"n{d}") for d in DIGEST]).groupBy("node").agg(F.any_value("size").alias("n"), F.any_value("shingles").alias("s"))
-    sets = written(sets, "simhash-sets")
-    return pairs.join(_side(sets, "l"), F.col("a") == F.col("lnode")).join(_side(sets, "r"), F.col("b") == F.col("rnode"))
+
+def _with_both(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs (a, b) with the columns of both rows, which are keyed by node."""
+    return pairs.join(_side(rows, "l"), F.col("a") == F.col("lnode")).join(_side(rows, "r"), F.col("b") == F.col("rnode"))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets of shingles have a similarity of 0.8 or more, exactly.
 
-    Long sketches rule out most others first, so that sets, which are as large as texts, travel with few pairs.
+    Long sketches, an eighth of a byte a shingle, rule out nearly all others; texts of the remaining pairs only
+    are read again, by the least id of their node, for their sets, which are as large as texts.
     """
-    differ = F.aggregate(F.zip_with("ls", "rs", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = _with_sets(pairs, nodes, docs, width, True).filter(9 * differ <= F.col("ln") + F.col("rn")).select("a", "b")
-    both = _with_sets(written(near, "simhash-near"), nodes, docs, width, False)
+    both = _with_both(pairs, nodes.select("node", "size", "long")).withColumn("n", F.least(F.size("llong"), F.size("rlong")))
+    near = written(both.filter(f"9 * {_DIFFER} <= lsize + rsize").select("a", "b"), "simhash-near")
+    used = near.select(F.col("a").alias("used")).union(near.select("b")).distinct()
+    ends = written(nodes.join(used, F.col("node") == F.col("used"), "left_semi").select("node", "size", "least_id", *(F.col(d).alias(f"n{d}") for d in DIGEST)), "simhash-ends")
+    ids = ends.select("least_id").distinct()
+    ids = F.broadcast(ids) if ends.count() <= READ_AGAIN else ids
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
+    read = texts.mapInArrow(_sets(width), "d0 long, d1 long, shingles array<long>")
+    sets = read.join(ends, [F.col(d) == F.col(f"n{d}") for d in DIGEST]).groupBy("node").agg(F.any_value("size").alias("n"), F.any_value("shingles").alias("s"))
     # common / (all - common) >= 4 / 5
-    return both.filter(9 * F.size(F.array_intersect("ls", "rs")) >= 4 * (F.col("ln") + F.col("rn"))).select("a", "b")
+    both = _with_both(near, written(sets, "simhash-sets")).filter("9 * size(array_intersect(ls, rs)) >= 4 * (ln + rn)")
+    return written(both.select("a", "b"), "simhash-links")
 
 
 def _may_be_close(x: str, y: str):
@@ -317,8 +334,9 @@ def _rest(rows: DataFrame, tops: DataFrame) -> DataFrame:
     return _pairs(found, "l", "r")
 
 
-def set_links(nodes: DataFrame, docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
-    """(node, least_id, digest, size, sketch, prefix) -> a, b: links of similarity 0.8 or more that connect all such pairs.
+def set_links(nodes: DataFrame, keyed: DataFrame, docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
+    """nodes (node, least_id, digest, size, sketches), keyed (node, key: a shingle of its prefix) -> a, b: links of
+    similarity 0.8 or more that connect all such pairs.
 
     Exact: in any order of the shingles, two sets of similarity 0.8 have one in common among the first
     n - ceil(0.8 n) + 1 of each. Rows with such a shingle in common are a block; equal blocks are one.
@@ -328,13 +346,10 @@ def set_links(nodes: DataFrame, docs: DataFrame, width: int = WIDE_WORDS) -> Dat
     sizes or sketches rule out isn't compared, all else is by its sets of shingles.
     """
     per = W.partitionBy("key")
-    keyed = nodes.select("node", F.explode("prefix").alias("key"))
     members = F.count("*").over(per).alias("members")
     met = keyed.select("node", *(F.bit_xor(F.xxhash64("node", F.lit(i))).over(per).alias(f"x{i}") for i in range(2)), members).filter("members > 1").distinct()
-    met = written(met, "simhash-blocks")
     rows = written(met.join(nodes.select(F.col("node").alias("own"), "size", *SKETCH), F.col("node") == F.col("own")).drop("own"), "simhash-members")
-    pairs = written(_stars(rows, 0), "simhash-pairs")
-    links = written(verified(pairs, nodes, docs, width), "simhash-links")
+    links = verified(written(_stars(rows, 0), "simhash-pairs"), nodes, docs, width)
     for turn in range(1, STARS + 2):
         roots = components(_thinned(links)).withColumnRenamed("node", "linked")
         rooted = written(rows.filter("members > 2").join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).drop("linked"), "simhash-rooted")
@@ -343,10 +358,10 @@ def set_links(nodes: DataFrame, docs: DataFrame, width: int = WIDE_WORDS) -> Dat
         large = tops.filter(F.col("members") > BUCKET)
         if turn <= STARS and not large.isEmpty():
             found = _stars(rooted.join(large, list(BLOCK), "left_semi").drop("root"), turn)
-            links = links.union(written(verified(written(found, "simhash-pairs"), nodes, docs, width), "simhash-links"))
+            links = links.union(verified(written(found, "simhash-pairs"), nodes, docs, width))
             continue
         found = written(_rest(rooted, tops), "simhash-pairs")
-        return _thinned(links.union(written(verified(found, nodes, docs, width), "simhash-links")))
+        return _thinned(links.union(verified(found, nodes, docs, width)))
 
 
 def _thinned(links: DataFrame) -> DataFrame:
@@ -354,13 +369,17 @@ def _thinned(links: DataFrame) -> DataFrame:
 
 
 def set_classes(prints: DataFrame, docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
-    """(doc_id, digest, size, sketch, prefix) and the documents -> digest, root, component_id; one row per digest."""
-    distinct = prints.groupBy(*DIGEST).agg(F.min("doc_id").alias("least_id"), F.any_value(F.struct("size", *SKETCH, "prefix")).alias("s")).select(*DIGEST, "least_id", "s.*")
-    nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
-    roots = components(set_links(nodes, docs, width)).withColumnRenamed("node", "linked")
-    rooted = written(nodes.join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).select(*DIGEST, "least_id", "root"), "simhash-roots")
-    ids = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component_id"))
-    return written(rooted.join(ids, F.col("root") == F.col("r")).select(*(F.col(d).alias(f"c{d}") for d in DIGEST), "root", "component_id"), "simhash-classes")
+    """set_prints, written, and the documents -> digest, root, component_id; one row per digest."""
+    with scratch(prints.sparkSession):
+        heads = prints.groupBy(*DIGEST).agg(F.min("doc_id").alias("least_id"), F.min("row").alias("node"))
+        heads = written(heads.select("least_id", "node"), "simhash-heads")
+        nodes = written(prints.drop("doc_id", "prefix").join(heads, F.col("row") == F.col("node")).drop("row"), "simhash-nodes")
+        keyed = prints.select("row", "prefix").join(heads.select("node"), F.col("row") == F.col("node"), "left_semi")
+        keyed = keyed.select(F.col("row").alias("node"), F.explode("prefix").alias("key"))
+        roots = components(set_links(nodes, keyed, docs, width)).withColumnRenamed("node", "linked")
+        rooted = written(nodes.join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).select(*DIGEST, "least_id", "root"), "simhash-roots")
+        ids = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component_id"))
+        return written(rooted.join(ids, F.col("root") == F.col("r")).select(*(F.col(d).alias(f"c{d}") for d in DIGEST), "root", "component_id"), "simhash-classes", keep=True)
 
 
 def keep_one(docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
@@ -369,13 +388,14 @@ def keep_one(docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
     Where several rows carry that id, and in groups without any id, the row with the smallest
     XXH64 over all its columns stays; only such rows' shingles are hashed again to tell them apart.
     """
-    prints = written(set_prints(docs, width), "simhash-prints")
-    found = set_classes(prints, docs, width)
-    same = [F.col(d) == F.col(f"c{d}") for d in DIGEST]
-    uses = prints.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("uses"))
-    heads = prints.join(found, same).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    single = written(uses.filter("uses = 1 and id is not null").join(heads, F.col("id") == F.col("doc_id"), "left_semi").select(F.col("id").alias("kept_id")), "simhash-single")
-    unclear = written(uses.filter("uses > 1 or id is null").select(F.col("id").alias("unclear_id")), "simhash-unclear")
+    with scratch(docs.sparkSession):
+        prints = written(set_prints(docs, width), "simhash-prints")
+        found = written(set_classes(prints, docs, width), "simhash-classes", keep=True)
+        same = [F.col(d) == F.col(f"c{d}") for d in DIGEST]
+        uses = prints.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("uses"))
+        heads = prints.join(found, same).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+        single = written(uses.filter("uses = 1 and id is not null").join(heads, F.col("id") == F.col("doc_id"), "left_semi").select(F.col("id").alias("kept_id")), "simhash-single", keep=True)
+        unclear = written(uses.filter("uses > 1 or id is null").select(F.col("id").alias("unclear_id")), "simhash-unclear", keep=True)
     plain = docs.join(single, docs["doc_id"] == single["kept_id"], "left_semi")
 
     rows = docs.join(unclear, docs["doc_id"].eqNullSafe(unclear["unclear_id"]), "left_semi").select("text", F.struct(*docs.columns).alias("row"))

@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 OVER = 2048
 _KNOWN = 300_000
@@ -74,6 +74,7 @@ class WordCounter:
 
 
 def _encoder(path: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 

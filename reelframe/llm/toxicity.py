@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 BITS = 22
 MAX_ROWS = 16_384
@@ -92,6 +92,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features(bits: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featurizer(bits)
         for b in batches:
@@ -102,6 +103,7 @@ def _features(bits: int):
 
 
 def _trainer(bits: int, epochs: int):
+    @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = 1 << bits
         model, rows = Ftrl(size), []
@@ -148,6 +150,7 @@ def score(docs: DataFrame, weights: dict[int, float], bits: int = BITS) -> DataF
     """(doc_id, text) -> doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = Scorer(shared.value, bits)
         for b in batches:
@@ -161,6 +164,7 @@ def keep_clean(docs: DataFrame, weights: dict[int, float], bits: int = BITS) ->
     """The rows of docs, all columns, that the model doesn't call toxic; one narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = Scorer(shared.value, bits)
         for b in batches:

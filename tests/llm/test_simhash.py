@@ -211,3 +211,26 @@ def test_template_group_as_by_all_pairs(spark, docs, monkeypatch, bucket):
             own[at] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(own)))
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs(rows)).collect()) == slow_groups(rows)
+
+
+@pytest.mark.parametrize("sizes", [(0, 0), (1, 1), (250, 260), (300, 257), (1000, 1030), (5000, 4100)])
+def test_long_sketches_never_differ_more_than_the_sets(spark, sizes):
+    rng = np.random.default_rng(sum(sizes))
+    a, b = (np.unique(rng.integers(0, 2**63, n, np.uint64)) for n in sizes)
+    b = np.unique(np.concatenate([a[: len(b) // 2], b[len(b) // 2 :]]))
+    row = [(simhash.long_sketch(a).tolist(), simhash.long_sketch(b).tolist())]
+    df = spark.createDataFrame(row, "llong array<long>, rlong array<long>").selectExpr("*", "least(size(llong), size(rlong)) as n")
+    bits = 64 * df.first()["n"]
+    want = np.unpackbits((simhash._sketch(a, bits) ^ simhash._sketch(b, bits)).view(np.uint8)).sum()
+    got = df.selectExpr(simhash._DIFFER).first()[0]
+    assert got == want <= len(np.setxor1d(a, b))
+
+
+def test_tables_of_steps_are_deleted(spark, docs, tmp_path, monkeypatch):
+    from reelframe.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    rows, _ = near_copies(size=40)
+    kept = simhash.keep_one(docs(rows))
+    left = {p.name.rpartition("-")[0] for p in tmp_path.iterdir()}
+    assert kept.count() and left == {"simhash-classes", "simhash-single", "simhash-unclear"}
