@@ -4,19 +4,23 @@ parts: the host runs from the first `://` to `/`, `?`, `#` or the end, with A-Z
 from there to `?`, `#` or the end. Rules are (verdict, host, path): a rule fits its host and all its
 subdomains if the path starts with the rule's; the longest host and path wins (ties: block before
 allow, then by text). The model sees the character n-grams of `^host$` and `^path$`, digits as 0, hashed by the
-first 4 hex digits of their MD5 into 1,024 buckets each, present or absent. It is trained by Newton steps
-with an L2 penalty on a small labelled table; weights are rounded to whole millionths, so scores are
+first 4 hex digits of their MD5 into 4,096 buckets each, present or absent. It is trained by Newton steps
+with an L2 penalty on a small labelled table, in which unwanted words stand in hosts with plain paths as well
+as in paths below plain hosts; weights are rounded to whole millionths, so scores are
 integer sums and equal on every engine. Scoring uses Spark expressions only.
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule and is judged by
 the model's intercept alone; a null page_id is kept; repeated rows are judged each; long urls are read
-whole; an empty table gives an empty result.
+whole; an empty table gives an empty result; columns beside page_id and url are never read, so their names
+can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,21 +28,33 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-SIZES, BUCKETS, SCALE = (3, 4), 1024, 1_000_000
+SIZES, BUCKETS, SCALE = (3, 4), 4096, 1_000_000
 #: (verdict, host, path): the rules of the query's contract.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "org", "/es/"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"))
 
 
+UNWANTED = ("adult", "bet", "bets", "betting", "bingo", "bonus", "casino", "cheap", "clickads", "crack", "escort", "free-money", "gambling", "jackpot", "loans", "lottery", "payday", "phish", "pills", "poker", "porn", "replica", "roulette", "slots", "spam", "torrent", "viagra", "warez", "win", "xxx")
+WANTED = ("archive", "blog", "city", "data", "docs", "garden", "guide", "history", "journal", "library", "market", "museum", "music", "news", "open", "radio", "review", "school", "science", "sport", "travel", "village", "weather", "wiki")
+SYLLABLES = ("ba", "ner", "lo", "tin", "mar", "sel", "vo", "ran", "dis", "keu", "pol", "est", "hal", "gri", "om", "wen", "sho", "ing", "ther", "ati")
+SUBDOMAINS, ENDS, LANGUAGES = ("", "www.", "m.", "blog."), ("example.com", "example.org", "example.net"), ("en", "de", "fr", "es")
+
+
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small training table, made from a rule: 1 is to be blocked."""
-    wanted = ("docs", "wiki", "news", "library", "archive", "museum", "science", "school", "m", "www", "blog", "data")
-    unwanted = ("casino", "adult", "xxx", "betting", "warez", "torrent", "clickads", "pills", "loans", "spam", "phish", "free-money")
-    good_paths = ("/en/article/12", "/de/825", "/fr/99", "/es/seite/3", "/about", "/guide/chapter-2", "/", "/index.html")
-    bad_paths = ("/win-now/1", "/xxx/gallery", "/buy-pills/9", "/track/click/77", "/download/crack", "/free-money", "/bet/slots", "/popup/ad")
-    ends = ("example.com", "example.org", "example.net")
-    good = [(f"https://{h}.{ends[i % 3]}{p}", 0) for i, h in enumerate(wanted) for p in good_paths]
-    bad = [(f"http://{h}.{ends[i % 3]}{p}", 1) for i, h in enumerate(unwanted) for p in bad_paths]
-    return good + bad
+    """The small training table, made from rules: 1 is to be blocked.
+
+    Subdomains, domains, languages and numbers are dealt alike to both labels, so that only words tell them apart.
+    """
+    turn = itertools.count()
+    deal = lambda of: of[int(hashlib.md5(str(next(turn)).encode()).hexdigest()[:8], 16) % len(of)]
+    leaf = lambda: deal(("3", "41", "825", "7019", "20411")) + deal(("", "/", ".html"))
+    plain = lambda: deal((f"/{deal(LANGUAGES)}/{leaf()}", f"/{deal(LANGUAGES)}/{leaf()}", f"/{deal(WANTED)}/{deal(LANGUAGES)}/{leaf()}", "/"))
+    url = lambda name, path: f"{deal(('http', 'https'))}://{deal(SUBDOMAINS)}{name}.{deal(ENDS)}{path}"
+    invented = [a + b + c for i, (a, b) in enumerate(itertools.product(SYLLABLES, SYLLABLES)) for c in ("", SYLLABLES[i * 3 % 20])]
+    good = [url(name, plain()) for name in invented] + [url(w, plain()) for w in WANTED for _ in LANGUAGES] + [url(f"{w}{deal(('', '-'))}{v}", plain()) for w, v in itertools.pairwise(WANTED * 2)]
+    both = [(w, UNWANTED[(i * 11 + k) % len(UNWANTED)]) for i, w in enumerate(UNWANTED) for k in (1, 5)]
+    bad = [url(f"{w}{deal(('-', ''))}{v}", plain()) for w, v in both] + [url(w, plain()) for w in UNWANTED] + [url(f"{w}-{deal(WANTED)}", plain()) for w in UNWANTED]
+    bad += [url(deal(invented), f"/{deal(LANGUAGES)}/{w}/{leaf()}") for w in UNWANTED] + [url(deal(WANTED), f"/{w}-{v}/{deal(LANGUAGES)}/{leaf()}") for w, v in both[::2]]
+    return [(u, 0) for u in good] + [(u, 1) for u in bad]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -82,6 +98,11 @@ def train(rows: list[tuple[str, int]], l2: float = 1.0, steps: int = 25) -> list
     return [int(k) for k in np.round(w * SCALE)]
 
 
+@lru_cache(maxsize=1)
+def trained() -> list[int]:
+    return train(labelled_urls())
+
+
 def parts(url: Column) -> tuple[Column, Column]:
     m = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     return ascii_lower(F.coalesce(F.regexp_extract(url, m, 1), F.lit(""))), F.coalesce(F.regexp_extract(url, m, 2), F.lit(""))
@@ -96,7 +117,7 @@ def _ids(text: Column, offset: int) -> Column:
 
 
 def score(host: Column, path: Column, weights: list[int]) -> Column:
-    table = F.array(*(F.lit(w).cast("long") for w in weights[:-1]))
+    table = F.split(F.lit(",".join(map(str, weights[:-1]))), ",").cast("array<bigint>")  # folded to one literal
     ids = F.concat(_ids(host, 0), _ids(path, BUCKETS))
     total = F.aggregate(ids, F.lit(weights[-1]).cast("long"), lambda a, i: a + F.element_at(table, i + 1))
     return F.when((host == "") & (path == ""), F.lit(weights[-1]).cast("long")).otherwise(total)
@@ -108,7 +129,7 @@ def ordered(rules: tuple[tuple[str, str, str], ...]) -> list[tuple[str, str, str
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, weights: list[int] | None = None) -> DataFrame:
     """(page_id, url) -> page_id, host, path, rule, verdict, score (millionths; above 0 is blocked)."""
-    weights = train(labelled_urls()) if weights is None else weights
+    weights = trained() if weights is None else weights
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -122,7 +143,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, wei
 
 def sql(rules: tuple[tuple[str, str, str], ...] = RULES, weights: list[int] | None = None) -> str:
     """The same in DuckDB SQL."""
-    weights = train(labelled_urls()) if weights is None else weights
+    weights = trained() if weights is None else weights
     cases = lambda what: "case " + " ".join(f"when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then '{what(k, h, p)}'" for k, h, p in ordered(rules)) + " end"
     grams = lambda t: " || ".join(f"list_transform(range(1, length({t}) - {n} + 2), lambda i: substr({t}, i, {n}))" for n in SIZES)
     ids = lambda t, o: f"list_distinct(list_transform(list_distinct({grams(t)}), lambda g: ('0x' || substr(md5(g), 1, 4))::bigint % {BUCKETS} + {o}))"
