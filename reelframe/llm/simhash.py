@@ -123,8 +123,9 @@ WIDE_WORDS, WIDE_DISTANCE = 5, 46
 #: A set of shingles: its digest and its sketch (the parity of its hashes by their low byte).
 DIGEST, SKETCH = ("d0", "d1"), ("s0", "s1", "s2", "s3")
 BLOCK = ("x0", "x1", "members")
-#: Blocks of more rows with several groups are compared with STARS more of their rows before all groups are.
-BUCKET, STARS = 64, 2
+#: Rows of its block that a row is compared with in each turn; after the first turn in blocks of over BUCKET rows with
+#: several groups only, rows of the largest group excepted. What isn't linked then is compared with all rows.
+BUCKET, CENTRES = 64, (1, 8, 32)
 #: Texts sampled for the order of shingles; those in COMMON of them or more come last, ORDERED of them by number.
 SAMPLE, COMMON, ORDERED = 20_000, 8, 100_000
 #: Texts that a worker holds at once; ids of texts to read again that are broadcast, beyond that both sides are shuffled.
@@ -318,12 +319,12 @@ def _pairs(found: DataFrame, x: str, y: str) -> DataFrame:
     return found.select(F.least(f"{x}node", f"{y}node").alias("a"), F.greatest(f"{x}node", f"{y}node").alias("b")).distinct()
 
 
-def _stars(rows: DataFrame, turn: int) -> DataFrame:
-    """(BLOCK, node, size, sketch) -> pairs of every row with one row of its block, another one each turn."""
-    chosen = rows.groupBy(*BLOCK).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "size", *SKETCH)).alias("c"))
-    other = chosen.select(*(F.col(b).alias(f"r{b}") for b in BLOCK), *(F.col(f"c.{c}").alias(f"r{c}") for c in ("node", "size", *SKETCH)))
+def _stars(some: DataFrame, rows: DataFrame, turn: int) -> DataFrame:
+    """(BLOCK, node, size, sketch, root) -> pairs of some of the rows with a few of their blocks, others each turn."""
+    place = F.row_number().over(W.partitionBy(*BLOCK).orderBy(F.xxhash64("node", F.lit(turn)), "node"))
+    centres = rows.withColumn("place", place).filter(F.col("place") <= CENTRES[turn]).drop("place")
     same = [F.col(f"l{b}") == F.col(f"r{b}") for b in BLOCK]
-    return _pairs(_side(rows, "l").join(other, same).filter(F.col("lnode") != F.col("rnode")).filter(_may_be_close("l", "r")), "l", "r")
+    return _pairs(_side(some, "l").join(_side(centres, "r"), [*same, F.col("lroot") != F.col("rroot"), _may_be_close("l", "r")]), "l", "r")
 
 
 def _rest(rows: DataFrame, tops: DataFrame) -> DataFrame:
@@ -349,15 +350,17 @@ def set_links(nodes: DataFrame, keyed: DataFrame, docs: DataFrame, width: int =
     members = F.count("*").over(per).alias("members")
     met = keyed.select("node", *(F.bit_xor(F.xxhash64("node", F.lit(i))).over(per).alias(f"x{i}") for i in range(2)), members).filter("members > 1").distinct()
     rows = written(met.join(nodes.select(F.col("node").alias("own"), "size", *SKETCH), F.col("node") == F.col("own")).drop("own"), "simhash-members")
-    links = verified(written(_stars(rows, 0), "simhash-pairs"), nodes, docs, width)
-    for turn in range(1, STARS + 2):
+    alone = rows.withColumn("root", F.col("node"))
+    links = verified(written(_stars(alone, alone, 0), "simhash-pairs"), nodes, docs, width)
+    for turn in range(1, len(CENTRES) + 1):
         roots = components(_thinned(links)).withColumnRenamed("node", "linked")
         rooted = written(rows.filter("members > 2").join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).drop("linked"), "simhash-rooted")
         groups = rooted.groupBy(*BLOCK, "root").agg(F.count("*").alias("n"))
         tops = written(groups.groupBy(*BLOCK).agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").drop("roots"), "simhash-tops")
         large = tops.filter(F.col("members") > BUCKET)
-        if turn <= STARS and not large.isEmpty():
-            found = _stars(rooted.join(large, list(BLOCK), "left_semi").drop("root"), turn)
+        if turn < len(CENTRES) and not large.isEmpty():
+            some = rooted.join(large, list(BLOCK))
+            found = _stars(some.filter("root <> top").drop("top"), some.drop("top"), turn)
             links = links.union(verified(written(found, "simhash-pairs"), nodes, docs, width))
             continue
         found = written(_rest(rooted, tops), "simhash-pairs")
