@@ -4,16 +4,21 @@ A cache is a Parquet folder of (tokenizer, digest, n_tokens): `tokenizer` is the
 tokenizer's file with the library's name, `digest` that of the normalised content. Content is
 normalised by joining its ASCII-white-space-separated words with single spaces, which can't change a
 count: this tokenizer drops white space and no token crosses it. Documents join the cache on both
-digests; of the contents that are missing, one document each is encoded and the counts are appended.
-Then every document takes its count from the cache.
+digests; texts are grouped by digest, before and after they are dealt, so that one text of each missing
+digest is encoded, and the counts are appended: one row for a digest. Then every document takes its count
+from the cache.
 
 The encoder counts a text as the sum over its words, and asks the library for each distinct word
 once per task (a bounded dictionary holds the answers); special strings contain no white space, so
 they fall within words and the library treats them as in the text.
 
+Only such tokenizers can be counted by word: `word_counter` compares sums over words with whole texts on
+fixed samples and refuses others.
+
 Defined cases: a null text is empty and has 0 tokens; repeated rows and equal contents share one
-count; null doc_ids are counted; an empty table gives an empty result and leaves the cache alone;
-a repeated append of a digest is harmless (the maximum is taken).
+count; null and repeated doc_ids are counted, row by row; very long texts are counted whole; an empty table
+gives an empty result and leaves the cache alone; a repeated append of a digest is harmless (the maximum is
+taken); columns beside doc_id and text are never read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -43,14 +48,22 @@ def _raw(x: pa.Scalar) -> bytes:
     return x.as_buffer().to_pybytes() if x.is_valid else b""
 
 
+def _digest(raw: bytes) -> bytes:
+    return hashlib.sha256(b" ".join(raw.split())).digest()
+
+
+@lean
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sizes, digests = [], []
-        for x in b["text"]:
-            raw = _raw(x)
-            sizes.append(len(raw))
-            digests.append(hashlib.sha256(b" ".join(raw.split())).digest())
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n_bytes", "digest"])
+        raws = [_raw(x) for x in b["text"]]
+        cols = [b["doc_id"], pa.array(map(len, raws), pa.int64()), pa.array(map(_digest, raws), pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "digest"])
+
+
+@lean
+def _with_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(_raw(x)) for x in b["text"]], pa.binary()), b["text"]], ["digest", "text"])
 
 
 class WordCounter:
@@ -73,6 +86,18 @@ class WordCounter:
         return sum(map(self.known.__getitem__, words))
 
 
+#: Texts on which sums over words have to be what the library makes of the whole.
+SAMPLES = ("Hello  World\n\tfoo, bar.", "a<|endoftext|>b <|startoftext|>", "it's DON'T 123 4,5 \u65e5\u672c\u8a9e \u00e9 e\u0301 \uff21\u00a0x\u2003y", "  x\n\n\ty  ", "word " * 40)
+
+
+def word_counter(path: str) -> WordCounter:
+    counter = WordCounter(path)
+    for text in SAMPLES:
+        if counter.count(text.encode().split()) != len(counter.tokenizer.encode(text, add_special_tokens=False).ids):
+            raise ValueError(f"this tokenizer doesn't drop white space, its texts can't be counted by word: {path}")
+    return counter
+
+
 def _encoder(path: str):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,14 +106,7 @@ def _encoder(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counter = WordCounter(path)
         for b in batches:
-            digests, counts = [], []
-            for want, x in zip(b["digest"], b["text"], strict=True):
-                words = _raw(x).split()
-                digest = hashlib.sha256(b" ".join(words)).digest()
-                if digest == want.as_py():  # another row of the same doc_id may hold another text
-                    digests.append(digest)
-                    counts.append(counter.count(words))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b["digest"], pa.array([counter.count(_raw(x).split()) for x in b["text"]], pa.int64())], ["digest", "n_tokens"])
 
     return run
 
@@ -105,13 +123,12 @@ def _stored(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, over: int = OVER) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_tokens, over_limit; misses are appended to cache."""
+    word_counter(tokenizer_path)
     spark, tokenizer = docs.sparkSession, tokenizer_version(tokenizer_path)
     keyed = written(docs.select("doc_id", "text").mapInArrow(_digests, "doc_id long, n_bytes long, digest binary"), "token-digests")
-    distinct = keyed.groupBy("digest").agg(F.min("doc_id").alias("head"))
-    misses = distinct.join(_stored(spark, cache, tokenizer), F.col("digest") == F.col("known"), "left_anti")
-    heads = misses.select("digest", F.col("head").alias("head"))
-    texts = docs.select("doc_id", "text").join(heads.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("head")))
-    counted = texts.select("digest", "text").mapInArrow(_encoder(tokenizer_path), "digest binary, n_tokens long")
+    texts = docs.select("text").mapInArrow(_with_digests, "digest binary, text string").groupBy("digest").agg(F.any_value("text").alias("text"))
+    misses = texts.join(_stored(spark, cache, tokenizer), F.col("digest") == F.col("known"), "left_anti")
+    counted = misses.mapInArrow(_encoder(tokenizer_path), "digest binary, n_tokens long")
     counted.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = _stored(spark, cache, tokenizer).join(keyed.select("digest").distinct(), F.col("known") == F.col("digest"), "left_semi")
     counts = written(counts.groupBy("known").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
