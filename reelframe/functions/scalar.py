@@ -119,7 +119,13 @@ def rouge_l(reference: Column, candidate: Column) -> Column:
     return F.when((F.size(reference) > 0) & (F.size(candidate) > 0), 2.0 * common / both).otherwise(0.0)
 
 
+# What an error of exhausted memory says.
+MEMORY_MARKERS = (
+    "cuda out of memory", "out of memory", "cuda oom", "oom", "cublas_status_alloc_failed", "cuda error: out of memory", "not enough memory",
+    "insufficient memory", "failed to allocate memory", "allocation on device", "hip out of memory", "vram",
+)
+
+
 def memory_message(c: Column) -> Column:
-    """Does an error text speak of exhausted memory?"""
-    marks = ("out of memory", "cuda error: out of memory", "cublas_status_alloc_failed", "not enough memory", "failed to allocate")
-    return F.exists(F.array(*(F.lit(m) for m in marks)), lambda m: F.contains(F.lower(c), m))
+    """Does an error text speak of exhausted memory? A null text doesn't."""
+    return F.exists(F.array(*(F.lit(m) for m in MEMORY_MARKERS)), lambda m: F.contains(F.lower(F.coalesce(c, F.lit(""))), m))

@@ -33,7 +33,16 @@ SUFFIX_RULES = (
     ("ingly", "ing"), ("sses", "ss"), ("ies", "y"), ("ing", ""), ("ized", "ize"), ("ises", "ise"), ("ied", "y"), ("ers", "er"),
     ("ives", "ife"), ("ves", "f"), ("s", ""),
 )
-SPECULATION = ("likely", "probably", "possibly", "maybe", "perhaps", "might", "seems", "appears")
+SPECULATION = (
+    "maybe", "might", "seems", "seem", "appears", "appear", "appear to", "suggests", "suggest", "symbolize", "symbolizes", "symbolise",
+    "symbolises", "represent", "represents", "possibly", "perhaps",
+)
+MODEL_TAGS = (("internvl", "InternVL"), ("qwen", "qwen"), ("llama", "llama"), ("gemma", "gemma"), ("minicpm", "minicpm"))
+API_TAGS = ("claude", "gemini", "gpt")
+PROVIDERS = {
+    "openai": "chatgpt", "chatgpt": "chatgpt", "gpt": "chatgpt", "gpt4": "chatgpt", "gpt-4": "chatgpt", "gpt-4o": "chatgpt",
+    "custom": "gemini", "gemini": "gemini", "anthropic": "claude", "claude": "claude",
+}
 FIELD_SEPARATOR = "<SEP>"
 
 
@@ -210,10 +219,10 @@ def visual_tokens(c: Column) -> Column:
 
 
 def query_keywords(c: Column, most: int = 8) -> Column:
-    """Distinct ASCII words of three letters or more without stop words; else the query's first 64 characters."""
+    """Distinct words of three letters or more, of any alphabet, without stop words; else the query's first 64 characters."""
     stop = strings(KEYWORD_STOPWORDS)
     bare = F.transform(words(c), lambda w: F.lower(F.regexp_replace(w, r"""^[ ,.;:!?()\[\]{}"'\n\t]+|[ ,.;:!?()\[\]{}"'\n\t]+$""", "")))
-    kept = F.array_distinct(F.filter(bare, lambda w: F.rlike(w, F.lit("^[a-z]{3,}$")) & ~F.array_contains(stop, w)))
+    kept = F.array_distinct(F.filter(bare, lambda w: F.rlike(w, F.lit(r"^\p{L}{3,}$")) & ~F.array_contains(stop, w)))
     return F.when(F.size(kept) > 0, F.slice(kept, 1, most)).otherwise(F.array(F.substring(c, 1, 64)))
 
 
@@ -233,8 +242,9 @@ def cut_field(c: Column, most: int = 280) -> Column:
 
 
 def without_words(c: Column, unwanted=SPECULATION) -> Column:
-    """The text without tokens that are exactly one of `unwanted`."""
-    return F.array_join(F.filter(words(c), lambda w: ~F.array_contains(strings(unwanted), F.lower(w))), " ")
+    """The text without tokens that are exactly one of `unwanted`; as it is where it holds none of them in any word."""
+    holds = reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(w)) for w in unwanted))
+    return F.when(holds, F.array_join(F.filter(words(c), lambda w: ~F.array_contains(strings(unwanted), F.lower(w))), " ")).otherwise(strip(c))
 
 
 def distinct_sentences(c: Column) -> Column:
@@ -254,15 +264,19 @@ def token_count(c: Column) -> Column:
     return F.size(words(F.coalesce(c, F.lit(""))))
 
 
-def model_tag(c: Column) -> Column:
-    """The short name of a model by the first part that its name contains."""
-    rules = (("gpt", "gpt"), ("gemini", "gemini"), ("claude", "claude"), ("qwen", "qwen"), ("llava", "llava"), ("internvl", "internvl"), ("deepseek", "deepseek"))
-    out = F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_")
-    for part, tag in reversed(rules):
+def model_tag(c: Column, api: Column | None = None) -> Column:
+    """The short name of a model: by the part that the API's model name contains, else by that of its own name,
+    else what stands before the first colon."""
+    bare = F.substring_index(F.lower(F.coalesce(c, F.lit(""))), ":", 1)
+    out = F.regexp_replace(F.when(bare == "", "misc").otherwise(bare), "/", "_")
+    for part, tag in reversed(MODEL_TAGS):
         out = F.when(F.contains(F.lower(c), F.lit(part)), tag).otherwise(out)
+    for tag in reversed(API_TAGS if api is not None else ()):
+        out = F.when(F.contains(F.lower(api), F.lit(tag)), tag).otherwise(out)
     return out
 
 
-def provider(c: Column) -> Column:
-    aliases = {"chatgpt": "chatgpt", "openai": "chatgpt", "gpt": "chatgpt", "gemini": "gemini", "google": "gemini", "claude": "claude", "anthropic": "claude"}
-    return _mapped(F.lower(strip(c)), aliases)
+def provider(c: Column, default: str = "chatgpt") -> Column:
+    """One of chatgpt, gemini, claude; unknown names are chatgpt, none at all is the default."""
+    name = F.lower(F.when(F.coalesce(c, F.lit("")) == "", F.lit(default)).otherwise(c))
+    return F.coalesce(F.get(F.transform(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in PROVIDERS.items())), lambda x: x["k"] == name), lambda x: x["v"]), F.lit(0)), F.lit("chatgpt"))

@@ -109,7 +109,7 @@ def fuzzy_truth(results: DataFrame, truth: DataFrame, at_least: float = FUZZY) -
     near = near.filter(2 * (shared + other) >= at_least * (F.col("la") + F.col("lb")))
     schema = "question string, truth_question string, qa string, qb string, ratio double"
     scored = near.select("question", "truth_question", "qa", "qb").mapInPandas(_ratios, schema).filter(F.col("ratio") >= at_least)
-    return scored.groupBy("question").agg(F.max_by(F.struct("truth_question", "ratio"), F.struct(F.col("ratio"), -F.xxhash64("truth_question"))).alias("b")).select("question", "b.*")
+    return scored.groupBy("question").agg(F.min_by(F.struct("truth_question", "ratio"), F.struct(-F.col("ratio"), F.col("truth_question"))).alias("b")).select("question", "b.*")
 
 
 def levenshtein_truth(results: DataFrame, truth: DataFrame, at_least: float = FUZZY) -> DataFrame:

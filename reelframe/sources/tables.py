@@ -5,9 +5,11 @@ Schemas are explicit; nothing is inferred from data. Graphs are also read from a
 
 from __future__ import annotations
 
+import time
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,7 +104,17 @@ def set_aside(results: DataFrame, backup: str) -> DataFrame:
     return kept.filter("_corrupt_record is null").drop("_corrupt_record")
 
 
-def append_results(results: DataFrame, path: str, by: list[str] | None = None) -> None:
+def append_results(results: DataFrame, path: str, by: list[str] | None = None, key: list[str] | None = None) -> None:
+    """Append the rows whose key (by default the question and the partition) isn't there yet, one of each key; so a
+    second call changes nothing."""
+    key = key or ["question", *(by or [])]
+    results = results.dropDuplicates(key)
+    try:
+        there = results.sparkSession.read.schema(results.schema).json(path).select(*(F.col(k).alias(f"old_{k}") for k in key))
+        results = results.join(there, [F.col(k).eqNullSafe(F.col(f"old_{k}")) for k in key], "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     writer = results.write.mode("append")
     (writer.partitionBy(*by) if by else writer).json(path)
 
@@ -114,15 +126,16 @@ def append_failures(rows: DataFrame, *paths: str) -> None:
 
 
 def commit(tables: dict[str, DataFrame], root: str, version: str) -> None:
-    """All tables of a version, then one marker: readers take the last marked version, so they see all or none."""
+    """All tables of a version, then one marker: readers take the version marked last, by time, so they see all or none."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{root}/_versions")
+    marker = spark.createDataFrame([(version, time.time_ns())], "version string, at long")
+    marker.coalesce(1).write.mode("append").json(f"{root}/_versions")
 
 
 def committed(spark: SparkSession, root: str, name: str) -> DataFrame:
-    last = spark.read.schema("version string").json(f"{root}/_versions").agg(F.max("version")).first()[0]
+    last = spark.read.schema("version string, at long").json(f"{root}/_versions").agg(F.max_by("version", F.struct("at", "version"))).first()[0]
     return spark.read.parquet(f"{root}/{last}/{name}")
 
 

@@ -9,15 +9,15 @@ from .text import sql_keypoint, sql_squeeze, sql_words
 _N = "(select count(*) from benchmark)"
 MATCH = f"""kp as (select item_id, {sql_words('x')} as k from (select item_id, {sql_keypoint('text')} as x from benchmark)),
   ans as (select doc_id, lang, {sql_words('x')} as a from (select doc_id, lang, {sql_keypoint('text')} as x from documents)),
-  p as (select doc_id, lang, item_id, k, a, len(list_intersect(list_distinct(k), list_distinct(a))) as shared, len(list_distinct(k || a)) as total from ans join kp on item_id = doc_id % 40),
+  p as (select doc_id, lang, item_id, k, a, len(list_intersect(list_distinct(k), list_distinct(a))) as shared, len(list_distinct(k || a)) as total from ans join kp on item_id = doc_id % {_N}),
   m as (select *, case when total > 0 then shared / total::double else 0 end as j, case when len(k) > 0 and len(a) > 0 then ceil(least(len(k), len(a)) * 6 / 10::double)::bigint else 1 end as need from p),
   matches as (select *, len(k) > 0 and (j >= 0.5 or shared >= need) as matched from m)"""
 
 
 def matches(t: Tables) -> DataFrame:
-    """Every document as an answer to the keypoint whose number is its own modulo 40."""
+    """Every document as an answer to the keypoint whose number is its own modulo their number."""
     kp = t.benchmark.select("item_id", evaluate.keypoint_tokens(F.col("text")).alias("kp"))
-    d = t.documents.select("doc_id", "lang", evaluate.keypoint_tokens(F.col("text")).alias("ans"), (F.col("doc_id") % 40).alias("item_id"))
+    d = t.documents.select("doc_id", "lang", evaluate.keypoint_tokens(F.col("text")).alias("ans"), (F.col("doc_id") % max(1, t.benchmark.count())).alias("item_id"))
     return d.join(kp, "item_id").select("doc_id", "item_id", "lang", *(c.alias(n) for n, c in evaluate.keypoint_columns(F.col("kp"), F.col("ans")).items()))
 
 

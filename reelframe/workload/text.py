@@ -130,7 +130,7 @@ _PUNCT = r"""[ ,.;:!?()\[\]{}"''\n\t]"""
 @query(
     f"""select conv_id, turn, array_to_string(case when len(k) > 0 then k[1:8] else [substr(text, 1, 64)] end, '|') as keywords from (
     select conv_id, turn, text, list_filter(list_transform({sql_words('text')}, lambda w: lower(regexp_replace(w, '^{_PUNCT}+|{_PUNCT}+$', '', 'g'))),
-      lambda w: regexp_matches(w, '^[a-z]{{3,}}$') and not list_contains({sql_list(text.KEYWORD_STOPWORDS)}, w)) as a,
+      lambda w: regexp_matches(w, '^\\p{{L}}{{3,}}$') and not list_contains({sql_list(text.KEYWORD_STOPWORDS)}, w)) as a,
       list_filter(a, lambda w, i: list_position(a, w) = i) as k from conversations)"""
 )
 def query_keywords(t: Tables) -> DataFrame:
@@ -178,9 +178,18 @@ def cut_fields(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.md5(text.cut_at_word(c, 280)).alias("at_word"), F.md5(text.cut_field(c)).alias("field"))
 
 
-@query(f"select item_id, array_to_string(list_filter({sql_words('text')}, lambda w: not list_contains(['the', 'of', 'and'], lower(w))), ' ') as caption from benchmark")
+_TOLD = "(text || case item_id % 4 when 0 then ' maybe it Seems so' when 1 then ' unlikely  mighty' when 2 then ' which appear to represent this' else '' end)"
+_DOUBT = "['maybe', 'might', 'seems', 'seem', 'appears', 'appear', 'suggests', 'suggest', 'symbolize', 'symbolizes', 'symbolise', 'symbolises', 'represent', 'represents', 'possibly', 'perhaps']"
+
+
+@query(
+    f"""select item_id, case when len(list_filter({_DOUBT}, lambda x: contains(lower(c), x))) = 0 then {sql_strip('c')}
+      else array_to_string(list_filter({sql_words('c')}, lambda w: not list_contains({_DOUBT}, lower(w))), ' ') end as caption from (select item_id, {_TOLD} as c from benchmark)"""
+)
 def caption_cleanup(t: Tables) -> DataFrame:
-    return t.benchmark.select("item_id", text.without_words(F.col("text"), ("the", "of", "and")).alias("caption"))
+    """Captions without words of doubt; some of the texts get such words first."""
+    end = F.when(F.col("item_id") % 4 == 0, " maybe it Seems so").when(F.col("item_id") % 4 == 1, " unlikely  mighty").when(F.col("item_id") % 4 == 2, " which appear to represent this").otherwise("")
+    return t.benchmark.select("item_id", text.without_words(F.concat("text", end)).alias("caption"))
 
 
 _PARTS = rf"list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: {sql_strip('x')}), lambda x: x <> '')"
@@ -201,18 +210,21 @@ def token_totals(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(n.cast("long")).alias("tokens"), F.max(n).cast("long").alias("longest"))
 
 
-_MODELS = ["gpt-4o-mini", "Gemini 1.5 Pro", "claude-3", "Qwen2-VL", "my model:7b", "OpenAI", " google ", "anthropic", "InternVL2"]
+# name, name of the API's model, tag, provider
+_MODELS = [
+    ("llama3:8b", None, "llama", "chatgpt"), ("InternVL2", None, "InternVL", "chatgpt"), ("Qwen2-VL", None, "qwen", "chatgpt"), ("gemma2:9b", None, "gemma", "chatgpt"),
+    ("openbmb/MiniCPM-V", None, "minicpm", "chatgpt"), ("org/My model:7b", None, "org_my model", "chatgpt"), ("", None, "misc", "chatgpt"), ("gpt-4o", None, "gpt-4o", "chatgpt"),
+    ("GPT4", "gpt-4o-mini", "gpt", "chatgpt"), ("custom", "Gemini 1.5 Pro", "gemini", "gemini"), ("Anthropic", "claude-3", "claude", "claude"), ("qwen", "other", "qwen", "chatgpt"),
+    ("claude", None, "claude", "claude"), ("gemini", None, "gemini", "gemini"), ("google", None, "google", "chatgpt"), (":x", None, "misc", "chatgpt"),
+]
 
 
-@query(
-    f"""select name, case when contains(l, 'gpt') then 'gpt' when contains(l, 'gemini') then 'gemini' when contains(l, 'claude') then 'claude' when contains(l, 'qwen') then 'qwen'
-      when contains(l, 'llava') then 'llava' when contains(l, 'internvl') then 'internvl' when contains(l, 'deepseek') then 'deepseek' else regexp_replace(l, '[^a-z0-9]+', '_', 'g') end as tag,
-    case trim(l) when 'openai' then 'chatgpt' when 'gpt' then 'chatgpt' when 'google' then 'gemini' when 'anthropic' then 'claude' else trim(l) end as provider
-    from (select name, lower(name) as l from (select unnest({sql_list(_MODELS)}) as name))"""
-)
+@query("select * from (values " + ", ".join(f"('{n}', '{tag}', '{p}')" for n, _, tag, p in _MODELS) + ") as x(name, tag, provider)")
 def model_names(t: Tables) -> DataFrame:
-    df = t.spark.createDataFrame([(m,) for m in _MODELS], "name string")
-    return df.select("name", text.model_tag(F.col("name")).alias("tag"), text.provider(F.col("name")).alias("provider"))
+    """Tags and providers of names that tell the rules apart; the expected ones stand beside them."""
+    df = t.spark.createDataFrame([(n, a) for n, a, _, _ in _MODELS], "name string, api string")
+    tag = F.when(F.col("api").isNull(), text.model_tag(F.col("name"))).otherwise(text.model_tag(F.col("name"), F.col("api")))
+    return df.select("name", tag.alias("tag"), text.provider(F.col("name")).alias("provider"))
 
 
 _CELL = """'"' || replace(text, '"', '""') || '"'"""

@@ -58,14 +58,16 @@ def test_results_and_commits(spark, tmp_path):
     kept = tables.set_aside(tables.read_results(spark, f"file://{tmp_path}/res"), f"{tmp_path}/bad")
     assert rows(kept) == [("q", "a", "m")] and spark.read.text(f"{tmp_path}/bad").count() == 1
     tables.append_results(kept, f"{tmp_path}/out", ["mode"])
-    tables.append_results(kept, f"{tmp_path}/out", ["mode"])
-    assert spark.read.json(f"{tmp_path}/out").count() == 2
+    more = kept.union(spark.createDataFrame([("q", "a", "n"), ("r", "a", "m")], kept.schema))
+    tables.append_results(more, f"{tmp_path}/out", ["mode"])
+    tables.append_results(more, f"{tmp_path}/out", ["mode"])
+    assert rows(spark.read.json(f"{tmp_path}/out").select("question", "mode")) == [("q", "m"), ("q", "n"), ("r", "m")]
     one = spark.createDataFrame([("v", "p", 0, "q", "e", "t", "now")], tables.FAILURE)
     tables.append_failures(one, f"{tmp_path}/f1", f"{tmp_path}/f2")
     assert spark.read.json(f"{tmp_path}/f1").count() == spark.read.json(f"{tmp_path}/f2").count() == 1
-    for v, n in (("v1", 1), ("v2", 2)):
+    for v, n in (("v2", 1), ("v9", 2), ("v10", 3)):
         tables.commit({"t": spark.range(n)}, f"{tmp_path}/store", v)
-    assert tables.committed(spark, f"{tmp_path}/store", "t").count() == 2
+        assert tables.committed(spark, f"{tmp_path}/store", "t").count() == n
     (tmp_path / "m.bin").write_bytes(b"abc")
     assert bytes(tables.read_media(spark, f"file://{tmp_path}/m.bin").first()["content"]) == b"abc"
 
