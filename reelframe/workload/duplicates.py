@@ -73,9 +73,15 @@ def average_hash(t: Tables) -> DataFrame:
     return hashes(t)
 
 
-@query(f"with {_H} select a.vec_id as a, b.vec_id as b, bit_count(xor(a.h, b.h))::int as distance from h a join h b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) < 8")
+@query(
+    f"""with {_H}, turned as (select vec_id, h from h union all select vec_id + 1000000, xor(h, case vec_id % 3 when 0 then 5 when 1 then 127 else 255 end::bigint) from h where vec_id % 7 < 3)
+    select a.vec_id as a, b.vec_id as b, bit_count(xor(a.h, b.h))::int as distance from turned a join turned b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) < 8"""
+)
 def hamming_hash_pairs(t: Tables) -> DataFrame:
-    return dedup.hash_pairs(hashes(t), "vec_id", "h", 8)
+    """Near pairs of hashes; some hashes come again with 2, 7 or 8 bits turned, the last of which are no near pair."""
+    h = hashes(t).select("vec_id", "h")
+    turned = F.when(F.col("vec_id") % 3 == 0, 5).when(F.col("vec_id") % 3 == 1, 127).otherwise(255).cast("long")
+    return dedup.hash_pairs(h.union(h.filter("vec_id % 7 < 3").select(F.col("vec_id") + 1000000, F.col("h").bitwiseXOR(turned))), "vec_id", "h", 8)
 
 
 _FAR = "list_min(list_transform(f.kept, lambda x: bit_count(xor(x, n.h)))) >= 24"

@@ -172,10 +172,10 @@ def graph_upsert(t: Tables) -> DataFrame:
     return graph.upsert(old, new, ["entity_name"])
 
 
-@query(f"with {EDGES}, ends as (select tgt as entity_name, unnest(source_ids) as s from edges), d as (select entity_name, list(distinct s) as l from ends group by 1) select entity_name, len(l)::bigint as description_tokens from d where len(l) >= 500")
+@query(f"with {EDGES}, ends as (select tgt as entity_name, unnest(source_ids) as s from edges), d as (select entity_name, list(distinct s) as l from ends group by 1) select entity_name, len(l)::bigint as description_tokens from d where len(l) >= 450")
 def needs_summary(t: Tables) -> DataFrame:
     rows = _supplier_nodes(t).withColumn("descriptions", F.col("source_ids"))
-    return graph.needs_summary(rows).select("entity_name", F.col("description_tokens").cast("long").alias("description_tokens"))
+    return graph.needs_summary(rows, 450).select("entity_name", F.col("description_tokens").cast("long").alias("description_tokens"))
 
 
 _HITS = "hits as (select s_suppkey as query_id, 'S' || s_suppkey as entity_name, 1 as rank from supplier where s_suppkey % 20 = 0 union all select s_suppkey, 'S' || ((s_suppkey % 10) + 1), 2 from supplier where s_suppkey % 20 = 0)"

@@ -74,13 +74,18 @@ def plan_decision(t: Tables) -> DataFrame:
     return refine.decide(verdicts(t)).select("request", "rule", "status", "s_answer", "s_density", "total", "frames")
 
 
-@query(
-    f"""with {_RULES}, own as (select request, rule, frames, 'clip' || (turn + i) as clip_id, t_ocr, t_det, hint_ocr, hint_det from plans, (select unnest([0, 1]) as i) where i < n_targets and rule in ('R1', 'R3', 'R5', 'R7', 'R11'))
-    select request, clip_id, frames, t_ocr or rule in ('R1', 'R3', 'R7') or (rule = 'R11' and hint_ocr) as run_ocr, t_det or (rule = 'R11' and hint_det) as run_det from own
+_TARGETS = f"""{_RULES}, own as (select request, rule, frames, 'clip' || (turn + i) as clip_id, t_ocr, t_det, hint_ocr, hint_det from plans, (select unnest([0, 1]) as i) where i < n_targets and rule in ('R1', 'R3', 'R5', 'R7', 'R11')),
+    aims as (select request, clip_id, frames, t_ocr or rule in ('R1', 'R3', 'R7') or (rule = 'R11' and hint_ocr) as run_ocr, t_det or (rule = 'R11' and hint_det) as run_det from own
     union all select request, focus, frames, true, false from plans where rule = 'R4'
-    union all select p.request, 'clip' || c.turn, frames, rule = 'R8' or hint_ocr, rule = 'R10' and hint_det from plans p join conversations c using (conv_id) where rule in ('R8', 'R10')"""
-)
+    union all select p.request, 'clip' || c.turn, frames, rule = 'R8' or hint_ocr, rule = 'R10' and hint_det from plans p join conversations c using (conv_id) where rule in ('R8', 'R10'))"""
+
+
+@query(f"with {_TARGETS} select * from aims")
 def plan_targets(t: Tables) -> DataFrame:
+    return plan_targets_of(t)
+
+
+def plan_targets_of(t: Tables) -> DataFrame:
     plans = refine.decide(verdicts(t))
     clips = plans.select("request", "conv_id").join(t.conversations.select("conv_id", F.concat(F.lit("clip"), F.col("turn").cast("string")).alias("clip_id")), "conv_id").drop("conv_id")
     return refine.targets(plans, clips, "request")
@@ -120,24 +125,31 @@ def det_backoff(t: Tables) -> DataFrame:
     return refine.detections(rows, ["The", "UND", "que", "on"])
 
 
-@query("select segment, 0.25::double as threshold, 'person (0.90) @ [0,0]' as description from (select distinct user_id as segment from events)")
+@query(
+    """with d as (select distinct user_id as segment, case user_id % 4 when 0 then 'person' when 1 then 'Car' when 2 then 'unicornish' else 'table' end as label, (user_id % 30) / 100::double as score from events),
+    k as (select *, list_max(list_filter([0.05, 0.1, 0.15, 0.2, 0.25], lambda x: x <= score)) as step from d where label <> 'unicornish')
+    select segment, step::double as threshold, label || ' (' || printf('%.2f', score) || ') @ [0,0]' as description from k where step is not null"""
+)
 def det_generic(t: Tables) -> DataFrame:
-    """No keyword matches anywhere, so generic classes are tried."""
-    rows = t.events.select(F.col("user_id").alias("segment"), F.lit("person").alias("label"), F.lit(0.9).alias("score"), F.lit("0,0").alias("box"))
+    """No keyword matches anywhere, so generic classes are tried: some segments hold one, with any score."""
+    label = F.when(F.col("user_id") % 4 == 0, "person").when(F.col("user_id") % 4 == 1, "Car").when(F.col("user_id") % 4 == 2, "unicornish").otherwise("table")
+    rows = t.events.select(F.col("user_id").alias("segment"), label.alias("label"), (F.col("user_id") % 30 / 100).alias("score"), F.lit("0,0").alias("box"))
     return refine.detections_or_generic(rows, ["unicorn"])
 
 
-@query(f"with {_RULES}, p as (select request, max(frames) as frames, list(focus) as l from plans where rule = 'R4' group by 1) select request, unnest(l) as clip_id, frames, false as run_ocr, true as run_det from p")
+@query(f"with {_TARGETS} select request, clip_id, frames, false as run_ocr, true as run_det from aims")
 def plan_overrides(t: Tables) -> DataFrame:
-    """Targets of rule R4 with detection forced and recognition ablated."""
-    plans = refine.decide(verdicts(t)).filter("rule = 'R4'")
-    clips = plans.select("request", F.lit("x").alias("clip_id")).limit(0)
-    return refine.apply_overrides(refine.targets(plans, clips, "request"), force_det=True, no_ocr=True)
+    """Targets of all rules with detection forced and recognition ablated."""
+    return refine.apply_overrides(plan_targets_of(t), force_det=True, no_ocr=True)
 
 
-@query(f"with {_RULES} select request, focus as clip_id, 15 as frames, true as run_ocr, false as run_det from plans where rule = 'R4' union all select request, 'extra' || turn, 15, true, false from plans where rule = 'R4' and turn % 2 = 0")
+@query(
+    f"""with {_TARGETS}, f as (select request, case when turn % 2 = 0 then 'extra' || turn else focus end as clip_id from plans where rule not in ('R0', 'R6', 'R9')),
+    top as (select request, max(frames) as frames from aims group by 1)
+    select * from aims union all select request, clip_id, coalesce(top.frames, 15), true, false from f left join top using (request) where clip_id <> '' and (request, clip_id) not in (select (request, clip_id) from aims)"""
+)
 def numeric_focus(t: Tables) -> DataFrame:
-    plans = refine.decide(verdicts(t)).filter("rule = 'R4'")
-    own = refine.targets(plans, plans.select("request", F.lit("x").alias("clip_id")).limit(0), "request")
+    """Targets of all rules and a numeric focus, which is among them, another clip or missing."""
+    plans = refine.decide(verdicts(t)).filter("rule not in ('R0', 'R6', 'R9')")
     extra = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("extra"), F.col("turn").cast("string"))).otherwise(F.col("temporal_focus"))
-    return refine.with_numeric_focus(own, plans.select("request", extra.alias("clip_id")), "request")
+    return refine.with_numeric_focus(plan_targets_of(t), plans.select("request", extra.alias("clip_id")), "request")

@@ -44,6 +44,7 @@ def test_query(spark, oracle, name):
     if name in SQL:
         want = oracle.sql(SQL[name])
         assert result == rows(want.columns, want.fetchall())
+        assert result[1], "rows of neither side prove nothing"
     else:
         assert result[1]
 
