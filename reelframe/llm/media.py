@@ -108,11 +108,18 @@ def decode_png(data: bytes) -> np.ndarray:
     return _unfilter(np.frombuffer(bytes(raw), np.uint8).reshape(height, width + 1))
 
 
-@lru_cache(maxsize=512)
-def _basis(n: int, k: int = 8) -> np.ndarray:
+def _cosines(n: int, k: int = 8) -> np.ndarray:
     return np.cos(np.pi * (np.arange(n) + 0.5) * np.arange(k)[:, None] / n)
 
 
+_kept = lru_cache(maxsize=128)(_cosines)
+
+
+def _basis(n: int) -> np.ndarray:
+    """Only short ones are kept, so that what is kept stays under 17 MB whatever the texts."""
+    return _kept(n) if n <= 2048 else _cosines(n)
+
+
 def picture_hash(picture: np.ndarray) -> str:
     low = (_basis(picture.shape[0]) @ picture.astype(np.float64)) @ _basis(picture.shape[1]).T
     flat = np.round(low / picture.size, 9).ravel()
