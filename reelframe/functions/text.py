@@ -167,18 +167,29 @@ def token_set(c: Column) -> Column:
     return F.array_distinct(words(normalize_ocr(c)))
 
 
-def normalize_keypoint(c: Column, months: str = "prefix") -> Column:
-    """Lower case, punctuation to spaces, ordinals to numbers, months to full names.
+def keypoint_words(c: Column, months: str = "prefix") -> Column:
+    """The words of a normalised keypoint: lower case, punctuation to spaces, ordinals to numbers, months to full names.
 
     months: "prefix" takes any word that starts like a month for it (`market` becomes `march`), as the metric
     is defined; "strict" takes only names and three-letter forms; "none" leaves words alone.
     """
     c = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^0-9a-z\x{4e00}-\x{9fa5} \t\n\r]", " ")
     c = F.regexp_replace(c, r"\b([0-9]+)(?:st|nd|rd|th)\b", "$1")
-    for month in MONTHS if months != "none" else ():
-        rest = "[a-z]*" if months == "prefix" else f"(?:{month[3:]})?" if month[3:] else ""
-        c = F.regexp_replace(c, rf"\b{month[:3]}{rest}\b", month)
-    return squeeze(c)
+    if months == "none":
+        return words(c)
+    names, short = strings(MONTHS), strings([m[:3] for m in MONTHS])
+
+    def full(w: Column, at: Column) -> Column:
+        name = F.element_at(names, F.when(at > 0, at.cast("int")).otherwise(1))
+        fits = F.rlike(w, F.lit("^[a-z]+$")) if months == "prefix" else (w == name) | (F.length(w) == 3)
+        return F.when((at > 0) & fits, name).otherwise(w)
+
+    return F.transform(words(c), lambda w: let(F.array_position(short, F.substring(w, 1, 3)), lambda at: full(w, at)))
+
+
+def normalize_keypoint(c: Column, months: str = "prefix") -> Column:
+    """The keypoint_words with one space between."""
+    return F.array_join(keypoint_words(c, months), " ")
 
 
 def normalize_match(c: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .state import checkpointed
+
 TEXT_SIMILARITY, FRAME_DISTANCE = 0.85, 5
 # Fixed values of the hash family: (a * x + b) mod PRIME over 32-bit token hashes.
 PRIME, PERMUTATIONS, BAND, SEED = 4294967311, 64, 8, 42
@@ -50,26 +53,46 @@ def bands(signature: Column, band: int = BAND, n: int = PERMUTATIONS) -> Column:
     return F.array(*(F.md5(F.concat_ws(",", F.lit(str(i // band)), F.slice(signature, i + 1, band).cast("array<string>"))) for i in range(0, n, band)))
 
 
-def similar_pairs(df: DataFrame, key: str, tokens: str, at_least: float = TEXT_SIMILARITY) -> DataFrame:
-    """(a, b, similarity) with a < b, exact, by prefix filtering.
+def similar_pairs(df: DataFrame, key: str, tokens: str, at_least: float = TEXT_SIMILARITY, group: str | None = None) -> DataFrame:
+    """(a, b, similarity) with a < b, exact, by prefix filtering; `group`: only pairs within one.
 
     Equal token sets collapse to their smallest key first. Tokens are ordered by how rare they are; sets of
     similarity t share a token among the first size - ceil(t * size) + 1 of either, so only those tokens are
-    joined, of sets whose sizes are within a factor t. Frequent tokens stand last and seldom meet.
+    joined, of sets whose sizes are within a factor t. Frequent tokens stand last and seldom meet. The ordered
+    sets are used four times and written once.
     """
-    sets = df.select(F.col(key).alias("k"), F.array_sort(tokens).alias("t")).filter(F.size("t") > 0).groupBy("t").agg(F.min("k").alias("k"))
+    # a struct, so that null is a group like any other
+    g = F.struct(F.col(group) if group else F.lit(0)).alias("g")
+    sets = df.select(g, F.col(key).alias("k"), F.array_sort(tokens).alias("t")).filter(F.size("t") > 0).groupBy("g", "t").agg(F.min("k").alias("k"))
+    sets = checkpointed(sets)
     counts = sets.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    ranked = sets.select("k", F.explode("t").alias("w")).join(counts, "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
-    ordered = ranked.select("k", F.transform("r", lambda x: x["w"]).alias("t")).withColumn("n", F.size("t"))
+    ranked = sets.select("g", "k", F.explode("t").alias("w")).join(counts, "w").groupBy("g", "k").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
+    ordered = checkpointed(ranked.select("g", "k", F.transform("r", lambda x: x["w"]).alias("t")).withColumn("n", F.size("t")))
     length = F.col("n") - F.ceil(F.col("n") * at_least - 1e-9) + 1
-    prefix = ordered.select("k", "n", F.explode(F.slice("t", F.lit(1), length.cast("int"))).alias("w"))
-    other = prefix.select(F.col("k").alias("k2"), F.col("n").alias("n2"), "w")
-    meet = prefix.join(other, "w").filter((F.col("k") < F.col("k2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * at_least)).select("k", "k2").distinct()
-    a, b = ordered.select("k", F.col("t").alias("ta")), ordered.select(F.col("k").alias("k2"), F.col("t").alias("tb"))
-    scored = meet.join(a, "k").join(b, "k2").withColumn("similarity", jaccard(F.col("ta"), F.col("tb")))
+    prefix = ordered.select("g", "k", "n", F.explode(F.slice("t", F.lit(1), length.cast("int"))).alias("w"))
+    other = prefix.select("g", F.col("k").alias("k2"), F.col("n").alias("n2"), "w")
+    meet = prefix.join(other, ["g", "w"]).filter((F.col("k") < F.col("k2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * at_least)).select("g", "k", "k2").distinct()
+    a, b = ordered.select("g", "k", F.col("t").alias("ta")), ordered.select("g", F.col("k").alias("k2"), F.col("t").alias("tb"))
+    scored = meet.join(a, ["g", "k"]).join(b, ["g", "k2"]).withColumn("similarity", jaccard(F.col("ta"), F.col("tb")))
     return scored.filter(F.col("similarity") >= at_least).select(F.col("k").alias("a"), F.col("k2").alias("b"), "similarity")
 
 
+def first_independent(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(k) of nodes that stay when they are read in order and one goes that has a pair (a, b), a < b, with one that
+    stayed before.
+
+    In rounds: a node without an earlier partner left stays, its later partners go and take their pairs along. The
+    number of rounds is that of the longest chain of decisions; each is a few joins of what pairs are left.
+    """
+    left, gone = checkpointed(pairs.select("a", "b")), None
+    while not left.isEmpty():
+        stays = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+        goes = checkpointed(left.join(stays, "a", "left_semi").select("b").distinct())
+        left = checkpointed(left.join(goes, "b", "left_anti").join(goes.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
+        gone = goes if gone is None else gone.union(goes)
+    return nodes.select("k") if gone is None else nodes.select("k").join(gone.select(F.col("b").alias("k")), "k", "left_anti")
+
+
 def band_candidates(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """key, bucket, bucket_size: the band buckets that two rows or more share."""
     each = signatures(df, key, tokens).select(F.col(key).alias("key"), F.explode(bands(F.col("signature"))).alias("bucket"))
@@ -85,21 +108,20 @@ def exact_groups(df: DataFrame, key: str, text: Column) -> DataFrame:
 def greedy_texts(df: DataFrame, group: str, order: str, tokens: str, at_least: float = TEXT_SIMILARITY) -> DataFrame:
     """Rows kept when each group is read in order and a row goes that is similar to one kept before.
 
-    Order-dependent by definition; groups are frames or lines of one segment. Equal token sets are reduced to
-    their first row before the fold. Rows without tokens go.
+    Equal token sets are reduced to their first row, rows without tokens go. No group is ever in one task: the
+    similar pairs are joined, then decided in rounds. Rows of one place in the order are read by their tokens' hash.
     """
-    first = df.filter(F.size(tokens) > 0).groupBy(F.col(group), F.array_sort(tokens).alias("t")).agg(F.min(order).alias("o"))
-    rows = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("o", "t"))).alias("rows"))
-    fold = F.expr(
-        f"""aggregate(rows, cast(array() as array<struct<o:bigint,t:array<string>>>),
-        (kept, r) -> if(exists(kept, k -> size(array_intersect(k.t, r.t)) >= {at_least} * (size(k.t) + size(r.t) - size(array_intersect(k.t, r.t)))),
-          kept, concat(kept, array(named_struct('o', cast(r.o as bigint), 't', r.t)))), kept -> transform(kept, k -> k.o))"""
-    )
-    return rows.select(group, F.explode(fold).alias(order))
+    k = F.struct(F.struct(F.col(group)).alias("g"), F.col(order).alias("o"), F.xxhash64(F.array_sort(tokens)).alias("h"))
+    rows = df.filter(F.size(tokens) > 0).select(k.alias("k"), F.col(group).alias("by"), F.array_sort(tokens).alias("t"))
+    nodes = rows.groupBy("by", "t").agg(F.min("k").alias("k"))
+    kept = first_independent(nodes, similar_pairs(rows, "k", "t", at_least, "by"))
+    return kept.select(F.col(f"k.g.{group}").alias(group), F.col("k.o").alias(order))
 
 
 def greedy_hashes(df: DataFrame, group: str, order: str, value: str, distance: int = FRAME_DISTANCE) -> DataFrame:
-    """Frames kept when a segment is read in order and a frame goes that is nearer than `distance` bits to one kept."""
+    """Frames kept when a segment is read in order and a frame goes that is nearer than `distance` bits to one kept.
+
+    A group is a segment, whose frames are a few dozen and held in one row; texts of any group go by greedy_texts."""
     first = df.groupBy(group, F.col(value).alias("h")).agg(F.min(order).alias("o"))
     rows = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("o", "h"))).alias("rows"))
     fold = F.expr(
@@ -121,16 +143,20 @@ def top_up_frames(df: DataFrame, kept: DataFrame, group: str, order: str, value:
     return kept.select(group, order).union(more.select(group, order))
 
 
-def hash_pairs(df: DataFrame, key: str, value: str, distance: int = FRAME_DISTANCE) -> DataFrame:
-    """(a, b, distance) of 64-bit hashes nearer than `distance`, a < b, exact.
+def hash_pairs(df: DataFrame, key: str, value: str, distance: int = FRAME_DISTANCE, clean: int = 2) -> DataFrame:
+    """(a, b, distance) of different 64-bit hashes nearer than `distance`, each named by its smallest key, a < b; exact.
 
-    The bits are cut into `distance` blocks (distance is at most 8): two that differ in fewer bits share a whole block.
+    Equal hashes collapse first; `exact_groups` has their members. The bits are cut into distance - 1 + clean blocks:
+    two that differ in fewer bits than `distance` have at least `clean` blocks alike, so all choices of that many
+    blocks are keys. A larger `clean` gives wider keys, with fewer pairs that only share a key, and more of them.
     """
-    edges = [64 * i // distance for i in range(distance + 1)]
-    masks = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(distance)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    block = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(value).bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(signed))))
-    each = df.select(F.col(key).alias("k"), F.col(value).alias("h"), block.alias("b")).select("k", "h", "b.i", "b.v")
+    blocks = distance - 1 + clean
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    ones = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in itertools.combinations(ones, clean))]
+    block = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("h").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(signed))))
+    one = checkpointed(df.groupBy(F.col(value).alias("h")).agg(F.min(key).alias("k")).filter("h is not null"))
+    each = one.select("k", "h", block.alias("b")).select("k", "h", "b.i", "b.v")
     other = each.select(F.col("k").alias("k2"), F.col("h").alias("h2"), "i", "v")
     near = F.bit_count(F.col("h").bitwiseXOR(F.col("h2")))
     pairs = each.join(other, ["i", "v"]).filter((F.col("k") < F.col("k2")) & (near < distance))

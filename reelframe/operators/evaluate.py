@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_keypoint, normalize_match, squeeze, words
+from ..functions.text import keypoint_words, normalize_match, squeeze, words
 
 # Fixed values of the keypoint rule.
 SIMILAR, OVERLAP, EMBEDDED, SHORT = 0.5, 0.6, 0.8, 0.2
@@ -17,7 +17,7 @@ FUZZY = 0.75
 
 
 def keypoint_tokens(text: Column, months: str = "prefix") -> Column:
-    return words(normalize_keypoint(text, months))
+    return keypoint_words(text, months)
 
 
 def keypoint_columns(kp: Column, ans: Column, similarity: Column | None = None) -> dict[str, Column]:

@@ -6,15 +6,13 @@ ord, descriptions, source_ids.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_float
 from ..functions.text import clean_str, split_markers, token_count
+from .state import checkpointed
 
 # The grammar of extraction replies.
 TUPLE, RECORD, COMPLETE = "<|>", "##", "<|COMPLETE|>"
@@ -135,35 +133,23 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*keys, *(F.coalesce(f"_{c}", c).alias(c) if c in new.columns else F.col(c) for c in columns))
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.gettempdir()
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """(a, b) -> node, root: the smallest node of each connected component.
 
     Alternating large and small stars: each round links every node to the smallest of its neighbourhood, so the
     number of rounds grows with the logarithm of the longest path. State is written every half round.
     """
-    now = _checkpointed(undirected(pairs).filter("src <> tgt").select(F.col("tgt").alias("u"), F.col("src").alias("v")).distinct())
+    now = checkpointed(undirected(pairs).filter("src <> tgt").select(F.col("tgt").alias("u"), F.col("src").alias("v")).distinct())
     lone = pairs.filter("a = b").select(F.col("a").alias("node")).distinct()
     state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     seen = state(now)
     while seen[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _checkpointed(both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        now = _checkpointed(both.join(low, F.col("u") == F.col("w")).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = _checkpointed(now.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")))
+        low = checkpointed(both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        now = checkpointed(both.join(low, F.col("u") == F.col("w")).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = checkpointed(now.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")))
         small = now.join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _checkpointed(small.union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct())
+        now = checkpointed(small.union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct())
         before, seen = seen, state(now)
         if before == seen:
             break
@@ -188,11 +174,11 @@ def largest_component(edges: DataFrame) -> DataFrame:
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """node, community: each round every node takes the label most frequent around it, itself included (ties:
     the smallest). Deterministic; a stand-in where hierarchical modularity clustering isn't available."""
-    near = _checkpointed(neighbours(edges).union(endpoints(edges).distinct().select(F.col("entity_name").alias("node"), F.col("entity_name").alias("neighbour"))).distinct())
+    near = checkpointed(neighbours(edges).union(endpoints(edges).distinct().select(F.col("entity_name").alias("node"), F.col("entity_name").alias("neighbour"))).distinct())
     labels = near.select("node").distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
         votes = near.join(labels.select(F.col("node").alias("neighbour"), "community"), "neighbour").groupBy("node", "community").agg(F.count("*").alias("n"))
-        labels = _checkpointed(votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("community")))
+        labels = checkpointed(votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("community")))
     return labels
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import FRAMES_BY_SCORE
-from ..functions.text import quoted, strings
+from ..functions.text import let, strings
 
 # Word lists that the rules test as substrings of the lower-cased question.
 OCR_HINTS = (
@@ -56,7 +56,7 @@ class PlannerOptions:
 
 
 def any_of(c: Column, parts) -> Column:
-    return F.rlike(c, F.lit("|".join(quoted(p) for p in parts)))
+    return let(c, lambda q: F.exists(strings(parts), lambda p: F.contains(q, p)))
 
 
 def modality_hints(query: Column) -> dict[str, Column]:
@@ -126,17 +126,23 @@ def decide(verdicts: DataFrame, options: PlannerOptions | None = None) -> DataFr
 
 
 def targets(plans: DataFrame, clips: DataFrame, request: str, options: PlannerOptions | None = None) -> DataFrame:
-    """request, clip_id, frames, run_ocr, run_det of every clip to refine. clips: request, clip_id."""
+    """request, clip_id, frames, run_ocr, run_det of every clip to refine. clips: request, clip_id.
+
+    Every plan is read once: its clips are those it names, its focus, or by rules R8 and R10 all of the request.
+    """
     force = F.lit((options or PlannerOptions()).force)
-    p = plans.filter("status = 'refine'")
-    own = p.filter(F.col("rule").isin("R1", "R3", "R5", "R7", "R11")).select(request, "rule", "frames", "hint_ocr", "hint_det", F.explode("targets").alias("t")).filter("t.clip_id <> ''")
-    flag = lambda c: F.coalesce(F.col(f"t.{c}"), F.lit(False))
-    numeric, open_ = F.col("rule").isin("R1", "R3", "R7"), F.col("rule") == "R11"
-    named = own.select(request, F.col("t.clip_id").alias("clip_id"), "frames", (flag("ocr") | numeric | (open_ & (force | F.col("hint_ocr")))).alias("run_ocr"), (flag("det") | (open_ & (force | F.col("hint_det")))).alias("run_det"))
-    focus = p.filter("rule = 'R4'").select(request, F.col("temporal_focus").alias("clip_id"), "frames", F.lit(True).alias("run_ocr"), F.lit(False).alias("run_det"))
-    wide = p.filter(F.col("rule").isin("R8", "R10")).join(clips.filter("clip_id <> ''"), request)
-    every = wide.select(request, "clip_id", "frames", ((F.col("rule") == "R8") | force | F.col("hint_ocr")).alias("run_ocr"), ((F.col("rule") == "R10") & (force | F.col("hint_det"))).alias("run_det"))
-    return named.union(focus).union(every)
+    rule, true, false = F.col("rule"), F.lit(True), F.lit(False)
+    aim = lambda clip, ocr, det: F.struct(clip.alias("clip_id"), ocr.alias("run_ocr"), det.alias("run_det"))
+    yes = lambda c: F.coalesce(c, false)
+    numeric, open_ = rule.isin("R1", "R3", "R7"), rule == "R11"
+    named = F.transform("targets", lambda t: aim(t["clip_id"], yes(t["ocr"]) | numeric | (open_ & (force | F.col("hint_ocr"))), yes(t["det"]) | (open_ & (force | F.col("hint_det")))))
+    focus = F.array(aim(F.col("temporal_focus"), true, false))
+    every = F.array(aim(F.col("_clip"), (rule == "R8") | force | F.col("hint_ocr"), (rule == "R10") & (force | F.col("hint_det"))))
+    aims = F.when(rule.isin("R1", "R3", "R5", "R7", "R11"), named).when(rule == "R4", focus).when(rule.isin("R8", "R10"), every)
+    c = clips.select(F.col(request).alias("_request"), F.col("clip_id").alias("_clip"))
+    wide = rule.isin("R8", "R10") & (F.col(request) == F.col("_request"))
+    each = plans.filter("status = 'refine'").join(c, wide, "left").select(request, "frames", F.explode(aims).alias("t"))
+    return each.filter("t.clip_id <> ''").select(request, "t.clip_id", "frames", "t.run_ocr", "t.run_det")
 
 
 def apply_overrides(plan: DataFrame, force_ocr: bool = False, force_det: bool = False, no_ocr: bool = False, no_det: bool = False) -> DataFrame:

@@ -55,16 +55,16 @@ _NEAR = "len(list_filter(f.kept, lambda x: len(list_intersect(x, n.t)) >= 0.85 *
     select source, doc_id from f where keep"""
 )
 def greedy_near_dup(t: Tables) -> DataFrame:
-    """Documents kept per source when read in order; an ordered fold."""
+    """Documents kept per source when read in order."""
     return dedup.greedy_texts(sets(t), "source", "doc_id", "tokens")
 
 
 def hashes(t: Tables) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
-    return t.embeddings.select("vec_id", (F.col("vec_id") % 10).alias("grp"), scalar.average_hash(v).alias("h"))
+    return t.embeddings.select("vec_id", F.floor(F.col("vec_id") / 40).alias("grp"), scalar.average_hash(v).alias("h"))
 
 
-_H = "h as (select vec_id, vec_id % 10 as grp, list_reduce(list_transform(range(0, 64), lambda i: case when e[i + 1] > m then case when i = 63 then (-9223372036854775808)::bigint else 1::bigint << i::int end else 0::bigint end), lambda a, b: xor(a, b)) as h from (select vec_id, embedding::double[] as e, list_avg(embedding::double[]) as m from embeddings))"
+_H = "h as (select vec_id, vec_id // 40 as grp, list_reduce(list_transform(range(0, 64), lambda i: case when e[i + 1] > m then case when i = 63 then (-9223372036854775808)::bigint else 1::bigint << i::int end else 0::bigint end), lambda a, b: xor(a, b)) as h from (select vec_id, embedding::double[] as e, list_avg(embedding::double[]) as m from embeddings))"
 
 
 @query(f"with {_H} select vec_id, grp, h from h")
@@ -74,8 +74,9 @@ def average_hash(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""with {_H}, turned as (select vec_id, h from h union all select vec_id + 1000000, xor(h, case vec_id % 3 when 0 then 5 when 1 then 127 else 255 end::bigint) from h where vec_id % 7 < 3)
-    select a.vec_id as a, b.vec_id as b, bit_count(xor(a.h, b.h))::int as distance from turned a join turned b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) < 8"""
+    f"""with {_H}, turned as (select vec_id, h from h union all select vec_id + 1000000, xor(h, case vec_id % 3 when 0 then 5 when 1 then 127 else 255 end::bigint) from h where vec_id % 7 < 3),
+    one as (select h, min(vec_id) as vec_id from turned group by 1)
+    select a.vec_id as a, b.vec_id as b, bit_count(xor(a.h, b.h))::int as distance from one a join one b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) < 8"""
 )
 def hamming_hash_pairs(t: Tables) -> DataFrame:
     """Near pairs of hashes; some hashes come again with 2, 7 or 8 bits turned, the last of which are no near pair."""
@@ -94,7 +95,7 @@ _FAR = "list_min(list_transform(f.kept, lambda x: bit_count(xor(x, n.h)))) >= 24
     select grp, vec_id from f where keep"""
 )
 def frame_dedup(t: Tables) -> DataFrame:
-    """Frames kept when hashes nearer than 24 bits to a kept one go; an ordered fold."""
+    """Frames kept, of segments of 40, when hashes nearer than 24 bits to a kept one go; an ordered fold."""
     return dedup.greedy_hashes(hashes(t), "grp", "vec_id", "h", 24)
 
 

@@ -87,7 +87,7 @@ def plan_targets(t: Tables) -> DataFrame:
 
 def plan_targets_of(t: Tables) -> DataFrame:
     plans = refine.decide(verdicts(t))
-    clips = plans.select("request", "conv_id").join(t.conversations.select("conv_id", F.concat(F.lit("clip"), F.col("turn").cast("string")).alias("clip_id")), "conv_id").drop("conv_id")
+    clips = questions(t).select("request", "conv_id").join(t.conversations.select("conv_id", F.concat(F.lit("clip"), F.col("turn").cast("string")).alias("clip_id")), "conv_id").drop("conv_id")
     return refine.targets(plans, clips, "request")
 
 

@@ -14,6 +14,17 @@ SQL: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
+#: Parquet bytes between which a table is dealt to all cores once it is read: such a table is often one row group, so
+#: one task, while larger ones have row groups enough and are never shuffled here.
+SPREAD = (1 << 20, 1 << 30)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where it is small and in fewer files than there are cores."""
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if SPREAD[0] <= size <= SPREAD[1] and len(df.inputFiles()) < cores else df
+
+
 class Tables:
     """The tables of a folder by name."""
 
@@ -21,7 +32,7 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
 
 def ship(spark: SparkSession) -> None:
