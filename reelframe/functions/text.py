@@ -95,13 +95,9 @@ def unescape_html_full(c: Column) -> Column:
 
 
 def nfkc(c: Column) -> Column:
-    """Unicode compatibility composition, in Arrow batches."""
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKC")
-
-    return run(c)
+    """Unicode compatibility composition, by the library that Spark's collations bring along; ASCII texts stay as they are."""
+    composed = F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(F.rlike(c, F.lit(r"[^\x00-\x7f]")), composed).otherwise(c)
 
 
 def split_markers(c: Column, markers: list[str]) -> Column:
@@ -159,12 +155,12 @@ def extract_answer(c: Column, depth: int = 3) -> Column:
 
 
 def normalize_ocr(c: Column) -> Column:
-    """Lower case; all but ASCII letters, digits and CJK becomes a space."""
-    return squeeze(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^0-9a-z\x{4e00}-\x{9fff}]", " "))
+    """Compatibility composition, lower case; runs of all but ASCII letters, digits and CJK become a space."""
+    return F.trim(F.regexp_replace(F.lower(nfkc(F.coalesce(c, F.lit("")))), r"[^0-9a-z\x{4e00}-\x{9fff}]+", " "))
 
 
 def token_set(c: Column) -> Column:
-    return F.array_distinct(words(normalize_ocr(c)))
+    return F.array_distinct(F.filter(F.split(normalize_ocr(c), " "), lambda w: w != ""))
 
 
 def keypoint_words(c: Column, months: str = "prefix") -> Column:
@@ -173,7 +169,7 @@ def keypoint_words(c: Column, months: str = "prefix") -> Column:
     months: "prefix" takes any word that starts like a month for it (`market` becomes `march`), as the metric
     is defined; "strict" takes only names and three-letter forms; "none" leaves words alone.
     """
-    c = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^0-9a-z\x{4e00}-\x{9fa5} \t\n\r]", " ")
+    c = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^0-9a-z\x{4e00}-\x{9fa5} \t\n\r]+", " ")
     c = F.regexp_replace(c, r"\b([0-9]+)(?:st|nd|rd|th)\b", "$1")
     if months == "none":
         return words(c)

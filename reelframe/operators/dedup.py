@@ -63,10 +63,11 @@ def similar_pairs(df: DataFrame, key: str, tokens: str, at_least: float = TEXT_S
     """
     # a struct, so that null is a group like any other
     g = F.struct(F.col(group) if group else F.lit(0)).alias("g")
-    sets = df.select(g, F.col(key).alias("k"), F.array_sort(tokens).alias("t")).filter(F.size("t") > 0).groupBy("g", "t").agg(F.min("k").alias("k"))
-    sets = checkpointed(sets)
+    sets = df.select(g, F.col(key).alias("k"), F.sort_array(tokens).alias("t")).groupBy("g", "t").agg(F.min("k").alias("k"))
+    # written before the filter, which would else be pushed below and make the tokens twice
+    sets = checkpointed(sets).filter(F.size("t") > 0)
     counts = sets.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    ranked = sets.select("g", "k", F.explode("t").alias("w")).join(counts, "w").groupBy("g", "k").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
+    ranked = sets.select("g", "k", F.explode("t").alias("w")).join(counts, "w").groupBy("g", "k").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("r"))
     ordered = checkpointed(ranked.select("g", "k", F.transform("r", lambda x: x["w"]).alias("t")).withColumn("n", F.size("t")))
     length = F.col("n") - F.ceil(F.col("n") * at_least - 1e-9) + 1
     prefix = ordered.select("g", "k", "n", F.explode(F.slice("t", F.lit(1), length.cast("int"))).alias("w"))
@@ -111,8 +112,8 @@ def greedy_texts(df: DataFrame, group: str, order: str, tokens: str, at_least: f
     Equal token sets are reduced to their first row, rows without tokens go. No group is ever in one task: the
     similar pairs are joined, then decided in rounds. Rows of one place in the order are read by their tokens' hash.
     """
-    k = F.struct(F.struct(F.col(group)).alias("g"), F.col(order).alias("o"), F.xxhash64(F.array_sort(tokens)).alias("h"))
-    rows = df.filter(F.size(tokens) > 0).select(k.alias("k"), F.col(group).alias("by"), F.array_sort(tokens).alias("t"))
+    k = F.struct(F.struct(F.col(group)).alias("g"), F.col(order).alias("o"), F.xxhash64(F.sort_array(tokens)).alias("h"))
+    rows = checkpointed(df.select(k.alias("k"), F.col(group).alias("by"), F.sort_array(tokens).alias("t"))).filter(F.size("t") > 0)
     nodes = rows.groupBy("by", "t").agg(F.min("k").alias("k"))
     kept = first_independent(nodes, similar_pairs(rows, "k", "t", at_least, "by"))
     return kept.select(F.col(f"k.g.{group}").alias(group), F.col("k.o").alias(order))
@@ -123,7 +124,7 @@ def greedy_hashes(df: DataFrame, group: str, order: str, value: str, distance: i
 
     A group is a segment, whose frames are a few dozen and held in one row; texts of any group go by greedy_texts."""
     first = df.groupBy(group, F.col(value).alias("h")).agg(F.min(order).alias("o"))
-    rows = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("o", "h"))).alias("rows"))
+    rows = first.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("o", "h"))).alias("rows"))
     fold = F.expr(
         f"""aggregate(rows, cast(array() as array<struct<o:bigint,h:bigint>>),
         (kept, r) -> if(exists(kept, k -> bit_count(k.h ^ r.h) < {distance}), kept, concat(kept, array(named_struct('o', cast(r.o as bigint), 'h', r.h)))),

@@ -49,8 +49,8 @@ def merge_nodes(entities: DataFrame) -> DataFrame:
     types = entities.groupBy("entity_name", "entity_type").agg(F.count("*").alias("n"), F.collect_set("description").alias("d"), F.collect_set("source_id").alias("s"))
     out = types.groupBy("entity_name").agg(
         F.min_by("entity_type", F.struct(-F.col("n"), F.col("entity_type"))).alias("entity_type"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("d")))).alias("descriptions"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("source_ids"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("d")))).alias("descriptions"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("s")))).alias("source_ids"),
     )
     return out
 
@@ -64,8 +64,8 @@ def merge_edges(relations: DataFrame) -> DataFrame:
     return undirected(relations).groupBy("src", "tgt").agg(
         F.sum("weight").alias("weight"),
         F.coalesce(F.min("ord"), F.lit(1)).alias("ord"),
-        F.array_sort(F.collect_set("description")).alias("descriptions"),
-        F.array_sort(F.collect_set("source_id")).alias("source_ids"),
+        F.sort_array(F.collect_set("description")).alias("descriptions"),
+        F.sort_array(F.collect_set("source_id")).alias("source_ids"),
     )
 
 
@@ -79,8 +79,8 @@ def missing_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     gone = ends.join(nodes.select("entity_name"), "entity_name", "left_anti")
     return gone.groupBy("entity_name").agg(
         F.lit(UNKNOWN).alias("entity_type"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("descriptions")))).alias("descriptions"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("descriptions")))).alias("descriptions"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids"),
     )
 
 
@@ -188,10 +188,10 @@ def community_rollup(members: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     edges are all that touch a member; occurrence is the number of chunks over the greatest of any community.
     """
     own = members.select("level", "cluster", "entity_name").distinct()
-    sets = own.groupBy("level", "cluster").agg(F.array_sort(F.collect_set("entity_name")).alias("nodes"))
+    sets = own.groupBy("level", "cluster").agg(F.sort_array(F.collect_set("entity_name")).alias("nodes"))
     touched = own.join(neighbours(edges), F.col("entity_name") == F.col("node")).select("level", "cluster", F.struct(F.least("node", "neighbour").alias("a"), F.greatest("node", "neighbour").alias("b")).alias("e"))
-    links = touched.groupBy("level", "cluster").agg(F.array_sort(F.collect_set("e")).alias("edges"))
-    chunks = own.join(nodes, "entity_name").select("level", "cluster", F.explode("source_ids").alias("s")).groupBy("level", "cluster").agg(F.array_sort(F.collect_set("s")).alias("chunk_ids"))
+    links = touched.groupBy("level", "cluster").agg(F.sort_array(F.collect_set("e")).alias("edges"))
+    chunks = own.join(nodes, "entity_name").select("level", "cluster", F.explode("source_ids").alias("s")).groupBy("level", "cluster").agg(F.sort_array(F.collect_set("s")).alias("chunk_ids"))
     joined = sets.join(links, ["level", "cluster"], "left").join(chunks, ["level", "cluster"], "left")
     count = F.coalesce(F.size("chunk_ids"), F.lit(0))
     most = joined.agg(F.max(F.when(F.col("chunk_ids").isNotNull(), F.size("chunk_ids")).otherwise(0)).alias("_most"))

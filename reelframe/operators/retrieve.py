@@ -158,7 +158,7 @@ def segment_section(caption: Column, ocr: Column, det: Column, subtitle: Column,
 
 def assemble(df: DataFrame, group: list[str], order: list[str], text: str, separator: str = "\n\n", **more: Column) -> DataFrame:
     """The texts of each group in order, as one `context`; more: other aggregates of the group, by name."""
-    rows = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t")))).alias("_rows"), *(c.alias(n) for n, c in more.items()))
+    rows = df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_t")))).alias("_rows"), *(c.alias(n) for n, c in more.items()))
     return rows.select(*group, F.array_join(F.transform("_rows", lambda r: r["_t"]), separator).alias("context"), *more)
 
 

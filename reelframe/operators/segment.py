@@ -39,7 +39,7 @@ def uniform_subset(items: Column, k: int) -> Column:
     every = F.sequence(F.lit(0), n - 1)
     picked = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(max(k - 1, 1))), lambda i: F.bround(i * (n - 1) / max(k - 1, 1)).cast("int")))
     filled = F.slice(F.concat(picked, F.array_except(every, picked)), 1, k)
-    return F.when(n <= k, items).otherwise(F.transform(F.array_sort(filled), lambda i: F.get(items, i)))
+    return F.when(n <= k, items).otherwise(F.transform(F.sort_array(filled), lambda i: F.get(items, i)))
 
 
 def away_from(times: Column, taken: Column, distance: float = 0.1) -> Column:
@@ -103,7 +103,7 @@ def pack_segments(df: DataFrame, group: str, order: str, text: str, size: int) -
     chunk; the texts stay out of the fold. Returns group, chunk_order_index, tokens, content, segments.
     """
     rows = df.select(group, order, F.slice(words(F.coalesce(F.col(text), F.lit(""))), 1, size).alias("_t"))
-    sizes = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.size("_t").alias("n")))).alias("_rows"))
+    sizes = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.size("_t").alias("n")))).alias("_rows"))
     state = "struct<used:int,chunk:int,out:array<struct<o:bigint,chunk:int>>>"
     fold = F.expr(
         f"""aggregate(_rows, cast(named_struct('used', 0, 'chunk', 0, 'out', array()) as {state}),
@@ -114,7 +114,7 @@ def pack_segments(df: DataFrame, group: str, order: str, text: str, size: int) -
     )
     places = sizes.select(F.col(group).alias("_g"), F.explode(fold).alias("p")).select("_g", F.col("p.o").alias("_o"), F.col("p.chunk").alias("chunk_order_index"))
     joined = rows.join(places, (F.col(group) == F.col("_g")) & (F.col(order) == F.col("_o")))
-    chunks = joined.groupBy(group, "chunk_order_index").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_t").alias("t")))).alias("_rows"))
+    chunks = joined.groupBy(group, "chunk_order_index").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_t").alias("t")))).alias("_rows"))
     tokens = F.flatten(F.transform("_rows", lambda r: r["t"]))
     return chunks.select(group, "chunk_order_index", F.size(tokens).alias("tokens"), F.array_join(tokens, " ").alias("content"), F.transform("_rows", lambda r: r["o"]).alias("segments")).filter("tokens > 0")
 

@@ -181,7 +181,7 @@ def detections(df: DataFrame, keywords: list[str], thresholds: tuple[float, ...]
     best = leveled.groupBy(F.col("segment").alias("_s")).agg(F.max("_l").alias("threshold"))
     line = F.format_string("%s (%.2f) @ [%s]", "label", "score", "box")
     kept = leveled.join(best, F.col("segment") == F.col("_s")).filter(F.col("score") >= F.col("threshold"))
-    return kept.groupBy("segment").agg(F.first("threshold").alias("threshold"), F.array_join(F.slice(F.array_sort(F.collect_set(line)), 1, most), "; ").alias("description"))
+    return kept.groupBy("segment").agg(F.first("threshold").alias("threshold"), F.array_join(F.slice(F.sort_array(F.collect_set(line)), 1, most), "; ").alias("description"))
 
 
 def detections_or_generic(df: DataFrame, keywords: list[str], thresholds: tuple[float, ...] = BACK_OFF) -> DataFrame:

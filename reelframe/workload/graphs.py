@@ -42,7 +42,7 @@ def record_parse(t: Tables) -> DataFrame:
         F.lit('("entity"<|>"part &amp; '), s("l_partkey"), F.lit('"<|>"type"<|>"flag '), F.col("l_returnflag"), F.lit('")##("relationship"<|>"part '), s("l_partkey"),
         F.lit('"<|>"supplier '), s("l_suppkey"), F.lit('"<|>"desc"<|>'), s("l_linenumber"), F.lit(")"),
     )
-    replies = t.lineitem.groupBy("l_orderkey").agg(F.concat(F.array_join(F.array_sort(F.collect_list(record)), "##"), F.lit("<|COMPLETE|>")).alias("reply"))
+    replies = t.lineitem.groupBy("l_orderkey").agg(F.concat(F.array_join(F.sort_array(F.collect_list(record)), "##"), F.lit("<|COMPLETE|>")).alias("reply"))
     out = graph.parse_records(replies, "reply", "l_orderkey")
     return out.groupBy("kind", "a", "b", "description", "weight", "source_id").agg(F.count("*").alias("n"))
 
@@ -90,7 +90,7 @@ def members(t: Tables) -> DataFrame:
 
 
 def _supplier_nodes(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy(_name("S", "l_suppkey").alias("entity_name")).agg(F.array_sort(F.collect_set(_source())).alias("source_ids"))
+    return t.lineitem.groupBy(_name("S", "l_suppkey").alias("entity_name")).agg(F.sort_array(F.collect_set(_source())).alias("source_ids"))
 
 
 @query(
@@ -183,7 +183,7 @@ SUPPLIED = "nodes as (select 'S' || l_suppkey as entity_name, list_sort(list(dis
 
 
 def _all_nodes(t: Tables) -> DataFrame:
-    parts = t.lineitem.groupBy(_name("P", "l_partkey").alias("entity_name")).agg(F.array_sort(F.collect_set(_source())).alias("source_ids"))
+    parts = t.lineitem.groupBy(_name("P", "l_partkey").alias("entity_name")).agg(F.sort_array(F.collect_set(_source())).alias("source_ids"))
     return _supplier_nodes(t).union(parts)
 
 

@@ -21,7 +21,7 @@ def segments(t: Tables) -> DataFrame:
     each as (select request, unnest(range(0, len(ids))) as pos, unnest(ids) as o_orderkey from asked) select request, pos::int as pos, o_orderkey, o_orderstatus from each left join orders using (o_orderkey)"""
 )
 def ordered_lookup(t: Tables) -> DataFrame:
-    ids = t.orders.groupBy(F.col("o_custkey").alias("request")).agg(F.concat(F.array_sort(F.collect_list("o_orderkey")), F.array(F.lit(-1).cast("long"))).alias("ids"))
+    ids = t.orders.groupBy(F.col("o_custkey").alias("request")).agg(F.concat(F.sort_array(F.collect_list("o_orderkey")), F.array(F.lit(-1).cast("long"))).alias("ids"))
     return retrieve.by_ids(t.orders, ids, "o_orderkey", ["o_orderstatus"])
 
 
@@ -179,5 +179,5 @@ def first_seen_rank(t: Tables) -> DataFrame:
 
 @query("select conv_id, array_to_string((list(turn order by turn))[1:3], ',') as turns from conversations group by 1")
 def request_topk(t: Tables) -> DataFrame:
-    rows = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("l"))
+    rows = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("l"))
     return rows.select("conv_id", F.array_join(retrieve.take_first(F.col("l"), 3).cast("array<string>"), ",").alias("turns"))

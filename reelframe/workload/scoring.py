@@ -123,7 +123,7 @@ _CORE = sql_squeeze(r"regexp_replace(regexp_replace(lower(substr(trim(x), 1, 40)
     select doc_id, array_to_string(list_transform(m, lambda c: 'Missing visual detail: ' || c), '|') as gaps from d"""
 )
 def visual_gap_bullets(t: Tables) -> DataFrame:
-    k = F.array_sort(F.collect_list(F.struct("item_id", F.concat(F.lit("1) "), "text").alias("k"))))
+    k = F.sort_array(F.collect_list(F.struct("item_id", F.concat(F.lit("1) "), "text").alias("k"))))
     groups = t.benchmark.groupBy((F.col("item_id") % 10).alias("grp")).agg(F.transform(k, lambda x: x["k"]).alias("kps"))
     joined = t.documents.withColumn("grp", F.col("doc_id") % 10).join(groups, "grp")
     return joined.select("doc_id", F.array_join(evaluate.visual_gaps(F.col("kps"), F.col("text")), "|").alias("gaps"))

@@ -45,7 +45,7 @@ def frame_index_subsample(t: Tables) -> DataFrame:
     select conv_id, array_to_string(case when n <= 4 then l else list_transform(k, lambda i: l[i + 1]) end, ',') as turns from f"""
 )
 def uniform_subsample(t: Tables) -> DataFrame:
-    rows = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("l"))
+    rows = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("l"))
     return rows.select("conv_id", F.array_join(segment.uniform_subset(F.col("l"), 4).cast("array<string>"), ",").alias("turns"))
 
 
