@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,17 @@ def content_id(c: Column, prefix: str = "chunk-") -> Column:
     return F.concat(F.lit(prefix), F.md5(c))
 
 
+def id32(c: Column, seed: int = 0) -> Column:
+    """The 32-bit xxHash of a text, as a long from 0 to 2^32 - 1, in Arrow batches; Spark's own hashes have 32 bits of
+    another kind or 64. Null stays null. Ids of 32 bits clash from some tens of thousands of texts on."""
+
+    @F.pandas_udf("bigint")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: xxhash.xxh32_intdigest(x, seed), na_action="ignore").astype("Int64")
+
+    return run(c)
+
+
 def args_key(*parts: Column) -> Column:
     """The cache key of a call: MD5 over its arguments, each with its length, nulls apart from empty ones."""
     return F.md5(F.concat(*(F.coalesce(F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")), F.lit("-")) for p in parts)))
@@ -129,3 +142,14 @@ MEMORY_MARKERS = (
 def memory_message(c: Column) -> Column:
     """Does an error text speak of exhausted memory? A null text doesn't."""
     return F.exists(F.array(*(F.lit(m) for m in MEMORY_MARKERS)), lambda m: F.contains(F.lower(F.coalesce(c, F.lit(""))), m))
+
+
+# What names of models that read pictures contain.
+VISION_MARKERS = ("llava", "minicpm", "internvl", "gpt-4o", "gemini", "claude", "vision", "qwen-vl", "qwen2.5-vl", "qwen2_5-vl", "qwen2vl", "qwen2.5vl", "vl:", "vl-")
+
+
+def vision_model(c: Column, hints: tuple[str, ...] = ()) -> Column:
+    """Does a model's name say that it reads pictures? hints: further parts of such names. A null or empty name doesn't."""
+    parts = [*(h.strip().lower() for h in hints if h.strip()), *VISION_MARKERS]
+    name = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.exists(F.array(*(F.lit(p) for p in parts)), lambda p: F.contains(name, p))

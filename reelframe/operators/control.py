@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_answer
@@ -71,3 +71,20 @@ def output_path(root: str, model: str, k: int | None = None, rerank: bool = Fals
     """Where the results of an experiment go."""
     parts = [root, *(["rerank"] if rerank else []), *([f"top{k}"] if k else []), *([f"ablation_{ablation}"] if ablation else []), model + "_base" * base]
     return "/".join(parts)
+
+
+def frames_under(frames: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """Rows of frames whose `path` is that of a file (files: path) below the folder root, each once as it stands.
+
+    Paths are compared as text: those with a `..` part are left out, repeated slashes and `.` parts are not resolved.
+    """
+    path = F.col("path")
+    below = F.startswith(path, F.lit(root.rstrip("/") + "/")) & ~F.rlike(path, F.lit(r"(^|/)\.\.(/|$)"))
+    return frames.filter(below).join(files.select("path").distinct(), "path", "left_semi")
+
+
+def observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """df, unchanged, and counters that are known once an action over it has run: `rows` and a sum of each column
+    given. They are gathered on the way, without a pass of their own; read them by `.get`."""
+    seen = Observation()
+    return df.observe(seen, F.count("*").alias("rows"), *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in counts.items())), seen

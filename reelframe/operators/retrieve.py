@@ -119,16 +119,33 @@ def best_by_tokens(segments: DataFrame, query_tokens: Column) -> DataFrame:
     return scored.groupBy("video").agg(F.max_by(F.struct("idx", "relevance"), F.struct(F.col("relevance"), -F.col("idx"))).alias("b")).select("video", "b.*")
 
 
-def resolve_paths(clips: DataFrame, catalog: DataFrame) -> DataFrame:
-    """clips (clip_id) with the path of the first of these that the catalog (name, path) has: the id, with and
-    without .mp4, then its prefixes before the last and the last but one `_`, plain and with FULL."""
-    c = F.col("clip_id")
-    bare = F.regexp_replace(c, r"\.mp4$", "")
-    one, two = (F.regexp_extract(bare, p, 1) for p in (r"^(.+)_[0-9]+$", r"^(.+)_[0-9]+_[0-9]+$"))
-    rungs = F.array(c, F.concat(bare, F.lit(".mp4")), bare, two, F.concat(two, F.lit("FULL")), one, F.concat(one, F.lit("FULL")))
-    each = clips.select("clip_id", F.posexplode(rungs).alias("rung", "name")).filter("name <> '' and name <> 'FULL'")
-    found = each.join(catalog, "name").groupBy("clip_id").agg(F.min_by(F.struct("path", "rung"), "rung").alias("b"))
-    return clips.join(found, "clip_id", "left").select("clip_id", "b.path", "b.rung")
+def resolve_paths(clips: DataFrame, catalog: DataFrame, inner: DataFrame | None = None) -> DataFrame:
+    """clips (clip_id) with the path and rung of the first name that the catalog (name, path) has.
+
+    Names in order: the id; with .mp4, or without where it has it; then each of its prefixes before a `_`, from the
+    longest: plain, .mp4, FULL, FULL.mp4. After these come the videos' own maps (inner: base, name, path), that of the
+    id and that of its first part: the id with and without .mp4 (its number without leading zeros), then what stands
+    before its number. Empty paths count as none. An id that none of them knows has no path; no other clip's is taken.
+    """
+    c, mp4 = F.col("clip_id"), F.lit(".mp4")
+    parts = F.split(c, "_")
+    joined = lambda n: F.array_join(F.slice(parts, F.lit(1), n), "_")
+    prefixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: joined(F.size(parts) - i))).otherwise(F.array().cast("array<string>"))
+    forms = F.transform(F.filter(prefixes, lambda x: x != ""), lambda x: F.array(x, F.concat(x, mp4), F.concat(x, F.lit("FULL")), F.concat(x, F.lit("FULL"), mp4)))
+    turned = F.when(F.endswith(c, mp4), F.regexp_replace(c, r"\.mp4$", "")).otherwise(F.concat(c, mp4))
+    names = F.concat(F.array(c, turned), F.flatten(forms))
+    each = clips.select("clip_id", F.posexplode(names).alias("rung", "name"))
+    found = each.join(catalog.filter("path <> ''").select("name", "path"), "name").select("clip_id", "rung", "path")
+    if inner is not None:
+        numbered = (F.size(parts) > 1) & F.rlike(F.element_at(parts, -1), F.lit("^[0-9]+$"))
+        base = joined(F.size(parts) - 1)
+        whole = F.concat(base, F.lit("_"), F.regexp_replace(F.element_at(parts, -1), "^0+(?=[0-9])", ""))
+        own = F.when(numbered, F.array(F.concat(whole, mp4), whole, F.concat(base, mp4), base)).otherwise(F.array(F.concat(c, mp4), c))
+        asked = clips.select("clip_id", F.size(names).alias("_n"), F.posexplode(F.array_distinct(F.array(c, F.element_at(parts, 1)))).alias("_m", "base"), own.alias("_own"))
+        asked = asked.select("clip_id", "_n", "_m", "base", F.posexplode("_own").alias("_i", "name"))
+        found = found.union(asked.join(inner.filter("path <> ''").select("base", "name", "path"), ["base", "name"]).select("clip_id", F.col("_n") + F.col("_m") * 4 + F.col("_i"), "path"))
+    best = found.groupBy("clip_id").agg(F.min_by(F.struct("path", "rung"), F.struct("rung", "path")).alias("b"))
+    return clips.join(best, "clip_id", "left").select("clip_id", "b.path", "b.rung")
 
 
 def names_to_urls(names: DataFrame, urls: DataFrame) -> DataFrame:

@@ -190,6 +190,24 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
 
 
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """Vectors (id, vector, content) as Parquet, in place of what stood there."""
+    vectors.select("id", F.col("vector").cast("array<float>").alias("vector"), "content").write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, dimension: int) -> DataFrame:
+    """The vectors of a store, none where there is no store yet; a vector of another dimension stops the query that
+    reads it."""
+    try:
+        stored = spark.read.schema(VECTORS).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], VECTORS)
+    wrong = F.raise_error(F.concat(F.lit(f"vector is not of dimension {dimension}: "), F.coalesce("id", F.lit("null"))))
+    return stored.withColumn("vector", F.when(F.size("vector") == dimension, F.col("vector")).otherwise(wrong.cast("array<float>")))
+
+
 def read_media(spark: SparkSession, path: str) -> DataFrame:
     """Files as path, length, modificationTime, content; local or in any store that Spark reads."""
     return spark.read.format("binaryFile").load(path)

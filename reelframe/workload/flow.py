@@ -101,3 +101,17 @@ def distinct_events(t: Tables) -> DataFrame:
 @query("select user_id, arg_max(event_type, (ts, event_id)) as event_type, max(ts) as ts from events group by 1")
 def dedup_latest(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("ts").alias("ts"))
+
+
+_FRAME = "case event_id % 5 when 0 then '/work/u' || user_id || '/f' || event_id || '.jpg' when 1 then '/workshop/f' || event_id when 2 then '/work/../etc/f' || event_id when 3 then '/work/f' || event_id else null end"
+
+
+@query(f"select event_id, {_FRAME} as path from events where event_id % 5 in (0, 3) and event_id % 3 > 0")
+def frames_under_root(t: Tables) -> DataFrame:
+    """Paths of frames below the work folder whose file is there: two of three are."""
+    e = F.col("event_id")
+    n = e.cast("string")
+    path = F.when(e % 5 == 0, F.concat(F.lit("/work/u"), F.col("user_id").cast("string"), F.lit("/f"), n, F.lit(".jpg"))).when(e % 5 == 1, F.concat(F.lit("/workshop/f"), n))
+    path = path.when(e % 5 == 2, F.concat(F.lit("/work/../etc/f"), n)).when(e % 5 == 3, F.concat(F.lit("/work/f"), n))
+    frames = t.events.select("event_id", path.alias("path"))
+    return control.frames_under(frames, frames.filter("event_id % 3 > 0"), "/work/").select("event_id", "path")

@@ -108,25 +108,33 @@ def best_by_tokens(t: Tables) -> DataFrame:
     return retrieve.best_by_tokens(segments(t), tokens)
 
 
-_CATALOG = "catalog as (select distinct source || (case when source in ('src1', 'src2') then 'FULL' when source in ('src3') then '.mp4' else '' end) as name, '/v/' || source as path from documents)"
+_CATALOG = "catalog as (select distinct source || (case when source in ('src1', 'src2') then 'FULL' when source in ('src3') then '.mp4' else '' end) as name, '/v/' || source as path from documents where source not in ('src4', 'src5'))"
 _CLIP = "source || case doc_id % 3 when 0 then '' when 1 then '_' || (doc_id % 9) else '_' || (doc_id % 9) || '_' || (doc_id % 5) end"
 
 
 @query(
     f"""with {_CATALOG}, clips as (select distinct {_CLIP} as clip_id from documents),
-    rungs as (select clip_id, r as rung, case r when 0 then clip_id when 1 then clip_id || '.mp4' when 2 then clip_id when 3 then regexp_extract(clip_id, '^(.+)_[0-9]+_[0-9]+$', 1)
-      when 4 then regexp_extract(clip_id, '^(.+)_[0-9]+_[0-9]+$', 1) || 'FULL' when 5 then regexp_extract(clip_id, '^(.+)_[0-9]+$', 1) else regexp_extract(clip_id, '^(.+)_[0-9]+$', 1) || 'FULL' end as name
-      from clips, (select unnest(range(0, 7)) as r)),
-    found as (select clip_id, arg_min(path, rung) as path, min(rung)::int as rung from rungs join catalog using (name) group by 1)
-    select clip_id, path, rung from clips left join found using (clip_id)"""
+    inner_map as (select distinct source as base, source || '_' || (doc_id % 9) || case when doc_id % 2 = 0 then '.mp4' else '' end as name from documents where source in ('src4', 'src5')),
+    p as (select clip_id, string_split(clip_id, '_') as parts from clips),
+    n as (select clip_id, parts, [clip_id, clip_id || '.mp4'] || flatten(list_transform(range(1, len(parts)), lambda i: list_transform(['', '.mp4', 'FULL', 'FULL.mp4'], lambda e: array_to_string(parts[1:len(parts) - i], '_') || e))) as names,
+      case when len(parts) > 1 then [clip_id || '.mp4', clip_id, array_to_string(parts[1:len(parts) - 1], '_') || '.mp4', array_to_string(parts[1:len(parts) - 1], '_')] else [clip_id || '.mp4', clip_id] end as own from p),
+    r as (select clip_id, unnest(range(1, len(names) + 1)) as i, names, null as base, 0 as past from n
+      union all select clip_id, unnest(range(1, len(own) + 1)), own, parts[1], len(names) + case when len(parts) > 1 then 4 else 0 end from n),
+    found as (select clip_id, i - 1 + past as rung, path from r join catalog on name = names[i] where base is null
+      union all select clip_id, i - 1 + past, '/w/' || name from r join inner_map m on m.base = r.base and name = names[i]),
+    best as (select clip_id, arg_min(path, (rung, path)) as path, min(rung)::int as rung from found group by 1)
+    select clip_id, path, rung from clips left join best using (clip_id)"""
 )
 def resolve_paths(t: Tables) -> DataFrame:
+    """Two sources are known only by maps of their own clips."""
     d = F.col("doc_id")
     n = lambda m: (d % m).cast("string")
     clip = F.when(d % 3 == 0, F.col("source")).when(d % 3 == 1, F.concat_ws("_", "source", n(9))).otherwise(F.concat_ws("_", "source", n(9), n(5)))
     mark = F.when(F.col("source").isin("src1", "src2"), "FULL").when(F.col("source") == "src3", ".mp4").otherwise("")
-    catalog = t.documents.select(F.concat("source", mark).alias("name"), F.concat(F.lit("/v/"), "source").alias("path")).distinct()
-    return retrieve.resolve_paths(t.documents.select(clip.alias("clip_id")).distinct(), catalog)
+    alone = F.col("source").isin("src4", "src5")
+    catalog = t.documents.filter(~alone).select(F.concat("source", mark).alias("name"), F.concat(F.lit("/v/"), "source").alias("path")).distinct()
+    inner = t.documents.filter(alone).select(F.col("source").alias("base"), F.concat("source", F.lit("_"), n(9), F.when(d % 2 == 0, ".mp4").otherwise("")).alias("name")).distinct()
+    return retrieve.resolve_paths(t.documents.select(clip.alias("clip_id")).distinct(), catalog, inner.withColumn("path", F.concat(F.lit("/w/"), "name")))
 
 
 @query(

@@ -261,3 +261,23 @@ def time_and_size(t: Tables) -> DataFrame:
     raw = F.when(F.col("doc_id") % 3 == 0, F.concat(n.cast("string"), F.lit("-x"))).otherwise(F.concat(n.cast("string"), F.lit("-"), n.cast("string"), F.lit(".5")))
     span = scalar.time_range(raw)
     return t.documents.select("doc_id", scalar.hms(n).alias("hms"), scalar.hms_plain(n).alias("plain"), span["start"].alias("s"), span["end"].alias("e"), scalar.aligned_size(n % 97 + 1, n % 31 + 1)["width"].cast("long").alias("w"))
+
+
+_NAMES = ["llava:13b", "MiniCPM-V", "InternVL2", "gpt-4o-mini", "gpt-4", "Gemini-pro", "claude-x", "qwen2.5-vl", "qwen2.5", "llama3.2-vision", "own-eyes", "dolphin-vl:7b", "mistral", ""]
+
+
+@query(
+    f"select p_partkey, case when p_partkey % 17 = 16 then null else ({sql_list(_NAMES)})[p_partkey % 14 + 1] || case when p_partkey % 14 < 13 then p_size::varchar else '' end end as name, "
+    "coalesce(p_partkey % 17 <> 16 and p_partkey % 14 not in (4, 8, 12, 13), false) as vision from part"
+)
+def vision_models(t: Tables) -> DataFrame:
+    """Which of the names, numbered by size, are of models that read pictures; `own-eyes` is one by a hint."""
+    k = F.col("p_partkey")
+    size = F.when(k % 14 < 13, F.col("p_size").cast("string")).otherwise("")
+    name = F.when(k % 17 == 16, None).otherwise(F.concat(F.element_at(text.strings(_NAMES), (k % 14 + 1).cast("int")), size))
+    return t.part.select("p_partkey", name.alias("name"), scalar.vision_model(name, (" Own-Eyes ",)).alias("vision"))
+
+
+@query()
+def xxh32_ids(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", scalar.id32(F.col("text")).alias("id32"))
