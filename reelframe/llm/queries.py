@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, media, mixing, sentencepiece_lattice, simhash, token_counts, toxicity, url_filter, warc
+from . import ann, chat, collocations, fill_middle, knn_join, media, mixing, sentencepiece_lattice, simhash, token_counts, toxicity, url_filter, warc
 from .common import new_folder, table, written
 
 WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -73,8 +73,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return knn_join.join(vectors, vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+    rebuilt = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
+
+
+OPERATORS = (
+    op1_warc, op2_token_counts, op3_url_filter, op4_ann, op5_mixing, op6_sentencepiece, op7_chat, op8_simhash, op9_media, op10_toxicity,
+    op11_collocations, op12_knn_join, op13_fill_middle,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_url_filter, op4_ann, op5_mixing, op6_sentencepiece, op7_chat, op8_simhash, op9_media, op10_toxicity)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
