@@ -57,7 +57,7 @@ def first_json(forms: Iterator[str]) -> Any:
     for form in forms:
         try:
             return json.loads(form)
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested deeper than Python goes
             pass
     return None
 
@@ -89,8 +89,14 @@ def _whole(v: Any) -> int | None:
         return None
 
 
+class NoDecision(Exception):
+    """An object that parses but isn't built like a decision."""
+
+
 def _target(of: dict) -> dict[str, Any]:
     checks = of.get("checks") or {}
+    if not isinstance(checks, dict):
+        raise NoDecision
     wanted = {k: bool(checks.get(k) or checks.get(short)) for k, short in CHECKS.items()}
     return {"clip_id": str(_first(of, CLIP)), "reasoning": _first(of, REASON), "checks": wanted}
 
@@ -103,39 +109,80 @@ def _canonical(of: dict) -> dict[str, Any]:
     return out | {"refinement_targets": [_target(t) for t in listed if isinstance(t, dict)] if isinstance(listed, list) else []}
 
 
+#: A dash before a key, with the quote that the key may lack.
+_DASHED = re.compile(r'(?<=[{"\s,])-\s*(?:"|(?=[A-Za-z_]))')
+
+
+class Salvage:
+    """What can be read off a text that is no JSON, by key."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    def number(self, key: str) -> int:
+        """The first digit; underscores of the key may be lacking or escaped."""
+        spelled = key.replace("_", r"[_\\]?")
+        found = re.search(rf'"{spelled}"\s*:\s*(\d)', self.text)
+        return int(found[1]) if found else 0
+
+    def yes(self, key: str) -> bool:
+        return bool(re.search(rf'(?i)"{key}"\s*:\s*true', self.text))
+
+    def quoted(self, key: str, empty: bool = True, flags: int = 0) -> str | None:
+        found = re.search(rf'"{key}"\s*:\s*"([^"]{"*" if empty else "+"})"', self.text, flags)
+        return found[1].strip() if found else None
+
+    def value(self, key: str, empty: bool = True, flags: int = 0) -> str | None:
+        """Quoted, else a bare word."""
+        own = self.quoted(key, empty, flags)
+        bare = re.search(rf'"{key}"\s*:\s*([A-Za-z0-9_.-]+)', self.text, flags) if own is None else None
+        return bare[1].strip() if bare else own
+
+    def blocks(self, key: str) -> Iterator[Salvage]:
+        yield from (Salvage(b) for b in re.findall(rf'\{{[^{{}}]*"{key}"[^{{}}]*\}}', self.text))
+
+
 def _salvaged(text: str) -> dict[str, Any] | None:
     """What patterns find of a planner's decision in text that is no JSON; null if that is nothing."""
-    text = re.sub(r'([{"\s,])-\s*(?="|[a-zA-Z_])', r"\1", _BAD_ESCAPE.sub(r"\1", text))
-    number = lambda k: int(m[1]) if (m := re.search(rf'"{k}"\s*:\s*(\d)', text)) else 0
-    yes = lambda k, where: bool(re.search(rf'(?i)"{k}"\s*:\s*true', where))
-    value = lambda k, where: (m[1] if m[1] is not None else m[2]).strip() if (m := re.search(rf'"{k}"\s*:\s*(?:"([^"]*)"|([\w.-]+))', where)) else ""
-    out: dict[str, Any] = {k: number(k) for k in SCORES} | {k: yes(k, text) for k in FLAGS}
-    out["temporal_focus_clip_id"] = value("temporal_focus_clip_id", text) if out["temporal_sequence_incomplete"] else ""
-    out["numeric_focus_clip_id"] = value("numeric_focus_clip_id", text)
-    blocks = [b for b in re.findall(r'\{[^{}]*"clip_id"[^{}]*\}', text) if value("clip_id", b)]
-    out["refinement_targets"] = [{"clip_id": value("clip_id", b), "reasoning": value("reasoning", b), "checks": {k: yes(k, b) for k in CHECKS}} for b in blocks]
+    whole = Salvage(_DASHED.sub('"', _BAD_ESCAPE.sub(r"\1", text)))
+    out: dict[str, Any] = {k: whole.number(k) for k in SCORES} | {k: whole.yes(k) for k in FLAGS}
+    out["temporal_focus_clip_id"] = (whole.quoted("temporal_focus_clip_id") or "") if out["temporal_sequence_incomplete"] else ""
+    out["numeric_focus_clip_id"] = whole.value("numeric_focus_clip_id", flags=re.I) or ""
+    clips = [(b.value("clip_id", empty=False), b) for b in whole.blocks("clip_id")]
+    out["refinement_targets"] = [{"clip_id": c, "reasoning": b.quoted("reasoning", empty=False) or "", "checks": {k: b.yes(k) for k in CHECKS}} for c, b in clips if c is not None]
     found = any(out[k] for k in SCORES) or out["refinement_targets"] or out["temporal_sequence_incomplete"]
     return out if found else None
 
 
 def planner_object(reply: str | None) -> dict[str, Any] | None:
-    """A planner's decision under its usual names: from the first object that parses, else by salvage."""
+    """A planner's decision under its usual names: from the first object that parses, else by salvage, where also
+    objects go whose parts aren't what they have to be."""
     lines = (reply or "").strip().splitlines()
     fenced = bool(lines) and lines[0].startswith("```")
-    text = "\n".join(x for x in lines if not (fenced and x.strip().startswith("```")))
+    text = "\n".join(x for x in lines if not (fenced and x.strip().startswith("```"))) if fenced else (reply or "").strip()
     text = re.sub(r"(?m)^<[^\n>]+>\s*", "", re.sub(r"(?i)</?think[^>]*>", "", text))
     found = first_json(form for c in top_level(text) for form in (c, c.replace("\"'", '"').replace("'", '"')))
-    out = _canonical(found) if isinstance(found, dict) else None
+    try:
+        out = _canonical(found) if isinstance(found, dict) else None
+    except NoDecision:
+        out = None
     if out and (sum(out[k] for k in SCORES) > 0 or out["refinement_targets"]):
         return out
     return _salvaged(text)
 
 
+def _spelled(found: Any) -> str | None:
+    """As JSON text; half a surrogate pair is escaped, since no column can hold it."""
+    if found is None:
+        return None
+    text = json.dumps(found, ensure_ascii=False)
+    return json.dumps(found) if re.search("[\ud800-\udfff]", text) else text
+
+
 def _column(parse: Callable[[str | None], Any], c: Column) -> Column:
     @F.pandas_udf("string")
     def run(replies: pd.Series) -> pd.Series:
-        found = [parse(r) for r in replies]
-        return pd.Series([None if x is None else json.dumps(x, ensure_ascii=False) for x in found], dtype=object)
+        return pd.Series([_spelled(parse(r)) for r in replies], dtype=object)
 
     return run(c)
 

@@ -28,12 +28,19 @@ PLANNED = (
     '{"overall_answerability_score": S, "temporal_focus_clip_id": Q, "x": "a\\_b"}',
     "{'overall_answerability_score': S",
 )
-#: Replies of a planner that the tolerant parse takes, by other names or by salvage, but for the last.
+#: Replies of a planner that the tolerant parse takes, by other names or by salvage, but for the last three. In two the
+#: focus is a bare null or no key, a target's checks are no object, keys have a dash and no quote before them.
 TOLERATED = (
     '<plan> {"answerability_score": "S", "targets": [{"id": Q, "reason": "r", "checks": {"ocr": true}}]}',
     "{'overall_answerability': S, 'refinement_targets': [{'clip_id': Q, 'checks': {'ocr_needed': true}}, 7]}".replace("Q", "'T'"),
     '"overall_answerability_score": S, "refinement_targets": [{"clip_id": Q, "ocr_needed": true}',
+    '{"overall_answerability_score": S, "temporal_sequence_incomplete": true, "refinement_targets": [{"clip_id": Q, "ocr_needed": true, "checks": ["ocr"]}]}',
+    '{"overall_answerability_score": S, "refinement_targets": [{"clip_id": Q, "ocr_needed": true, "checks": "ocr"}]}',
+    '"overall_answerability_score": S, "temporal_sequence_incomplete": true, "temporal_focus_clip_id": null, {"clip_id": Q, "ocr_needed": true}',
+    '"overall_answerability_score": S, "temporal_sequence_incomplete": true, "temporal_focus_clip_id": Q, {- clip_id": Q, - "ocr_needed": true}',
     "<think>so</think>```\nnothing to plan, {}",
+    "[" * 3000 + '{"overall_answerability_score": 0}' + "]" * 3000,
+    "",
 )
 
 
@@ -62,11 +69,12 @@ def planner_json_strict(t: Tables) -> DataFrame:
 
 
 @query(
-    "select conv_id, turn, case when turn % 4 < 3 then length(text) % 5 + 1 end::int as score, case turn % 4 when 1 then 'T' when 3 then null else md5(text) end as note, "
-    "case when turn % 4 < 3 then 'true' end as ocr from conversations",
+    "select conv_id, turn, case when turn % 10 < 7 then length(text) % 5 + 1 end::int as score, case when turn % 10 = 1 then 'T' when turn % 10 < 7 then md5(text) end as note, "
+    "case when turn % 10 < 7 then 'true' end as ocr, case when turn % 10 = 6 then md5(text) when turn % 10 < 7 then '' end as focus from conversations",
     python=True,
 )
 def planner_json_tolerant(t: Tables) -> DataFrame:
     found = t.conversations.select("conv_id", "turn", replies.planner_tolerant(_made(TOLERATED)).alias("j"))
     target = lambda k: F.get_json_object("j", f"$.refinement_targets[0].{k}")
-    return found.select("conv_id", "turn", F.get_json_object("j", "$.overall_answerability_score").cast("int").alias("score"), target("clip_id").alias("note"), target("checks.ocr_needed").alias("ocr"))
+    score, focus = F.get_json_object("j", "$.overall_answerability_score").cast("int"), F.get_json_object("j", "$.temporal_focus_clip_id")
+    return found.select("conv_id", "turn", score.alias("score"), target("clip_id").alias("note"), target("checks.ocr_needed").alias("ocr"), focus.alias("focus"))

@@ -2,7 +2,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..models import stub_embedding
-from ..operators import vector
+from ..operators import hnsw, vector
+from ..operators.state import checkpointed
 from .registry import Tables, query
 
 SIMS = """sims as (select q.vec_id as query_id, v.vec_id as id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) as similarity
@@ -41,6 +42,13 @@ def bucket_ann(t: Tables) -> DataFrame:
     return vector.bucket_top_k(table(t), asked(t), 20, planes=6, probes=5)
 
 
+@query(python=True)
+def hnsw_knn(t: Tables) -> DataFrame:
+    """Layered proximity graphs, built once, stored and searched; approximate: the tests hold recall and scored rows."""
+    index = checkpointed(hnsw.build(table(t)))
+    return hnsw.search(index, asked(t), 20).drop("scored")
+
+
 @query(
     """select coalesce(n.vec_id, o.vec_id) as id, coalesce(n.label, o.label)::int as label, (n.vec_id is not null) as renewed from embeddings o left join
     (select vec_id, label + 100 as label from embeddings where label = 3) n using (vec_id)"""

@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from reelframe.functions import replies, scalar
 
@@ -37,6 +39,52 @@ def test_planner_salvage():
     assert replies.planner_object('"temporal_focus_clip_id": "v1"') is None and replies.planner_object(None) is None
 
 
+@pytest.mark.parametrize("checks", [["ocr"], "ocr", 7, [[]], True])
+def test_planner_whose_checks_are_no_object(checks):
+    """Such a reply is read by salvage, by its usual names only."""
+    got = replies.planner_object(json.dumps({"overall_answerability_score": 4, "targets": [{"clip_id": "a", "reason": "r", "checks": checks}]}))
+    assert got["overall_answerability_score"] == 4 and [t["clip_id"] for t in got["refinement_targets"]] == ["a"]
+    assert got["refinement_targets"][0] == {"clip_id": "a", "reasoning": "", "checks": {k: False for k in replies.CHECKS}}
+    assert replies.planner_object(json.dumps({"answerability_score": 4, "targets": [{"id": "a", "checks": checks}]})) is None
+
+
+def test_planner_focus_is_quoted():
+    text = '"overall_answerability_score": 3, "temporal_sequence_incomplete": true, "temporal_focus_clip_id": null, "numeric_focus_clip_id": v9'
+    got = replies.planner_object(text)
+    assert got["temporal_focus_clip_id"] == "" and got["numeric_focus_clip_id"] == "v9"
+    assert replies.planner_object(text.replace("null", '" v1 "'))["temporal_focus_clip_id"] == "v1"
+
+
+def test_planner_keys_with_dashes():
+    got = replies.planner_object('{- overall_answerability_score": 2, [{- clip_id": "a", - "reasoning": "b"}, {-"clip_id": c}]')
+    assert got["overall_answerability_score"] == 2 and [(t["clip_id"], t["reasoning"]) for t in got["refinement_targets"]] == [("a", "b"), ("c", "")]
+    assert replies.planner_object(r'"overall\_answerability\_score": 5')["overall_answerability_score"] == 5
+    assert replies.planner_object('"overallanswerabilityscore": 5')["overall_answerability_score"] == 5
+
+
+_PARTS = st.sampled_from(
+    ["{", "}", "[", "]", '"', "'", ":", ",", "-", " ", "\\", "\n", "```", "<think>", "null", "true", "1e999", "NaN", "9" * 5000, '"\\ud800"', "\ud83d\ude00"]
+    + [f'"{k}"' for k in (*replies.SCORES, *replies.FLAGS, *replies.FOCUS, *replies.CHECKS, "clip_id", "checks", "targets", "reasoning", *replies.JUDGE_KEYS)]
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(_PARTS, max_size=40).map("".join) | st.text(max_size=80))
+def test_nothing_but_null_or_an_object_leaves(reply):
+    for parse in (replies.planner_object, replies.judge_object):
+        text = replies._spelled(parse(reply))
+        assert text is None or text.encode() and json.loads(text) is not False
+    found = replies.planner_object(reply)
+    assert found is None or set(found) == {*replies.SCORES, *replies.FLAGS, *replies.FOCUS, "refinement_targets"}
+
+
+@pytest.mark.parametrize("depth", [900, 5000, 200_000])
+def test_deep_nesting(depth):
+    for reply in ("[" * depth, '{"a":' * depth + "1" + "}" * depth, '{"targets": ' + "[" * depth + "]" * depth + "}"):
+        assert replies.planner_object(reply) is None
+        replies._spelled(replies.judge_object(reply))
+
+
 def test_columns_keep_nulls(spark):
     df = spark.createDataFrame([(None,), ("{}",), ("[1]",)], "r string")
     from pyspark.sql import functions as F
