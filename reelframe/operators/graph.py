@@ -173,12 +173,16 @@ def largest_component(edges: DataFrame) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """node, community: each round every node takes the label most frequent around it, itself included (ties:
-    the smallest). Deterministic; a stand-in where hierarchical modularity clustering isn't available."""
+    the smallest). The result is that of `rounds` rounds, as labels may take turns for ever; where none changes before,
+    the rest is left out. For communities of modularity see communities.hierarchical_leiden."""
     near = checkpointed(neighbours(edges).union(endpoints(edges).distinct().select(F.col("entity_name").alias("node"), F.col("entity_name").alias("neighbour"))).distinct())
     labels = near.select("node").distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
         votes = near.join(labels.select(F.col("node").alias("neighbour"), "community"), "neighbour").groupBy("node", "community").agg(F.count("*").alias("n"))
-        labels = checkpointed(votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("community")))
+        now = checkpointed(votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("community")))
+        before, labels = labels, now
+        if now.join(before, ["node", "community"], "left_anti").isEmpty():
+            break
     return labels
 
 

@@ -1,7 +1,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, retrieve
+from ..operators import communities, graph, retrieve, walks
 from .registry import Tables, query
 
 # Parts and suppliers as entities, a line item as a relation that weighs its quantity.
@@ -120,27 +120,31 @@ def community_schema(t: Tables) -> DataFrame:
     return graph.community_schema(members(t))
 
 
-HEAVY = "heavy as (select distinct 'P' || l_partkey as a, 'S' || l_suppkey as b from lineitem where l_quantity >= 50 and l_discount >= 0.1)"
-REACH = f"""{HEAVY}, both_ways as (select a, b from heavy union select b, a from heavy),
-  reach as (select a as node, a as root from both_ways union select e.b, r.root from reach r join both_ways e on e.a = r.node)"""
+PAIRS = "pairs as (select distinct 'P' || l_partkey as a, 'S' || l_suppkey as b from lineitem)"
+BOTH = f"{PAIRS}, both_ways as (select a, b from pairs union all select b, a from pairs)"
+#: The smallest node that a node is linked to, until none changes.
+ROOTS = f"""{BOTH}, roots(node, root) using key (node) as (
+    select distinct a, a from both_ways
+    union (select e.b, min(n.root) from roots n join both_ways e on e.a = n.node join recurring.roots r on r.node = e.b where n.root < r.root group by e.b))"""
 
 
-def heavy_pairs(t: Tables) -> DataFrame:
-    return t.lineitem.filter("l_quantity >= 50 and l_discount >= 0.1").select(_name("P", "l_partkey").alias("a"), _name("S", "l_suppkey").alias("b")).distinct()
+def pairs(t: Tables) -> DataFrame:
+    """Parts and suppliers of all lines."""
+    return t.lineitem.select(_name("P", "l_partkey").alias("a"), _name("S", "l_suppkey").alias("b")).distinct()
 
 
-@query(f"with recursive {REACH} select node, min(root) as root from reach group by 1")
+@query(f"with recursive {ROOTS} select node, root from roots")
 def connected_components(t: Tables) -> DataFrame:
-    """Parts and suppliers that lines of the greatest quantity and discount connect."""
-    return graph.components(heavy_pairs(t))
+    """Parts and suppliers that lines connect."""
+    return graph.components(pairs(t))
 
 
 @query(
-    f"""with recursive {REACH}, c as (select node, min(root) as root from reach group by 1), big as (select root from c group by 1 order by count(*) desc, root limit 1)
-    select least(a, b) as src, greatest(a, b) as tgt from heavy join c on c.node = a join big on big.root = c.root"""
+    f"""with recursive {ROOTS}, big as (select root from roots group by 1 order by count(*) desc, root limit 1)
+    select least(a, b) as src, greatest(a, b) as tgt from pairs join roots on node = a join big using (root)"""
 )
 def largest_component(t: Tables) -> DataFrame:
-    return graph.largest_component(heavy_pairs(t).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("tgt")))
+    return graph.largest_component(pairs(t).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("tgt")))
 
 
 _ROUNDS = ", ".join(
@@ -148,10 +152,23 @@ _ROUNDS = ", ".join(
 )
 
 
-@query(f"with {HEAVY}, around as (select a, b from heavy union select b, a from heavy union select a, a from heavy union select b, b from heavy), l0 as (select distinct a as node, a as c from around), {_ROUNDS} select node, c as community from l5")
+@query(f"with {BOTH}, around as (select a, b from both_ways union all select distinct a, a from both_ways), l0 as (select distinct a as node, a as c from around), {_ROUNDS} select node, c as community from l5")
 def label_communities(t: Tables) -> DataFrame:
-    """Synchronous label propagation, five rounds."""
-    return graph.label_propagation(heavy_pairs(t).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("tgt")))
+    """Synchronous label propagation of five rounds."""
+    return graph.label_propagation(pairs(t).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("tgt")))
+
+
+@query()
+def leiden_levels(t: Tables) -> DataFrame:
+    """Communities by levels of all pairs, weighted by quantity; no SQL form, the tests hold quality, links and reruns."""
+    return communities.hierarchical_leiden(edges(t).select("src", "tgt", "weight"))
+
+
+@query()
+def node_vectors(t: Tables) -> DataFrame:
+    """Vectors of all parts and suppliers from walks that turn back seldom; no SQL form, the tests hold steps to their exact odds."""
+    out = walks.node_vectors(edges(t).select("src", "tgt", "weight"), dims=32, per_node=2, length=6, p=2.0, q=0.5, seed=42)
+    return out.select("node", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
 @query(f"with {EDGES} select tgt as node, src as neighbour from edges where tgt in (select 'S' || s_suppkey from supplier where s_suppkey % 20 = 0) union all select src, tgt from edges where src in (select 'S' || s_suppkey from supplier where s_suppkey % 20 = 0)")
