@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import html
 from functools import reduce
+from html import entities
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +12,6 @@ WS = r"[ \t\n\r\x0b\x0c]"
 
 # What users of the data model expect in results.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-XML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 QUESTION_PREFIXES = ('"question": ', 'question": ', "'question': ", "question: ")
 KEYWORD_STOPWORDS = (
     "the and with then that have this from into what which when were will like left right top bottom front rear back show showing shows look "
@@ -74,24 +72,53 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, f"{WS}+"), lambda w: w != "")
 
 
-def unescape_html(c: Column) -> Column:
-    """The entities of XML and &nbsp;, the ampersand's own last."""
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), XML_ENTITIES, c)
+def code_point(n: Column) -> Column:
+    """The character of a number; null where there is none."""
+    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
-def clean_str(c: Column) -> Column:
-    """Strip, unescape, drop control characters."""
-    return F.regexp_replace(unescape_html(strip(c)), r"[\x00-\x1f\x7f-\x9f]", "")
+def _numeric(number: Column) -> Column:
+    """The character that a numeric reference stands for by HTML's rules: Windows-1252's for 128 to 159, U+FFFD where
+    there can be none, nothing for control characters and non-characters."""
+    windows = {n: (bytes([n]).decode("cp1252", "ignore") or chr(n)) for n in range(0x80, 0xA0)}
+    special = F.element_at(F.create_map(*(F.lit(x) for kv in {0: "\ufffd", 13: "\r", **windows}.items() for x in kv)), number.cast("int"))
+    nothing = number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127) | number.between(0xFDD0, 0xFDEF) | (F.pmod(number, F.lit(0x10000)) >= 0xFFFE)
+    beyond = number.isNull() | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    return F.when(beyond, "\ufffd").when((number == 0) | (number == 13) | number.between(0x80, 0x9F), special).when(nothing, "").otherwise(code_point(number))
+
+
+def _reference(part: Column) -> Column:
+    """What follows an ampersand, with the reference that it begins with, if any, replaced, else with the ampersand."""
+    names = F.create_map(*(F.lit(x) for kv in entities.html5.items() for x in kv))
+    # names that need no semicolon may be followed by anything, the longest counts
+    bare = "|".join(sorted((n for n in entities.html5 if n[-1] != ";"), key=len, reverse=True))
+    digits, hexes = F.regexp_extract(part, "^#([0-9]+);?", 1), F.regexp_extract(part, "^#[xX]([0-9a-fA-F]+);?", 1)
+    # seven figures are beyond any character, so is what doesn't fit a long
+    significant = lambda d: F.regexp_replace(d, "^0+(?=.)", "")
+    number = F.when(digits != "", significant(digits).try_cast("long")).when(F.length(significant(hexes)) <= 7, F.conv(significant(hexes), 16, 10).cast("long"))
+    after = lambda pattern: F.regexp_replace(part, pattern, "")
 
+    def named(name: Column) -> Column:
+        whole = F.try_element_at(names, name)
+        short = F.regexp_extract(name, f"^(?:{bare})", 0)
+        rest = lambda n: F.substr(part, F.length(n) + 1)
+        return F.when(whole.isNotNull(), F.concat(whole, rest(name))).when(short != "", F.concat(F.try_element_at(names, short), rest(short))).otherwise(F.concat(F.lit("&"), part))
 
-def unescape_html_full(c: Column) -> Column:
-    """Every named and numeric entity, for text that holds more than XML's; in Arrow batches."""
+    is_number = (digits != "") | (hexes != "")
+    return F.when(is_number, F.concat(_numeric(number), after("^#(?:[0-9]+|[xX][0-9a-fA-F]+);?"))).otherwise(let(F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0), named))
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
 
-    return run(c)
+def unescape_html(c: Column) -> Column:
+    """Every named and numeric character reference of HTML 5, with or without its semicolon, once; texts without an
+    ampersand stay as they are."""
+    parts = F.split(c, "&", -1)
+    done = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _reference), ""))
+    return F.when(F.contains(c, F.lit("&")), done).otherwise(c)
+
+
+def clean_str(c: Column) -> Column:
+    """Strip, unescape, drop control characters."""
+    return F.regexp_replace(unescape_html(strip(c)), r"[\x00-\x1f\x7f-\x9f]", "")
 
 
 def nfkc(c: Column) -> Column:

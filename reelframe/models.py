@@ -75,6 +75,12 @@ def stub_embedding(c: Column, dimensions: int = DIMENSIONS) -> Column:
     return F.array(*(part(i) for i in range(dimensions)))
 
 
+def stub_token_vectors(tokens: Column, dimensions: int = 8) -> Column:
+    """A vector of unit length for every token of an array, in Spark expressions; equal tokens have equal ones."""
+    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
+    return F.transform(F.transform(tokens, lambda t: stub_embedding(t, dimensions)), unit)
+
+
 def stub_reply(c: Column) -> Column:
     """yes or no by the text's digest; a stand-in for relevance judgements."""
     return F.when(F.conv(F.substring(F.md5(c), 1, 1), 16, 10).cast("int") < 8, "yes").otherwise("no")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import dot
 from ..functions.text import keypoint_words, normalize_match, squeeze, words
 
 # Fixed values of the keypoint rule.
@@ -39,6 +40,30 @@ def keypoint_columns(kp: Column, ans: Column, similarity: Column | None = None)
     return {"matched": matched, "jaccard": F.round(score, 4), "overlap": shared.cast("long"), "need": need, "reason": reason}
 
 
+def _best(a: Column, b: Column) -> Column:
+    """For every vector of a its greatest product with one of b."""
+    return F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: dot(x, y))))
+
+
+def alignment(candidate: Column, reference: Column) -> dict[str, Column]:
+    """precision and recall of token vectors of unit length (arrays of arrays), each aligned with the likest of the
+    other side: precision is the candidate's mean, recall the reference's; 0 where a side has no tokens.
+
+    Give columns, not expressions: they are read token by token.
+    """
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    both = (F.size(candidate) > 0) & (F.size(reference) > 0)
+    precision, recall = (F.when(both, mean(_best(x, y))).otherwise(0.0) for x, y in ((candidate, reference), (reference, candidate)))
+    return {"precision": precision, "recall": recall}
+
+
+def with_alignment(df: DataFrame, candidate: str, reference: str) -> DataFrame:
+    """df with precision, recall and f of its columns of token vectors; f is their harmonic mean where both are over 0."""
+    scores = df.withColumns(alignment(F.col(candidate), F.col(reference)))
+    p, r = F.col("precision"), F.col("recall")
+    return scores.withColumn("f", F.when((p > 0) & (r > 0), 2 * p * r / (p + r)).otherwise(0.0))
+
+
 def coverage(matches: DataFrame, group: list[str]) -> DataFrame:
     """(group, domain, matched) -> covered_video, covered_text, total_video, total_text."""
     one = lambda d, extra=True: F.sum(F.when((F.col("domain") == d) & extra, 1).otherwise(0))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import neighbours, node_degrees
+from .state import checkpointed
 
 SECTION = "-----New Chunk-----\n"
 
@@ -65,10 +66,37 @@ def without(all_rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return all_rows.join(gone.select(*keys), keys, "left_anti")
 
 
+#: Rows of a group from which it isn't put into one task.
+HUGE = 1_000_000
+
+
+def running(df: DataFrame, group: list[str], order: list, value: Column, name: str) -> DataFrame:
+    """df with the running sum of `value` (whole numbers) over each group in order; rows of one place in no set order.
+
+    A group of over HUGE rows is dealt to tasks by ranges of its order: sums of each range, running sums of these few,
+    and running sums within the range. Give orders that tell most rows apart, as rows of one place are one range.
+    """
+
+    def summed(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.withColumn(name, F.sum("_value").over(W.partitionBy(*group, *more).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+
+    rows = df.withColumn("_value", value)
+    same = lambda other: [F.col(g).eqNullSafe(other[f"_{g}"]) for g in group]
+    huge = checkpointed(df.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > HUGE).select(*(F.col(g).alias(f"_{g}") for g in group)))
+    if huge.isEmpty():
+        return summed(rows).drop("_value")
+    dealt = checkpointed(rows.join(huge, same(huge), "left_semi").repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy(*group, "_range").agg(F.sum("_value").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(*(F.col(g).alias(f"_{g}") for g in group), F.col("_range").alias("_at"), before.alias("_before"))
+    large = summed(dealt, "_range").join(offsets, [*same(offsets), F.col("_range") == F.col("_at")])
+    large = large.withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)
+    return summed(rows.join(huge, same(huge), "left_anti")).drop("_value").unionAll(large)
+
+
 def within_budget(df: DataFrame, group: list[str], order: list, tokens: str, budget: int) -> DataFrame:
     """The longest prefix of each group, in order, whose running token sum is within the budget."""
-    run = F.sum(tokens).over(W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("running_tokens", run).filter((F.col("running_tokens") <= budget) & F.lit(budget > 0))
+    return running(df, group, order, F.col(tokens), "running_tokens").filter((F.col("running_tokens") <= budget) & F.lit(budget > 0))
 
 
 def keep_or_all(df: DataFrame, group: list[str], verdict: Column) -> DataFrame:
@@ -105,7 +133,9 @@ def rotate(df: DataFrame, group: list[str], order: list, value: str) -> DataFram
 
 def shuffled(df: DataFrame, group: list[str], key: str, seed: int = 0) -> DataFrame:
     """A seeded random order of each group, as `place`."""
-    return df.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(F.md5(F.concat_ws("#", F.lit(seed), F.col(key))), key)))
+    drawn = df.withColumn("_drawn", F.md5(F.concat_ws("#", F.lit(seed), F.col(key))))
+    out = running(drawn, group, ["_drawn", key], F.lit(1), "place")
+    return out.withColumn("place", F.col("place").cast("int")).drop("_drawn")
 
 
 def take_first(array: Column, k: int = 5) -> Column:

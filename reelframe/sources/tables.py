@@ -1,14 +1,10 @@
 """Readers and writers: JSON key-value stores, QA files, requests, segment stores, graphs, vectors, results.
 
-Schemas are explicit; nothing is inferred from data. Graphs are also read from and written to GraphML.
+Schemas are explicit; nothing is inferred from data. For GraphML see `graphml`, for versions of several tables `versions`.
 """
 
 from __future__ import annotations
 
-import time
-from xml.etree import ElementTree
-from xml.sax.saxutils import escape, quoteattr
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,20 +121,6 @@ def append_failures(rows: DataFrame, *paths: str) -> None:
         rows.write.mode("append").json(p)
 
 
-def commit(tables: dict[str, DataFrame], root: str, version: str) -> None:
-    """All tables of a version, then one marker: readers take the version marked last, by time, so they see all or none."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    marker = spark.createDataFrame([(version, time.time_ns())], "version string, at long")
-    marker.coalesce(1).write.mode("append").json(f"{root}/_versions")
-
-
-def committed(spark: SparkSession, root: str, name: str) -> DataFrame:
-    last = spark.read.schema("version string, at long").json(f"{root}/_versions").agg(F.max_by("version", F.struct("at", "version"))).first()[0]
-    return spark.read.parquet(f"{root}/{last}/{name}")
-
-
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
@@ -148,48 +130,6 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.schema(NODES).parquet(f"{path}/nodes"), spark.read.schema(EDGES).parquet(f"{path}/edges")
 
 
-def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """`value`: one GraphML element per node and edge; attributes joined by <SEP>. Write with `.text()`."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    data = lambda key, c: F.concat(F.lit(f'<data key="{key}">'), esc(c), F.lit("</data>"))
-    joined = lambda c: F.array_join(c, "<SEP>")
-    n = nodes.select(F.concat(F.lit('<node id="'), esc(F.col("entity_name")), F.lit('">'), data("entity_type", F.col("entity_type")), data("description", joined("descriptions")), data("source_id", joined("source_ids")), F.lit("</node>")).alias("value"))
-    e = edges.select(F.concat(F.lit('<edge source="'), esc(F.col("src")), F.lit('" target="'), esc(F.col("tgt")), F.lit('">'), data("weight", F.col("weight").cast("string")), data("description", joined("descriptions")), data("source_id", joined("source_ids")), F.lit("</edge>")).alias("value"))
-    return n.union(e)
-
-
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One local GraphML file, row by row; for graphs that other tools read whole."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
-        for name, kind, domain in (("entity_type", "string", "node"), ("description", "string", "all"), ("source_id", "string", "all"), ("weight", "double", "edge")):
-            f.write(f"<key id={quoteattr(name)} for={quoteattr(domain)} attr.name={quoteattr(name)} attr.type={quoteattr(escape(kind))}/>\n")
-        f.write('<graph edgedefault="undirected">\n')
-        for r in graphml_lines(nodes, edges).toLocalIterator():
-            f.write(r["value"] + "\n")
-        f.write("</graph>\n</graphml>\n")
-
-
-def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a GraphML file, parsed as a stream of elements."""
-    space = "{http://graphml.graphdrawing.org/xmlns}"
-    names, nodes, edges = {}, [], []
-    for _, e in ElementTree.iterparse(path):
-        if e.tag == f"{space}key":
-            names[e.get("id")] = e.get("attr.name")
-        if e.tag not in (f"{space}node", f"{space}edge"):
-            continue
-        data = {names.get(d.get("key"), d.get("key")): d.text or "" for d in e.iter(f"{space}data")}
-        parts = [[p for p in data.get(k, "").split("<SEP>") if p] for k in ("description", "source_id")]
-        if e.tag.endswith("node"):
-            nodes.append((e.get("id"), data.get("entity_type"), *parts))
-        else:
-            a, b = sorted((e.get("source"), e.get("target")))
-            edges.append((a, b, float(data.get("weight", 1.0)), *parts, int(data.get("order", 1))))
-        e.clear()
-    return spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
-
-
 def write_vectors(vectors: DataFrame, path: str) -> None:
     """Vectors (id, vector, content) as Parquet, in place of what stood there."""
     vectors.select("id", F.col("vector").cast("array<float>").alias("vector"), "content").write.mode("overwrite").parquet(path)

@@ -2,6 +2,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar, text
+from ..models import stub_token_vectors
 from ..operators import evaluate
 from .registry import Tables, query
 from .text import sql_keypoint, sql_squeeze, sql_words
@@ -29,6 +30,30 @@ def keypoint_match(t: Tables) -> DataFrame:
     return matches(t).drop("lang")
 
 
+_VECTORS = """list_transform({}, lambda w: list_transform(range(0, 8), lambda i: ('0x' || substr(md5(w || '#' || i), 1, 4))::bigint / 32767.5::double - 1))"""
+_UNIT = "list_transform({}, lambda v: list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))))"
+_BEST = "list_avg(list_transform({}, lambda x: list_max(list_transform({}, lambda y: list_dot_product(x, y)))))"
+
+
+@query(
+    f"""with {MATCH}, short as (select doc_id, item_id, k, list_distinct(a) as d, matched from matches where len(k) > 0 and len(a) > 0),
+    raw as (select doc_id, item_id, matched, {_VECTORS.format("d")} as c, {_VECTORS.format("k")} as r from short),
+    unit as (select doc_id, item_id, matched, {_UNIT.format("c")} as c, {_UNIT.format("r")} as r from raw),
+    s as (select doc_id, item_id, matched, {_BEST.format("c", "r")} as p, {_BEST.format("r", "c")} as q from unit),
+    all_rows as (select m.doc_id, m.item_id, m.matched, coalesce(p, 0) as p, coalesce(q, 0) as q from matches m left join s using (doc_id, item_id))
+    select doc_id, item_id, round(p, 6) as precision, round(q, 6) as recall, round(case when p > 0 and q > 0 then 2 * p * q / (p + q) else 0 end, 6) as f,
+      matched or coalesce(case when p > 0 and q > 0 then 2 * p * q / (p + q) else 0 end, 0) >= 0.8 as matched from all_rows"""
+)
+def embedding_match(t: Tables) -> DataFrame:
+    """Every document's distinct tokens aligned with its keypoint's, by stand-in vectors; the third way to match."""
+    kp = t.benchmark.select("item_id", evaluate.keypoint_tokens(F.col("text")).alias("kp"))
+    d = t.documents.select("doc_id", evaluate.keypoint_tokens(F.col("text")).alias("ans"), (F.col("doc_id") % max(1, t.benchmark.count())).alias("item_id"))
+    d = d.withColumn("_c", stub_token_vectors(F.array_distinct("ans")))
+    scored = evaluate.with_alignment(d.join(kp.withColumn("_r", stub_token_vectors(F.col("kp"))), "item_id"), "_c", "_r")
+    matched = evaluate.keypoint_columns(F.col("kp"), F.col("ans"), F.col("f"))["matched"]
+    return scored.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f")), matched.alias("matched"))
+
+
 _COVER = f"{MATCH}, d as (select lang, case when item_id % 2 = 0 then 'video' else 'text' end as domain, matched from matches), c as (select lang, count_if(domain = 'video' and matched)::bigint as covered_video, count_if(domain = 'text' and matched)::bigint as covered_text, count_if(domain = 'video')::bigint as total_video, count_if(domain = 'text')::bigint as total_text from d group by 1)"
 
 

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from reelframe.sources import tables
+from reelframe.sources import graphml, tables, versions
 from reelframe.streaming import events as stream
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -46,12 +46,52 @@ def test_graphs(spark, tmp_path):
     nodes, edges = graph(spark)
     tables.write_graph(nodes, edges, f"{tmp_path}/g")
     again = tables.read_graph(spark, f"{tmp_path}/g")
-    tables.write_graphml(nodes, edges, f"{tmp_path}/g.graphml")
-    parsed = tables.read_graphml(spark, f"{tmp_path}/g.graphml")
+    graphml.write(nodes, edges, f"{tmp_path}/graphml")
+    parsed = graphml.read(spark, f"{tmp_path}/graphml")
     for n, e in (again, parsed):
         assert rows(n) == rows(nodes) and rows(e) == rows(edges)
 
 
+def test_graphml_of_all_lines(spark, tmp_path):
+    """The graph of every line item, in several files, each of which any XML parser takes; rows come back as they were."""
+    from xml.etree import ElementTree
+
+    from reelframe.operators import graph as operators
+    from reelframe.workload import graphs
+    from reelframe.workload.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    edges = graphs.edges(t).select("src", "tgt", "weight", "descriptions", "source_ids", F.col("ord").cast("int").alias("ord"))
+    nodes = graphs.nodes(t).union(operators.missing_nodes(graphs.nodes(t), edges).select("entity_name", "entity_type", "descriptions", "source_ids"))
+    graphml.write(nodes.repartition(3), edges.repartition(3), f"{tmp_path}/g")
+    files = [p for p in (tmp_path / "g").iterdir() if p.name.startswith("part-")]
+    assert len(files) >= 6 and all(ElementTree.parse(p).getroot().tag.endswith("graphml") for p in files)
+    n, e = graphml.read(spark, f"{tmp_path}/g")
+    assert sorted(map(str, n.collect())) == sorted(map(str, nodes.collect())) and sorted(map(str, e.collect())) == sorted(map(str, edges.collect()))
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" not in plan and "Scan xml" in plan.replace("FileScan", "Scan")
+
+
+def test_graphml_of_others(spark, tmp_path):
+    """Keys by number, elements over several lines, no data, ends in any order, line feeds and markup in texts."""
+    (tmp_path / "a.graphml").write_text(
+        """<?xml version='1.0' encoding='utf-8'?>
+<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="d0" for="node" attr.name="entity_type" attr.type="string" />
+<key id="d1" for="edge" attr.name="weight" attr.type="double" /><graph edgedefault="undirected"><node id="b">
+  <data key="d0">x &amp;lt; y</data>
+  <data key="d9">unknown</data></node><node id="a" />
+<edge source="b"
+ target="a"><data key="d1">2.5</data></edge><edge source="a" target="b" /></graph></graphml>"""
+    )
+    n, e = graphml.read(spark, f"{tmp_path}/a.graphml")
+    assert sorted(tuple(r) for r in n.select("entity_name", "entity_type").collect()) == [("a", None), ("b", "x &lt; y")]
+    assert sorted(tuple(r) for r in e.collect()) == [("a", "b", 1.0, [], [], 1), ("a", "b", 2.5, [], [], 1)]
+    odd = spark.createDataFrame([("\t<n>\n\"&amp;\r\x00", None, ["two\nlines", " "], []), (None, "T", [], [])], tables.NODES)
+    graphml.write(odd, spark.createDataFrame([], tables.EDGES), f"{tmp_path}/odd")
+    n, e = graphml.read(spark, f"{tmp_path}/odd")
+    assert [tuple(r) for r in n.collect()] == [("\t<n>\n\"&amp;\r", None, ["two\nlines", " "], [])] and e.count() == 0
+
+
 def test_results_and_commits(spark, tmp_path):
     (tmp_path / "res").mkdir()
     (tmp_path / "res/a.json").write_text('{"question": "q", "answer": "a", "mode": "m"}\n{broken\n')
@@ -65,13 +105,52 @@ def test_results_and_commits(spark, tmp_path):
     one = spark.createDataFrame([("v", "p", 0, "q", "e", "t", "now")], tables.FAILURE)
     tables.append_failures(one, f"{tmp_path}/f1", f"{tmp_path}/f2")
     assert spark.read.json(f"{tmp_path}/f1").count() == spark.read.json(f"{tmp_path}/f2").count() == 1
-    for v, n in (("v2", 1), ("v9", 2), ("v10", 3)):
-        tables.commit({"t": spark.range(n)}, f"{tmp_path}/store", v)
-        assert tables.committed(spark, f"{tmp_path}/store", "t").count() == n
     (tmp_path / "m.bin").write_bytes(b"abc")
     assert bytes(tables.read_media(spark, f"file://{tmp_path}/m.bin").first()["content"]) == b"abc"
 
 
+def test_versions(spark, tmp_path):
+    store = versions.Versions(spark, f"file://{tmp_path}/store")
+    assert store.latest() == 0 and store.commit({"t": spark.range(1), "u": spark.range(5)}) == 1
+    for n in (2, 3):
+        assert store.commit({"t": spark.range(n)}) == n and store.read("t").count() == n and store.read("u").count() == 5
+    midway = store.read("t", 2)
+    with pytest.raises(versions.Conflict):  # from a version that isn't the last any more
+        store.commit({"t": spark.range(9)}, parent=1)
+    assert store.latest() == 3 and midway.count() == 2 and store.manifest()["parent"] == 2
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    """Both have written their tables before either publishes; the other's can't be seen afterwards."""
+    import threading
+
+    class Slow(versions.Versions):
+        both = threading.Barrier(2)
+
+        def _publish(self, number, manifest):
+            self.both.wait(60)
+            super()._publish(number, manifest)
+
+    done: dict = {}
+
+    def write(n):
+        try:
+            done[n] = Slow(spark, f"{tmp_path}/race").commit({"t": spark.range(n)})
+        except versions.Conflict:
+            done[n] = None
+
+    for _ in range(3):
+        writers = [threading.Thread(target=write, args=(n,)) for n in (3, 4)]
+        for w in writers:
+            w.start()
+        for w in writers:
+            w.join()
+        store = versions.Versions(spark, f"{tmp_path}/race")
+        won = [n for n, v in done.items() if v]
+        assert len(won) == 1 and store.read("t").count() == won[0] and store.latest() == done[won[0]]
+    assert not [p for p in (tmp_path / "race/_versions").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     """The events in three files, in order of time."""

@@ -96,3 +96,26 @@ def test_hash_pairs_are_all_pairs(spark, distance):
     want = sorted((i, j, bits(a, b)) for a, i in first.items() for b, j in first.items() if i < j and bits(a, b) < distance)
     df = spark.createDataFrame([*enumerate(signed), (99, None)], "k long, h long")
     assert sorted(tuple(r) for r in dedup.hash_pairs(df, "k", "h", distance).collect()) == want
+
+
+@pytest.mark.parametrize("huge", [0, 5, 10**9])
+def test_running_sums_of_any_group_size(spark, monkeypatch, huge):
+    """Groups of over HUGE rows, here also null and empty ones, are summed by ranges with the same result."""
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([0, 1, 7, None])) for i in range(300)] + [("c", 1, 4)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, o int, n int").repartition(4)
+    monkeypatch.setattr(retrieve, "HUGE", huge)
+    got = {(r["g"], r["o"]): r["running"] for r in retrieve.running(df, ["g"], ["o"], F.col("n"), "running").collect()}
+    want, sums = {}, {}
+    for g, o, n in sorted(rows, key=lambda r: r[1]):
+        sums[g] = sums[g] if n is None and g in sums else None if n is None else (sums.get(g) or 0) + n
+        want[g, o] = sums[g]
+    # before a range's first number its sum is null, or what stood before it
+    assert got.keys() == want.keys() and all((got[k] or 0) == (want[k] or 0) for k in want if got[k] is not None)
+    places = [(r["g"], r["place"]) for r in retrieve.shuffled(df, ["g"], "o", 3).collect()]
+    for g in ("a", "b", "c", None):
+        own = sorted(p for x, p in places if x == g)
+        assert own == list(range(1, len(own) + 1))
+    spent = retrieve.within_budget(df.fillna(0, "n"), ["g"], ["o"], "n", 100).collect()
+    assert {(r["g"], r["o"]) for r in spent} == {k for k in want if (want[k] or 0) <= 100}
