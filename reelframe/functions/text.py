@@ -89,7 +89,8 @@ def _numeric(number: Column) -> Column:
 
 def _reference(part: Column) -> Column:
     """What follows an ampersand, with the reference that it begins with, if any, replaced, else with the ampersand."""
-    names = F.create_map(*(F.lit(x) for kv in entities.html5.items() for x in kv))
+    # as one literal: thousands of them would keep the planner busy
+    names = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in entities.html5.items())), F.lit("\x02"), F.lit("\x01"))
     # names that need no semicolon may be followed by anything, the longest counts
     bare = "|".join(sorted((n for n in entities.html5 if n[-1] != ";"), key=len, reverse=True))
     digits, hexes = F.regexp_extract(part, "^#([0-9]+);?", 1), F.regexp_extract(part, "^#[xX]([0-9a-fA-F]+);?", 1)
@@ -105,7 +106,9 @@ def _reference(part: Column) -> Column:
         return F.when(whole.isNotNull(), F.concat(whole, rest(name))).when(short != "", F.concat(F.try_element_at(names, short), rest(short))).otherwise(F.concat(F.lit("&"), part))
 
     is_number = (digits != "") | (hexes != "")
-    return F.when(is_number, F.concat(_numeric(number), after("^#(?:[0-9]+|[xX][0-9a-fA-F]+);?"))).otherwise(let(F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0), named))
+    # the frequent ones are known without a pattern
+    known = reduce(lambda w, n: w.when(F.startswith(part, F.lit(n)), F.concat(F.lit(entities.html5[n]), F.substr(part, F.lit(len(n) + 1)))), ("lt;", "gt;", "quot;", "nbsp;", "apos;", "AMP;"), F.when(F.startswith(part, F.lit("amp;")), F.concat(F.lit("&"), F.substr(part, F.lit(5)))))
+    return known.when(is_number, F.concat(_numeric(number), after("^#(?:[0-9]+|[xX][0-9a-fA-F]+);?"))).otherwise(let(F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0), named))
 
 
 def unescape_html(c: Column) -> Column:

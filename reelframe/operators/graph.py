@@ -23,7 +23,7 @@ def parse_records(df: DataFrame, reply: str, source: str) -> DataFrame:
     """One row per record of a reply: kind (entity or relationship), a, b, description, weight, source_id, ord.
 
     A record is what stands between the first ( and the last ) of one line; names are upper-cased before
-    entities are unescaped and keep their quotes. Relations weigh their last field if it is a number, else 1.
+    references are unescaped (so `&amp;` is, `&eacute;` gives a capital) and keep their quotes. Relations weigh their last field if it is a number, else 1.
     """
     split = df.select(F.col(source).cast("string").alias("source_id"), F.posexplode(split_markers(F.col(reply), [RECORD, COMPLETE])).alias("ord", "record"))
     body = F.regexp_extract("record", r"\((.*)\)", 1)

@@ -32,11 +32,11 @@ def nodes(t: Tables) -> DataFrame:
 
 @query(
     """select kind, a, b, description, weight, source_id, count(*)::bigint as n from (
-      select 'entity' as kind, '"PART &AMP; ' || l_partkey || '"' as a, '"TYPE"' as b, '"flag ' || l_returnflag || '"' as description, null::double as weight, l_orderkey::varchar as source_id from lineitem
+      select 'entity' as kind, '"PART & ' || l_partkey || '"' as a, '"TYPE"' as b, '"flag ' || l_returnflag || '"' as description, null::double as weight, l_orderkey::varchar as source_id from lineitem
       union all select 'relationship', '"PART ' || l_partkey || '"', '"SUPPLIER ' || l_suppkey || '"', '"desc"', l_linenumber::double, l_orderkey::varchar from lineitem) group by all"""
 )
 def record_parse(t: Tables) -> DataFrame:
-    """Extraction replies, one per order, back to their records. An upper-cased entity isn't unescaped."""
+    """Extraction replies, one per order, back to their records. A reference that names had before they were upper-cased is one still."""
     s = lambda c: F.col(c).cast("string")
     record = F.concat(
         F.lit('("entity"<|>"part &amp; '), s("l_partkey"), F.lit('"<|>"type"<|>"flag '), F.col("l_returnflag"), F.lit('")##("relationship"<|>"part '), s("l_partkey"),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.text import clean_str, strip
-from ..operators import segment
+from ..operators import chunkers, segment
 from .registry import Tables, query
 from .text import sql_clean, sql_strip, sql_words
 
@@ -104,6 +104,20 @@ def segment_pack_chunks(t: Tables) -> DataFrame:
     return packed(t).select("conv_id", "chunk_order_index", "tokens", F.md5("content").alias("digest"), F.array_join(F.col("segments").cast("array<string>"), ",").alias("segments"))
 
 
+@query(f"select doc_id, chunk_order_index, tokens, 'chunk-' || md5(content) as id from {WINDOWS}", python=True)
+def chunk_function_windows(t: Tables) -> DataFrame:
+    """token_window_chunks by a chunk function."""
+    out = chunkers.chunked(t.documents.withColumn("_o", F.lit(0)), "doc_id", "_o", "text", lambda: chunkers.TokenWindows(200, 20))
+    return out.select("doc_id", "chunk_order_index", "tokens", scalar.content_id(F.col("content")).alias("id"))
+
+
+@query(f"with recursive {PACKED} select conv_id, chunk_order_index, tokens, md5(content) as digest, array_to_string(segments, ',') as segments from packed", python=True)
+def chunk_function_packing(t: Tables) -> DataFrame:
+    """segment_pack_chunks by a chunk function."""
+    out = chunkers.chunked(t.conversations, "conv_id", "turn", "text", lambda: chunkers.SegmentPacking(150))
+    return out.select("conv_id", "chunk_order_index", "tokens", F.md5("content").alias("digest"), F.array_join(F.col("segments").cast("array<string>"), ",").alias("segments"))
+
+
 @query(
     f"""with recursive {PACKED}, ranked as (select *, row_number() over (partition by content order by conv_id desc, chunk_order_index desc) as k from packed)
     select 'chunk-' || md5({sql_strip('content')}) as id, conv_id, chunk_order_index, tokens, a::double as start_time, b::double as end_time from ranked where k = 1"""
