@@ -1,18 +1,14 @@
 """Windows, sessions, de-duplication and incremental ingestion over event streams.
 
 Every function takes a DataFrame that may be streaming; the batch result is the same once all rows came in time.
-events: event_id, ts, user_id, event_type, value, props.
+events: event_id, ts, user_id, event_type, value, props. For state of any other kind see `keyed`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "10 minutes"
 
@@ -80,15 +76,3 @@ def run_to_memory(df: DataFrame, name: str, mode: str = "complete", checkpoint:
     writer.start().awaitTermination()
     return df.sparkSession.table(name)
 
-
-def with_state(df: DataFrame, key: str, step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], output: str, state: str, start: tuple) -> DataFrame:
-    """A fold with state over each key's rows in order of arrival: step(state, rows) -> (state, output rows)."""
-
-    def run(_key, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        now = group.get if group.exists else start
-        for f in frames:
-            now, out = step(now, f)
-            yield out
-        group.update(now)
-
-    return df.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)

@@ -1,3 +1,6 @@
+from functools import reduce
+from operator import xor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -5,6 +8,7 @@ from ..functions.scalar import args_key, content_id
 from ..models import stub_reply
 from ..operators import control
 from ..streaming import events as stream
+from ..streaming import keyed
 from .registry import Tables, query
 
 
@@ -84,6 +88,22 @@ def sliding_10min(t: Tables) -> DataFrame:
     return out.withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+_GAPS = """g as (select *, case when ts - lag(ts) over w < interval 1 day then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
+    s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g)"""
+
+
+@query(f"with {_GAPS} select user_id, min(ts) as first, max(ts) as last, count(*)::bigint as events, bit_xor(event_id)::bigint as ids from s group by user_id, k", python=True)
+def idle_groups(t: Tables) -> DataFrame:
+    """Each user's events until a day without any, by keyed state with timers; here over the whole table at once."""
+    keyed.use_state_store(t.spark)
+
+    def step(state: tuple, rows) -> tuple:
+        return state[0] + len(rows), int(reduce(xor, rows["event_id"], state[1]))
+
+    out = keyed.idle_groups(t.events.select("user_id", "ts", "event_id"), "user_id", step, (0, 0), "events long, ids long", 86_400)
+    return out.withColumn("first", F.col("first").cast("timestamp_ntz")).withColumn("last", F.col("last").cast("timestamp_ntz"))
+
+
 @query(
     """with g as (select *, case when ts - lag(ts) over w < interval 30 minutes then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
     s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as first, max(ts) as last, count(*)::bigint as events from s group by user_id, k"""

@@ -203,20 +203,3 @@ def test_ingest_adds_each_key_once(spark, folder, tmp_path):
         stream.ingest(keyed, "key", f"{tmp_path}/table", f"{tmp_path}/c{i}").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/table")
     assert got.count() == got.select("key").distinct().count() == spark.read.parquet(folder).select("event_type", "user_id").distinct().count()
-
-
-def test_state(spark, folder):
-    import pandas as pd
-
-    def step(state, frame):
-        n = state[0] + len(frame)
-        return (n,), pd.DataFrame({"user_id": [int(frame["user_id"].iloc[0])], "seen": [n]})
-
-    out = stream.with_state(stream.read_events(spark, folder), "user_id", step, "user_id long, seen long", "n long", (0,))
-    got = stream.run_to_memory(out, "state_out", "append").groupBy("user_id").agg(F.max("seen")).collect()
-    want = spark.read.parquet(folder).groupBy("user_id").count().collect()
-    assert rows_of(got) == rows_of(want)
-
-
-def rows_of(x):
-    return sorted(tuple(r) for r in x)
