@@ -15,9 +15,9 @@ vec_id), queries into groups of about `GROUP`; a task holds one block and one gr
 per query, and a window over those few picks the 10 best.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows of a null
-vec_id, take no part; vectors of another length than most are an error; rows that share a vec_id are each
+vec_id, take no part, nor do vectors and queries of another length than most vectors (ties: the shorter); rows that share a vec_id are each
 candidates, and none is a candidate for a query of that id, whose vector is the smallest of them;
-with at most k candidates all are returned; an empty table or no query gives an empty result.
+with at most k candidates all are returned; an empty table or no query gives an empty result; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -109,10 +109,8 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 0))
 
 
-def fit(vectors: DataFrame, centroids: int = CENTROIDS, rows: int = FIT_ROWS) -> Index | None:
+def fit(vectors: DataFrame, centroids: int = CENTROIDS, rows: int = FIT_ROWS) -> Index:
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(rows).toPandas()
-    if not len(sample):
-        return None
     x = _matrix(sample["vector"])
     half = x.shape[1] // 2
     return Index((_kmeans(x[:, :half], centroids), _kmeans(x[:, half:], centroids)))
@@ -217,9 +215,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, enough: int | No
     vectors = vectors.filter(usable(F.col("vector")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"))
     queries = queries.filter(usable(F.col("vector")) & F.col("query_id").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
     queries = queries.groupBy("query_id").agg(F.min("vector").alias("vector"))
-    index = fit(vectors)
-    if index is None:
+    most = vectors.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
+    if most is None:
         return spark.createDataFrame([], result)
+    vectors, queries = (df.filter(F.size("vector") == most["dims"]) for df in (vectors, queries))
+    index = fit(vectors)
     indexed = written(vectors.mapInPandas(_assign(index), "vec_id long, vector array<double>, cell int"), "ann-cells")
     index.counts = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     enough = _enough(index, indexed, k) if enough is None else enough

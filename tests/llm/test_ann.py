@@ -55,6 +55,18 @@ def test_odd_rows(spark):
     assert [v for _, v, _ in got[3]] == [1, 2] and [v for _, v, _ in got[1]] == [3, 3, 2]
 
 
+def test_mixed_lengths_and_extra_columns(spark):
+    """Vectors and queries of another length than most are set aside; columns of clashing names aren't read."""
+    rows = [(i, [float(i), 1.0, 0.5]) for i in range(1, 9)] + [(20, [1.0, 2.0]), (21, [1.0]), (22, [1.0, 2.0, 3.0, 4.0]), (23, [])]
+    got = run(spark, rows, rows)
+    assert set(got) == set(range(1, 9)) and all({v for _, v, _ in found} == set(range(1, 9)) - {q} for q, found in got.items())
+    tied = [(1, [1.0]), (2, [2.0]), (3, [1.0, 2.0]), (4, [2.0, 1.0])]
+    assert set(run(spark, tied, tied)) == {1, 2}
+    v = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "7 as cell", "8 as block", "'x' as score")
+    q = spark.createDataFrame(rows[:2], SCHEMA).selectExpr("vec_id as query_id", "vector", "1 as group", "2 as dims", "3 as rank")
+    assert {r["query_id"] for r in ann.search(v, q).collect()} == {1, 2}
+
+
 def test_empty(spark):
     assert run(spark, [], []) == {}
     assert run(spark, [(1, [1.0, 2.0])], []) == {}
