@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import replies
+from ..operators import shapes
 from .registry import Tables, query
 
 #: Replies of a judge; S is the score, Q a quoted text. The first group parses, the rest holds nothing.
@@ -78,3 +79,55 @@ def planner_json_tolerant(t: Tables) -> DataFrame:
     target = lambda k: F.get_json_object("j", f"$.refinement_targets[0].{k}")
     score, focus = F.get_json_object("j", "$.overall_answerability_score").cast("int"), F.get_json_object("j", "$.temporal_focus_clip_id")
     return found.select("conv_id", "turn", score.alias("score"), target("clip_id").alias("note"), target("checks.ocr_needed").alias("ocr"), focus.alias("focus"))
+
+
+#: Replies in the shapes that prompts ask for, with the problems that they have; S is a score, Q a quoted text.
+SHAPED = {
+    "timestamps": (
+        ('[{"start_time": "S.0", "end_time": "00:01:00", "Graph": Q}]', ""),
+        ('[{"start_time": S, "end_time": "9.5", "Operation": Q}, 7]', "item_no_object,start_no_quoted_time"),
+        ('[{"start_time": "90", "end_time": "1:0S", "Table": Q}]', "ends_before_start"),
+        ('```json\n[{"start_time": "S", "end_time": "soon"}]\n```', "end_no_quoted_time,no_label"),
+        ('{"start_time": "S"}', "no_list"),
+        ("[]", "empty_list"),
+        ("[{'start_time': S}]", "no_json"),
+    ),
+    "keypoints": (("[Q, \"S words\"]", ""), ("[Q, Q, S]", "item_no_text,items_twice"), ('[" ", Q]', "item_empty"), ("Q", "no_list")),
+    "verdict": (
+        ('{"likert_score": S, "likert_subscores": {"factual_coverage": 1, "visual_detail_usage": 5, "linguistic_precision": S}, "factuality_analysis": {"covered_video_keypoints": 0, "covered_text_keypoints": 2, "total_claimed_keypoints": 9}, "reasoning": Q}', ""),
+        ('{"likert_score": "S", "likert_subscores": {"factual_coverage": 6, "visual_detail_usage": 2.5, "linguistic_precision": S}, "factuality_analysis": {"covered_video_keypoints": -1, "covered_text_keypoints": 2}, "reasoning": ""}',
+         "score_not_1_to_5,factual_coverage_not_1_to_5,visual_detail_usage_not_1_to_5,covered_video_keypoints_no_count,total_claimed_keypoints_no_count,no_reasoning"),
+    ),
+}
+_SHAPES = {"timestamps": shapes.TIMESTAMPS, "keypoints": shapes.KEYPOINTS, "verdict": shapes.VERDICT}
+
+
+def _named(form: tuple[tuple[str, str], ...]) -> str:
+    return "[" + ", ".join(f"'{p}'" for _, p in form) + f"][turn % {len(form)} + 1]"
+
+
+@query(" union all ".join(f"select conv_id, turn, '{n}' as shape, {_named(f)} as problems from conversations" for n, f in SHAPED.items()))
+def reply_shapes(t: Tables) -> DataFrame:
+    """Every turn in replies of each shape, and the problems that they have."""
+    out = None
+    for name, forms in SHAPED.items():
+        reply = F.replace(_made(tuple(f for f, _ in forms)), F.lit("S"), (F.length("text") % 5 + 1).cast("string"))
+        one = t.conversations.select("conv_id", "turn", shapes.parsed(reply).alias("v"))
+        one = one.select("conv_id", "turn", F.lit(name).alias("shape"), F.array_join(shapes.problems(F.col("v"), _SHAPES[name]), ",").alias("problems"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(
+    """with s as (select conv_id, turn as id, turn * 30 + length(text) % 50 as a, turn * 30 + length(text) % 50 + length(text) % 90 as b from conversations)
+    select x.conv_id, x.id as a, y.id as b, (least(x.b, y.b) - greatest(x.a, y.a))::double as shared from s x join s y on x.conv_id = y.conv_id and x.id < y.id and least(x.b, y.b) > greatest(x.a, y.a)"""
+)
+def span_overlaps(t: Tables) -> DataFrame:
+    """Spans that replies state by quoted times and by the clock, met by time within each conversation."""
+    start = (F.col("turn") * 30 + F.length("text") % 50).cast("long")
+    end = start + F.length("text") % 90
+    clock = F.format_string("%d:%02d:%02d", (end / 3600).cast("long"), (end % 3600 / 60).cast("long"), end % 60)
+    reply = F.format_string('[{"start_time": "%d", "end_time": "%s", "Operation": "x"}]', start, clock)
+    found = shapes.spans(t.conversations.select(F.struct("conv_id", "turn").alias("k"), shapes.parsed(reply).alias("v")), "k", "v")
+    rows = found.select("k.conv_id", F.col("k.turn").alias("id"), "start", "end")
+    return shapes.overlaps(rows, rows, "conv_id").filter("a < b")
