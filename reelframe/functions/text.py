@@ -14,11 +14,14 @@ WS = r"[ \t\n\r\x0b\x0c]"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 QUESTION_PREFIXES = ('"question": ', 'question": ', "'question': ", "question: ")
 KEYWORD_STOPWORDS = (
-    "the and with then that have this from into what which when were will like left right top bottom front rear back show showing shows look "
-    "looks looking please tell explain how why where who whom whose does did doing done make made press pressed pressing step first second third "
-    "final begin end start stop turn on off"
-).split()
-VISUAL_STOPWORDS = KEYWORD_STOPWORDS + "a an of in at to for is it are be as by or".split()
+    "the", "and", "with", "then", "that", "have", "this", "from", "into", "what", "which", "when", "were", "will", "like", "left",
+    "right", "top", "bottom", "front", "rear", "back", "show", "showing", "shows", "look", "looks", "looking", "please", "tell",
+    "explain", "how", "why", "where", "who", "whom", "whose", "does", "did", "doing", "done", "make", "made", "press", "pressed",
+    "pressing", "step", "first", "second", "third", "final", "begin", "end", "start", "stop", "turn", "on", "off",
+)
+VISUAL_STOPWORDS = KEYWORD_STOPWORDS + (
+    "a", "an", "of", "in", "at", "to", "for", "is", "it", "are", "be", "as", "by", "or",
+)
 VISUAL_SYNONYMS = {
     "people": "person", "persons": "person", "men": "man", "women": "woman", "kids": "child", "children": "child", "screens": "screen",
     "monitor": "screen", "monitors": "screen", "display": "screen", "displays": "screen", "screenshots": "screen", "cars": "car",

@@ -15,31 +15,39 @@ from ..functions.text import let, strings
 
 # Word lists that the rules test as substrings of the lower-cased question.
 OCR_HINTS = (
-    "read|what does it say|text|word|character|symbol|sign|transcribe|identify the text|name of|ui|menu|button|icon|slider|dropdown|checkbox|"
-    "input field|text box|dialog|window|panel|tab|option|toolbar|chart|graph|axis|axes|table|data|list|form|figure|diagram|spreadsheet|code|log|"
-    "number|score|price|date|time|version|percentage|amount|value|coordinate|id|serial number|statistics|label|title|headline|caption|subtitle|"
-    "paragraph|document|article"
-).split("|")
+    "read", "what does it say", "text", "word", "character", "symbol", "sign", "transcribe", "identify the text", "name of", "ui", "menu",
+    "button", "icon", "slider", "dropdown", "checkbox", "input field", "text box", "dialog", "window", "panel", "tab", "option",
+    "toolbar", "chart", "graph", "axis", "axes", "table", "data", "list", "form", "figure", "diagram", "spreadsheet", "code", "log",
+    "number", "score", "price", "date", "time", "version", "percentage", "amount", "value", "coordinate", "id", "serial number",
+    "statistics", "label", "title", "headline", "caption", "subtitle", "paragraph", "document", "article",
+)
 DET_HINTS = (
-    "object|detect|find|locate|point to|identify the object|count|how many|position|location|where is|left|right|top|bottom|center|middle|corner|"
-    "above|below|under|over|on top of|beside|next to|between|in front of|behind|inside|outside|color|shape|size|texture|pattern|style|material|"
-    "which|what object|which one|the one that is|hold|holding|wearing|using|carrying|item|thing|person|car|animal|building|tool|element|component"
-).split("|")
+    "object", "detect", "find", "locate", "point to", "identify the object", "count", "how many", "position", "location", "where is",
+    "left", "right", "top", "bottom", "center", "middle", "corner", "above", "below", "under", "over", "on top of", "beside", "next to",
+    "between", "in front of", "behind", "inside", "outside", "color", "shape", "size", "texture", "pattern", "style", "material", "which",
+    "what object", "which one", "the one that is", "hold", "holding", "wearing", "using", "carrying", "item", "thing", "person", "car",
+    "animal", "building", "tool", "element", "component",
+)
 NOT_NUMERIC = (
-    "why|how does|how to|what is the purpose of|explain|describe|summarize|meaning|purpose|method|cause|reason|consequence|who|which person|"
-    "which company|what is the name|what color|what kind|what type"
-).split("|")
+    "why", "how does", "how to", "what is the purpose of", "explain", "describe", "summarize", "meaning", "purpose", "method", "cause",
+    "reason", "consequence", "who", "which person", "which company", "what is the name", "what color", "what kind", "what type",
+)
 NUMERIC = (
-    "how many|how much|count|what is the percentage|what is the rate|what is the frequency|what is the value|what is the number|what is the total|"
-    "percentage|percent|%|rate|frequency"
-).split("|")
+    "how many", "how much", "count", "what is the percentage", "what is the rate", "what is the frequency", "what is the value",
+    "what is the number", "what is the total", "percentage", "percent", "%", "rate", "frequency",
+)
 NUMERIC_SUPPORT = (
-    "graph|chart|plot|diagram|figure|table|data|axis|axes|legend|scale|range|column|row|statistics|stats|average|mean|median|distribution|"
-    "correlation|ratio"
-).split("|")
-FORCE_OCR = "graph|chart|temperature|rate|percent|%|fluctuation|变化|曲线|图表|温度".split("|")
+    "graph", "chart", "plot", "diagram", "figure", "table", "data", "axis", "axes", "legend", "scale", "range", "column", "row",
+    "statistics", "stats", "average", "mean", "median", "distribution", "correlation", "ratio",
+)
+FORCE_OCR = (
+    "graph", "chart", "temperature", "rate", "percent", "%", "fluctuation", "变化", "曲线", "图表", "温度",
+)
 UNITS = "(?:°c|℃|c|%|percent|年|years?|月|小时|h|km|km/h|m/s|kg|kgf)"
-GENERIC_CLASSES = "person|car|truck|bus|bicycle|motorcycle|flag|banner|microphone|camera|phone|laptop|screen|table|chair|building|gun|police".split("|")
+GENERIC_CLASSES = (
+    "person", "car", "truck", "bus", "bicycle", "motorcycle", "flag", "banner", "microphone", "camera", "phone", "laptop", "screen",
+    "table", "chair", "building", "gun", "police",
+)
 BACK_OFF = (0.25, 0.20, 0.15, 0.10, 0.05)
 NEIGHBOUR_TOTAL = 5
 
