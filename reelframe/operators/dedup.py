@@ -5,10 +5,12 @@ from __future__ import annotations
 import itertools
 import random
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import components
 from .state import checkpointed
 
 TEXT_SIMILARITY, FRAME_DISTANCE = 0.85, 5
@@ -78,20 +80,58 @@ def similar_pairs(df: DataFrame, key: str, tokens: str, at_least: float = TEXT_S
     return scored.filter(F.col("similarity") >= at_least).select(F.col("k").alias("a"), F.col("k2").alias("b"), "similarity")
 
 
-def first_independent(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(k) of nodes that stay when they are read in order and one goes that has a pair (a, b), a < b, with one that
-    stayed before.
+#: Pairs of a connected component up to which one task decides it, some 100 MB.
+AT_ONCE = 200_000
 
-    In rounds: a node without an earlier partner left stays, its later partners go and take their pairs along. The
-    number of rounds is that of the longest chain of decisions; each is a few joins of what pairs are left.
-    """
-    left, gone = checkpointed(pairs.select("a", "b")), None
+
+def _plain(k):
+    """A key as what can be compared and hashed: structs as tuples, null first."""
+    return tuple(_plain(v) for v in k.values()) if isinstance(k, dict) else (k is not None, k)
+
+
+def _going(pairs: pa.Table) -> pa.Table:
+    """(a, b, ...), a < b, of a component: the b that go when its nodes are read in order."""
+    earlier: dict[tuple, list] = {}
+    place: dict[tuple, int] = {}
+    for i, (a, b) in enumerate(zip(map(_plain, pairs["a"].to_pylist()), map(_plain, pairs["b"].to_pylist()), strict=True)):
+        earlier.setdefault(b, []).append(a)
+        place.setdefault(b, i)
+    gone: set[tuple] = set()
+    for b in sorted(earlier):
+        if any(a not in gone for a in earlier[b]):
+            gone.add(b)
+    return pa.table({"b": pairs["b"].combine_chunks().take(pa.array([place[b] for b in gone], pa.int64()))})
+
+
+def _by_rounds(left: DataFrame) -> DataFrame | None:
+    """(b) that go, of pairs in any number of components; as many rounds as the longest chain of decisions."""
+    gone = None
     while not left.isEmpty():
         stays = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
         goes = checkpointed(left.join(stays, "a", "left_semi").select("b").distinct())
         left = checkpointed(left.join(goes, "b", "left_anti").join(goes.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
         gone = goes if gone is None else gone.union(goes)
-    return nodes.select("k") if gone is None else nodes.select("k").join(gone.select(F.col("b").alias("k")), "k", "left_anti")
+    return gone
+
+
+def first_independent(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(k) of nodes that stay when they are read in order and one goes that has a pair (a, b), a < b, with one that
+    stayed before.
+
+    Decisions never leave a connected component: one of up to AT_ONCE pairs is decided by one task in one pass, however
+    long its chains; the pairs of larger ones together in rounds, each a few joins.
+    """
+    left = checkpointed(pairs.select("a", "b"))
+    if left.isEmpty():
+        return nodes.select("k")
+    roots = components(left).select(F.col("node").alias("a"), "root")
+    rooted = checkpointed(left.join(roots, "a").select("a", "b", "root"))
+    large = checkpointed(rooted.groupBy("root").agg(F.count("*").alias("_n")).filter(F.col("_n") > AT_ONCE).select("root"))
+    kind = left.schema["b"].dataType.simpleString()
+    gone = checkpointed(rooted.join(large, "root", "left_anti").groupBy("root").applyInArrow(_going, f"b {kind}"))
+    rest = _by_rounds(checkpointed(rooted.join(large, "root", "left_semi").select("a", "b")))
+    gone = gone if rest is None else gone.union(rest)
+    return nodes.select("k").join(gone.select(F.col("b").alias("k")), "k", "left_anti")
 
 
 def band_candidates(df: DataFrame, key: str, tokens: str) -> DataFrame:
@@ -110,7 +150,7 @@ def greedy_texts(df: DataFrame, group: str, order: str, tokens: str, at_least: f
     """Rows kept when each group is read in order and a row goes that is similar to one kept before.
 
     Equal token sets are reduced to their first row, rows without tokens go. No group is ever in one task: the
-    similar pairs are joined, then decided in rounds. Rows of one place in the order are read by their tokens' hash.
+    similar pairs are joined, then decided by component. Rows of one place in the order are read by their tokens' hash.
     """
     k = F.struct(F.struct(F.col(group)).alias("g"), F.col(order).alias("o"), F.xxhash64(F.sort_array(tokens)).alias("h"))
     rows = checkpointed(df.select(k.alias("k"), F.col(group).alias("by"), F.sort_array(tokens).alias("t"))).filter(F.size("t") > 0)

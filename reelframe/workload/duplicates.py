@@ -52,7 +52,8 @@ _NEAR = "len(list_filter(f.kept, lambda x: len(list_intersect(x, n.t)) >= 0.85 *
     f"""with recursive {_SETS}, n as (select source, doc_id, t, row_number() over (partition by source order by doc_id) as r from sets join documents using (doc_id) where len(t) > 0),
     f as (select source, doc_id, r, [t] as kept, true as keep from n where r = 1
       union all select n.source, n.doc_id, n.r, case when {_NEAR} then f.kept || [n.t] else f.kept end, {_NEAR} from f join n on n.source = f.source and n.r = f.r + 1)
-    select source, doc_id from f where keep"""
+    select source, doc_id from f where keep""",
+    python=True,
 )
 def greedy_near_dup(t: Tables) -> DataFrame:
     """Documents kept per source when read in order."""

@@ -90,7 +90,7 @@ def test_records_and_graph(spark):
     df = spark.createDataFrame([("c1", REPLY), ("c2", '("entity"<|>"B"<|>"t2"<|>"x")##("entity"<|>"B"<|>"t1"<|>"y")')], "id string, reply string")
     nodes, edges = hybrid.build_graph(df)
     got = {r["entity_name"]: r for r in nodes.collect()}
-    assert set(got) == {'"ANN &AMP; CO"', '"B"', '"ANN"'}
+    assert set(got) == {'"ANN & CO"', '"B"', '"ANN"'}
     assert got['"B"']["entity_type"] == '"T1"' and got['"ANN"']["entity_type"] == graph.UNKNOWN and got['"ANN"']["source_ids"] == ["c1"]
     edge = edges.collect()
     assert [(e["src"], e["tgt"], e["weight"], e["descriptions"]) for e in edge] == [('"ANN"', '"B"', 3.0, ['"knows"', '"met"'])]

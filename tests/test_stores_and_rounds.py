@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelframe.functions import scalar, text
 from reelframe.operators import control, dedup, retrieve
 from reelframe.sources import tables
+from reelframe.workload import registry
 
 
 def one(spark, column, value):
@@ -77,10 +78,19 @@ def test_greedy_texts_as_read_in_order(spark):
     assert sorted((str(r.g), r.k) for r in dedup.greedy_texts(df, "g", "k", "t").collect()) == want
 
 
-def test_first_independent_follows_long_chains(spark):
-    nodes = spark.range(41).select(F.col("id").alias("k"))
-    pairs = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert sorted(r.k for r in dedup.first_independent(nodes, pairs).collect()) == list(range(0, 41, 2))
+@pytest.mark.parametrize("at_once", [200_000, 0])
+def test_first_independent_follows_long_chains(spark, monkeypatch, at_once):
+    """By component, or by rounds as for components of any size."""
+    registry.ship(spark)
+    monkeypatch.setattr(dedup, "AT_ONCE", at_once)
+    n = 1000 if at_once else 12
+    nodes = spark.range(n + 1).select(F.struct(F.struct(F.lit(None).cast("string").alias("g")).alias("g"), F.col("id").alias("o")).alias("k"))
+    key = lambda c: F.struct(F.struct(F.lit(None).cast("string").alias("g")).alias("g"), c.alias("o"))
+    pairs = spark.range(n).select(key(F.col("id")).alias("a"), key(F.col("id") + 1).alias("b"))
+    writes = []
+    monkeypatch.setattr(dedup, "checkpointed", lambda df, own=dedup.checkpointed: writes.append(1) or own(df))
+    assert sorted(r.k.o for r in dedup.first_independent(nodes, pairs).collect()) == list(range(0, n + 1, 2))
+    assert not at_once or len(writes) < 8
 
 
 @pytest.mark.parametrize("distance", [1, 3, 8])
