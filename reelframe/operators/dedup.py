@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import pyarrow as pa
@@ -184,19 +185,30 @@ def top_up_frames(df: DataFrame, kept: DataFrame, group: str, order: str, value:
     return kept.select(group, order).union(more.select(group, order))
 
 
-def hash_pairs(df: DataFrame, key: str, value: str, distance: int = FRAME_DISTANCE, clean: int = 2) -> DataFrame:
+def clean_blocks(hashes: int, distance: int) -> int:
+    """How many blocks a key has to hold for some eight of so many hashes to share one by chance; two at least, and no more
+    than give each hash 4,096 keys."""
+    clean = 2
+    while 64 * clean // (distance - 1 + clean) < hashes.bit_length() - 3 and math.comb(distance + clean, clean + 1) <= 4096:
+        clean += 1
+    return clean
+
+
+def hash_pairs(df: DataFrame, key: str, value: str, distance: int = FRAME_DISTANCE, clean: int | None = None) -> DataFrame:
     """(a, b, distance) of different 64-bit hashes nearer than `distance`, each named by its smallest key, a < b; exact.
 
     Equal hashes collapse first; `exact_groups` has their members. The bits are cut into distance - 1 + clean blocks:
     two that differ in fewer bits than `distance` have at least `clean` blocks alike, so all choices of that many
-    blocks are keys. A larger `clean` gives wider keys, with fewer pairs that only share a key, and more of them.
+    blocks are keys. A larger `clean` gives wider keys, with fewer pairs that only share a key, and more of them; by default
+    it follows the number of hashes, so that few share a key by chance however many there are.
     """
+    one = checkpointed(df.groupBy(F.col(value).alias("h")).agg(F.min(key).alias("k")).filter("h is not null"))
+    clean = clean or clean_blocks(one.count(), distance)
     blocks = distance - 1 + clean
     edges = [64 * i // blocks for i in range(blocks + 1)]
     ones = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
     signed = [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in itertools.combinations(ones, clean))]
     block = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("h").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(signed))))
-    one = checkpointed(df.groupBy(F.col(value).alias("h")).agg(F.min(key).alias("k")).filter("h is not null"))
     each = one.select("k", "h", block.alias("b")).select("k", "h", "b.i", "b.v")
     other = each.select(F.col("k").alias("k2"), F.col("h").alias("h2"), "i", "v")
     near = F.bit_count(F.col("h").bitwiseXOR(F.col("h2")))

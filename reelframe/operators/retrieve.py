@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import neighbours, node_degrees
+from .graph import endpoints, neighbours
 from .state import checkpointed
 
 SECTION = "-----New Chunk-----\n"
@@ -21,7 +21,8 @@ def by_ids(records: DataFrame, ids: DataFrame, key: str, fields: list[str] | Non
 
 def entity_details(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """hits (entity_name, ...) with their node's columns and degree; hits that are no node are dropped."""
-    return hits.join(nodes, "entity_name").join(node_degrees(edges), "entity_name", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+    degrees = endpoints(edges).join(hits.select("entity_name").distinct(), "entity_name", "left_semi").groupBy("entity_name").agg(F.count("*").alias("degree"))
+    return hits.join(nodes, "entity_name").join(degrees, "entity_name", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
 
 
 def related_chunks(hits: DataFrame, nodes: DataFrame, edges: DataFrame, k: int | None = 2) -> DataFrame:

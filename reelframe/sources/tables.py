@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.scalar import time_range
 from ..functions.text import normalize_question
 from ..operators.evaluate import normalize_keypoints
+from ..operators.state import checkpointed
 
 SEGMENT = "struct<content:string,time:string,transcript:string,frame_times:array<double>>"
 RESULT = "question string, answer string, mode string"
@@ -94,8 +95,8 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def set_aside(results: DataFrame, backup: str) -> DataFrame:
-    """Corrupt rows go to a backup folder; the rest is returned."""
-    kept = results.cache()
+    """Corrupt rows go to a backup folder; the rest is returned. The parsed rows are a table in the shared folder."""
+    kept = checkpointed(results)
     kept.filter("_corrupt_record is not null").select("_corrupt_record").write.mode("append").text(backup)
     return kept.filter("_corrupt_record is null").drop("_corrupt_record")
 

@@ -105,7 +105,15 @@ def test_hash_pairs_are_all_pairs(spark, distance):
     bits = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
     want = sorted((i, j, bits(a, b)) for a, i in first.items() for b, j in first.items() if i < j and bits(a, b) < distance)
     df = spark.createDataFrame([*enumerate(signed), (99, None)], "k long, h long")
-    assert sorted(tuple(r) for r in dedup.hash_pairs(df, "k", "h", distance).collect()) == want
+    for clean in (None, 3):
+        assert sorted(tuple(r) for r in dedup.hash_pairs(df, "k", "h", distance, clean).collect()) == want
+
+
+def test_keys_of_hash_pairs_follow_their_number():
+    bits = lambda n, d: 64 * dedup.clean_blocks(n, d) // (d - 1 + dedup.clean_blocks(n, d))
+    assert dedup.clean_blocks(100, 8) == 2
+    for d in (1, 5, 8):
+        assert all(n / 2 ** bits(n, d) <= 8 for n in (10**4, 10**6, 10**9))
 
 
 @pytest.mark.parametrize("huge", [0, 5, 10**9])
