@@ -11,7 +11,8 @@ so the merge loses no turn border. In texts and roles every backslash is doubled
 role becomes `<|nl|>`, which escaped text can't hold either.
 
 Defined cases: a null text or role is empty; a null turn sorts first; rows of a null conversation
-id form one conversation with a null id; an empty table gives an empty result; columns beside
+id form one conversation with a null id; a conversation is one row, however many turns or long texts it has, and
+its time grows with the square of its turns; an empty table gives an empty result; columns beside
 conv_id, turn, role and text are ignored.
 """
 

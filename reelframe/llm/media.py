@@ -6,7 +6,8 @@ the chunks, tests the signature, every CRC, the header and the Adler sum that zl
 all five PNG filters with numpy. picture_hash: 64 bits, the signs of the 8 x 8 lowest cosine-transform
 coefficients against their median (without the constant one), from the whole picture.
 
-Defined cases: a null payload or text is the empty one; empty payloads are padded to one row; a
+Defined cases: null and repeated doc_ids and repeated rows are kept, row by row; an empty table gives an empty
+result; columns beside doc_id and text are never read, so their names can't clash; a null payload or text is the empty one; empty payloads are padded to one row; a
 picture that fails a test raises MediaError; very long texts give more rows and are never cut.
 """
 

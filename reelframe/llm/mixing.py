@@ -18,7 +18,9 @@ their number, so that no group, not even one of a third of all rows, is sorted i
 
 Defined cases: null texts have size 0, get the copies 1 and take 0 words; a null source is a source
 of its own, last in order; sources without words have target 0; repeated rows count each (which of two
-equal rows is taken more often is no difference); an empty table gives an empty result.
+equal rows is taken more often is no difference); null and repeated doc_ids are kept apart as rows; very long texts
+count with all their words; an empty table gives an empty result; extra columns tell rows apart and are passed on
+by repeat_rows alone, whatever their names.
 """
 
 from __future__ import annotations

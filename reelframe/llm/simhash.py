@@ -15,7 +15,8 @@ keep_one (the pipeline's stage) takes five words and texts of similarity 0.8 or
 more than 2 of 64 bits; there the sets of shingles themselves are joined, exactly, see set_links.
 
 Defined cases: a null text is empty; null doc_ids never are a component's id unless it has no other,
-then the id is null; repeated rows link to each other; an empty table gives an empty result.
+then the id is null; repeated rows link to each other; very long texts are read whole; an empty table gives an
+empty result; columns beside doc_id and text are never read but by keep_one, which passes them on.
 """
 
 from __future__ import annotations

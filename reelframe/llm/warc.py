@@ -18,7 +18,9 @@ header, whose Content-Length is the full payload's size.
 Defined cases: null html is the empty payload; a null url leaves the target out; null page ids are
 never smallest, and are revisits only where a record with an id holds the payload; a repeated page
 id at the smallest place gives several responses; an empty table gives an empty archive folder; a
-record that breaks a rule raises WarcError, with the file's name.
+record that breaks a rule raises WarcError, with the file's name. A payload of any length is one record, held
+by one task; an archive file is read whole by one task, so one of over 2 GB is refused; columns beside page_id, url
+and html are never read, so their names can't clash.
 """
 
 from __future__ import annotations
