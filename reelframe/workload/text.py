@@ -1,4 +1,4 @@
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar, text
@@ -223,12 +223,21 @@ _MODELS = [
 ]
 
 
-@query("select * from (values " + ", ".join(f"('{n}', '{tag}', '{p}')" for n, _, tag, p in _MODELS) + ") as x(name, tag, provider)")
+def _nth(values: list) -> Column:
+    """By the turn's place, one of the values."""
+    return F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), ((F.col("conv_id") + F.col("turn")) % len(_MODELS) + 1).cast("int"))
+
+
+_AT = f"[(conv_id + turn) % {len(_MODELS)} + 1]"
+
+
+@query(f"select conv_id, turn, {sql_list([m[2] for m in _MODELS])}{_AT} as tag, {sql_list([m[3] for m in _MODELS])}{_AT} as provider from conversations")
 def model_names(t: Tables) -> DataFrame:
-    """Tags and providers of names that tell the rules apart; the expected ones stand beside them."""
-    df = t.spark.createDataFrame([(n, a) for n, a, _, _ in _MODELS], "name string, api string")
-    tag = F.when(F.col("api").isNull(), text.model_tag(F.col("name"))).otherwise(text.model_tag(F.col("name"), F.col("api")))
-    return df.select("name", tag.alias("tag"), text.provider(F.col("name")).alias("provider"))
+    """Tags and providers of the models of all turns, which name their role after a colon; the expected ones stand beside them."""
+    own = t.conversations.select("conv_id", "turn", _nth([m[0] for m in _MODELS]).alias("name"), _nth([m[1] for m in _MODELS]).alias("api"), "role")
+    name = F.concat_ws(":", "name", "role")
+    tag = F.when(F.col("api").isNull(), text.model_tag(name)).otherwise(text.model_tag(name, F.col("api")))
+    return own.select("conv_id", "turn", tag.alias("tag"), text.provider(F.col("name")).alias("provider"))
 
 
 _CELL = """'"' || replace(text, '"', '""') || '"'"""
