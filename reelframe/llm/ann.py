@@ -9,7 +9,8 @@ How many rows are enough is measured, not set: `PROBES` rows are searched exactl
 rows (one linear pass), and a query visits as many rows as put `QUALITY` of the true neighbours of
 the probes within reach. Where the vectors have no structure that is a large part of the table.
 
-The centroids are fitted on at most `FIT_ROWS` rows (smallest hashes of vec_id); every row is indexed.
+The centroids, 32 for each half or, beyond 65,536 rows, twice the fourth root of their number (so cells follow its
+square root), are fitted on at most `FIT_ROWS` rows (smallest hashes of vec_id); every row is indexed.
 Cells are packed into blocks of about `BLOCK` rows (a larger cell is dealt to several blocks by hash of
 vec_id), queries into groups of about `GROUP`; a task holds one block and one group. Each gives its 10 best rows
 per query, and a window over those few picks the 10 best.
@@ -219,7 +220,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, enough: int | No
     if most is None:
         return spark.createDataFrame([], result)
     vectors, queries = (df.filter(F.size("vector") == most["dims"]) for df in (vectors, queries))
-    index = fit(vectors)
+    index = fit(vectors, max(CENTROIDS, 2 * math.isqrt(math.isqrt(most["n"]))))
     indexed = written(vectors.mapInPandas(_assign(index), "vec_id long, vector array<double>, cell int"), "ann-cells")
     index.counts = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     enough = _enough(index, indexed, k) if enough is None else enough
