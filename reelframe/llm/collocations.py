@@ -40,6 +40,8 @@ from .common import lean, text_of, written
 LEAST, LONGEST, SHARE, TOP, FACTOR = 30, 4, 80, 2000, 2_000_000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 SHARD = 8 << 20
+#: Phrases in one automaton, some 100 MB; a shard of more is scanned once for each so many.
+AUTOMATON = 1 << 17
 #: Counters in each of the sketch's two rows: a counter for 32 bytes of text within these bounds.
 NARROWEST, WIDEST = 1 << 16, 1 << 28
 _BLOCK = 14
@@ -174,10 +176,8 @@ def _can(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def phrase_counts(data: bytes, lang: str, can: Callable[[np.ndarray], np.ndarray], longest: int = LONGEST) -> tuple[list[bytes], list[int], list[int]]:
+def phrase_counts(data: bytes, lang: str, can: Callable[[np.ndarray], np.ndarray], longest: int = LONGEST, most: int = AUTOMATON) -> tuple[list[bytes], list[int], list[int]]:
     """Phrases, their words and counts in a shard: all words, and phrases whose pairs `can` be frequent."""
-    import ahocorasick
-
     words = Words(data)
     phrases, sizes, counts = words.words.to_pylist(), [1] * len(words.words), np.bincount(words.ids, minlength=len(words.words)).tolist()
     if words.n < 2:
@@ -185,32 +185,39 @@ def phrase_counts(data: bytes, lang: str, can: Callable[[np.ndarray], np.ndarray
     open_ = words.follows.copy()
     open_[open_] = can(words.pair_hashes(lang)[open_])
     text, begins = words.spelled()
-    automaton, found = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
+    found: list[bytes] = []
     kinds, here, gram = len(words.words), open_, words.ids
     for n in range(2, longest + 1):
         at = np.flatnonzero(here)
         if not len(at):
             break
         _, first, same = np.unique(gram[at] * kinds + words.ids[at + n - 1], return_index=True, return_inverse=True)
-        for i in at[first].tolist():
-            phrase = text[begins[i] : begins[i + n] - 1]
-            automaton.add_word(f" {phrase.decode('latin-1')} ", len(found))
-            found.append(phrase)
+        found += [text[begins[i] : begins[i + n] - 1] for i in at[first].tolist()]
         sizes += [n] * len(first)
         gram = np.zeros(words.n, np.int64)
         gram[at] = same
         here = here[:-1] & open_[n - 1 :]
-    if found:
-        automaton.make_automaton()
-        # runs of words that may be in a phrase; nothing else can match
-        edge = np.diff(np.concatenate(([False], open_, [False])).astype(np.int8))
-        starts, ends = begins[np.flatnonzero(edge == 1)].tolist(), begins[np.flatnonzero(edge == -1) + 1].tolist()
-        runs = " \n ".join(text[a : b - 1].decode("latin-1") for a, b in zip(starts, ends, strict=True))
-        hits = np.fromiter(map(itemgetter(1), automaton.iter(f" {runs} ")), np.int64)
-        counts += np.bincount(hits, minlength=len(found)).tolist()
+    # runs of words that may be in a phrase; nothing else can match
+    edge = np.diff(np.concatenate(([False], open_, [False])).astype(np.int8))
+    starts, ends = begins[np.flatnonzero(edge == 1)].tolist(), begins[np.flatnonzero(edge == -1) + 1].tolist()
+    runs = b" " + b" \n ".join(text[a : b - 1] for a, b in zip(starts, ends, strict=True)) + b" "
+    del text, gram, here, edge, words
+    for i in range(0, len(found), most):
+        counts += _matches(found[i : i + most], runs.decode("latin-1"))
     return phrases + found, sizes, counts
 
 
+def _matches(phrases: list[bytes], runs: str) -> list[int]:
+    """How often each phrase stands in runs, between blanks, overlaps included."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, phrase in enumerate(phrases):
+        automaton.add_word(f" {phrase.decode('latin-1')} ", i)
+    automaton.make_automaton()
+    return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(runs)), np.int64), minlength=len(phrases)).tolist()
+
+
 def _count(bits, longest: int, shard: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

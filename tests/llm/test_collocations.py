@@ -92,6 +92,13 @@ def test_sketch_bounds_from_above(spark):
     assert all(frequent) and len(frequent) > 20 and sum(rare) < 0.1 * len(rare)
 
 
+def test_several_automata_count_alike():
+    text = "\n".join(" ".join(x) for lang, t in corpus(3) for x in pieces(t)).encode()
+    every = lambda h: np.ones(len(h), bool)
+    one, many = (c.phrase_counts(text, "en", every, 4, most) for most in (10**6, 7))
+    assert one == many and sum(one[1]) > 1000
+
+
 def test_long_texts_are_cut_between_pieces():
     text = ("one two three\n" * 30 + "x" * 500 + "\nfour five").encode()
     parts = list(c.parts(text, 64))

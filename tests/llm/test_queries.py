@@ -4,7 +4,9 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pytest
 
 from reelframe.llm import queries
 
@@ -73,3 +75,15 @@ def test_op9_payloads(spark):
         data = own[r["doc_id"]].encode()
         padded = data + bytes((-len(data)) % 64 or (64 if not data else 0))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+
+
+@pytest.mark.parametrize("name", ["op1_warc", "op11_collocations", "op12_knn_join", "op13_fill_middle"])
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, FOLDER)
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = sorted((tuple(r) for r in got.select(*want.columns).collect()), key=repr)
+    assert rows == sorted(want.fetchall(), key=repr) and rows
