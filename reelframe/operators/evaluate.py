@@ -5,12 +5,14 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dot
 from ..functions.text import keypoint_words, normalize_match, squeeze, words
+from .state import checkpointed
 
 # Fixed values of the keypoint rule.
 SIMILAR, OVERLAP, EMBEDDED, SHORT = 0.5, 0.6, 0.8, 0.2
@@ -109,31 +111,71 @@ def exact_truth(results: DataFrame, truth: DataFrame) -> DataFrame:
     return results.join(latest_truth(truth), "question", "left")
 
 
-def _ratios(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        yield f.assign(ratio=[difflib.SequenceMatcher(None, b, a).ratio() for a, b in zip(f["qa"], f["qb"], strict=True)])
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with a's positions as the bits of one number (Hyyro 2004)."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = open_ = (1 << len(a)) - 1
+    for c in b:
+        met = open_ & masks.get(c, 0)
+        open_ = ((open_ + met) | (open_ - met)) & full
+    return len(a) - open_.bit_count()
 
 
-def fuzzy_truth(results: DataFrame, truth: DataFrame, at_least: float = FUZZY) -> DataFrame:
-    """(question) -> question, truth_question, ratio: the most alike question of the truth table (ties: the smallest).
+def _ratios(at_least: float):
+    """Matching ratios of at least that; blocks that match lie in order, so their bound is the common subsequence."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            allowed = [2 * common_length(a, b) >= at_least * (len(a) + len(b)) - 1e-9 for a, b in zip(f["qa"], f["qb"], strict=True)]
+            f = f[np.array(allowed, bool)]
+            yield f.assign(ratio=[difflib.SequenceMatcher(None, b, a).ratio() for a, b in zip(f["qa"], f["qb"], strict=True)])
+
+    return run
+
+
+#: Letters from the rarest to the most frequent; only the order of a prefix hangs on it.
+_LETTERS = "qzjxkvbpgywfmculdhrsnioate "
+
+
+def bag(c: Column) -> Column:
+    """A text's characters, each with its number among its equals, so that common items of two bags are the characters
+    that they share; in one order for all texts, the rarest first: high numbers, other characters, rare letters."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    place = lambda x: F.lpad(F.instr(F.lit(_LETTERS), x).cast("string"), 2, "0")
+    numbered = lambda x: F.transform(F.sequence(F.lit(1), F.size(F.filter(chars, lambda y: y == x))), lambda i: F.concat(F.lpad((999_999 - i).cast("string"), 6, "0"), place(x), x))
+    found = F.array_sort(F.flatten(F.transform(F.array_distinct(chars), numbered)))
+    return F.when(F.size(chars) > 0, found).otherwise(F.array(F.lit("")))
+
+
+def fuzzy_candidates(results: DataFrame, truth: DataFrame, at_least: float = FUZZY) -> DataFrame:
+    """(question) each -> question, truth_question, qa, qb: all pairs whose bags of characters allow a matching ratio of
+    `at_least`.
 
-    Two texts with a matching ratio of t share over half of the longer one's characters, but not surely a word;
-    so questions meet on bags of characters: a question is compared with those whose lengths allow t, in blocks
-    of equal length classes, and whose character counts allow it. The truth table is the small side.
+    A ratio of t needs t / 2 of both lengths in common characters, of a text of length n at least n * t / (2 - t); so
+    two such bags share an item among the first n - that + 1 of either, and only those are joined.
     """
-    norm = lambda c: normalize_match(F.col(c))
-    a = results.select("question", norm("question").alias("qa")).distinct().withColumn("la", F.length("qa"))
-    b = latest_truth(truth).select(F.col("question").alias("truth_question"), norm("question").alias("qb")).withColumn("lb", F.length("qb"))
-    # 2 * min(la, lb) / (la + lb) >= t bounds lb to [t / (2 - t), (2 - t) / t] times la
-    low, high = at_least / (2 - at_least), (2 - at_least) / at_least
-    size_class = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1))) / F.log(F.lit(high)))
-    left = a.withColumn("cls", F.explode(F.array(*(size_class("la") + d for d in (-1, 0, 1)))))
-    near = left.join(b.withColumn("cls", size_class("lb")), "cls").filter((F.col("lb") >= F.col("la") * low) & (F.col("lb") <= F.col("la") * high))
-    shared = sum((F.least(F.length(F.regexp_replace("qa", f"[^{c}]", "")), F.length(F.regexp_replace("qb", f"[^{c}]", ""))) for c in "abcdefghijklmnopqrstuvwxyz"), F.lit(0))
-    other = F.least(F.length(F.regexp_replace("qa", "[a-z]", "")), F.length(F.regexp_replace("qb", "[a-z]", "")))
-    near = near.filter(2 * (shared + other) >= at_least * (F.col("la") + F.col("lb")))
+
+    def side(df: DataFrame, name: str, text: str, n: str) -> DataFrame:
+        return df.withColumn(text, normalize_match(F.col(name))).withColumn(n, F.length(text)).withColumn(f"{n}_bag", bag(F.col(text)))
+
+    a = side(results.select("question").distinct(), "question", "qa", "la")
+    b = side(truth.select(F.col("question").alias("truth_question")).distinct(), "truth_question", "qb", "lb")
+    a, b = checkpointed(a), checkpointed(b)
+    low = at_least / (2 - at_least)
+    prefix = lambda df, key, n: df.select(key, n, F.explode(F.slice(f"{n}_bag", F.lit(1), (F.col(n) - F.ceil(F.col(n) * low - 1e-9) + 1).cast("int"))).alias("item"))
+    near = F.least("la", "lb") >= F.greatest("la", "lb") * low - F.lit(1e-9)
+    met = prefix(a, "question", "la").join(prefix(b, "truth_question", "lb"), "item").filter(near).select("question", "truth_question").distinct()
+    shared = F.size(F.array_intersect("la_bag", "lb_bag"))
+    return met.join(a, "question").join(b, "truth_question").filter(2 * shared >= at_least * (F.col("la") + F.col("lb")) - F.lit(1e-9)).select("question", "truth_question", "qa", "qb")
+
+
+def fuzzy_truth(results: DataFrame, truth: DataFrame, at_least: float = FUZZY) -> DataFrame:
+    """(question) -> question, truth_question, ratio: the most alike question of the truth table (ties: the smallest),
+    by the matching ratio of normalised texts, taken of `fuzzy_candidates` only."""
     schema = "question string, truth_question string, qa string, qb string, ratio double"
-    scored = near.select("question", "truth_question", "qa", "qb").mapInPandas(_ratios, schema).filter(F.col("ratio") >= at_least)
+    scored = fuzzy_candidates(results, latest_truth(truth), at_least).mapInPandas(_ratios(at_least), schema).filter(F.col("ratio") >= at_least)
     return scored.groupBy("question").agg(F.min_by(F.struct("truth_question", "ratio"), F.struct(-F.col("ratio"), F.col("truth_question"))).alias("b")).select("question", "b.*")
 
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from reelframe.functions import text
 from reelframe.models import EchoModel, complete, embed, stub_embedding
 from reelframe.workload.catalog import QUERIES
 from reelframe.operators import control, dedup, evaluate, graph, retrieve, segment, vector
@@ -233,6 +234,35 @@ def test_fuzzy_truth_is_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+def test_fuzzy_candidates_are_few_and_all(spark):
+    """On the benchmark's own texts under a tenth of all pairs are compared in full; every pair of a ratio of 0.75 is."""
+    from reelframe.workload import registry, scoring
+
+    asked, truth = scoring._question_tables(registry.Tables(spark, "/root/testdata/sf0.1"))
+    met = {(r["question"], r["truth_question"]): (r["qa"], r["qb"]) for r in evaluate.fuzzy_candidates(asked, truth).collect()}
+    bound = lambda a, b: 2 * evaluate.common_length(a, b) >= 0.75 * (len(a) + len(b))
+    compared = {k for k, (a, b) in met.items() if bound(a, b)}
+    a, b = ([r[0] for r in df.select("question").distinct().limit(60).collect()] for df in (asked, truth))
+    assert len(compared) < 0.1 * asked.distinct().count() * truth.select("question").distinct().count()
+    clean = dict(spark.createDataFrame([(x,) for x in {*a, *b}], "q string").select("q", text.normalize_match(F.col("q"))).collect())
+    for x in a:
+        for y in b:
+            if difflib.SequenceMatcher(None, clean[y], clean[x]).ratio() >= 0.75:
+                assert (x, y) in compared
+
+
+def test_common_length():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ("".join(rng.choices("abc ", k=rng.randrange(12))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        assert evaluate.common_length(a, b) == row[-1]
+
+
 def test_scores(spark):
     zero = evaluate.recall_precision_f1(F.lit(0), F.lit(0), F.lit(0))
     assert [at(spark, c) for c in zero.values()] == [0.0, 0.0, 0.0]
