@@ -168,7 +168,8 @@ _DOCS = "(select doc_id, row_number() over (order by doc_id) - 1 as r, count(*)
     f"""with {SIMS.format(t=0.2)}, w as {WINDOWS}, hits as (select query_id, id, similarity, rank from ranked where rank <= 20),
     chunks as (select h.query_id, h.rank, w.doc_id, w.chunk_order_index, w.tokens, w.content, sum(w.tokens) over (partition by h.query_id order by h.rank, w.chunk_order_index rows unbounded preceding) as running
       from hits h join w on w.doc_id = h.id)
-    select query_id, count(*)::bigint as chunks, sum(tokens)::bigint as tokens, md5(string_agg(content, '-----New Chunk-----' || chr(10) order by rank, chunk_order_index)) as digest from chunks where running <= 12000 group by 1"""
+    select query_id, count(*)::bigint as chunks, sum(tokens)::bigint as tokens, md5(string_agg(content, '-----New Chunk-----' || chr(10) order by rank, chunk_order_index)) as digest from chunks where running <= 12000 group by 1""",
+    python=True,
 )
 def hybrid_retrieve(t: Tables) -> DataFrame:
     """Every twentieth vector asks: the 20 nearest vectors of at least 0.2, the token windows of their documents

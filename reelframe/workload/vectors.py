@@ -20,23 +20,23 @@ def asked(t: Tables) -> DataFrame:
     return t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-@query(f"with {SIMS.format(t=-1)} select query_id, id, similarity, rank::int as rank from ranked where rank <= 20")
+@query(f"with {SIMS.format(t=-1)} select query_id, id, similarity, rank::int as rank from ranked where rank <= 20", python=True)
 def cosine_topk(t: Tables) -> DataFrame:
     return vector.top_k(table(t), asked(t), 20)
 
 
-@query(f"with {SIMS.format(t=0.2)} select query_id, id, similarity, rank::int as rank from ranked where rank <= 20")
+@query(f"with {SIMS.format(t=0.2)} select query_id, id, similarity, rank::int as rank from ranked where rank <= 20", python=True)
 def cosine_topk_threshold(t: Tables) -> DataFrame:
     return vector.top_k(table(t), asked(t), 20, 0.2)
 
 
-@query(f"with {SIMS.format(t=-1)} select query_id, id, similarity, rank::int as rank from ranked where rank <= 4")
+@query(f"with {SIMS.format(t=-1)} select query_id, id, similarity, rank::int as rank from ranked where rank <= 4", python=True)
 def segment_topk(t: Tables) -> DataFrame:
     """Segment vectors: the four nearest, whatever their similarity."""
     return vector.top_k(table(t), asked(t), 4)
 
 
-@query()
+@query(python=True)
 def bucket_ann(t: Tables) -> DataFrame:
     """Hyperplane buckets; approximate: 57 of 64 buckets give a recall of 0.96 on these vectors without structure, which the tests hold at 0.9."""
     return vector.bucket_top_k(table(t), asked(t), 20, planes=6, probes=5)
@@ -65,7 +65,8 @@ _CANDIDATES = "c as (select query_id, id, similarity, rank, row_number() over (p
 @query(
     f"""with {SIMS.format(t=-1)}, {_CANDIDATES},
     k as (select *, case when row_number() over (partition by query_id order by similarity desc, id) <= 5 then 'top' else 'rest' end as keep, count(*) over (partition by query_id) as n from c)
-    select query_id, id, similarity, keep from (select *, row_number() over (partition by query_id, keep order by ord, id) as p from k) where keep = 'top' or p <= greatest(0, 2 - least(n, 5))"""
+    select query_id, id, similarity, keep from (select *, row_number() over (partition by query_id, keep order by ord, id) as p from k) where keep = 'top' or p <= greatest(0, 2 - least(n, 5))""",
+    python=True,
 )
 def rerank_top5_keep(t: Tables) -> DataFrame:
     hits = vector.top_k(table(t), asked(t), 8).filter("(query_id div 20) % 8 + 1 >= rank").withColumn("ord", F.col("id"))

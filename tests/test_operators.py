@@ -1,4 +1,5 @@
 import difflib
+import math
 import random
 
 import pytest
@@ -164,6 +165,30 @@ def test_more_queries_than_a_broadcast(spark, monkeypatch):
     assert got == [(i, i) for i in sorted(range(50), key=lambda i: repr((i, i)))]
 
 
+def test_top_k_by_blocks_equals_brute_force(spark, monkeypatch):
+    """Blocks of rows meet groups of queries; copies, ties, struct ids, lengths and blocks change nothing."""
+    monkeypatch.setattr(vector, "HELD", 40)
+    monkeypatch.setattr(vector, "BROADCAST_QUERIES", 3)
+    rng = random.Random(3)
+    plain = [[float(rng.randrange(-2, 3)) for _ in range(4)] for _ in range(60)]
+    data = [(("v%d" % (i % 7), i), x) for i, x in enumerate(plain + plain[:5] * 12)] + [(("w", 0), None), (("w", 1), [0.0] * 4), (("w", 2), [1.0, None, 1.0, 1.0]), (("w", 3), [1.0, 1.0])]
+    v = spark.createDataFrame(data, "id struct<v:string,i:int>, vector array<double>")
+    q = spark.createDataFrame([(i, x) for i, x in enumerate(plain[:8]) if any(x)], "query_id int, query array<double>")
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))), 6)
+
+    usable = [(i, x) for i, x in data if x and len(x) == 4 and None not in x and any(x)]
+    want = []
+    for i, x in enumerate(plain[:8]):
+        if any(x):
+            best = sorted((-cosine(x, y), j) for j, y in usable if cosine(x, y) >= 0.1)[:9]
+            want += [(i, j, -c, r) for r, (c, j) in enumerate(best, 1)]
+    found = vector.top_k(v, q, 9, 0.1)
+    assert "CoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["query_id"], tuple(r["id"]), r["similarity"], r["rank"]) for r in found.collect()) == sorted(want)
+
+
 def test_retrieval_edges(spark):
     seg = spark.createDataFrame([("v", 0), ("v", 1), ("v", 3)], "video string, idx int")
     chosen = spark.createDataFrame([(1, "v", 0)], "query_id int, video string, idx int")
