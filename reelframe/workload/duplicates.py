@@ -17,7 +17,8 @@ def sets(t: Tables) -> DataFrame:
     f"""with {_SETS}, d as (select list_sort(t) as t, min(doc_id) as doc_id, len(t) as n from sets where len(t) > 0 group by list_sort(t), len(t)),
     w as (select doc_id, n, unnest(t) as w from d),
     s as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as k from w a join w b on a.w = b.w and a.doc_id < b.doc_id and least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) group by 1, 2)
-    select a, b, round(k / (na + nb - k)::double, 6) as similarity from s where k / (na + nb - k)::double >= 0.85"""
+    select a, b, round(k / (na + nb - k)::double, 6) as similarity from s where k / (na + nb - k)::double >= 0.85""",
+    python=True,
 )
 def jaccard_pairs(t: Tables) -> DataFrame:
     """Pairs of different token sets (each named by its smallest document) with a similarity of 0.85 or more."""

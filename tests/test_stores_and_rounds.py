@@ -109,6 +109,35 @@ def test_hash_pairs_are_all_pairs(spark, distance):
         assert sorted(tuple(r) for r in dedup.hash_pairs(df, "k", "h", distance, clean).collect()) == want
 
 
+def test_keys_of_hash_pairs_are_not_broadcast(spark):
+    df = spark.createDataFrame([(i, i * 1009) for i in range(40)], "k long, h long")
+    assert "BroadcastHashJoin" not in dedup.hash_pairs(df, "k", "h", 8)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("at_least", [0.3, 0.85, 1.0])
+def test_similar_pairs_are_all_pairs_and_few_others_are_written(spark, monkeypatch, at_least):
+    """Of sets that share many tokens without being similar, hardly any pair is written."""
+    registry.ship(spark)
+    draw, sets = random.Random(8), {}
+    for k in range(150):
+        common = [f"c{i}" for i in range(30) if draw.random() < 0.7]
+        sets[k] = sorted({*common, *(f"w{k if k % 5 else 0}-{i}" for i in range(draw.choice([1, 2, 30, 40, 700])))})
+    for k in range(150, 300):
+        sets[k] = sorted(w for w in sets[k - 150] if draw.random() > 0.04)
+    first = {}
+    for k, t in sets.items():
+        if t:
+            first.setdefault(tuple(t), k)
+    likeness = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = sorted((i, j) for a, i in first.items() for b, j in first.items() if i < j and likeness(a, b) >= at_least)
+    writes = []
+    monkeypatch.setattr(dedup, "checkpointed", lambda df, own=dedup.checkpointed: writes.append(own(df)) or writes[-1])
+    df = spark.createDataFrame([*sets.items(), (999, [])], "k long, t array<string>")
+    assert sorted((r.a, r.b) for r in dedup.similar_pairs(df, "k", "t", at_least).collect()) == want
+    pairs = [w.count() for w in writes if w.columns == ["g", "k", "k2"]]
+    assert len(pairs) == 2 and (at_least < 0.5 or pairs[1] <= 2 * len(want) + 20)
+
+
 def test_keys_of_hash_pairs_follow_their_number():
     bits = lambda n, d: 64 * dedup.clean_blocks(n, d) // (d - 1 + dedup.clean_blocks(n, d))
     assert dedup.clean_blocks(100, 8) == 2
