@@ -11,8 +11,9 @@ different fingerprints isn't joined with itself: its remaining bits are cut into
 those that agree in all but 2 of them (at most 4 fingerprints) are linked to the smallest. So no pair
 is lost and none but close pairs are made in large buckets. Components: see components.py.
 
-keep_one (the pipeline's stage) takes five words and texts of similarity 0.8 or more, which differ in far
-more than 2 of 64 bits; there the sets of shingles themselves are joined, exactly, see set_links.
+keep_one (the pipeline's stage) takes five words and texts of similarity 0.8 or more. Fingerprints of the sets of
+shingles are linked as above and the pairs checked exactly; such texts may differ in far more than 2 of 64 bits, so the
+rest is found by joining the sets themselves, see set_links.
 
 Defined cases: a null text is empty; null doc_ids never are a component's id unless it has no other,
 then the id is null; repeated rows link to each other; very long texts are read whole; an empty table gives an
@@ -181,6 +182,14 @@ def long_sketch(hashes: np.ndarray) -> np.ndarray:
     return _sketch(hashes, max(256, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 256)
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed long: bits that over half of the hashes have."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _STEP):
+        counts += np.unpackbits(hashes[i : i + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
 
@@ -220,8 +229,9 @@ def _prefixes(width: int, ordered: list[int]):
             sketch = np.array([_sketch(h, 256) for h in sets], np.int64).reshape(-1, 4)
             prefix = pa.array([prefix_of(h, common, places).view(np.int64) for h in sets], pa.list_(pa.int64()))
             long = pa.array([long_sketch(h) for h in sets], pa.list_(pa.int64()))
-            cols = [*(pa.array(digests[:, i]) for i in range(2)), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(sketch[:, i]) for i in range(4)), long, prefix]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], ["doc_id", *DIGEST, "size", *SKETCH, "long", "prefix"])
+            prints = pa.array([set_fingerprint(h) for h in sets], pa.int64())
+            cols = [*(pa.array(digests[:, i]) for i in range(2)), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(sketch[:, i]) for i in range(4)), prints, long, prefix]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], ["doc_id", *DIGEST, "size", *SKETCH, "fp", "long", "prefix"])
 
     return run
 
@@ -249,9 +259,9 @@ def common_shingles(docs: DataFrame, width: int) -> list[int]:
 
 
 def set_prints(docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
-    """(doc_id, text) -> doc_id, row (a number of its own once it is written), digest, size, sketches and prefix of
-    the set of shingles."""
-    kind = ", ".join(f"{c} long" for c in ("doc_id", *DIGEST, "size", *SKETCH))
+    """(doc_id, text) -> doc_id, row (a number of its own once it is written), digest, size, sketches, fingerprint
+    and prefix of the set of shingles."""
+    kind = ", ".join(f"{c} long" for c in ("doc_id", *DIGEST, "size", *SKETCH, "fp"))
     prints = docs.select("doc_id", "text").mapInArrow(_prefixes(width, common_shingles(docs, width)), f"{kind}, long array<long>, prefix array<long>")
     return prints.withColumn("row", F.monotonically_increasing_id())
 
@@ -336,14 +346,32 @@ def _rest(rows: DataFrame, tops: DataFrame) -> DataFrame:
     return _pairs(found, "l", "r")
 
 
+def print_links(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, fp, ...) -> a, b: nodes whose fingerprints are equal or linked, see links, and whose sets are similar."""
+    heads = written(nodes.groupBy("fp").agg(F.min("node").alias("head")), "simhash-prints-distinct")
+    equal = nodes.select("node", F.col("fp").alias("own")).join(heads, F.col("own") == F.col("fp")).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    a, b = heads.select(F.col("fp").alias("fa"), F.col("head").alias("ha")), heads.select(F.col("fp").alias("fb"), F.col("head").alias("hb"))
+    near = links(heads.select("fp")).join(a, F.col("a") == F.col("fa")).join(b, F.col("b") == F.col("fb")).select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    return verified(written(equal.union(near).distinct(), "simhash-print-pairs"), nodes, docs, width)
+
+
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with root, the component of their node."""
+    roots = components(_thinned(links)).withColumnRenamed("node", "linked")
+    return rows.join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).drop("linked")
+
+
 def set_links(nodes: DataFrame, keyed: DataFrame, docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
-    """nodes (node, least_id, digest, size, sketches), keyed (node, key: a shingle of its prefix) -> a, b: links of
+    """nodes (node, least_id, digest, size, sketches, fp), keyed (node, key: a shingle of its prefix) -> a, b: links of
     similarity 0.8 or more that connect all such pairs.
 
+    First by SimHash: sets whose fingerprints are equal or within DISTANCE bits are compared by their shingles. Sets of
+    similarity 0.8 may differ in more bits, so what isn't linked then is found by the shingles themselves.
+
     Exact: in any order of the shingles, two sets of similarity 0.8 have one in common among the first
     n - ceil(0.8 n) + 1 of each. Rows with such a shingle in common are a block; equal blocks are one.
     The order has shingles that are frequent in a sample last, so that a common line makes a block of those
-    texts only that consist of little else. First every row is compared with one of its block, in blocks of
+    texts only that consist of little else. Every row is compared with one of its block, in blocks of
     over BUCKET rows with further ones; then rows in different components so far are, all of them. What the
     sizes or sketches rule out isn't compared, all else is by its sets of shingles.
     """
@@ -351,11 +379,11 @@ def set_links(nodes: DataFrame, keyed: DataFrame, docs: DataFrame, width: int =
     members = F.count("*").over(per).alias("members")
     met = keyed.select("node", *(F.bit_xor(F.xxhash64("node", F.lit(i))).over(per).alias(f"x{i}") for i in range(2)), members).filter("members > 1").distinct()
     rows = written(met.join(nodes.select(F.col("node").alias("own"), "size", *SKETCH), F.col("node") == F.col("own")).drop("own"), "simhash-members")
-    alone = rows.withColumn("root", F.col("node"))
-    links = verified(written(_stars(alone, alone, 0), "simhash-pairs"), nodes, docs, width)
+    links = print_links(nodes, docs, width)
+    rooted = written(_rooted(rows, links), "simhash-rooted")
+    links = links.union(verified(written(_stars(rooted, rooted, 0), "simhash-pairs"), nodes, docs, width))
     for turn in range(1, len(CENTRES) + 1):
-        roots = components(_thinned(links)).withColumnRenamed("node", "linked")
-        rooted = written(rows.filter("members > 2").join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).drop("linked"), "simhash-rooted")
+        rooted = written(_rooted(rows.filter("members > 2"), links), "simhash-rooted")
         groups = rooted.groupBy(*BLOCK, "root").agg(F.count("*").alias("n"))
         tops = written(groups.groupBy(*BLOCK).agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").drop("roots"), "simhash-tops")
         large = tops.filter(F.col("members") > BUCKET)

@@ -1,3 +1,4 @@
+import contextlib
 import random
 import re
 
@@ -234,3 +235,21 @@ def test_tables_of_steps_are_deleted(spark, docs, tmp_path, monkeypatch):
     kept = simhash.keep_one(docs(rows))
     left = {p.name.rpartition("-")[0] for p in tmp_path.iterdir()}
     assert kept.count() and left == {"simhash-classes", "simhash-single", "simhash-unclear"}
+
+
+def test_stage_links_by_fingerprints_first(spark, monkeypatch):
+    """Near copies within two bits are linked by their fingerprints alone, those beyond by the sets, unlike ones not at all."""
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(400)] for _ in range(6)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)] + [(10 + i, " ".join([*w[:-1], "end"])) for i, w in enumerate(base)]
+    found = []
+    monkeypatch.setattr(simhash, "print_links", lambda nodes, *rest, own=simhash.print_links: found.append((nodes, own(nodes, *rest))) or found[-1][1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "scratch", lambda spark: contextlib.nullcontext())
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == list(range(6))
+    nodes, linked = found[0]
+    prints = {r["least_id"]: r["fp"] for r in nodes.collect()}
+    for i, text in rows:
+        assert prints[i] == simhash.set_fingerprint(simhash.shingle_set(text.encode()))
+    near = [i for i in range(6) if ((prints[i] ^ prints[10 + i]) & (2**64 - 1)).bit_count() <= simhash.DISTANCE]
+    assert near and linked.count() == len(near)
