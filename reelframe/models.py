@@ -10,6 +10,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,10 +76,18 @@ def stub_embedding(c: Column, dimensions: int = DIMENSIONS) -> Column:
     return F.array(*(part(i) for i in range(dimensions)))
 
 
-def stub_token_vectors(tokens: Column, dimensions: int = 8) -> Column:
-    """A vector of unit length for every token of an array, in Spark expressions; equal tokens have equal ones."""
-    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
-    return F.transform(F.transform(tokens, lambda t: stub_embedding(t, dimensions)), unit)
+class StubTokenVectors:
+    """The stub_embedding of every token, at unit length; equal tokens have equal ones."""
+
+    def __init__(self, dimensions: int = 8):
+        self.dimensions = dimensions
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        if not texts:
+            return []
+        parts = b"".join(hashlib.md5(f"{t}#{i}".encode()).digest()[:2] for t in texts for i in range(self.dimensions))
+        raw = np.frombuffer(parts, ">u2").reshape(len(texts), -1) / 32767.5 - 1
+        return list(raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True)))
 
 
 def stub_reply(c: Column) -> Column:

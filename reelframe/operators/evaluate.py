@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import dot
 from ..functions.text import keypoint_words, normalize_match, squeeze, words
+from ..models import EmbeddingClient
 from .state import checkpointed
 
 # Fixed values of the keypoint rule.
 SIMILAR, OVERLAP, EMBEDDED, SHORT = 0.5, 0.6, 0.8, 0.2
 FUZZY = 0.75
+#: products that an alignment holds at a time, and tokens whose vectors a task keeps
+PRODUCTS, TOKENS = 1 << 20, 1 << 17
 
 
 def keypoint_tokens(text: Column, months: str = "prefix") -> Column:
@@ -42,26 +46,52 @@ def keypoint_columns(kp: Column, ans: Column, similarity: Column | None = None)
     return {"matched": matched, "jaccard": F.round(score, 4), "overlap": shared.cast("long"), "need": need, "reason": reason}
 
 
-def _best(a: Column, b: Column) -> Column:
-    """For every vector of a its greatest product with one of b."""
-    return F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: dot(x, y))))
+def _means(c: np.ndarray, r: np.ndarray) -> tuple[float, float]:
+    """Means of every row's greatest product with one of the other side, for both sides; blocks of c bound the products held."""
+    if not len(c) or not len(r):
+        return 0.0, 0.0
+    precision, recall = 0.0, np.full(len(r), -np.inf)
+    step = max(1, PRODUCTS // len(r))
+    for i in range(0, len(c), step):
+        products = c[i : i + step] @ r.T
+        precision += products.max(axis=1).sum()
+        np.maximum(recall, products.max(axis=0), out=recall)
+    return float(precision / len(c)), float(recall.mean())
 
 
-def alignment(candidate: Column, reference: Column) -> dict[str, Column]:
-    """precision and recall of token vectors of unit length (arrays of arrays), each aligned with the likest of the
-    other side: precision is the candidate's mean, recall the reference's; 0 where a side has no tokens.
-
-    Give columns, not expressions: they are read token by token.
+def alignment(make: Callable[[], EmbeddingClient]) -> Callable[[Column, Column], Column]:
+    """A Column function of candidate and reference tokens (arrays) to precision and recall of their vectors, each
+    aligned with the likest of the other side: precision is the candidate's mean, recall the reference's; 0 where a side
+    has no tokens. The client gives a vector of unit length for every token; a task asks once for each, as long as `TOKENS` are kept.
     """
-    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
-    both = (F.size(candidate) > 0) & (F.size(reference) > 0)
-    precision, recall = (F.when(both, mean(_best(x, y))).otherwise(0.0) for x, y in ((candidate, reference), (reference, candidate)))
-    return {"precision": precision, "recall": recall}
+
+    @F.arrow_udf("struct<precision: double, recall: double>")
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        client, known = make(), {}
+        for sides in parts:
+            flat = pa.concat_arrays([s.flatten().cast(pa.string()) for s in sides]).dictionary_encode()
+            tokens = flat.dictionary.to_pylist()
+            new = [t for t in tokens if t not in known]
+            if new and len(known) + len(new) > TOKENS:
+                known.clear()
+                new = tokens
+            known.update(zip(new, client(new), strict=True))
+            vectors = np.array([known[t] for t in tokens], np.float64).reshape(len(tokens), -1)
+            codes, at, ends = flat.indices.to_numpy(zero_copy_only=False), 0, []
+            for s in sides:
+                sizes = pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False)
+                ends.append(at + np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+                at = ends[-1][-1]
+            c, r = ends
+            found = [_means(vectors[codes[c[i] : c[i + 1]]], vectors[codes[r[i] : r[i + 1]]]) for i in range(len(sides[0]))]
+            yield pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in range(2)], ["precision", "recall"])
+
+    return run
 
 
-def with_alignment(df: DataFrame, candidate: str, reference: str) -> DataFrame:
-    """df with precision, recall and f of its columns of token vectors; f is their harmonic mean where both are over 0."""
-    scores = df.withColumns(alignment(F.col(candidate), F.col(reference)))
+def with_alignment(df: DataFrame, candidate: str, reference: str, make: Callable[[], EmbeddingClient]) -> DataFrame:
+    """df with precision, recall and f of its columns of tokens, see alignment; f is their harmonic mean where both are over 0."""
+    scores = df.withColumn("_a", alignment(make)(F.col(candidate), F.col(reference))).select(*df.columns, "_a.precision", "_a.recall")
     p, r = F.col("precision"), F.col("recall")
     return scores.withColumn("f", F.when((p > 0) & (r > 0), 2 * p * r / (p + r)).otherwise(0.0))
 

@@ -2,7 +2,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar, text
-from ..models import stub_token_vectors
+from ..models import StubTokenVectors
 from ..operators import evaluate
 from .registry import Tables, query
 from .text import sql_keypoint, sql_squeeze, sql_words
@@ -42,14 +42,14 @@ _BEST = "list_avg(list_transform({}, lambda x: list_max(list_transform({}, lambd
     s as (select doc_id, item_id, matched, {_BEST.format("c", "r")} as p, {_BEST.format("r", "c")} as q from unit),
     all_rows as (select m.doc_id, m.item_id, m.matched, coalesce(p, 0) as p, coalesce(q, 0) as q from matches m left join s using (doc_id, item_id))
     select doc_id, item_id, round(p, 6) as precision, round(q, 6) as recall, round(case when p > 0 and q > 0 then 2 * p * q / (p + q) else 0 end, 6) as f,
-      matched or coalesce(case when p > 0 and q > 0 then 2 * p * q / (p + q) else 0 end, 0) >= 0.8 as matched from all_rows"""
+      matched or coalesce(case when p > 0 and q > 0 then 2 * p * q / (p + q) else 0 end, 0) >= 0.8 as matched from all_rows""",
+    python=True,
 )
 def embedding_match(t: Tables) -> DataFrame:
     """Every document's distinct tokens aligned with its keypoint's, by stand-in vectors; the third way to match."""
     kp = t.benchmark.select("item_id", evaluate.keypoint_tokens(F.col("text")).alias("kp"))
     d = t.documents.select("doc_id", evaluate.keypoint_tokens(F.col("text")).alias("ans"), (F.col("doc_id") % max(1, t.benchmark.count())).alias("item_id"))
-    d = d.withColumn("_c", stub_token_vectors(F.array_distinct("ans")))
-    scored = evaluate.with_alignment(d.join(kp.withColumn("_r", stub_token_vectors(F.col("kp"))), "item_id"), "_c", "_r")
+    scored = evaluate.with_alignment(d.withColumn("_c", F.array_distinct("ans")).join(kp, "item_id"), "_c", "kp", StubTokenVectors)
     matched = evaluate.keypoint_columns(F.col("kp"), F.col("ans"), F.col("f"))["matched"]
     return scored.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f")), matched.alias("matched"))
 
