@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,17 +42,21 @@ class IdleGroups(StatefulProcessor):
             yield pd.DataFrame(rows, columns=self.columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        now, out = tuple(self.held.get()) if self.held.exists() else None, []
-        frame = pd.concat(list(rows)).dropna(subset=["ts"]).sort_values("ts", kind="stable")
-        at = frame["ts"].astype("datetime64[us]").astype("int64")
+        # a table's key comes once, with all its rows: there is no state before to ask for
+        now, out = tuple(self.held.get()) if not self.ends and self.held.exists() else None, []
+        frames = list(rows)
+        frame = frames[0] if len(frames) == 1 else pd.concat(frames)
+        frame = frame.dropna(subset=["ts"]).sort_values("ts", kind="stable")
+        at = frame["ts"].to_numpy().astype("datetime64[us]").astype("int64")
         # rows of a micro-batch in order of time, cut where a gap ends a group
-        for _, part in frame.groupby((at.diff().fillna(0) >= self.idle).cumsum()):
-            first, last = int(at.loc[part.index].min()), int(at.loc[part.index].max())
+        cuts = [0, *(np.flatnonzero(np.diff(at) >= self.idle) + 1).tolist(), len(at)] if len(at) else []
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            first, last = int(at[begin]), int(at[end - 1])
             if now is not None and first - now[1] >= self.idle:
                 out.append(self._ended(key, now))
                 now = None
             before = now or (first, last, *self.start)
-            now = (min(before[0], first), max(before[1], last), *self.step(before[2:], part))
+            now = (min(before[0], first), max(before[1], last), *self.step(before[2:], frame.iloc[begin:end]))
         if self.ends and now is not None:  # all rows of a table's key are there, no timer would fire
             out.append(self._ended(key, now))
         elif now is not None:
