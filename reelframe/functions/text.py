@@ -62,7 +62,7 @@ def quoted(marker: str) -> str:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.trim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def squeeze(c: Column) -> Column:
@@ -117,14 +117,16 @@ def _reference(part: Column) -> Column:
 def unescape_html(c: Column) -> Column:
     """Every named and numeric character reference of HTML 5, with or without its semicolon, once; texts without an
     ampersand stay as they are."""
-    parts = F.split(c, "&", -1)
-    done = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _reference), ""))
-    return F.when(F.contains(c, F.lit("&")), done).otherwise(c)
+    done = lambda parts: F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _reference), ""))
+    # where all are ampersands' own, which needs no list of parts
+    plain = F.regexp_replace(c, "&(?:amp|AMP);", "&")
+    return F.when(~F.contains(c, F.lit("&")), c).when(~F.rlike(c, F.lit("&(?!(?:amp|AMP);)")), plain).otherwise(let(F.split(c, "&", -1), done))
 
 
 def clean_str(c: Column) -> Column:
-    """Strip, unescape, drop control characters."""
-    return F.regexp_replace(unescape_html(strip(c)), r"[\x00-\x1f\x7f-\x9f]", "")
+    """Strip, unescape, drop control characters; texts without any of these stay as they are."""
+    done = F.regexp_replace(unescape_html(strip(c)), r"[\x00-\x1f\x7f-\x9f]", "")
+    return F.when(F.rlike(c, F.lit(r"[&\x00-\x1f\x7f-\x9f]|^ | \z")), done).otherwise(c)
 
 
 def nfkc(c: Column) -> Column:
