@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, text
 from ..operators import retrieve
+from ..operators.state import checkpointed
 from .registry import Tables, query
 
 WS = r"[ \t\n\r\x0b\x0c]"
@@ -165,12 +166,14 @@ _SYN, _STEM, _PAST = sql_visual("w")
     select n as token, count(*)::bigint as uses, count(distinct doc_id)::bigint as docs from out where length(n) >= 3 and not list_contains({sql_list(text.VISUAL_STOPWORDS)}, n) group by n"""
 )
 def visual_tokens(t: Tables) -> DataFrame:
-    """Normalised visual words of all documents with their counts; words are normalised once per distinct form."""
-    stop = text.strings(text.VISUAL_STOPWORDS)
-    raw = t.documents.select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("w"))
-    per = raw.filter((F.length("w") >= 3) & ~F.array_contains(stop, F.col("w"))).groupBy("doc_id", "w").agg(F.count("*").alias("c"))
-    forms = per.select("w").distinct().select("w", text.visual_token(F.col("w")).alias("token")).filter((F.length("token") >= 3) & ~F.array_contains(stop, F.col("token")))
-    return per.join(forms, "w").groupBy("token").agg(F.sum("c").alias("uses"), F.count_distinct("doc_id").alias("docs"))
+    """Normalised visual words of all documents with their counts; words are normalised once per distinct form. Texts
+    are dealt by doc_id, so their words, far more rows, need no shuffle."""
+    split = lambda d, *keys: d.select(*keys, F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("w")).filter((F.length("w") >= 3) & ~F.col("w").isin(*text.VISUAL_STOPWORDS))
+    words = split(t.documents).distinct()
+    forms = checkpointed(words.select("w", text.visual_token(F.col("w")).alias("token")).filter((F.length("token") >= 3) & ~F.col("token").isin(*text.VISUAL_STOPWORDS)))
+    per = split(t.documents.repartition("doc_id"), "doc_id").groupBy("doc_id", "w").agg(F.count("*").alias("c"))
+    held = per.join(forms, "w").groupBy("doc_id", "token").agg(F.sum("c").alias("c"))
+    return held.groupBy("token").agg(F.sum("c").alias("uses"), F.count("doc_id").alias("docs"))
 
 
 @query(
