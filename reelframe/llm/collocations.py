@@ -9,7 +9,7 @@ is counted per language; f(phrase) counts all contiguous occurrences within piec
    bits are at most 64 MB (`WIDEST`), whatever the input, and are what every task gets.
 2. Candidates. A phrase can be frequent only if all its pairs can. In a second pass each shard compiles the phrases
    whose pairs have both bits set into an Aho-Corasick automaton of its own, so no list of candidates is ever
-   gathered, sent or held whole. Patterns and text are guarded by a blank on either side of every word, pieces by a
+   gathered, sent or held whole. Candidates in one place of the shard only are counted 1 without an automaton. Patterns and text are guarded by a blank on either side of every word, pieces by a
    line feed that is in no pattern, so a match is a run of whole words of one piece.
 3. The automaton counts all overlapping matches in the shard; counts are summed by language and phrase, and only
    then are thresholds applied. The sketch errs upwards alone, so no phrase is lost; the sums are exact.
@@ -186,14 +186,19 @@ def phrase_counts(data: bytes, lang: str, can: Callable[[np.ndarray], np.ndarray
     open_[open_] = can(words.pair_hashes(lang)[open_])
     text, begins = words.spelled()
     found: list[bytes] = []
+    once: list[bytes] = []
+    once_sizes: list[int] = []
     kinds, here, gram = len(words.words), open_, words.ids
     for n in range(2, longest + 1):
         at = np.flatnonzero(here)
         if not len(at):
             break
-        _, first, same = np.unique(gram[at] * kinds + words.ids[at + n - 1], return_index=True, return_inverse=True)
-        found += [text[begins[i] : begins[i + n] - 1] for i in at[first].tolist()]
-        sizes += [n] * len(first)
+        _, first, same, times = np.unique(gram[at] * kinds + words.ids[at + n - 1], return_index=True, return_inverse=True, return_counts=True)
+        again = times > 1  # what stands in one place comes once: most longer phrases do, and need no automaton
+        found += [text[begins[i] : begins[i + n] - 1] for i in at[first[again]].tolist()]
+        sizes += [n] * int(again.sum())
+        once += [text[begins[i] : begins[i + n] - 1] for i in at[first[~again]].tolist()]
+        once_sizes += [n] * int((~again).sum())
         gram = np.zeros(words.n, np.int64)
         gram[at] = same
         here = here[:-1] & open_[n - 1 :]
@@ -204,7 +209,7 @@ def phrase_counts(data: bytes, lang: str, can: Callable[[np.ndarray], np.ndarray
     del text, gram, here, edge, words
     for i in range(0, len(found), most):
         counts += _matches(found[i : i + most], runs.decode("latin-1"))
-    return phrases + found, sizes, counts
+    return phrases + found + once, sizes + once_sizes, counts + [1] * len(once)
 
 
 def _matches(phrases: list[bytes], runs: str) -> list[int]:

@@ -99,6 +99,18 @@ def test_several_automata_count_alike():
     assert one == many and sum(one[1]) > 1000
 
 
+def test_automata_hold_what_repeats_only(monkeypatch):
+    """op11: candidates in one place of a shard, most of the longer ones, aren't compiled, and are counted all the same."""
+    text = "\n".join(" ".join(x) for lang, t in corpus(4) for x in pieces(t)).encode()
+    compiled, plain = [], c._matches
+    monkeypatch.setattr(c, "_matches", lambda phrases, runs: compiled.extend(phrases) or plain(phrases, runs))
+    phrases, sizes, counts = c.phrase_counts(text, "en", lambda h: np.ones(len(h), bool))
+    want = Counter(" ".join(x[i : i + m]) for line in text.decode().split("\n") for x in [re.findall("[^ ]+", line)] for m in range(1, 5) for i in range(len(x) - m + 1))
+    assert dict(zip((p.decode() for p in phrases), counts, strict=True)) == want and len(phrases) == len(want)
+    assert sizes == [p.count(b" ") + 1 for p in phrases]
+    assert set(compiled) == {p.encode() for p, n in want.items() if n > 1 and " " in p} and len(compiled) < len(want)
+
+
 def test_long_texts_are_cut_between_pieces():
     text = ("one two three\n" * 30 + "x" * 500 + "\nfour five").encode()
     parts = list(c.parts(text, 64))
