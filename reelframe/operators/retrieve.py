@@ -33,9 +33,11 @@ def related_chunks(hits: DataFrame, nodes: DataFrame, edges: DataFrame, k: int |
     """
     listed = hits.join(nodes.select("entity_name", "source_ids"), "entity_name").select("query_id", "entity_name", "rank", F.posexplode("source_ids").alias("pos", "chunk_id"))
     first = listed.groupBy("query_id", "chunk_id").agg(F.min(F.struct("rank", "pos", "entity_name")).alias("f")).select("query_id", "chunk_id", "f.*")
-    near = neighbours(edges).join(hits.select(F.col("entity_name").alias("node")).distinct(), "node", "left_semi")
-    holds = nodes.select(F.col("entity_name").alias("neighbour"), F.explode("source_ids").alias("chunk_id"))
-    shared = near.join(holds, "neighbour").groupBy(F.col("node").alias("entity_name"), "chunk_id").agg(F.count_distinct("neighbour").alias("relation_count"))
+    near = neighbours(edges).join(hits.select(F.col("entity_name").alias("node")).distinct(), "node", "left_semi").distinct()
+    # lists travel whole and are spread where they are counted: no task tells neighbours apart chunk by chunk
+    held = nodes.select(F.col("entity_name").alias("neighbour"), "source_ids").join(near.select("neighbour").distinct(), "neighbour", "left_semi")
+    held = held.groupBy("neighbour").agg(F.array_distinct(F.flatten(F.collect_list("source_ids"))).alias("_chunks"))
+    shared = near.join(held, "neighbour").select(F.col("node").alias("entity_name"), F.explode("_chunks").alias("chunk_id")).groupBy("entity_name", "chunk_id").agg(F.count("*").alias("relation_count"))
     out = first.join(shared, ["entity_name", "chunk_id"], "left").withColumn("relation_count", F.coalesce("relation_count", F.lit(0).cast("long")))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("relation_count"), "rank", "pos", "chunk_id"))
     out = out.select("query_id", "chunk_id", F.col("rank").alias("entity_rank"), "pos", "relation_count", place.alias("place"))
