@@ -123,13 +123,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 _LANES = tuple(np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 WIDE_WORDS, WIDE_DISTANCE = 5, 46
 #: A set of shingles: its digest and its sketch (the parity of its hashes by their low byte).
-DIGEST, SKETCH = ("d0", "d1"), ("s0", "s1", "s2", "s3")
+DIGEST, SKETCH = ("d0", "d1"), tuple(f"s{i}" for i in range(8))
 BLOCK = ("x0", "x1", "members")
 #: Rows of its block that a row is compared with in each turn; after the first turn in blocks of over BUCKET rows with
 #: several groups only, rows of the largest group excepted. What isn't linked then is compared with all rows.
 BUCKET, CENTRES = 64, (1, 8, 32)
 #: Texts sampled for the order of shingles; those in COMMON of them or more come last, ORDERED of them by number.
 SAMPLE, COMMON, ORDERED = 20_000, 8, 100_000
+#: Texts of all that may have a shingle in their prefix before it comes last as well; CROWDED such shingles at most.
+CROWD, CROWDED = 16, 500_000
 #: Texts that a worker holds at once; ids of texts to read again that are broadcast, beyond that both sides are shuffled.
 SLICE, READ_AGAIN = 256, 1_000_000
 #: Links that one task thins out to a forest.
@@ -217,20 +219,25 @@ def prefix_of(hashes: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.
     return np.concatenate([first, hashes[last][np.argsort(places[at[last]])][: size - len(first)]])
 
 
-def _prefixes(width: int, ordered: list[int]):
+def _order(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that come last, sorted, and their places."""
+    found = ordered.view(np.uint64)
+    places = np.argsort(found)
+    return found[places], places
+
+
+def _prefixes(width: int, ordered: np.ndarray):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.array(ordered, np.int64).view(np.uint64)
-        places = np.argsort(found)
-        common = found[places]
+        common, places = _order(ordered)
         for b in _slices(batches):
             sets = [shingle_set(t, width) for t in _texts(b["text"])]
             digests = np.frombuffer(b"".join(map(_digest, sets)), np.int64).reshape(-1, 2)
-            sketch = np.array([_sketch(h, 256) for h in sets], np.int64).reshape(-1, 4)
+            sketch = np.array([_sketch(h, 64 * len(SKETCH)) for h in sets], np.int64).reshape(-1, len(SKETCH))
             prefix = pa.array([prefix_of(h, common, places).view(np.int64) for h in sets], pa.list_(pa.int64()))
             long = pa.array([long_sketch(h) for h in sets], pa.list_(pa.int64()))
             prints = pa.array([set_fingerprint(h) for h in sets], pa.int64())
-            cols = [*(pa.array(digests[:, i]) for i in range(2)), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(sketch[:, i]) for i in range(4)), prints, long, prefix]
+            cols = [*(pa.array(digests[:, i]) for i in range(2)), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(sketch[:, i]) for i in range(len(SKETCH))), prints, long, prefix]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], ["doc_id", *DIGEST, "size", *SKETCH, "fp", "long", "prefix"])
 
     return run
@@ -249,23 +256,71 @@ def _sets(width: int):
     return run
 
 
-def common_shingles(docs: DataFrame, width: int) -> list[int]:
+def _new_prefixes(width: int, ordered: np.ndarray):
+    """Digests and prefixes."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, places = _order(ordered)
+        for b in _slices(batches):
+            sets = [shingle_set(t, width) for t in _texts(b["text"])]
+            digests = np.frombuffer(b"".join(map(_digest, sets)), np.int64).reshape(-1, 2)
+            prefix = pa.array([prefix_of(h, common, places).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(digests[:, i]) for i in range(2)), prefix], [*DIGEST, "prefix"])
+
+    return run
+
+
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     """Hashes of shingles in many of the sampled texts, the most frequent last. They only decide the order."""
     parts = max(1, math.ceil(docs.count() / SAMPLE))
     texts = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
     sets = texts.mapInArrow(_sets(width), "d0 long, d1 long, shingles array<long>").select(F.explode("shingles").alias("h"))
     often = sets.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(ORDERED)
-    return [r["h"] for r in often.collect()][::-1]
+    return np.array([r["h"] for r in often.collect()][::-1], np.int64)
 
 
-def set_prints(docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
+def set_prints(docs: DataFrame, ordered: np.ndarray, width: int = WIDE_WORDS) -> DataFrame:
     """(doc_id, text) -> doc_id, row (a number of its own once it is written), digest, size, sketches, fingerprint
-    and prefix of the set of shingles."""
+    and prefix of the set of shingles; those in `ordered` come last, in that order."""
     kind = ", ".join(f"{c} long" for c in ("doc_id", *DIGEST, "size", *SKETCH, "fp"))
-    prints = docs.select("doc_id", "text").mapInArrow(_prefixes(width, common_shingles(docs, width)), f"{kind}, long array<long>, prefix array<long>")
+    prints = docs.select("doc_id", "text").mapInArrow(_prefixes(width, ordered), f"{kind}, long array<long>, prefix array<long>")
     return prints.withColumn("row", F.monotonically_increasing_id())
 
 
+def thinned_prefixes(prefixes: DataFrame, nodes: DataFrame, docs: DataFrame, ordered: np.ndarray, width: int) -> DataFrame:
+    """prefixes (node, prefix), written, in the order `ordered` -> the same in one order that has last what over CROWD of
+    them hold as well: a sample of bounded size can't tell shingles of few dozen texts, which make ever larger blocks.
+
+    A prefix without such a shingle stays as it is; the others' texts are read again, by the least id of their node.
+    """
+    crowd = prefixes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
+    found = crowd.orderBy(F.desc("n"), "key").limit(CROWDED + len(ordered)).toArrow()["key"].to_numpy()
+    new = found[~np.isin(found, ordered)][:CROWDED]
+    if not len(new):
+        return prefixes
+    late = np.sort(new)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, ends = b["prefix"].flatten().to_numpy(), np.cumsum([0, *b["prefix"].value_lengths().to_pylist()])
+            at = np.minimum(np.searchsorted(late, values), len(late) - 1)
+            sums = np.concatenate([[0], np.cumsum(late[at] == values)])
+            yield pa.RecordBatch.from_arrays([b["node"].filter(pa.array(sums[ends[1:]] > sums[ends[:-1]]))], ["node"])
+
+    changed = written(nodes.join(prefixes.mapInArrow(held, "node long").withColumnRenamed("node", "held"), F.col("node") == F.col("held")).select("node", "least_id", *(F.col(d).alias(f"n{d}") for d in DIGEST)), "simhash-changed")
+    read = _read_again(changed, docs).mapInArrow(_new_prefixes(width, np.concatenate([new[::-1], ordered])), "d0 long, d1 long, prefix array<long>")
+    again = read.join(changed, [F.col(d) == F.col(f"n{d}") for d in DIGEST]).groupBy("node").agg(F.any_value("prefix").alias("prefix"))
+    return prefixes.join(changed.select(F.col("node").alias("own")), F.col("node") == F.col("own"), "left_anti").union(again)
+
+
+def _read_again(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The texts of nodes (least_id), written; other documents of that id are among them."""
+    ids = nodes.select("least_id").distinct()
+    ids = F.broadcast(ids) if nodes.count() <= READ_AGAIN else ids
+    return docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of a task that join two of its groups so far: as connected as all of them, at most one a node."""
     above: dict[int, int] = {}
@@ -305,10 +360,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) ->
     near = written(both.filter(f"9 * {_DIFFER} <= lsize + rsize").select("a", "b"), "simhash-near")
     used = near.select(F.col("a").alias("used")).union(near.select("b")).distinct()
     ends = written(nodes.join(used, F.col("node") == F.col("used"), "left_semi").select("node", "size", "least_id", *(F.col(d).alias(f"n{d}") for d in DIGEST)), "simhash-ends")
-    ids = ends.select("least_id").distinct()
-    ids = F.broadcast(ids) if ends.count() <= READ_AGAIN else ids
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
-    read = texts.mapInArrow(_sets(width), "d0 long, d1 long, shingles array<long>")
+    read = _read_again(ends, docs).mapInArrow(_sets(width), "d0 long, d1 long, shingles array<long>")
     sets = read.join(ends, [F.col(d) == F.col(f"n{d}") for d in DIGEST]).groupBy("node").agg(F.any_value("size").alias("n"), F.any_value("shingles").alias("s"))
     # common / (all - common) >= 4 / 5
     both = _with_both(near, written(sets, "simhash-sets")).filter("9 * size(array_intersect(ls, rs)) >= 4 * (ln + rn)")
@@ -322,6 +374,12 @@ def _may_be_close(x: str, y: str):
     return (5 * F.least(size, other) >= 4 * F.greatest(size, other)) & (9 * differ <= size + other)
 
 
+def _may_be_first(x: str, y: str):
+    """True in the block of the first shingle that a pair of similarity 0.8 has in common: all common ones are from there on."""
+    size, other = F.col(f"{x}size"), F.col(f"{y}size")
+    return 9 * F.least(size - F.col(f"{x}place"), other - F.col(f"{y}place")) >= 4 * (size + other)
+
+
 def _side(rows: DataFrame, x: str) -> DataFrame:
     return rows.select(*(F.col(c).alias(f"{x}{c}") for c in rows.columns))
 
@@ -332,17 +390,18 @@ def _pairs(found: DataFrame, x: str, y: str) -> DataFrame:
 
 def _stars(some: DataFrame, rows: DataFrame, turn: int) -> DataFrame:
     """(BLOCK, node, size, sketch, root) -> pairs of some of the rows with a few of their blocks, others each turn."""
-    place = F.row_number().over(W.partitionBy(*BLOCK).orderBy(F.xxhash64("node", F.lit(turn)), "node"))
-    centres = rows.withColumn("place", place).filter(F.col("place") <= CENTRES[turn]).drop("place")
+    nth = F.row_number().over(W.partitionBy(*BLOCK).orderBy(F.xxhash64("node", F.lit(turn)), "node"))
+    centres = rows.withColumn("nth", nth).filter(F.col("nth") <= CENTRES[turn]).drop("nth")
     same = [F.col(f"l{b}") == F.col(f"r{b}") for b in BLOCK]
     return _pairs(_side(some, "l").join(_side(centres, "r"), [*same, F.col("lroot") != F.col("rroot"), _may_be_close("l", "r")]), "l", "r")
 
 
 def _rest(rows: DataFrame, tops: DataFrame) -> DataFrame:
-    """(BLOCK, node, size, sketch, root) -> all pairs of a block with different roots; one is not of its largest group."""
+    """(BLOCK, node, place, size, sketch, root) -> all pairs of a block with different roots, unless another block is the
+    first of a close pair; one is not of its largest group."""
     same = [F.col(f"l{b}") == F.col(f"r{b}") for b in BLOCK]
     left = _side(rows, "l").join(_side(tops, "t"), [F.col(f"l{b}") == F.col(f"t{b}") for b in BLOCK]).filter("lroot <> ttop")
-    found = left.join(_side(rows, "r"), [*same, F.col("lroot") != F.col("rroot"), _may_be_close("l", "r")])
+    found = left.join(_side(rows, "r"), [*same, F.col("lroot") != F.col("rroot"), _may_be_first("l", "r"), _may_be_close("l", "r")])
     return _pairs(found, "l", "r")
 
 
@@ -362,7 +421,7 @@ def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def set_links(nodes: DataFrame, keyed: DataFrame, docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
-    """nodes (node, least_id, digest, size, sketches, fp), keyed (node, key: a shingle of its prefix) -> a, b: links of
+    """nodes (node, least_id, digest, size, sketches, fp), keyed (node, place, key: a shingle of its prefix) -> a, b: links of
     similarity 0.8 or more that connect all such pairs.
 
     First by SimHash: sets whose fingerprints are equal or within DISTANCE bits are compared by their shingles. Sets of
@@ -377,7 +436,8 @@ def set_links(nodes: DataFrame, keyed: DataFrame, docs: DataFrame, width: int =
     """
     per = W.partitionBy("key")
     members = F.count("*").over(per).alias("members")
-    met = keyed.select("node", *(F.bit_xor(F.xxhash64("node", F.lit(i))).over(per).alias(f"x{i}") for i in range(2)), members).filter("members > 1").distinct()
+    met = keyed.select("node", "place", *(F.bit_xor(F.xxhash64("node", F.lit(i))).over(per).alias(f"x{i}") for i in range(2)), members).filter("members > 1")
+    met = met.groupBy("node", *BLOCK).agg(F.min("place").alias("place"))
     rows = written(met.join(nodes.select(F.col("node").alias("own"), "size", *SKETCH), F.col("node") == F.col("own")).drop("own"), "simhash-members")
     links = print_links(nodes, docs, width)
     rooted = written(_rooted(rows, links), "simhash-rooted")
@@ -400,14 +460,14 @@ def _thinned(links: DataFrame) -> DataFrame:
     return links.repartition(math.ceil((links.count() + 1) / LINKS)).mapInArrow(_forest, "a long, b long")
 
 
-def set_classes(prints: DataFrame, docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
-    """set_prints, written, and the documents -> digest, root, component_id; one row per digest."""
+def set_classes(prints: DataFrame, docs: DataFrame, ordered: np.ndarray, width: int = WIDE_WORDS) -> DataFrame:
+    """set_prints of that order, written, and the documents -> digest, root, component_id; one row per digest."""
     with scratch(prints.sparkSession):
         heads = prints.groupBy(*DIGEST).agg(F.min("doc_id").alias("least_id"), F.min("row").alias("node"))
         heads = written(heads.select("least_id", "node"), "simhash-heads")
         nodes = written(prints.drop("doc_id", "prefix").join(heads, F.col("row") == F.col("node")).drop("row"), "simhash-nodes")
-        keyed = prints.select("row", "prefix").join(heads.select("node"), F.col("row") == F.col("node"), "left_semi")
-        keyed = keyed.select(F.col("row").alias("node"), F.explode("prefix").alias("key"))
+        prefixes = written(prints.select(F.col("row").alias("node"), "prefix").join(heads.select(F.col("node").alias("head")), F.col("node") == F.col("head"), "left_semi"), "simhash-prefixes")
+        keyed = thinned_prefixes(prefixes, nodes, docs, ordered, width).select("node", F.posexplode("prefix").alias("place", "key"))
         roots = components(set_links(nodes, keyed, docs, width)).withColumnRenamed("node", "linked")
         rooted = written(nodes.join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).select(*DIGEST, "least_id", "root"), "simhash-roots")
         ids = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component_id"))
@@ -421,8 +481,9 @@ def keep_one(docs: DataFrame, width: int = WIDE_WORDS) -> DataFrame:
     XXH64 over all its columns stays; only such rows' shingles are hashed again to tell them apart.
     """
     with scratch(docs.sparkSession):
-        prints = written(set_prints(docs, width), "simhash-prints")
-        found = written(set_classes(prints, docs, width), "simhash-classes", keep=True)
+        ordered = common_shingles(docs, width)
+        prints = written(set_prints(docs, ordered, width), "simhash-prints")
+        found = written(set_classes(prints, docs, ordered, width), "simhash-classes", keep=True)
         same = [F.col(d) == F.col(f"c{d}") for d in DIGEST]
         uses = prints.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("uses"))
         heads = prints.join(found, same).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")

@@ -253,3 +253,33 @@ def test_stage_links_by_fingerprints_first(spark, monkeypatch):
         assert prints[i] == simhash.set_fingerprint(simhash.shingle_set(text.encode()))
     near = [i for i in range(6) if ((prints[i] ^ prints[10 + i]) & (2**64 - 1)).bit_count() <= simhash.DISTANCE]
     assert near and linked.count() == len(near)
+
+
+def test_passages_that_a_sample_misses_make_no_pairs(spark, docs, monkeypatch):
+    """Long texts with one passage, in none of the sampled shingles: their prefixes leave it out, so no pair but the close one is compared."""
+    rng = random.Random(12)
+    passage, words = [f"p{i}" for i in range(60)], lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = [(i, " ".join(words(700) + passage + words(700))) for i in range(24)]
+    rows.append((24, rows[3][1].replace(rows[3][1].split()[5], "other")))
+    compared = []
+    monkeypatch.setattr(simhash, "COMMON", 10**9)
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *rest, own=simhash.verified: compared.append(pairs.count()) or own(pairs, *rest))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs(rows)).collect()) == list(range(24))
+    assert sum(compared) < 60  # all 300 pairs otherwise
+
+
+def test_places_rule_out_no_first_block(spark):
+    """Of two sets in one order, the places of the first common element allow every pair of similarity 0.8, and few others."""
+    rng, rows = random.Random(13), []
+    for _ in range(300):
+        n = rng.choice([1, 5, 40, 300])
+        a = set(range(n))
+        b = set(rng.sample(sorted(a), n - rng.randrange(1 + n // 4))) | {1000 + i for i in range(rng.randrange(1 + n // 6))}
+        order = {x: rng.random() for x in a | b}
+        x, y = sorted(a, key=order.get), sorted(b, key=order.get)
+        if a & b:
+            first = min(a & b, key=order.get)
+            rows.append((len(x), x.index(first), len(y), y.index(first), len(a & b) / len(a | b)))
+    df = spark.createDataFrame(rows, "lsize long, lplace int, rsize long, rplace int, similarity double")
+    got = df.select("similarity", simhash._may_be_first("l", "r").alias("kept")).collect()
+    assert all(r["kept"] for r in got if 5 * r["similarity"] >= 4 - 1e-9) and not all(r["kept"] for r in got)
